@@ -229,3 +229,25 @@ def duration_mask(df: DataFrame, keys: Sequence[str], ts: str, masks: Mapping[st
                         & (F.count(F.lit(1)).over(fr) == F.lit(k))).alias(f"{name}_dur"))
         return out
     return halo_apply(df, keys, [ts], ts, reach, 0, build, block_rows, block_seconds)
+
+
+def event_frequency(labels: DataFrame, names: Sequence[str]) -> DataFrame:
+    """A1: per event the labelled-row count, row count and percentage, plus
+    the any-event row ('any') — one aggregation pass, then unpivot."""
+    aggs = [F.sum(F.col(f"event_{n}").cast("long")).alias(n) for n in names]
+    aggs += [F.sum(F.col("has_any_event").cast("long")).alias("any"), F.count(F.lit(1)).alias("n_rows")]
+    wide = labels.agg(*aggs)
+    long = wide.unpivot(["n_rows"], [*names, "any"], "event", "n_true")
+    return long.select("event", F.col("n_true").cast("long").alias("n_true"), "n_rows",
+                       F.round(F.lit(100.0) * F.col("n_true") / F.col("n_rows"), 6).alias("pct"))
+
+
+def cooccurrence(labels: DataFrame, by: str, more_than: int = 2) -> DataFrame:
+    """A2: rows per ``by`` with any event and with more than ``more_than``
+    simultaneous events."""
+    c = F.col("event_count")
+    return labels.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count(F.when(c >= 1, 1)).alias("n_any"),
+        F.count(F.when(c > more_than, 1)).alias("n_multi"),
+        F.max(c).alias("max_count"))

@@ -48,3 +48,77 @@ SELECT series, event, start, "end", round(duration_minutes, 6) AS duration_minut
 SQL["event_segments_min_duration"] = with_(V_SEGMENTS) + """
 SELECT series, event, start, "end", round(duration_minutes, 6) AS duration_minutes,
        meets_min_duration, min_duration_required_min FROM segments WHERE meets_min_duration"""
+
+V_LABELS = V_MASKS + """,
+lab AS (
+  SELECT series, ts, event, min_minutes, m OR prev_m AS lab,
+         CASE WHEN m OR prev_m THEN
+           (epoch_us(CASE WHEN m THEN coalesce(nf, smax) ELSE ts END)
+            - epoch_us(max(CASE WHEN st THEN ts END) OVER (PARTITION BY series, event ORDER BY ts
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))) / 60000000.0 END AS dur
+  FROM runs),
+labw AS (
+  SELECT g.series, g.ts, g.temp, g.peak, g.n,
+    coalesce(bool_or(lab) FILTER (WHERE event = 'hot'), false) AS event_hot,
+    coalesce(max(dur) FILTER (WHERE event = 'hot' AND lab), 0.0) AS event_hot_duration_min,
+    coalesce(bool_or(dur >= min_minutes) FILTER (WHERE event = 'hot' AND lab), false) AS event_hot_meets_duration,
+    coalesce(bool_or(lab) FILTER (WHERE event = 'calm'), false) AS event_calm,
+    coalesce(max(dur) FILTER (WHERE event = 'calm' AND lab), 0.0) AS event_calm_duration_min,
+    coalesce(bool_or(dur >= min_minutes) FILTER (WHERE event = 'calm' AND lab), false) AS event_calm_meets_duration,
+    coalesce(bool_or(lab) FILTER (WHERE event = 'gusty'), false) AS event_gusty,
+    coalesce(max(dur) FILTER (WHERE event = 'gusty' AND lab), 0.0) AS event_gusty_duration_min,
+    coalesce(bool_or(dur >= min_minutes) FILTER (WHERE event = 'gusty' AND lab), false) AS event_gusty_meets_duration
+  FROM grid g JOIN lab l ON g.series = l.series AND g.ts = l.ts
+  GROUP BY g.series, g.ts, g.temp, g.peak, g.n),
+labels AS (
+  SELECT *, (event_hot::INT + event_calm::INT + event_gusty::INT) AS event_count,
+    CASE WHEN event_hot OR event_calm OR event_gusty THEN concat_ws(',',
+      CASE WHEN event_hot THEN CASE WHEN event_hot_meets_duration THEN 'hot' ELSE 'hot*' END END,
+      CASE WHEN event_calm THEN CASE WHEN event_calm_meets_duration THEN 'calm' ELSE 'calm*' END END,
+      CASE WHEN event_gusty THEN CASE WHEN event_gusty_meets_duration THEN 'gusty' ELSE 'gusty*' END END)
+    ELSE 'none' END AS active_events,
+    CASE WHEN event_hot OR event_calm OR event_gusty THEN concat_ws(',',
+      CASE WHEN event_hot THEN printf('hot:%.1fmin', event_hot_duration_min) END,
+      CASE WHEN event_calm THEN printf('calm:%.1fmin', event_calm_duration_min) END,
+      CASE WHEN event_gusty THEN printf('gusty:%.1fmin', event_gusty_duration_min) END)
+    ELSE 'none' END AS event_durations,
+    (event_hot OR event_calm OR event_gusty) AS has_any_event
+  FROM labw)"""
+
+V_MERGED = V_SEGMENTS + """,
+mp AS (SELECT event, start AS s, "end" AS e,
+         max("end") OVER (PARTITION BY event ORDER BY start, "end"
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM segments),
+mg AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe THEN 1 ELSE 0 END) OVER (PARTITION BY event
+             ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS gid FROM mp),
+merged AS (SELECT event, min(s) AS start, max(e) AS "end",
+         CASE WHEN (epoch_us(max(e)) - epoch_us(min(s))) / 60000000.0 <= 0 THEN 15.0
+              ELSE (epoch_us(max(e)) - epoch_us(min(s))) / 60000000.0 END AS duration_minutes
+         FROM mg GROUP BY event, gid)"""
+
+SQL["label_rows"] = with_(V_LABELS) + "SELECT * FROM labels"
+
+SQL["interval_label_join"] = with_(V_SEGMENTS) + """
+SELECT g.series, g.ts, s.event, round(s.duration_minutes, 6) AS duration_minutes,
+       s.meets_min_duration
+FROM grid g JOIN segments s ON g.series = s.series AND g.ts BETWEEN s.start AND s."end\""""
+
+SQL["union_segments"] = with_(V_MERGED) + """
+SELECT event, start, "end", round(duration_minutes, 6) AS duration_minutes FROM merged"""
+
+SQL["monthly_event_summary"] = with_(V_MERGED) + """
+SELECT year(start)::INT AS year, month(start)::INT AS month, event, count(*) AS union_count,
+       round(sum(duration_minutes), 6) AS union_total_minutes
+FROM merged GROUP BY 1, 2, 3"""
+
+SQL["event_frequency"] = with_(V_LABELS) + """
+SELECT event, n_true, n_rows, round(100.0 * n_true / n_rows, 6) AS pct FROM (
+  SELECT 'hot' AS event, sum(event_hot::INT)::BIGINT AS n_true, count(*) AS n_rows FROM labels
+  UNION ALL SELECT 'calm', sum(event_calm::INT)::BIGINT, count(*) FROM labels
+  UNION ALL SELECT 'gusty', sum(event_gusty::INT)::BIGINT, count(*) FROM labels
+  UNION ALL SELECT 'any', sum(has_any_event::INT)::BIGINT, count(*) FROM labels)"""
+
+SQL["event_cooccurrence"] = with_(V_LABELS) + """
+SELECT series, count(*) AS n_rows, count(*) FILTER (WHERE event_count >= 1) AS n_any,
+       count(*) FILTER (WHERE event_count > 2) AS n_multi, max(event_count) AS max_count
+FROM labels GROUP BY series"""

@@ -48,3 +48,56 @@ def q_event_segments(spark, sf):
 def q_event_segments_min(spark, sf):
     """W1 variant of the first labeler: runs shorter than the minimum dropped."""
     return _segments(spark, sf, keep_short=False)
+
+
+def _labels(spark, sf):
+    return ev.label_rows(V.grid(spark, sf), ["series"], "ts", GRID_RULES)
+
+
+@query("label_rows")
+def q_label_rows(spark, sf):
+    """W3 + W4: every grid reading labelled per rule, with the row summary."""
+    lab = _labels(spark, sf)
+    return lab.select(*[r6(c).alias(c) if c.endswith("_duration_min") else c for c in lab.columns])
+
+
+@query("interval_label_join")
+def q_interval_label_join(spark, sf):
+    """J2(b): readings inside [start, end] of their series' segments, by the
+    bucketised equi-join (no theta join)."""
+    from squall.operators.joins import interval_join
+    g = V.grid(spark, sf).select("series", "ts")
+    segs = V.segments(spark, sf)
+    j = interval_join(g, segs, ["series"], "ts", "start", "end", bucket_seconds=6 * 3600)
+    return j.select("series", "ts", "event", r6("duration_minutes").alias("duration_minutes"),
+                    "meets_min_duration")
+
+
+def _merged(spark, sf):
+    return ev.merge_intervals(V.segments(spark, sf), ["event"], max_gap_minutes=0.0)
+
+
+@query("union_segments")
+def q_union_segments(spark, sf):
+    """Segments merged per event across the five series."""
+    m = _merged(spark, sf)
+    return m.select("event", "start", "end", r6("duration_minutes").alias("duration_minutes"))
+
+
+@query("monthly_event_summary")
+def q_monthly(spark, sf):
+    """A3: merged segments per (year, month of start, event)."""
+    s = ev.monthly_summary(_merged(spark, sf))
+    return s.select("year", "month", "event", "union_count", r6("union_total_minutes").alias("union_total_minutes"))
+
+
+@query("event_frequency")
+def q_event_frequency(spark, sf):
+    """A1 + R5: labelled rows per event and the any-event rate."""
+    return ev.event_frequency(_labels(spark, sf), [r.name for r in GRID_RULES])
+
+
+@query("event_cooccurrence")
+def q_event_cooccurrence(spark, sf):
+    """A2: active events per row; rows with more than two per series."""
+    return ev.cooccurrence(_labels(spark, sf), "series", more_than=2)
