@@ -122,3 +122,84 @@ SQL["event_cooccurrence"] = with_(V_LABELS) + """
 SELECT series, count(*) AS n_rows, count(*) FILTER (WHERE event_count >= 1) AS n_any,
        count(*) FILTER (WHERE event_count > 2) AS n_multi, max(event_count) AS max_count
 FROM labels GROUP BY series"""
+
+# ---------------------------------------------------------------- reshape
+SERIES = ["click", "error", "purchase", "signup", "view"]
+WIDE_COLS = [f"{s}_{v}" for s in SERIES for v in ("temp", "peak")]
+V_WIDE = V_GRID + """,
+wide AS (SELECT ts, """ + ", ".join(
+    f"max(CASE WHEN series = '{s}' THEN {v} END) AS {s}_{v}" for s in SERIES for v in ("temp", "peak")
+) + " FROM grid GROUP BY ts)"
+
+# rule name -> (SQL predicate over {s}_temp/{s}_peak, steps for the hourly grid)
+_GRID_RULES_SQL = {"hot": ("{s}_temp > 60", 2), "calm": ("{s}_temp < 42", 3),
+                   "gusty": ("{s}_temp > 40 AND {s}_peak > 100", 1)}
+
+
+def _dur(mask: str, k: int) -> str:
+    fr = f"OVER (ORDER BY ts ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+    return f"(sum(CASE WHEN {mask} THEN 1 ELSE 0 END) {fr} >= {k} AND count(*) {fr} = {k})"
+
+
+V_UNION_MASK = V_WIDE + """,
+umask AS (SELECT ts, """ + ", ".join(
+    "(" + " OR ".join(_dur("coalesce(" + p.format(s=s) + ", false)", k) for s in SERIES) + f") AS event_{r}"
+    for r, (p, k) in _GRID_RULES_SQL.items()
+) + " FROM wide)"
+
+V_RESAMPLED = V_UNION_MASK + """,
+wev AS (SELECT w.*, u.event_hot, u.event_calm, u.event_gusty FROM wide w JOIN umask u USING (ts)),
+rb AS (SELECT time_bucket(INTERVAL 2 HOUR, ts) AS ts, """ + ", ".join(
+    [f"avg({c}) AS {c}" for c in WIDE_COLS] + [f"bool_or(event_{r}) AS event_{r}" for r in _GRID_RULES_SQL]
+) + """ FROM wev GROUP BY 1),
+bins AS (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 2 HOUR)) AS ts FROM rb),
+resampled AS (SELECT bins.ts, """ + ", ".join(
+    [f"rb.{c}" for c in WIDE_COLS] + [f"rb.event_{r}" for r in _GRID_RULES_SQL]) + """
+  FROM bins LEFT JOIN rb ON bins.ts = rb.ts),
+filled AS (SELECT ts, """ + ", ".join(
+    [f"coalesce({c}, last_value({c} IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
+     f"first_value({c} IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0.0) AS {c}"
+     for c in WIDE_COLS] + [f"coalesce(event_{r}, false) AS event_{r}" for r in _GRID_RULES_SQL]) + """
+  FROM resampled)"""
+
+V_AUX = """aux AS (SELECT date_trunc('hour', ts) AS ts,
+  round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS aux_k FROM events GROUP BY 1)"""
+
+SQL["wide_pivot"] = with_(V_WIDE) + "SELECT * FROM wide"
+
+SQL["duration_mask_union"] = with_(V_UNION_MASK) + "SELECT * FROM umask"
+
+SQL["resample_2h"] = with_(V_RESAMPLED) + "SELECT ts, " + ", ".join(
+    WIDE_COLS + [f"event_{r}" for r in _GRID_RULES_SQL]) + " FROM resampled"
+
+SQL["resample_fill"] = with_(V_RESAMPLED) + "SELECT ts, " + ", ".join(
+    WIDE_COLS + [f"event_{r}" for r in _GRID_RULES_SQL]) + " FROM filled"
+
+SQL["aux_left_join"] = with_(V_RESAMPLED, V_AUX) + """
+SELECT ts, round(coalesce(aux_k,
+         last_value(aux_k IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         first_value(aux_k IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+         0.0), 6) AS aux_k, click_temp, event_hot
+FROM filled LEFT JOIN aux USING (ts)"""
+
+V_NULLPROF = V_WIDE + """,
+nprof AS (""" + "\n  UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", '{c.split('_')[0]}' AS tower, "
+    f"round(100.0 * avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 2) AS null_pct FROM wide"
+    for c in WIDE_COLS) + ")"
+
+SQL["null_profile"] = with_(V_NULLPROF) + "SELECT * FROM nprof"
+
+SQL["null_bands"] = with_(V_NULLPROF) + """
+SELECT tower, (floor(null_pct / 10) * 10)::INT AS band_low, (floor(null_pct / 10) * 10)::INT + 10 AS band_high,
+       count(*) AS n_columns, array_to_string(list_sort(list("column")), ',') AS columns
+FROM nprof WHERE null_pct < 100 GROUP BY 1, 2, 3"""
+
+SQL["columns_below_threshold"] = with_(V_NULLPROF) + """
+SELECT count(*) FILTER (WHERE null_pct = 0) AS n_cols_0,
+       count(*) FILTER (WHERE null_pct > 0 AND null_pct <= 20) AS n_cols_0_20,
+       count(*) FILTER (WHERE null_pct > 20 AND null_pct <= 50) AS n_cols_20_50,
+       count(*) FILTER (WHERE null_pct > 50 AND null_pct <= 80) AS n_cols_50_80,
+       count(*) FILTER (WHERE null_pct > 80) AS n_cols_80_100,
+       array_to_string(list_sort(list("column") FILTER (WHERE null_pct <= 80)), ',') AS kept_columns
+FROM nprof"""

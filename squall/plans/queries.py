@@ -101,3 +101,104 @@ def q_event_frequency(spark, sf):
 def q_event_cooccurrence(spark, sf):
     """A2: active events per row; rows with more than two per series."""
     return ev.cooccurrence(_labels(spark, sf), "series", more_than=2)
+
+
+# ---------------------------------------------------------------- reshape
+from squall.operators import reshape as rs  # noqa: E402
+
+WIDE_COLS = [f"{s}_{v}" for s in V.SERIES for v in ("temp", "peak")]
+GRID_STEPS = {"hot": 2, "calm": 3, "gusty": 1}   # rule minimum in hourly steps
+
+
+@query("wide_pivot")
+def q_wide_pivot(spark, sf):
+    """R2: grid pivoted to one row per hour."""
+    return V.wide(spark, sf)
+
+
+def _union_masks(spark, sf):
+    """W6 + W7 on the pooled wide table: per series the rule must hold for k
+    consecutive rows; OR across series.  The wide table has no series key,
+    so the k-row windows run on position blocks with a halo."""
+    w = V.wide(spark, sf)
+    masks = {}
+    exprs = []
+    for rule in GRID_RULES:
+        for s in V.SERIES:
+            cols = {"temp": F.col(f"{s}_temp"), "peak": F.col(f"{s}_peak")}
+            from squall.functions.rules import rule_mask
+            name = f"_m_{rule.name}_{s}"
+            exprs.append(rule_mask(rule, cols).alias(name))
+            masks[name] = GRID_STEPS[rule.name]
+    d = w.select("ts", *exprs)
+    dm = ev.duration_mask(d, [], "ts", masks, block_rows=256)
+    out = []
+    for rule in GRID_RULES:
+        cs = [F.col(f"_m_{rule.name}_{s}_dur") for s in V.SERIES]
+        acc = cs[0]
+        for c in cs[1:]:
+            acc = acc | c
+        out.append(acc.alias(f"event_{rule.name}"))
+    return w.join(dm.select("ts", *out), "ts")
+
+
+@query("duration_mask_union")
+def q_duration_mask_union(spark, sf):
+    return _union_masks(spark, sf).select("ts", *[f"event_{r.name}" for r in GRID_RULES])
+
+
+def _resampled(spark, sf):
+    u = _union_masks(spark, sf)
+    return rs.resample(u, [], "ts", 7200, WIDE_COLS, [f"event_{r.name}" for r in GRID_RULES])
+
+
+def _filled(spark, sf):
+    r = _resampled(spark, sf)
+    f = rs.fill_forward_backward(r, [], "ts", WIDE_COLS, final=0.0)
+    return f.select("ts", *WIDE_COLS, *[F.coalesce(F.col(f"event_{x.name}"), F.lit(False)).alias(f"event_{x.name}")
+                                        for x in GRID_RULES])
+
+
+@query("resample_2h")
+def q_resample_2h(spark, sf):
+    """2-hour bins (mean of readings, max of event flags), empty bins kept."""
+    r = _resampled(spark, sf)
+    return r.select("ts", *WIDE_COLS, *[f"event_{x.name}" for x in GRID_RULES])
+
+
+@query("resample_fill")
+def q_resample_fill(spark, sf):
+    """R1 + W16: forward fill, backward fill, then 0; events False-filled."""
+    f = _filled(spark, sf)
+    return f.select("ts", *WIDE_COLS, *[f"event_{x.name}" for x in GRID_RULES])
+
+
+@query("aux_left_join")
+def q_aux_left_join(spark, sf):
+    """Resampled timeline left-joined with the hourly side table, filled."""
+    f = _filled(spark, sf)
+    j = rs.left_join_fill(f, V.aux(spark, sf), "ts", ["aux_k"])
+    return j.select("ts", r6("aux_k").alias("aux_k"), "click_temp", "event_hot")
+
+
+def _null_profile(spark, sf):
+    p = rs.null_profile(V.wide(spark, sf), WIDE_COLS)
+    return p.select("column", F.substring_index("column", "_", 1).alias("tower"), "null_pct")
+
+
+@query("null_profile")
+def q_null_profile(spark, sf):
+    """P10: % NULL per column of the wide table, by tower prefix."""
+    return _null_profile(spark, sf)
+
+
+@query("null_bands")
+def q_null_bands(spark, sf):
+    """Columns per 10 % NULL band per tower."""
+    return rs.null_bands(_null_profile(spark, sf), ["tower"])
+
+
+@query("columns_below_threshold")
+def q_columns_below(spark, sf):
+    """Columns kept at <= 80 % NULL and the band counts."""
+    return rs.columns_by_null_threshold(_null_profile(spark, sf), 80.0)
