@@ -203,3 +203,102 @@ SELECT count(*) FILTER (WHERE null_pct = 0) AS n_cols_0,
        count(*) FILTER (WHERE null_pct > 80) AS n_cols_80_100,
        array_to_string(list_sort(list("column") FILTER (WHERE null_pct <= 80)), ',') AS kept_columns
 FROM nprof"""
+
+# ---------------------------------------------------------------- features
+_W_OBS = "(PARTITION BY series, var ORDER BY ts)"
+
+
+def _fr(n: int) -> str:
+    return f"(PARTITION BY series, var ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+SQL["lag_features"] = with_(V_OBS) + "SELECT series, var, ts, value, " + ", ".join(
+    f"lag(value, {k}) OVER {_W_OBS} AS value_lag{k}" for k in (1, 2, 4, 8)) + " FROM obs"
+
+_ROLL_FN = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
+SQL["rolling_features"] = with_(V_OBS) + "SELECT series, var, ts, " + ", ".join(
+    f"round(CASE WHEN count(value) OVER {_fr(n)} = {n} THEN {_ROLL_FN[s]}(value) OVER {_fr(n)} END, 6)"
+    f" AS value_roll{n}_{s}" for n in (4, 12) for s in ("mean", "std", "min", "max")) + " FROM obs"
+
+SQL["diff_features"] = with_(V_OBS) + f"""
+SELECT series, var, ts, value - lag(value, 1) OVER {_W_OBS} AS value_diff1,
+       value - 2.0 * lag(value, 1) OVER {_W_OBS} + lag(value, 2) OVER {_W_OBS} AS value_diff2
+FROM obs"""
+
+SQL["future_target"] = with_(V_OBS) + f"""
+SELECT series, var, ts, value, round(value_roll4_mean, 6) AS value_roll4_mean, target_h4 FROM (
+  SELECT series, var, ts, value,
+    lag(value, 1) OVER {_W_OBS} AS l1, lag(value, 2) OVER {_W_OBS} AS l2,
+    lag(value, 4) OVER {_W_OBS} AS l4, lag(value, 8) OVER {_W_OBS} AS l8,
+    CASE WHEN count(value) OVER {_fr(4)} = 4 THEN avg(value) OVER {_fr(4)} END AS value_roll4_mean,
+    lead(CASE WHEN value > 100 THEN 1 ELSE 0 END, 4) OVER {_W_OBS} AS target_h4
+  FROM obs)
+WHERE l1 IS NOT NULL AND l2 IS NOT NULL AND l4 IS NOT NULL AND l8 IS NOT NULL
+  AND value_roll4_mean IS NOT NULL AND target_h4 IS NOT NULL"""
+
+SQL["sequences"] = with_(V_OBS) + f"""
+SELECT series, var, ts, l3 AS seq_0, l2 AS seq_1, l1 AS seq_2, value AS seq_3 FROM (
+  SELECT series, var, ts, value, lag(value, 1) OVER {_W_OBS} AS l1, lag(value, 2) OVER {_W_OBS} AS l2,
+         lag(value, 3) OVER {_W_OBS} AS l3, count(*) OVER {_fr(4)} AS n FROM obs)
+WHERE n = 4"""
+
+
+def _row_stats(var: str) -> str:
+    cols = [f"{s}_{var}" for s in SERIES]
+    n = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END" for c in cols)
+    tot = "0.0 + " + " + ".join(f"coalesce({c}, 0.0)" for c in cols)
+    return f"({n}) AS {var}_n, ({tot}) AS {var}_tot, greatest({', '.join(cols)}) AS {var}_mx, " \
+           f"least({', '.join(cols)}) AS {var}_mn"
+
+
+def _row_stats2(var: str) -> str:
+    cols = [f"{s}_{var}" for s in SERIES]
+    mean = f"(CASE WHEN {var}_n > 0 THEN {var}_tot / {var}_n END)"
+    ss = "0.0 + " + " + ".join(f"coalesce(({c} - {mean}) * ({c} - {mean}), 0.0)" for c in cols)
+    out = [f"{mean} AS {var}_tower_mean",
+           f"CASE WHEN {var}_n > 1 THEN sqrt(({ss}) / ({var}_n - 1)) END AS {var}_tower_std",
+           f"{var}_mx - {var}_mn AS {var}_tower_range"]
+    out += [f"{c} - {mean} AS {c}_dev_from_mean" for c in cols]
+    return ", ".join(out)
+
+
+SQL["cross_series_stats"] = with_(V_WIDE) + "SELECT ts, " + _row_stats2("temp") + ", " + _row_stats2("peak") + \
+    " FROM (SELECT *, " + _row_stats("temp") + ", " + _row_stats("peak") + " FROM wide)"
+
+SQL["cyclic_time"] = with_(V_WIDE) + "SELECT ts, " + ", ".join(
+    f"round({fn}(2 * pi() * {x} / {p}), 6) + 0.0 AS {name}_{fn}"
+    for name, x, p in (("hour", "hour(ts)", 24), ("dow", "(isodow(ts) - 1)", 7), ("month", "month(ts)", 12))
+    for fn in ("sin", "cos")) + " FROM wide"
+
+SQL["threshold_distance"] = with_(V_WIDE) + "SELECT ts, " + ", ".join(
+    f"round({s}_{var} - {lim}, 6) AS {s}_{var}_{rule}_dist_to_{int(lim)}"
+    for s in SERIES for var, rule, lim in (("temp", "hot", 60.0), ("temp", "calm", 42.0), ("peak", "gusty", 100.0))
+) + " FROM wide"
+
+
+def _corr(c: str, e: str) -> str:
+    x = f"CASE WHEN {c} IS NOT NULL AND {e} IS NOT NULL THEN {c} END"
+    y = f"CASE WHEN {c} IS NOT NULL AND {e} IS NOT NULL THEN {e}::DOUBLE END"
+    n, sx, sy = f"count({x})", f"sum({x})", f"sum({y})"
+    sxx, syy, sxy = f"sum(({x}) * ({x}))", f"sum(({y}) * ({y}))", f"sum(({x}) * ({y}))"
+    vx, vy = f"({n} * {sxx} - {sx} * {sx})", f"({n} * {syy} - {sy} * {sy})"
+    return f"round(abs(CASE WHEN {vx} > 0 AND {vy} > 0 THEN ({n} * {sxy} - {sx} * {sy}) / sqrt({vx} * {vy}) END), 6)"
+
+
+SQL["sensor_event_corr"] = with_(V_RESAMPLED) + "\n  UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", '{r}' AS event, {_corr(c, 'event_' + r)} AS abs_corr FROM wev"
+    for c in WIDE_COLS for r in _GRID_RULES_SQL)
+
+SQL["time_slices"] = with_(V_OBS) + """
+SELECT least(floor((epoch_us(ts) - epoch_us(t0))::DOUBLE * 8.0 / (epoch_us(t1) - epoch_us(t0))::DOUBLE), 7)::INT AS slice,
+       var, round(avg(value), 6) AS mean_value, count(*) AS n_rows, count(*) FILTER (WHERE value > 100) AS n_events
+FROM obs, (SELECT min(ts) AS t0, max(ts) AS t1 FROM obs) GROUP BY 1, 2"""
+
+SQL["robust_range"] = with_(V_OBS) + """
+SELECT var, round(quantile_cont(value, 0.05), 6) AS q05, round(quantile_cont(value, 0.95), 6) AS q95
+FROM obs GROUP BY var"""
+
+SQL["step_minutes"] = with_(V_OBS) + """
+SELECT series, round(coalesce(quantile_cont(gap, 0.5), 15.0), 6) AS step_minutes FROM (
+  SELECT series, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY series ORDER BY ts))) / 60000000.0 AS gap
+  FROM obs) GROUP BY series"""

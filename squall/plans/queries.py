@@ -27,7 +27,8 @@ def query(name: str):
 
 
 def r6(c):
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    """Round to 6 places (only where the two engines sum in other orders)."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
 
 
 # ---------------------------------------------------------------- events
@@ -202,3 +203,137 @@ def q_null_bands(spark, sf):
 def q_columns_below(spark, sf):
     """Columns kept at <= 80 % NULL and the band counts."""
     return rs.columns_by_null_threshold(_null_profile(spark, sf), 80.0)
+
+
+# ---------------------------------------------------------------- features
+from squall.functions.timecols import epoch_us, minutes_between  # noqa: E402
+from squall.operators import features as fe  # noqa: E402
+from squall.operators import stats as st  # noqa: E402
+
+OBS_KEYS = ["series", "var"]
+OBS_LAGS = fe.LAG_CONFIGS["short"]
+OBS_WINDOWS = [4, 12]
+
+
+@query("lag_features")
+def q_lag_features(spark, sf):
+    """Value 1, 2, 4, 8 readings earlier per (series, variable)."""
+    d = fe.temporal_features(V.obs(spark, sf), OBS_KEYS, "ts", ["value"], lags=OBS_LAGS)
+    return d.select(*OBS_KEYS, "ts", "value", *[f"value_lag{k}" for k in OBS_LAGS])
+
+
+@query("rolling_features")
+def q_rolling_features(spark, sf):
+    """W9 + W10: full-window rolling mean / sample std / min / max."""
+    stats = ["mean", "std", "min", "max"]
+    d = fe.temporal_features(V.obs(spark, sf), OBS_KEYS, "ts", ["value"], windows=OBS_WINDOWS, stats=stats)
+    cols = [f"value_roll{n}_{s}" for n in OBS_WINDOWS for s in stats]
+    return d.select(*OBS_KEYS, "ts", *[r6(c).alias(c) for c in cols])
+
+
+@query("diff_features")
+def q_diff_features(spark, sf):
+    """First and second differences."""
+    d = fe.temporal_features(V.obs(spark, sf), OBS_KEYS, "ts", ["value"], diffs=True)
+    return d.select(*OBS_KEYS, "ts", "value_diff1", "value_diff2")
+
+
+@query("future_target")
+def q_future_target(spark, sf):
+    """W15 + P8: target 4 readings ahead; rows with any missing feature or
+    target dropped — lags, rolls and lead built in one pass."""
+    o = V.obs(spark, sf).withColumn("target", (F.col("value") > F.lit(100.0)).cast("int"))
+    d = fe.temporal_features(o, OBS_KEYS, "ts", ["value"], lags=OBS_LAGS, windows=[4], stats=["mean"],
+                             leads={"target_h4": ("target", 4)})
+    feats = [f"value_lag{k}" for k in OBS_LAGS] + ["value_roll4_mean", "target_h4"]
+    d = fe.drop_incomplete(d, feats)
+    return d.select(*OBS_KEYS, "ts", "value", r6("value_roll4_mean").alias("value_roll4_mean"), "target_h4")
+
+
+@query("sequences")
+def q_sequences(spark, sf):
+    """The last 4 readings of each (series, variable) as one sample."""
+    L = 4
+    d = fe.temporal_features(V.obs(spark, sf), OBS_KEYS, "ts", ["value"], sequence=(["value"], L))
+    d = d.filter(F.col("seq").isNotNull())
+    return d.select(*OBS_KEYS, "ts", *[F.col("seq").getItem(i).getField("value").alias(f"seq_{i}") for i in range(L)])
+
+
+def _wide_events(spark, sf):
+    return _union_masks(spark, sf)
+
+
+@query("cross_series_stats")
+def q_cross_series_stats(spark, sf):
+    """Mean, sample std, range across series and deviations, per hour."""
+    w = V.wide(spark, sf)
+    for var in ("temp", "peak"):
+        w = fe.cross_series_stats(w, var, V.SERIES)
+    out = [c for c in w.columns if c.endswith(("_tower_mean", "_tower_std", "_tower_range", "_dev_from_mean"))]
+    return w.select("ts", *out)
+
+
+@query("cyclic_time")
+def q_cyclic_time(spark, sf):
+    """Calendar encodings of the wide timeline."""
+    w = fe.cyclic_time(V.wide(spark, sf).select("ts"), "ts")
+    return w.select("ts", *[r6(c).alias(c) for c in w.columns if c != "ts"])
+
+
+GRID_LIMITS = {"temp_hot": 60.0, "temp_calm": 42.0, "peak_gusty": 100.0}
+
+
+@query("threshold_distance")
+def q_threshold_distance(spark, sf):
+    """Distance of each series' reading to the limit of each rule."""
+    w = V.wide(spark, sf)
+    limits, suffix = {}, {}
+    for s in V.SERIES:
+        for key, lim in GRID_LIMITS.items():
+            var, rule = key.split("_")
+            c = f"{s}_{var}"
+            w = w.withColumn(f"{c}_{rule}", F.col(c))
+            limits[f"{c}_{rule}"] = lim
+            suffix[f"{c}_{rule}"] = f"{int(lim)}"
+    d = fe.threshold_distance(w, limits, suffix)
+    out = [c for c in d.columns if "_dist_to_" in c]
+    return d.select("ts", *[r6(c).alias(c) for c in out])
+
+
+@query("sensor_event_corr")
+def q_sensor_event_corr(spark, sf):
+    """|Pearson r| of every reading column with every event flag, one
+    aggregation pass (zero variance -> NULL instead of an error)."""
+    w = _wide_events(spark, sf)
+    parts, names = [], []
+    for c in WIDE_COLS:
+        for r in GRID_RULES:
+            p = f"{c}__{r.name}"
+            parts += st.pearson_parts(F.col(c), F.col(f"event_{r.name}").cast("double"), p)
+            names.append((c, r.name, p))
+    a = w.agg(*parts)
+    cols = [F.struct(F.lit(c).alias("column"), F.lit(e).alias("event"),
+                     F.round(F.abs(st.pearson_from_parts(p)), 6).alias("abs_corr")) for c, e, p in names]
+    return a.select(F.inline(F.array(*cols)))
+
+
+@query("time_slices")
+def q_time_slices(spark, sf):
+    """8 equal time spans; mean value, rows and events per variable
+    (the last slice is closed so the latest reading is kept)."""
+    o = V.obs(spark, sf)
+    return st.time_slices(o, "ts", "var", "value", 8, F.col("value") > F.lit(100.0))
+
+
+@query("robust_range")
+def q_robust_range(spark, sf):
+    """Exact 5 % and 95 % quantiles of each variable."""
+    q = st.exact_quantiles(V.obs(spark, sf), ["var"], "value", [0.05, 0.95], ["q05", "q95"])
+    return q.select("var", r6("q05").alias("q05"), r6("q95").alias("q95"))
+
+
+@query("step_minutes")
+def q_step_minutes(spark, sf):
+    """Median gap between consecutive readings per series, 15 when a
+    series has fewer than two readings."""
+    return st.step_minutes(V.obs(spark, sf), ["series"], "ts")
