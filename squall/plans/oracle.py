@@ -302,3 +302,101 @@ SQL["step_minutes"] = with_(V_OBS) + """
 SELECT series, round(coalesce(quantile_cont(gap, 0.5), 15.0), 6) AS step_minutes FROM (
   SELECT series, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY series ORDER BY ts))) / 60000000.0 AS gap
   FROM obs) GROUP BY series"""
+
+# ---------------------------------------------------------------- evaluation
+V_SCORED = """scored AS (SELECT l_returnflag = 'R' AS label, l_discount * 10 AS score, l_linestatus AS model,
+  l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)"""
+V_FOLDED = V_SCORED + """,
+folded AS (SELECT *, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS pos,
+                  count(*) OVER () AS n_rows FROM scored),
+folds AS (SELECT *, n_rows // 6 AS t,
+  CASE WHEN n_rows // 6 > 0 AND pos >= n_rows - 5 * (n_rows // 6)
+       THEN (pos - (n_rows - 5 * (n_rows // 6))) // (n_rows // 6) + 1 END AS test_fold FROM folded),
+foldsum AS (SELECT j AS fold,
+    count(*) FILTER (WHERE pos < n_rows - (5 - j + 1) * t) AS n_train,
+    count(*) FILTER (WHERE pos < n_rows - (5 - j + 1) * t AND label) AS train_positives,
+    count(*) FILTER (WHERE test_fold = j) AS n_test,
+    count(*) FILTER (WHERE test_fold = j AND label) AS test_positives,
+    min(pos) FILTER (WHERE test_fold = j) AS test_start
+  FROM folds, range(1, 6) r(j) GROUP BY j)"""
+
+SQL["ts_folds"] = with_(V_FOLDED) + "SELECT fold::INT AS fold, n_train, train_positives, n_test, test_positives, test_start FROM foldsum"
+
+SQL["holdout_split"] = with_(V_FOLDED) + """
+SELECT CASE WHEN pos < floor(n_rows * 0.8) THEN 'train' ELSE 'test' END AS split, count(*) AS n_rows,
+       count(*) FILTER (WHERE label) AS n_pos, min(l_shipdate) AS first_ts, max(l_shipdate) AS last_ts
+FROM folded GROUP BY 1"""
+
+SQL["class_weights"] = with_(V_FOLDED) + """
+SELECT fold::INT AS fold, n_train, train_positives,
+  round(CASE WHEN train_positives > 0 THEN n_train::DOUBLE / (2.0 * train_positives::DOUBLE) ELSE 1.0 END, 6) + 0.0 AS w_pos_balanced,
+  round(CASE WHEN n_train - train_positives > 0 THEN n_train::DOUBLE / (2.0 * (n_train - train_positives)::DOUBLE) ELSE 1.0 END, 6) + 0.0 AS w_neg_balanced,
+  round(CASE WHEN train_positives > 0 THEN pow((n_train - train_positives)::DOUBLE / train_positives::DOUBLE, 0.75) ELSE 1.0 END, 6) + 0.0 AS w_pos_pow75
+FROM foldsum"""
+
+
+def metrics_sql(src: str, keys: str) -> str:
+    """Ten metrics from cells tp, fp, fn, tn (same formula order as Spark)."""
+    TP, FP, FN, TN = "tp::DOUBLE", "fp::DOUBLE", "fn::DOUBLE", "tn::DOUBLE"
+    n = f"({TP} + {FP} + {FN} + {TN})"
+
+    def ratio(a, b):
+        return f"(CASE WHEN ({b}) <> 0 THEN ({a}) / ({b}) ELSE 0.0 END)"
+    prec, rec, spec = ratio(TP, f"{TP} + {FP}"), ratio(TP, f"{TP} + {FN}"), ratio(TN, f"{TN} + {FP}")
+    f1 = ratio(f"2.0 * {prec} * {rec}", f"{prec} + {rec}")
+    mcc = ratio(f"{TP} * {TN} - {FP} * {FN}", f"sqrt(({TP} + {FP}) * ({TP} + {FN}) * ({TN} + {FP}) * ({TN} + {FN}))")
+    po = ratio(f"{TP} + {TN}", n)
+    pe = ratio(f"({TP} + {FP}) * ({TP} + {FN}) + ({FN} + {TN}) * ({FP} + {TN})", f"{n} * {n}")
+    kappa = ratio(f"{po} - {pe}", f"1.0 - {pe}")
+    return (f"SELECT {keys}, tp, fp, fn, tn, {n}::BIGINT AS n_samples, {ratio(f'{TP} + {FN}', n)} AS event_rate, "
+            f"{po} AS accuracy, ({rec} + {spec}) / 2.0 AS balanced_accuracy, {prec} AS precision, {rec} AS recall, "
+            f"{f1} AS f1, {spec} AS specificity, {mcc} AS mcc, {kappa} AS kappa FROM {src}")
+
+
+SQL["confusion_metrics"] = with_(V_SCORED, """cells AS (SELECT model,
+    count(*) FILTER (WHERE label AND score >= 0.5::DOUBLE) AS tp, count(*) FILTER (WHERE NOT label AND score >= 0.5::DOUBLE) AS fp,
+    count(*) FILTER (WHERE label AND NOT score >= 0.5::DOUBLE) AS fn, count(*) FILTER (WHERE NOT label AND NOT score >= 0.5::DOUBLE) AS tn
+  FROM scored GROUP BY model)""", "m AS (" + metrics_sql("cells", "model") + ")") + """
+SELECT *, CASE WHEN tn + fp <> 0 THEN 100.0 * tn::DOUBLE / (tn::DOUBLE + fp::DOUBLE) ELSE 0.0 END AS tn_pct,
+  CASE WHEN tn + fp <> 0 THEN 100.0 * fp::DOUBLE / (tn::DOUBLE + fp::DOUBLE) ELSE 0.0 END AS fp_pct,
+  CASE WHEN fn + tp <> 0 THEN 100.0 * fn::DOUBLE / (fn::DOUBLE + tp::DOUBLE) ELSE 0.0 END AS fn_pct,
+  CASE WHEN fn + tp <> 0 THEN 100.0 * tp::DOUBLE / (fn::DOUBLE + tp::DOUBLE) ELSE 0.0 END AS tp_pct
+FROM m"""
+
+V_SCORETAB = V_SCORED + """,
+sv AS (SELECT model, score, count(*) AS n, sum(label::INT) AS ps FROM scored GROUP BY 1, 2),
+stab AS (SELECT model, score, n, ps,
+   coalesce(sum(n) OVER (PARTITION BY model ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n_lt,
+   coalesce(sum(ps) OVER (PARTITION BY model ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ps_lt,
+   sum(n) OVER (PARTITION BY model) AS n_tot, sum(ps) OVER (PARTITION BY model) AS p_tot FROM sv)"""
+
+SQL["roc_auc"] = with_(V_SCORETAB) + """
+SELECT model, round((sum(ps * (n_lt + (n + 1.0) / 2.0)) - max(p_tot) * (max(p_tot) + 1.0) / 2.0)
+                    / (max(p_tot) * (max(n_tot) - max(p_tot))), 6) + 0.0 AS roc_auc
+FROM stab GROUP BY model"""
+
+SQL["average_precision"] = with_(V_SCORETAB) + """
+SELECT model, round(sum((ps::DOUBLE / p_tot) * ((p_tot - ps_lt)::DOUBLE / (n_tot - n_lt))), 6) + 0.0 AS average_precision
+FROM stab GROUP BY model"""
+
+SQL["best_threshold_f1"] = with_(V_SCORETAB) + """,
+f AS (SELECT model, score AS threshold, (p_tot - ps_lt) AS tp, (n_tot - n_lt) - (p_tot - ps_lt) AS fp,
+        p_tot - (p_tot - ps_lt) AS fn, n_tot - (n_tot - n_lt) - (p_tot - (p_tot - ps_lt)) AS tn,
+        CASE WHEN n_tot - n_lt <> 0 THEN (p_tot - ps_lt)::DOUBLE / (n_tot - n_lt) ELSE 0.0 END AS p,
+        CASE WHEN p_tot > 0 THEN (p_tot - ps_lt)::DOUBLE / p_tot ELSE 1.0 END AS r FROM stab),
+g AS (SELECT *, 2.0 * p * r / (p + r + 1e-10) AS f1 FROM f),
+b AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY f1 DESC, threshold ASC) AS rn FROM g)
+SELECT model, threshold, round(f1, 6) + 0.0 AS f1, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn
+FROM b WHERE rn = 1"""
+
+_F2 = [0.1 + i * 0.05 for i in range(10)]
+SQL["best_threshold_f2"] = with_(V_SCORED, "grid AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, {t!r}::DOUBLE)" for i, t in enumerate(_F2)) + ") g(i, t))", """c AS (
+  SELECT model, i, t, count(*) FILTER (WHERE label AND score >= t)::DOUBLE AS tp,
+         count(*) FILTER (WHERE NOT label AND score >= t)::DOUBLE AS fp,
+         count(*) FILTER (WHERE label AND NOT score >= t)::DOUBLE AS fn
+  FROM scored, grid GROUP BY model, i, t)""", """fb AS (SELECT model, i, t,
+  CASE WHEN tp + fp <> 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn <> 0 THEN tp / (tp + fn) ELSE 0.0 END AS r FROM c)""",
+    """s AS (SELECT model, i, t, CASE WHEN 4.0 * p + r <> 0 THEN (1.0 + 4.0) * p * r / (4.0 * p + r) ELSE 0.0 END AS f FROM fb)""",
+    "b AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY f DESC, i ASC) AS rn FROM s)") + """
+SELECT model, CASE WHEN f > 0 THEN t ELSE 0.3 END AS threshold, round(greatest(f, 0.0), 6) + 0.0 AS fbeta FROM b WHERE rn = 1"""

@@ -337,3 +337,95 @@ def q_step_minutes(spark, sf):
     """Median gap between consecutive readings per series, 15 when a
     series has fewer than two readings."""
     return st.step_minutes(V.obs(spark, sf), ["series"], "ts")
+
+
+# ---------------------------------------------------------------- evaluation
+from squall.operators import evaluate as evl  # noqa: E402
+
+K_FOLDS = 5
+F2_GRID = [0.1 + i * 0.05 for i in range(10)]   # numpy.arange(0.1, 0.6, 0.05)
+
+
+def _folded(spark, sf):
+    return evl.assign_folds(V.scored(spark, sf), V.SCORED_ORDER, "l_shipdate", K_FOLDS)
+
+
+@query("ts_folds")
+def q_ts_folds(spark, sf):
+    """Expanding-window folds over the time-ordered validation rows."""
+    d = _folded(spark, sf)
+    n = F.col("n_rows")
+    aggs = []
+    for j in range(1, K_FOLDS + 1):
+        lo, _hi = evl.fold_bounds(n, K_FOLDS, j)
+        aggs += [F.count(F.when(F.col("_pos") < lo, 1)).alias(f"tr{j}"),
+                 F.count(F.when((F.col("_pos") < lo) & F.col("label"), 1)).alias(f"trp{j}"),
+                 F.count(F.when(F.col("test_fold") == j, 1)).alias(f"te{j}"),
+                 F.count(F.when((F.col("test_fold") == j) & F.col("label"), 1)).alias(f"tep{j}"),
+                 F.min(F.when(F.col("test_fold") == j, F.col("_pos"))).alias(f"ts{j}")]
+    a = d.agg(*aggs)
+    rows = [F.struct(F.lit(j).alias("fold"), F.col(f"tr{j}").alias("n_train"), F.col(f"trp{j}").alias("train_positives"),
+                     F.col(f"te{j}").alias("n_test"), F.col(f"tep{j}").alias("test_positives"),
+                     F.col(f"ts{j}").alias("test_start")) for j in range(1, K_FOLDS + 1)]
+    return a.select(F.inline(F.array(*rows)))
+
+
+@query("holdout_split")
+def q_holdout_split(spark, sf):
+    """The first floor(0.8 n) rows in time order train, the rest test."""
+    d = _folded(spark, sf)
+    split = F.when(F.col("_pos") < F.floor(F.col("n_rows") * F.lit(0.8)), F.lit("train")).otherwise(F.lit("test"))
+    return d.groupBy(split.alias("split")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("label"), 1)).alias("n_pos"),
+        F.min("l_shipdate").alias("first_ts"), F.max("l_shipdate").alias("last_ts"))
+
+
+@query("class_weights")
+def q_class_weights(spark, sf):
+    """M1 + M2: balanced and power-0.75 class weights of each fold's
+    training rows."""
+    folds = q_ts_folds(spark, sf)
+    wp, wn = evl.class_weight_balanced(F.col("n_train"), F.col("train_positives"))
+    return folds.select("fold", "n_train", "train_positives", r6(wp).alias("w_pos_balanced"),
+                        r6(wn).alias("w_neg_balanced"),
+                        r6(evl.class_weight_power(F.col("n_train"), F.col("train_positives"))).alias("w_pos_pow75"))
+
+
+def _scores(spark, sf):
+    return evl.score_table(V.scored(spark, sf), ["model"], "score", "label")
+
+
+@query("confusion_metrics")
+def q_confusion_metrics(spark, sf):
+    """M7 + A35: cells, ten metrics and row shares at threshold 0.5."""
+    s = V.scored(spark, sf)
+    cells = evl.confusion_cells(s, ["model"], "label", F.col("score") >= F.lit(0.5))
+    m = evl.confusion_shares(evl.metrics_from_cells(cells))
+    return m
+
+
+@query("roc_auc")
+def q_roc_auc(spark, sf):
+    """M8: exact ROC AUC per model (ties get average ranks)."""
+    return evl.roc_auc(_scores(spark, sf), ["model"]).select("model", r6("roc_auc").alias("roc_auc"))
+
+
+@query("average_precision")
+def q_average_precision(spark, sf):
+    """M9: average precision per model."""
+    a = evl.average_precision(_scores(spark, sf), ["model"])
+    return a.select("model", r6("average_precision").alias("average_precision"))
+
+
+@query("best_threshold_f1")
+def q_best_threshold_f1(spark, sf):
+    """M5: best-F1 threshold over all distinct scores, lowest on ties."""
+    b = evl.best_threshold_f1(_scores(spark, sf), ["model"])
+    return b.select("model", "threshold", r6("f1").alias("f1"), "tp", "fp", "fn", "tn")
+
+
+@query("best_threshold_f2")
+def q_best_threshold_f2(spark, sf):
+    """M6: F2 over the fixed grid 0.10 .. 0.55, first strict improvement."""
+    b = evl.best_threshold_fbeta(V.scored(spark, sf), ["model"], "score", "label", F2_GRID, 2.0, 0.3)
+    return b.select("model", "threshold", r6("fbeta").alias("fbeta"))
