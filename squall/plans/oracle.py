@@ -400,3 +400,155 @@ SQL["best_threshold_f2"] = with_(V_SCORED, "grid AS (SELECT * FROM (VALUES " + "
     """s AS (SELECT model, i, t, CASE WHEN 4.0 * p + r <> 0 THEN (1.0 + 4.0) * p * r / (4.0 * p + r) ELSE 0.0 END AS f FROM fb)""",
     "b AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY f DESC, i ASC) AS rn FROM s)") + """
 SELECT model, CASE WHEN f > 0 THEN t ELSE 0.3 END AS threshold, round(greatest(f, 0.0), 6) + 0.0 AS fbeta FROM b WHERE rn = 1"""
+
+# ---------------------------------------------------------------- reports
+HORIZONS = ["1hr", "3hr", "6hr", "12hr", "24hr", "48hr", "96hr"]
+_HARR = "[" + ", ".join(f"'{h}'" for h in HORIZONS) + "]"
+_METRICS = ["accuracy", "balanced_accuracy", "precision", "recall", "f1", "specificity", "mcc", "kappa", "auc_roc"]
+_CELLS = {"tp": "true_positives", "tn": "true_negatives", "fp": "false_positives", "fn": "false_negatives"}
+_MLIST = ", ".join(f"'{m}'" for m in _METRICS)
+_CLIST = ", ".join(f"'{m}'" for m in _CELLS.values())
+
+
+def R(expr: str, name: str) -> str:
+    return f"round({expr}, 6) + 0.0 AS {name}"
+
+
+V_RESULTS = with_(f"""rcells AS (SELECT {_HARR}[l_linenumber] AS horizon, 'event_' || l_returnflag AS event,
+    CASE WHEN l_linestatus = 'F' THEN 'lightgbm' ELSE 'xgboost' END AS model,
+    CASE WHEN l_orderkey % 2 = 0 THEN 'cv' ELSE 'test' END AS split,
+    count(*) FILTER (WHERE l_quantity > 25 AND l_extendedprice > 40000) AS tp,
+    count(*) FILTER (WHERE NOT l_quantity > 25 AND l_extendedprice > 40000) AS fp,
+    count(*) FILTER (WHERE l_quantity > 25 AND NOT l_extendedprice > 40000) AS fn,
+    count(*) FILTER (WHERE NOT l_quantity > 25 AND NOT l_extendedprice > 40000) AS tn
+  FROM lineitem GROUP BY 1, 2, 3, 4)""", "results AS (" + metrics_sql("rcells", "horizon, event, model, split") + ")",
+    """rr AS (SELECT *, balanced_accuracy AS auc_roc,
+    CASE WHEN fp::DOUBLE + tn::DOUBLE <> 0 THEN fp::DOUBLE / (fp::DOUBLE + tn::DOUBLE) ELSE 0.0 END AS fpr,
+    CASE WHEN fn::DOUBLE + tp::DOUBLE <> 0 THEN fn::DOUBLE / (fn::DOUBLE + tp::DOUBLE) ELSE 0.0 END AS fnr FROM results)""",
+    "rlong AS (SELECT * FROM (UNPIVOT (SELECT horizon, event, model, split, " + ", ".join(_METRICS) + ", " +
+    ", ".join(f"{c}::DOUBLE AS {n}" for c, n in _CELLS.items()) + " FROM rr) ON " + ", ".join(_METRICS + list(_CELLS.values())) +
+    " INTO NAME metric VALUE value))",
+    f"""summ AS (SELECT horizon, event, model, metric, avg(value) AS mean,
+    CASE WHEN metric IN ({_CLIST}) THEN NULL ELSE stddev_pop(value) END AS std, count(*) AS n_folds
+  FROM rlong GROUP BY 1, 2, 3, 4)""",
+    f"means AS (SELECT * FROM summ WHERE metric IN ({_MLIST}))",
+    """ht AS (SELECT horizon, event, model,
+    max(auc_roc) FILTER (WHERE split = 'cv') AS cv_auc, max(f1) FILTER (WHERE split = 'cv') AS cv_f1,
+    max(mcc) FILTER (WHERE split = 'cv') AS cv_mcc, max(auc_roc) FILTER (WHERE split = 'test') AS test_auc,
+    max(f1) FILTER (WHERE split = 'test') AS test_f1, max(mcc) FILTER (WHERE split = 'test') AS test_mcc,
+    max(precision) FILTER (WHERE split = 'test') AS precision, max(recall) FILTER (WHERE split = 'test') AS recall,
+    max(fpr) FILTER (WHERE split = 'test') AS fpr, max(fnr) FILTER (WHERE split = 'test') AS fnr
+  FROM rr GROUP BY 1, 2, 3)""",
+    f"""hs AS (SELECT horizon, avg(test_auc) AS auc_mean, stddev_samp(test_auc) AS auc_std,
+    avg(test_f1) AS f1_mean, stddev_samp(test_f1) AS f1_std, avg(test_mcc) AS mcc_mean, stddev_samp(test_mcc) AS mcc_std,
+    list_position({_HARR}, horizon)::INT AS horizon_order FROM ht GROUP BY horizon)""")
+
+SQL["fold_summary"] = V_RESULTS + f"SELECT horizon, event, model, metric, {R('mean', 'mean')}, {R('std', 'std')}, n_folds FROM summ"
+
+
+def _best_by(group: str, label: str) -> str:
+    return V_RESULTS + f"""
+SELECT b.{group}, b.model, b.metric, {R('b.mean', 'best_value')}, b.{label} AS best_{label},
+       {R('s.avg_value', 'avg_value')}, {R('s.std_value', 'std_value')}, s.n_{label}
+FROM (SELECT *, row_number() OVER (PARTITION BY {group}, model, metric ORDER BY mean DESC, {label} ASC) AS rn FROM means) b
+JOIN (SELECT {group}, model, metric, avg(mean) AS avg_value, stddev_samp(mean) AS std_value,
+             count(DISTINCT {label}) AS n_{label} FROM means GROUP BY 1, 2, 3) s USING ({group}, model, metric)
+WHERE rn = 1"""
+
+
+SQL["best_by_event"] = _best_by("event", "horizon")
+SQL["best_by_series"] = _best_by("horizon", "event")
+
+SQL["best_model_per_pair"] = V_RESULTS + f"""
+SELECT horizon, event, {R('a', 'lightgbm_auc_roc')}, {R('b', 'xgboost_auc_roc')},
+       CASE WHEN a >= b THEN 'lightgbm' ELSE 'xgboost' END AS best_model, {R('greatest(a, b)', 'best_value')}
+FROM (SELECT horizon, event, coalesce(max(mean) FILTER (WHERE model = 'lightgbm'), 0.0) AS a,
+             coalesce(max(mean) FILTER (WHERE model = 'xgboost'), 0.0) AS b
+      FROM means WHERE metric = 'auc_roc' GROUP BY 1, 2)"""
+
+SQL["rank_experiments"] = V_RESULTS + f"""
+SELECT model, horizon, event, {R('mean', 'value')},
+       row_number() OVER (PARTITION BY model ORDER BY mean DESC, horizon ASC, event ASC) AS rank
+FROM means WHERE metric = 'auc_roc'"""
+
+SQL["overall_stats"] = V_RESULTS + f"""
+SELECT model, metric, {R('avg(mean)', 'mean')}, {R('stddev_samp(mean)', 'std')}, {R('min(mean)', 'min')},
+       {R('max(mean)', 'max')} FROM means GROUP BY 1, 2"""
+
+SQL["search_summary"] = V_RESULTS + f"""
+SELECT event, {R('avg(best)', 'mean')}, {R('stddev_samp(best)', 'std')}, {R('max(best)', 'max')}, count(*) AS n_experiments
+FROM (SELECT horizon, event, max(mean) AS best FROM means WHERE metric = 'mcc' GROUP BY 1, 2) GROUP BY event"""
+
+SQL["horizon_stats"] = V_RESULTS + "SELECT horizon, " + ", ".join(
+    R(f"{m}_{n}", f"{m}_{n}") for m in ("auc", "f1", "mcc") for n in ("mean", "std")) + ", horizon_order FROM hs"
+
+SQL["degradation"] = V_RESULTS + "SELECT h.horizon, h.horizon_order, " + ", ".join(
+    R(f"CASE WHEN b.{m}_mean <> 0 THEN (b.{m}_mean - h.{m}_mean) / b.{m}_mean * 100.0 END", f"{m}_drop_pct")
+    for m in ("auc", "f1", "mcc")) + " FROM hs h, (SELECT * FROM hs WHERE horizon = '1hr') b"
+
+SQL["overfit_gap"] = V_RESULTS + """, gaps AS (SELECT horizon, model, cv_auc - test_auc AS auc_gap,
+    cv_f1 - test_f1 AS f1_gap, cv_mcc - test_mcc AS mcc_gap FROM ht)
+SELECT CASE WHEN horizon IS NOT NULL THEN 'horizon' ELSE 'model' END AS level, horizon, model, """ + ", ".join(
+    R(f"{f}({m}_gap)", f"{m}_gap_{n}") for m in ("auc", "f1", "mcc") for n, f in (("mean", "avg"), ("std", "stddev_samp"))
+) + " FROM gaps GROUP BY GROUPING SETS ((horizon), (model))"
+
+SQL["error_profile"] = V_RESULTS + """
+SELECT CASE WHEN horizon IS NOT NULL THEN 'horizon' ELSE 'event' END AS level, horizon, event, """ + ", ".join([
+    R("avg(fpr)", "fpr_mean"), R("CASE WHEN horizon IS NOT NULL THEN stddev_samp(fpr) END", "fpr_std"),
+    R("avg(fnr)", "fnr_mean"), R("CASE WHEN horizon IS NOT NULL THEN stddev_samp(fnr) END", "fnr_std"),
+    R("CASE WHEN horizon IS NOT NULL AND avg(fnr) > 0 THEN avg(fpr) / avg(fnr) END", "fpr_fnr_ratio"),
+    R("CASE WHEN horizon IS NULL THEN avg(precision) END", "precision_mean"),
+    R("CASE WHEN horizon IS NULL THEN avg(recall) END", "recall_mean")]) + \
+    " FROM ht GROUP BY GROUPING SETS ((horizon), (event))"
+
+SQL["pr_balance"] = V_RESULTS + f"""
+SELECT horizon, {R('p', 'precision_mean')}, {R('r', 'recall_mean')}, {R('f', 'f1_mean')}, {R('abs(p - r)', 'balance')},
+       abs(p - r) < 0.1 AS balanced
+FROM (SELECT horizon, avg(precision) AS p, avg(recall) AS r, avg(test_f1) AS f FROM ht GROUP BY horizon)"""
+
+SQL["horizon_gate"] = V_RESULTS + f""", g AS (SELECT *, auc_mean > 0.90 AND f1_mean > 0.50 AND mcc_mean > 0.50 AS passes FROM hs)
+SELECT horizon, horizon_order, {R('auc_mean', 'auc_mean')}, {R('f1_mean', 'f1_mean')}, {R('mcc_mean', 'mcc_mean')}, passes,
+       (SELECT arg_max(horizon, horizon_order) FROM g WHERE passes) AS cutoff FROM g"""
+
+SQL["reliability"] = V_RESULTS + f""", e AS (SELECT event, avg(test_f1) AS avg_f1, avg(test_auc) AS avg_auc FROM ht GROUP BY event),
+m AS (SELECT avg(test_f1) FILTER (WHERE model = 'lightgbm') AS a, avg(test_f1) FILTER (WHERE model = 'xgboost') AS b FROM ht)
+SELECT event, {R('avg_f1', 'avg_f1')}, {R('avg_auc', 'avg_auc')},
+  CASE WHEN avg_f1 > 0.7 THEN 'EXCELLENT' WHEN avg_f1 > 0.5 THEN 'GOOD' WHEN avg_f1 > 0.3 THEN 'MODERATE' ELSE 'POOR' END AS reliability,
+  row_number() OVER (ORDER BY avg_f1 DESC, event ASC) AS f1_rank,
+  {R('CASE WHEN b <> 0 THEN (a - b) / b * 100.0 END', 'lightgbm_f1_advantage_pct')}
+FROM e, m"""
+
+SQL["score_matrix"] = V_RESULTS + "SELECT model, event, " + ", ".join(
+    R(f"avg(test_f1) FILTER (WHERE horizon = '{h}')", f"f1_{h}") for h in HORIZONS) + " FROM ht GROUP BY 1, 2"
+
+
+def _t_p_sql(t: str, df: str) -> str:
+    """Two-sided Student-t p-value by the same finite series as the engine."""
+    th = f"atan(abs({t}) / sqrt({df}::DOUBLE))"
+    c2 = f"(cos({th}) * cos({th}))"
+    even_terms = (f"list_transform(range(0, (({df}) - 2) // 2 + 1), lambda k: "
+                  f"exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - k * ln(4.0)) * pow({c2}, k))")
+    odd_terms = (f"list_transform(range(0, (({df}) - 3) // 2 + 1), lambda k: "
+                 f"exp(2 * k * ln(2.0) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * pow({c2}, k))")
+    even = f"sin({th}) * list_sum({even_terms})"
+    odd = f"2.0 / pi() * ({th} + sin({th}) * cos({th}) * coalesce(list_sum({odd_terms}), 0.0))"
+    return f"(1.0 - CASE WHEN ({df}) % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+SQL["paired_t"] = V_RESULTS + """, pairs AS (
+  SELECT horizon, event,
+    max(test_auc) FILTER (WHERE model = 'lightgbm') AS a_auc, max(test_auc) FILTER (WHERE model = 'xgboost') AS b_auc,
+    max(test_f1) FILTER (WHERE model = 'lightgbm') AS a_f1, max(test_f1) FILTER (WHERE model = 'xgboost') AS b_f1,
+    max(test_mcc) FILTER (WHERE model = 'lightgbm') AS a_mcc, max(test_mcc) FILTER (WHERE model = 'xgboost') AS b_mcc
+  FROM ht GROUP BY 1, 2
+  HAVING count(*) FILTER (WHERE model = 'lightgbm') = 1 AND count(*) FILTER (WHERE model = 'xgboost') = 1),
+lp AS (SELECT 'test_auc' AS metric, a_auc AS a, b_auc AS b FROM pairs UNION ALL SELECT 'test_f1', a_f1, b_f1 FROM pairs
+       UNION ALL SELECT 'test_mcc', a_mcc, b_mcc FROM pairs),
+g AS (SELECT metric, count(*) AS n_pairs, avg(a) AS am, avg(b) AS bm, avg(a - b) AS mean_diff, stddev_samp(a - b) AS sd
+      FROM lp GROUP BY metric HAVING count(*) > 1),
+t AS (SELECT *, CASE WHEN sd > 0 THEN mean_diff / (sd / sqrt(n_pairs::DOUBLE)) END AS t_stat FROM g),
+p AS (SELECT *, """ + _t_p_sql("t_stat", "(n_pairs - 1)") + """ AS p_value FROM t)
+SELECT metric, n_pairs, """ + ", ".join([R("am", "lightgbm_mean"), R("bm", "xgboost_mean"), R("mean_diff", "mean_diff"),
+                                         R("t_stat", "t_stat"), R("p_value", "p_value")]) + """,
+  CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*' ELSE 'ns' END AS significance
+FROM p"""

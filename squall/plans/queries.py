@@ -429,3 +429,136 @@ def q_best_threshold_f2(spark, sf):
     """M6: F2 over the fixed grid 0.10 .. 0.55, first strict improvement."""
     b = evl.best_threshold_fbeta(V.scored(spark, sf), ["model"], "score", "label", F2_GRID, 2.0, 0.3)
     return b.select("model", "threshold", r6("fbeta").alias("fbeta"))
+
+
+# ---------------------------------------------------------------- reports
+from squall.operators import report as rp  # noqa: E402
+
+EXP_KEYS = ["horizon", "event", "model"]
+MODEL_NAMES = ["lightgbm", "xgboost"]
+
+
+def _summary(spark, sf):
+    long = rp.long_metrics(rp.with_rates(V.results(spark, sf)), [*EXP_KEYS, "split"])
+    return rp.fold_summary(long, EXP_KEYS)
+
+
+def _r6all(df, skip=()):
+    return df.select(*[r6(c).alias(c) if t == "double" and c not in skip else F.col(c) for c, t in df.dtypes])
+
+
+@query("fold_summary")
+def q_fold_summary(spark, sf):
+    """A5: mean and population std of each metric over the folds (CV and
+    test halves) per experiment; cells get the mean."""
+    return _r6all(_summary(spark, sf))
+
+
+def _means(spark, sf):
+    return _summary(spark, sf).filter(F.col("metric").isin(*rp.METRICS))
+
+
+@query("best_by_event")
+def q_best_by_event(spark, sf):
+    """A6 + A7 + A10: per event and model, best horizon per metric, mean
+    and sample std across horizons."""
+    return _r6all(rp.best_by_group(_means(spark, sf), "event", "horizon"))
+
+
+@query("best_by_series")
+def q_best_by_series(spark, sf):
+    """A6 + A7: per series (horizon) and model, best event per metric."""
+    return _r6all(rp.best_by_group(_means(spark, sf), "horizon", "event"))
+
+
+def _auc_means(spark, sf):
+    return _means(spark, sf).filter(F.col("metric") == "auc_roc")
+
+
+@query("best_model_per_pair")
+def q_best_model_per_pair(spark, sf):
+    """Larger mean AUC wins per (horizon, event); tie -> first model."""
+    return _r6all(rp.best_model_per_pair(_auc_means(spark, sf), ["horizon", "event"], MODEL_NAMES))
+
+
+@query("rank_experiments")
+def q_rank_experiments(spark, sf):
+    """Every (horizon, event) ranked by mean AUC per model."""
+    return _r6all(rp.rank_experiments(_auc_means(spark, sf), ["horizon", "event"]))
+
+
+@query("overall_stats")
+def q_overall_stats(spark, sf):
+    """Mean, sample std, min, max per model and metric."""
+    return _r6all(rp.overall_stats(_means(spark, sf)))
+
+
+@query("search_summary")
+def q_search_summary(spark, sf):
+    """Best (over models) mean MCC per experiment, summarised per event."""
+    m = _means(spark, sf).filter(F.col("metric") == "mcc").groupBy("horizon", "event").agg(F.max("mean").alias("best"))
+    g = m.groupBy("event").agg(F.avg("best").alias("mean"), F.stddev_samp("best").alias("std"),
+                               F.max("best").alias("max"), F.count(F.lit(1)).alias("n_experiments"))
+    return _r6all(g)
+
+
+def _ht(spark, sf):
+    return rp.horizon_table(V.results(spark, sf), "horizon", "event", "model", "split")
+
+
+def _hstats(spark, sf):
+    return rp.horizon_stats(_ht(spark, sf), V.HORIZONS)
+
+
+@query("horizon_stats")
+def q_horizon_stats(spark, sf):
+    """Mean and std of test AUC/F1/MCC per horizon (fixed order)."""
+    return _r6all(_hstats(spark, sf))
+
+
+@query("degradation")
+def q_degradation(spark, sf):
+    """% drop of each horizon's means against the 1hr baseline."""
+    return _r6all(rp.degradation(_hstats(spark, sf), V.HORIZONS[0]))
+
+
+@query("overfit_gap")
+def q_overfit_gap(spark, sf):
+    """CV minus test gaps by horizon and by model (grouping sets)."""
+    return _r6all(rp.overfit_gap(_ht(spark, sf)))
+
+
+@query("error_profile")
+def q_error_profile(spark, sf):
+    """False-alarm and miss rates by horizon and by event."""
+    return _r6all(rp.error_profile(_ht(spark, sf)))
+
+
+@query("pr_balance")
+def q_pr_balance(spark, sf):
+    """Precision-recall balance per horizon."""
+    return _r6all(rp.pr_balance(_ht(spark, sf)))
+
+
+@query("horizon_gate")
+def q_horizon_gate(spark, sf):
+    """Horizons meeting AUC > .90, F1 > .50, MCC > .50 and the cutoff."""
+    return _r6all(rp.horizon_gate(_hstats(spark, sf)))
+
+
+@query("reliability")
+def q_reliability(spark, sf):
+    """Reliability band per event and the model advantage."""
+    return _r6all(rp.reliability(_ht(spark, sf), MODEL_NAMES))
+
+
+@query("score_matrix")
+def q_score_matrix(spark, sf):
+    """Mean test F1 per model x event, one column per horizon."""
+    return _r6all(rp.score_matrix(_ht(spark, sf), V.HORIZONS))
+
+
+@query("paired_t")
+def q_paired_t(spark, sf):
+    """M14 + J3: paired t-test lightgbm vs xgboost on test AUC/F1/MCC."""
+    return _r6all(rp.paired_t(_ht(spark, sf), ["horizon", "event"], MODEL_NAMES, ["test_auc", "test_f1", "test_mcc"]))
