@@ -552,3 +552,230 @@ SELECT metric, n_pairs, """ + ", ".join([R("am", "lightgbm_mean"), R("bm", "xgbo
                                          R("t_stat", "t_stat"), R("p_value", "p_value")]) + """,
   CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*' ELSE 'ns' END AS significance
 FROM p"""
+
+# ---------------------------------------------------------------- importance / stations / raster
+import math as _m  # noqa: E402
+
+V_IMP = """imp AS (SELECT replace(p_name, ' ', '_') || '_' || lpad(p_size::VARCHAR, 3, '0') || 'm' ||
+   CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 3 = 1 THEN '_lag' || ((p_size % 24) + 1)::VARCHAR
+        ELSE '_roll' || ((p_size % 24) + 1)::VARCHAR || '_mean' END AS feature,
+   p_brand AS tower, p_type AS event, p_retailprice AS importance FROM part)"""
+
+SQL["global_importance"] = with_(V_IMP) + f"""
+SELECT feature, {R('avg(importance)', 'mean')}, {R('stddev_samp(importance)', 'std')}, {R('min(importance)', 'min')},
+       {R('max(importance)', 'max')}, count(*) AS count FROM imp GROUP BY feature"""
+
+SQL["importance_by_event"] = with_(V_IMP) + f"""
+SELECT event, feature, {R('mean_importance', 'mean_importance')}, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY event ORDER BY mean_importance DESC, feature ASC) AS rank
+  FROM (SELECT event, feature, avg(importance) AS mean_importance FROM imp GROUP BY 1, 2)) WHERE rank <= 10"""
+
+SQL["category_importance"] = with_(V_IMP, """c AS (SELECT *, regexp_split_to_array(feature, '_[0-9]+m|_lag|_roll')[1] AS category FROM imp)""",
+                                   """tot AS (SELECT category, sum(importance) AS total_importance, avg(importance) AS mean_importance,
+     count(*) AS n_features FROM c GROUP BY 1)""",
+                                   """rk AS (SELECT *, row_number() OVER (ORDER BY total_importance DESC, category ASC) AS category_rank FROM tot)""") + f"""
+SELECT x.category, x.event, {R('x.cell_importance', 'cell_importance')}, {R('rk.total_importance', 'total_importance')},
+       {R('rk.mean_importance', 'mean_importance')}, rk.n_features, rk.category_rank
+FROM (SELECT category, event, sum(importance) AS cell_importance FROM c GROUP BY 1, 2) x
+JOIN rk ON x.category = rk.category WHERE rk.category_rank <= 15"""
+
+SQL["family_share"] = with_(V_IMP) + f"""
+SELECT CASE WHEN contains(feature, '_lag') THEN 'Lag' WHEN contains(feature, '_roll') THEN 'Rolling' ELSE 'Raw' END AS family,
+       {R('avg(importance)', 'mean_importance')}, {R('sum(importance)', 'sum_importance')}, count(*) AS n_features
+FROM imp GROUP BY 1"""
+
+_EVENTS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+_cells = [f"coalesce(avg(importance) FILTER (WHERE event = '{e}'), 0.0)" for e in _EVENTS]
+SQL["importance_matrix"] = with_(V_IMP) + "SELECT feature, " + ", ".join(f"imp_{e}" for e in _EVENTS) + \
+    ", row_mean, row_number() OVER (ORDER BY row_mean_raw DESC, feature ASC) AS row_rank " \
+    "FROM (SELECT feature, " + ", ".join(R(c, f"imp_{e}") for c, e in zip(_cells, _EVENTS)) + \
+    ", " + R("(" + " + ".join(_cells) + f") / {float(len(_EVENTS))}", "row_mean") + \
+    ", (" + " + ".join(_cells) + f") / {float(len(_EVENTS))} AS row_mean_raw FROM imp GROUP BY feature)"
+
+V_RANKED = V_IMP + """,
+ranked AS (SELECT *, row_number() OVER (PARTITION BY tower, event ORDER BY importance DESC, feature ASC) AS rank,
+   100.0 * importance / sum(importance) OVER (PARTITION BY tower, event) AS importance_pct FROM imp)"""
+
+SQL["rank_features"] = with_(V_RANKED) + f"""
+SELECT feature, tower, event, {R('importance', 'importance')}, rank, {R('importance_pct', 'importance_pct')}
+FROM ranked WHERE rank <= 20"""
+
+SQL["box_stats"] = with_(V_IMP, """q AS (SELECT event, quantile_cont(importance, 0.25) AS q1, quantile_cont(importance, 0.5) AS median,
+   quantile_cont(importance, 0.75) AS q3 FROM imp GROUP BY event)""") + f"""
+SELECT i.event, {R('q.q1', 'q1')}, {R('q.median', 'median')}, {R('q.q3', 'q3')}, {R('q.q3 - q.q1', 'iqr')},
+  {R('min(importance) FILTER (WHERE importance >= q.q1 - 1.5 * (q.q3 - q.q1))', 'whisker_low')},
+  {R('max(importance) FILTER (WHERE importance <= q.q3 + 1.5 * (q.q3 - q.q1))', 'whisker_high')},
+  count(*) FILTER (WHERE importance < q.q1 - 1.5 * (q.q3 - q.q1) OR importance > q.q3 + 1.5 * (q.q3 - q.q1)) AS n_outliers,
+  count(*) AS n
+FROM imp i JOIN q ON i.event = q.event GROUP BY i.event, q.q1, q.median, q.q3"""
+
+SQL["series_importance"] = with_(V_IMP) + f"""
+SELECT tower, {R('sum(importance)', 'total_importance')}, count(*) AS n_features FROM imp GROUP BY tower"""
+
+
+def _utm_sql(east: str, north: str, zone: int = 16) -> tuple[str, str]:
+    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
+    e = _m.sqrt(2 * f - f ** 2)
+    e2 = e ** 2
+    ep2 = e2 / (1 - e2)
+    lon0 = (zone - 1) * 6 - 180 + 3
+
+    def L(v):
+        return f"{float(v)!r}::DOUBLE"
+    x = f"({east} - {L(500000.0)})"
+    y = f"({north})"
+    mu = f"(({y} / {L(k0)}) / {L(a * (1 - e2 / 4 - 3 * e ** 4 / 64 - 5 * e ** 6 / 256))})"
+    e1 = (1 - _m.sqrt(1 - e2)) / (1 + _m.sqrt(1 - e2))
+    phi = (f"({mu} + {L(3 * e1 / 2 - 27 * e1 ** 3 / 32)} * sin({L(2.0)} * {mu}) + {L(21 * e1 ** 2 / 16 - 55 * e1 ** 4 / 32)}"
+           f" * sin({L(4.0)} * {mu}) + {L(151 * e1 ** 3 / 96)} * sin({L(6.0)} * {mu}))")
+    s = f"sin({phi})"
+    n1 = f"({L(a)} / sqrt({L(1.0)} - {L(e2)} * {s} * {s}))"
+    t1 = f"(tan({phi}) * tan({phi}))"
+    c1 = f"({L(ep2)} * cos({phi}) * cos({phi}))"
+    r1 = f"({L(a * (1 - e2))} / pow({L(1.0)} - {L(e2)} * {s} * {s}, {L(1.5)}))"
+    d = f"({x} / ({n1} * {L(k0)}))"
+    lat = (f"({phi} - ({n1} * tan({phi}) / {r1}) * ({d} * {d} / 2 - ({L(5.0)} + 3 * {t1} + 10 * {c1} - 4 * {c1} * {c1}"
+           f" - {L(9 * ep2)}) * pow({d}, 4) / 24 + ({L(61.0)} + 90 * {t1} + 298 * {c1} + 45 * {t1} * {t1} - {L(252 * ep2)}"
+           f" - 3 * {c1} * {c1}) * pow({d}, 6) / 720))")
+    lon = (f"({L(lon0)} + degrees(({d} - ({L(1.0)} + 2 * {t1} + {c1}) * pow({d}, 3) / 6 + ({L(5.0)} - 2 * {c1} + 28 * {t1}"
+           f" - 3 * {c1} * {c1} + {L(8 * ep2)} + 24 * {t1} * {t1}) * pow({d}, 5) / 120) / cos({phi})))")
+    return f"degrees({lat})", lon
+
+
+_LAT, _LON = _utm_sql("easting", "northing")
+V_STATION = f"""station AS (SELECT 'Brand#' || s_suppkey::VARCHAR AS tower, 740000.0::DOUBLE + 100.0::DOUBLE * s_suppkey AS easting,
+   3978000.0::DOUBLE + 300.0::DOUBLE * s_nationkey AS northing, 250.0::DOUBLE + (s_acctbal + 1000.0::DOUBLE) / 100.0::DOUBLE AS elevation_m,
+   10.0::DOUBLE * ((s_nationkey % 4) + 1) AS height_m, r_name AS region
+ FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+st0 AS (SELECT *, {_LAT} AS lat, {_LON} AS lon FROM station),
+ext AS (SELECT min(elevation_m) AS emin, max(elevation_m) AS emax, avg(lat) AS clat, avg(lon) AS clon FROM st0),
+st1 AS (SELECT st0.*, ext.*, CASE WHEN emax > emin THEN (elevation_m - emin) / (emax - emin) END AS rel_elev FROM st0, ext),
+st2 AS (SELECT *, round_even(1.0::DOUBLE + coalesce(rel_elev, 0.5::DOUBLE) * 7.0::DOUBLE, 1) AS slope_deg,
+   trunc((((degrees(atan2(lon - clon, lat - clat)) + 180.0::DOUBLE) % 360.0::DOUBLE) + 360.0::DOUBLE) % 360.0::DOUBLE)::INT AS aspect_deg FROM st1),
+st3 AS (SELECT *, CASE WHEN rel_elev IS NULL THEN 'Flat'
+     WHEN rel_elev < 0.25 THEN CASE WHEN slope_deg IS NOT NULL AND slope_deg < 3 THEN 'Valley Floor' ELSE 'Valley Slope' END
+     WHEN rel_elev < 0.5 THEN CASE WHEN slope_deg IS NOT NULL AND slope_deg < 4 THEN 'Valley Floor' ELSE 'Valley Slope' END
+     WHEN rel_elev < 0.75 THEN CASE WHEN slope_deg IS NOT NULL AND slope_deg > 5 THEN 'Ridge Slope' ELSE 'Valley Slope' END
+     ELSE CASE WHEN slope_deg IS NOT NULL AND slope_deg < 4 THEN 'Ridge Top' ELSE 'Ridge Slope' END END AS terrain_type FROM st2),
+st4 AS (SELECT *, CASE WHEN rel_elev IS NOT NULL THEN trunc(lo + rel_elev * (hi - lo))::INT ELSE trunc((lo + hi) / 2)::INT END AS canopy_cover_pct
+   FROM (SELECT *, CASE terrain_type WHEN 'Valley Floor' THEN 5 WHEN 'Valley Slope' THEN 20 WHEN 'Ridge Slope' THEN 35
+                     WHEN 'Ridge Top' THEN 50 WHEN 'Unknown' THEN 25 WHEN 'Flat' THEN 10 ELSE 20 END AS lo,
+                   CASE terrain_type WHEN 'Valley Floor' THEN 20 WHEN 'Valley Slope' THEN 40 WHEN 'Ridge Slope' THEN 55
+                     WHEN 'Ridge Top' THEN 70 WHEN 'Unknown' THEN 35 WHEN 'Flat' THEN 30 ELSE 40 END AS hi FROM st3)),
+stations AS (SELECT *,
+   CASE terrain_type WHEN 'Ridge Top' THEN 0 WHEN 'Ridge Slope' THEN trunc((emax - elevation_m) * 10.0 * 0.5)::INT
+     WHEN 'Valley Slope' THEN trunc((emax - elevation_m) * 10.0 * 0.8)::INT ELSE trunc((emax - elevation_m) * 10.0 * 1.2)::INT END AS dist_to_ridge_m,
+   CASE WHEN terrain_type = 'Ridge Top' THEN 'Rocky Loam'
+     WHEN terrain_type = 'Ridge Slope' THEN CASE WHEN coalesce(slope_deg, 0) > 6 THEN 'Sandy Loam' ELSE 'Silt Loam' END
+     WHEN terrain_type = 'Valley Slope' THEN CASE WHEN coalesce(slope_deg, 0) > 5 THEN 'Loam' ELSE 'Silt Loam' END
+     ELSE CASE WHEN coalesce(slope_deg, 0) <> 0 AND coalesce(slope_deg, 0) < 2 THEN 'Clay' ELSE 'Clay Loam' END END AS soil_type,
+   CASE WHEN canopy_cover_pct > 50 THEN 'Deciduous Forest' WHEN canopy_cover_pct > 35 THEN 'Mixed Forest'
+     WHEN canopy_cover_pct > 20 THEN CASE WHEN terrain_type IN ('Valley Slope', 'Ridge Slope') THEN 'Shrubland' ELSE 'Grassland' END
+     WHEN canopy_cover_pct > 10 THEN 'Grassland' ELSE 'Open Field' END AS land_use,
+   sqrt(((lat - clat) * 111.0::DOUBLE) * ((lat - clat) * 111.0::DOUBLE) + ((lon - clon) * 111.0::DOUBLE * cos(radians(lat)))
+        * ((lon - clon) * 111.0::DOUBLE * cos(radians(lat)))) AS dist_from_center_km,
+   elevation_m + height_m AS total_height_m FROM st4)"""
+
+SQL["utm_to_latlon"] = with_(V_STATION) + f"SELECT tower, {R('lat', 'lat')}, {R('lon', 'lon')} FROM stations"
+SQL["terrain_class"] = with_(V_STATION) + f"""
+SELECT tower, {R('elevation_m', 'elevation_m')}, {R('rel_elev', 'rel_elev')}, {R('slope_deg', 'slope_deg')}, terrain_type FROM stations"""
+SQL["station_attributes"] = with_(V_STATION) + f"""
+SELECT tower, aspect_deg, dist_to_ridge_m, canopy_cover_pct, soil_type, land_use, {R('dist_from_center_km', 'dist_from_center_km')},
+       {R('total_height_m', 'total_height_m')} FROM stations"""
+
+V_PROFILE = V_RANKED + ",\n" + V_STATION + """,
+top AS (SELECT tower, event, sum(importance_pct) AS top5_importance, arg_min(feature, rank) AS top1_feature,
+   arg_min(importance_pct, rank) AS top1_importance FROM ranked WHERE rank <= 5 GROUP BY 1, 2),
+profile AS (SELECT t.event, t.tower, t.top5_importance, t.top1_feature, t.top1_importance, s.elevation_m, s.height_m,
+   s.total_height_m, s.slope_deg, s.canopy_cover_pct, s.terrain_type, s.dist_from_center_km, s.lat, s.lon
+   FROM top t JOIN stations s ON t.tower = s.tower)"""
+
+SQL["station_profile"] = with_(V_PROFILE) + "SELECT event, tower, " + ", ".join(
+    [R("top5_importance", "top5_importance"), "top1_feature", R("top1_importance", "top1_importance"),
+     R("elevation_m", "elevation_m"), R("height_m", "height_m"), R("total_height_m", "total_height_m"),
+     R("slope_deg", "slope_deg"), "canopy_cover_pct", "terrain_type", R("dist_from_center_km", "dist_from_center_km"),
+     R("lat", "lat"), R("lon", "lon")]) + " FROM profile"
+
+
+def _spearman(geo: str) -> str:
+    rx = f"(SELECT event, {geo} AS v, count(*) OVER (PARTITION BY event ORDER BY {geo} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (count(*) OVER (PARTITION BY event, {geo}) - 1) / 2.0 AS rx FROM profile)"
+    return f"""SELECT event, '{geo}' AS variable, n, r AS spearman_r,
+  CASE WHEN abs(r) < 1 THEN {_t_p_sql('r * sqrt((n - 2)::DOUBLE / (1.0 - r * r))', '(n - 2)')} ELSE 0.0 END AS p_value FROM (
+  SELECT event, count(*) AS n, CASE WHEN count(*) * sum(rx * rx) - sum(rx) * sum(rx) > 0 AND count(*) * sum(ry * ry) - sum(ry) * sum(ry) > 0
+     THEN (count(*) * sum(rx * ry) - sum(rx) * sum(ry)) / sqrt((count(*) * sum(rx * rx) - sum(rx) * sum(rx)) * (count(*) * sum(ry * ry) - sum(ry) * sum(ry))) END AS r
+  FROM (SELECT p.event, (SELECT DISTINCT rx FROM {rx} q WHERE q.event = p.event AND q.v = p.{geo}) AS rx,
+               (SELECT DISTINCT rx FROM (SELECT event, top5_importance AS v, count(*) OVER (PARTITION BY event ORDER BY top5_importance RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (count(*) OVER (PARTITION BY event, top5_importance) - 1) / 2.0 AS rx FROM profile) q WHERE q.event = p.event AND q.v = p.top5_importance) AS ry
+        FROM profile p) GROUP BY event HAVING count(*) >= 3)"""
+
+
+SQL["spearman_geo"] = with_(V_PROFILE) + "SELECT event, variable, n, " + R("spearman_r", "spearman_r") + ", " + \
+    R("p_value", "p_value") + """, CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*'
+    ELSE 'ns' END AS significance FROM (""" + _spearman("elevation_m") + " UNION ALL " + _spearman("total_height_m") + ")"
+
+SQL["linear_trend"] = with_(V_PROFILE) + f"""
+SELECT event, {R('regr_slope(top5_importance, elevation_m)', 'slope')}, {R('regr_intercept(top5_importance, elevation_m)', 'intercept')},
+       regr_count(top5_importance, elevation_m)::BIGINT AS n FROM profile GROUP BY event"""
+
+SQL["terrain_group"] = with_(V_PROFILE) + f"""
+SELECT terrain_type, {R('avg(top5_importance)', 'mean_top5')}, count(*) AS n,
+       list_position(['Valley Floor', 'Valley Slope', 'Ridge Slope', 'Ridge Top'], terrain_type)::INT AS terrain_order
+FROM profile GROUP BY terrain_type"""
+
+SQL["spatial_extent"] = with_(V_STATION) + "SELECT " + ", ".join([
+    R("(max(lat) - min(lat)) * 111.0::DOUBLE", "lat_spread_km"),
+    R("abs((max(lon) - min(lon)) * 111.0::DOUBLE * cos(radians(avg(lat))))", "lon_spread_km"),
+    R("min(elevation_m)", "min_elev"), R("max(elevation_m)", "max_elev"), R("max(elevation_m) - min(elevation_m)", "elev_range"),
+    R("min(height_m)", "min_height"), R("max(height_m)", "max_height"), R("min(total_height_m)", "min_total"),
+    R("max(total_height_m)", "max_total"), R("min(lat) - 1.0::DOUBLE / 111.0::DOUBLE", "bound_min_lat"),
+    R("max(lat) + 1.0::DOUBLE / 111.0::DOUBLE", "bound_max_lat"),
+    R("min(lon) - 1.0::DOUBLE / (111.0::DOUBLE * cos(radians(avg(lat))))", "bound_min_lon"),
+    R("max(lon) + 1.0::DOUBLE / (111.0::DOUBLE * cos(radians(avg(lat))))", "bound_max_lon")]) + " FROM stations"
+
+V_RASTER = """raster AS (SELECT (u.pos - 1)::BIGINT AS x, vec_id AS y, 100.0::DOUBLE * u.v::DOUBLE AS z
+  FROM embeddings, unnest(embedding) WITH ORDINALITY AS u(v, pos)),
+rext AS (SELECT min(z) AS zmin, max(z) AS zmax, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM raster)"""
+
+SQL["slope_aspect"] = with_(V_RASTER, """nb AS (SELECT c.x, c.y,
+   n1.z AS z1, n2.z AS z2, n3.z AS z3, n4.z AS z4, n6.z AS z6, n7.z AS z7, n8.z AS z8, n9.z AS z9 FROM raster c
+   LEFT JOIN raster n1 ON n1.x = c.x - 1 AND n1.y = c.y - 1 LEFT JOIN raster n2 ON n2.x = c.x AND n2.y = c.y - 1
+   LEFT JOIN raster n3 ON n3.x = c.x + 1 AND n3.y = c.y - 1 LEFT JOIN raster n4 ON n4.x = c.x - 1 AND n4.y = c.y
+   LEFT JOIN raster n6 ON n6.x = c.x + 1 AND n6.y = c.y LEFT JOIN raster n7 ON n7.x = c.x - 1 AND n7.y = c.y + 1
+   LEFT JOIN raster n8 ON n8.x = c.x AND n8.y = c.y + 1 LEFT JOIN raster n9 ON n9.x = c.x + 1 AND n9.y = c.y + 1)""",
+                              """g AS (SELECT x, y, ((z3 + 2 * z6 + z9) - (z1 + 2 * z4 + z7)) / 800.0::DOUBLE AS dx,
+   ((z1 + 2 * z2 + z3) - (z7 + 2 * z8 + z9)) / 800.0::DOUBLE AS dy FROM nb)""") + f"""
+SELECT x, y, {R('degrees(atan(sqrt(dx * dx + dy * dy)))', 'slope_deg')},
+       {R('(((90.0::DOUBLE - degrees(atan2(-dy, dx))) % 360.0::DOUBLE) + 360.0::DOUBLE) % 360.0::DOUBLE', 'aspect_deg')} FROM g"""
+
+SQL["minmax_scale"] = with_(V_RASTER) + f"SELECT x, y, {R('CASE WHEN zmax > zmin THEN (z - zmin) / (zmax - zmin) END', 'z_scaled')} FROM raster, rext"
+
+V_ZONES = V_RASTER + """,
+pq AS (SELECT quantile_cont(z, 0.2) AS p20, quantile_cont(z, 0.4) AS p40, quantile_cont(z, 0.6) AS p60, quantile_cont(z, 0.8) AS p80 FROM raster),
+zones AS (SELECT x, y, z,
+   CASE WHEN z <= p20 THEN 0 WHEN z <= p40 THEN 1 WHEN z <= p60 THEN 2 WHEN z <= p80 THEN 3 ELSE 4 END AS zone_percentile,
+   CASE WHEN rel <= 0.15 THEN 0 WHEN rel <= 0.35 THEN 1 WHEN rel <= 0.55 THEN 2 WHEN rel <= 0.75 THEN 3 ELSE 4 END AS zone_relative,
+   CASE WHEN z < 260 THEN 0 WHEN z < 290 THEN 1 WHEN z < 320 THEN 2 WHEN z < 350 THEN 3 ELSE 4 END AS zone_absolute
+ FROM (SELECT raster.*, CASE WHEN zmax > zmin THEN (z - zmin) / (zmax - zmin) END AS rel FROM raster, rext), pq)"""
+
+SQL["elevation_zones"] = with_(V_ZONES) + "SELECT x, y, zone_percentile, zone_relative, zone_absolute FROM zones"
+
+SQL["zone_stats"] = with_(V_ZONES) + f"""
+SELECT zone_percentile, count(*) AS n_cells, {R('min(z)', 'min_z')}, {R('max(z)', 'max_z')}, {R('avg(z)', 'mean_z')},
+  {R('100.0 * count(*) / sum(count(*)) OVER ()', 'pct_cells')},
+  ['Valley/Basin', 'Lower Plain', 'Upper Plain', 'Foothill', 'Ridge/Hill'][zone_percentile + 1] AS zone_name
+FROM zones GROUP BY zone_percentile"""
+
+SQL["point_zone"] = with_(V_ZONES, V_STATION.split(",\nst0 AS")[0]) + f"""
+SELECT s.tower, z.x, z.y, {R('z.z', 'z')}, z.zone_percentile FROM (
+  SELECT tower, least(greatest(round((easting - 740000.0::DOUBLE) / 100.0::DOUBLE), x0), x1)::BIGINT AS x,
+         least(greatest(round((northing - 3978000.0::DOUBLE) / 300.0::DOUBLE), y0), y1)::BIGINT AS y FROM station, rext) s
+JOIN zones z ON s.x = z.x AND s.y = z.y"""
+
+SQL["transects"] = with_(V_RASTER) + f"""
+SELECT 'row' AS profile, x AS position, {R('z', 'z')} FROM raster, rext WHERE y = floor((y0 + y1) / 2)
+UNION ALL SELECT 'column', y, {R('z', 'z')} FROM raster, rext WHERE x = floor((x0 + x1) / 2)
+UNION ALL SELECT 'diagonal', x, {R('z', 'z')} FROM raster WHERE x = y"""
+
+SQL["tile_index"] = with_(V_STATION) + """
+SELECT tower, trunc((lon + 180.0::DOUBLE) / 360.0::DOUBLE * 4096.0::DOUBLE)::INT AS tile_x,
+  trunc((1.0::DOUBLE - ln(tan(radians(lat)) + 1.0::DOUBLE / cos(radians(lat))) / pi()) / 2.0::DOUBLE * 4096.0::DOUBLE)::INT AS tile_y
+FROM stations"""

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from squall.functions.rules import GRID_RULES
@@ -562,3 +562,284 @@ def q_score_matrix(spark, sf):
 def q_paired_t(spark, sf):
     """M14 + J3: paired t-test lightgbm vs xgboost on test AUC/F1/MCC."""
     return _r6all(rp.paired_t(_ht(spark, sf), ["horizon", "event"], MODEL_NAMES, ["test_auc", "test_f1", "test_mcc"]))
+
+
+# ---------------------------------------------------------------- importance
+from squall.operators import importance as im  # noqa: E402
+from squall.operators import stations as gs  # noqa: E402
+
+
+@query("global_importance")
+def q_global_importance(spark, sf):
+    """Per feature mean, sample std, min, max, count."""
+    return _r6all(im.global_importance(V.importance(spark, sf)))
+
+
+@query("importance_by_event")
+def q_importance_by_event(spark, sf):
+    """A20 + K3: top 10 features by mean importance per event."""
+    return _r6all(im.importance_by(V.importance(spark, sf), "event", 10))
+
+
+@query("category_importance")
+def q_category_importance(spark, sf):
+    """A21 + J7: category totals and the category x event matrix of the top 15."""
+    return _r6all(im.category_importance(V.importance(spark, sf), "event", 15))
+
+
+@query("family_share")
+def q_family_share(spark, sf):
+    """Lag / Rolling / Raw importance share."""
+    return _r6all(im.family_share(V.importance(spark, sf)))
+
+
+@query("importance_matrix")
+def q_importance_matrix(spark, sf):
+    """Feature x event mean importance (missing 0), ordered by row mean.
+    Pivot values are the distinct events (a tiny driver-side list)."""
+    imp = V.importance(spark, sf)
+    events = sorted(r[0] for r in imp.select("event").distinct().collect())
+    return _r6all(im.importance_matrix(imp, "feature", "event", events))
+
+
+@query("rank_features")
+def q_rank_features(spark, sf):
+    """W18 + K2: rank, percent of total and top 20 per (tower, event)."""
+    r = im.rank_features(V.importance(spark, sf), ["tower", "event"], top_n=20)
+    return _r6all(r)
+
+
+@query("box_stats")
+def q_box_stats(spark, sf):
+    """Quartiles and whiskers of importance per event."""
+    return _r6all(im.box_stats(V.importance(spark, sf), "event", "importance"))
+
+
+@query("series_importance")
+def q_series_importance(spark, sf):
+    """Total importance per tower."""
+    return _r6all(im.total_by(V.importance(spark, sf), "tower"))
+
+
+# ---------------------------------------------------------------- stations
+def _stations(spark, sf):
+    """G1 + G3-G6: coordinates, relative elevation, fallbacks, terrain class
+    and derived attributes.  Whole-table extremes and the centre come from
+    one single-row aggregate joined back (its size is one row)."""
+    s = V.station(spark, sf)
+    lat, lon = gs.utm_to_latlon(F.col("easting"), F.col("northing"))
+    s = s.select("*", lat.alias("lat"), lon.alias("lon"))
+    ext = s.agg(F.min("elevation_m").alias("_emin"), F.max("elevation_m").alias("_emax"),
+                F.avg("lat").alias("_clat"), F.avg("lon").alias("_clon"))
+    s = s.withColumn("_one", F.lit(1)).join(F.broadcast(ext.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    rel = gs.relative(F.col("elevation_m"), F.col("_emin"), F.col("_emax"))
+    s = s.withColumn("rel_elev", rel)
+    slope = F.bround(F.lit(1.0) + F.coalesce(F.col("rel_elev"), F.lit(0.5)) * F.lit(7.0), 1)
+    aspect = F.pmod(F.degrees(F.atan2(F.col("lon") - F.col("_clon"), F.col("lat") - F.col("_clat"))) + F.lit(180.0),
+                    F.lit(360.0)).cast("int")
+    s = s.select("*", slope.alias("slope_deg"), aspect.alias("aspect_deg"))
+    s = s.withColumn("terrain_type", gs.terrain_class(F.col("rel_elev"), F.col("slope_deg")))
+    s = s.withColumn("canopy_cover_pct", gs.canopy_pct(F.col("terrain_type"), F.col("rel_elev")))
+    return s.select("*", gs.ridge_distance(F.col("terrain_type"), F.col("elevation_m"), F.col("_emax")).alias("dist_to_ridge_m"),
+                    gs.soil_type(F.col("terrain_type"), F.col("slope_deg")).alias("soil_type"),
+                    gs.land_use(F.col("terrain_type"), F.col("canopy_cover_pct")).alias("land_use"),
+                    gs.distance_km(F.col("lat"), F.col("lon"), F.col("_clat"), F.col("_clon")).alias("dist_from_center_km"),
+                    (F.col("elevation_m") + F.col("height_m")).alias("total_height_m"))
+
+
+@query("utm_to_latlon")
+def q_utm_to_latlon(spark, sf):
+    """G1: station coordinates by the UTM series expansion."""
+    s = V.station(spark, sf)
+    lat, lon = gs.utm_to_latlon(F.col("easting"), F.col("northing"))
+    return s.select("tower", r6(lat).alias("lat"), r6(lon).alias("lon"))
+
+
+@query("terrain_class")
+def q_terrain_class(spark, sf):
+    """G3 + G5: relative elevation, slope fallback, terrain type."""
+    s = _stations(spark, sf)
+    return _r6all(s.select("tower", "elevation_m", "rel_elev", "slope_deg", "terrain_type"))
+
+
+@query("station_attributes")
+def q_station_attributes(spark, sf):
+    """G4 + G5 + G6: aspect fallback, ridge distance, canopy, soil, land use,
+    distance from the centre."""
+    s = _stations(spark, sf)
+    return _r6all(s.select("tower", "aspect_deg", "dist_to_ridge_m", "canopy_cover_pct", "soil_type", "land_use",
+                           "dist_from_center_km", "total_height_m"))
+
+
+def _profile(spark, sf):
+    """A25 + J4: per (event, tower) the top-5 importance share and the top
+    feature, joined to the station dimension (towers without a station are
+    skipped by the inner join)."""
+    r = im.rank_features(V.importance(spark, sf), ["tower", "event"], top_n=5)
+    top = r.groupBy("tower", "event").agg(
+        F.sum("importance_pct").alias("top5_importance"),
+        F.min(F.when(F.col("rank") == 1, F.struct(F.col("feature"), F.col("importance_pct")))).alias("_t1"))
+    st_ = _stations(spark, sf).select("tower", "elevation_m", "height_m", "total_height_m", "slope_deg",
+                                      "canopy_cover_pct", "terrain_type", "dist_from_center_km", "lat", "lon")
+    return top.join(st_, "tower", "inner").select(
+        "event", "tower", "top5_importance", F.col("_t1.feature").alias("top1_feature"),
+        F.col("_t1.importance_pct").alias("top1_importance"), "elevation_m", "height_m", "total_height_m",
+        "slope_deg", "canopy_cover_pct", "terrain_type", "dist_from_center_km", "lat", "lon")
+
+
+@query("station_profile")
+def q_station_profile(spark, sf):
+    return _r6all(_profile(spark, sf))
+
+
+@query("spearman_geo")
+def q_spearman_geo(spark, sf):
+    """Spearman r (average ranks) of ground elevation and total height
+    with the top-5 importance, per event, with t-based p and stars."""
+    p = _profile(spark, sf)
+    out = []
+    for geo in ("elevation_m", "total_height_m"):
+        d = st.average_rank(p, ["event"], geo, "_rx")
+        d = st.average_rank(d, ["event"], "top5_importance", "_ry")
+        g = d.groupBy("event").agg(*st.pearson_parts(F.col("_rx"), F.col("_ry"), "_p"))
+        r = st.pearson_from_parts("_p")
+        n = F.col("_p_n")
+        t = r * F.sqrt((n - 2).cast("double") / (F.lit(1.0) - r * r))
+        pv = rp.t_two_sided_p(t, (n - 2).cast("int"))
+        out.append(g.filter(n >= 3).select("event", F.lit(geo).alias("variable"), n.alias("n"), r.alias("spearman_r"),
+                                          F.when(F.abs(r) < 1, pv).otherwise(F.lit(0.0)).alias("p_value")))
+    u = out[0].unionByName(out[1])
+    stars = (F.when(F.col("p_value") < 0.001, F.lit("***")).when(F.col("p_value") < 0.01, F.lit("**"))
+             .when(F.col("p_value") < 0.05, F.lit("*")).otherwise(F.lit("ns")))
+    return _r6all(u.select("*", stars.alias("significance")))
+
+
+@query("linear_trend")
+def q_linear_trend(spark, sf):
+    """Least-squares slope and intercept of top-5 importance on elevation."""
+    p = _profile(spark, sf)
+    return _r6all(p.groupBy("event").agg(F.regr_slope("top5_importance", "elevation_m").alias("slope"),
+                                         F.regr_intercept("top5_importance", "elevation_m").alias("intercept"),
+                                         F.regr_count("top5_importance", "elevation_m").alias("n")))
+
+
+@query("terrain_group")
+def q_terrain_group(spark, sf):
+    """Mean top-5 importance and count per terrain type, fixed order."""
+    p = _profile(spark, sf)
+    g = p.groupBy("terrain_type").agg(F.avg("top5_importance").alias("mean_top5"), F.count(F.lit(1)).alias("n"))
+    return _r6all(rp.with_order(g, "terrain_type", gs.TERRAIN_ORDER, "terrain_order"))
+
+
+@query("spatial_extent")
+def q_spatial_extent(spark, sf):
+    """N-S / E-W spread in km, elevation and height ranges, and the
+    region bounds padded by 1 km."""
+    s = _stations(spark, sf)
+    a = s.agg(F.min("lat").alias("min_lat"), F.max("lat").alias("max_lat"), F.min("lon").alias("min_lon"),
+              F.max("lon").alias("max_lon"), F.avg("lat").alias("mean_lat"), F.min("elevation_m").alias("min_elev"),
+              F.max("elevation_m").alias("max_elev"), F.min("height_m").alias("min_height"),
+              F.max("height_m").alias("max_height"), F.min("total_height_m").alias("min_total"),
+              F.max("total_height_m").alias("max_total"))
+    km = F.lit(gs.KM_PER_DEGREE)
+    lat_pad = F.lit(1.0) / km
+    lon_pad = F.lit(1.0) / (km * F.cos(F.radians("mean_lat")))
+    return _r6all(a.select(
+        ((F.col("max_lat") - F.col("min_lat")) * km).alias("lat_spread_km"),
+        F.abs((F.col("max_lon") - F.col("min_lon")) * km * F.cos(F.radians("mean_lat"))).alias("lon_spread_km"),
+        "min_elev", "max_elev", (F.col("max_elev") - F.col("min_elev")).alias("elev_range"),
+        "min_height", "max_height", "min_total", "max_total",
+        (F.col("min_lat") - lat_pad).alias("bound_min_lat"), (F.col("max_lat") + lat_pad).alias("bound_max_lat"),
+        (F.col("min_lon") - lon_pad).alias("bound_min_lon"), (F.col("max_lon") + lon_pad).alias("bound_max_lon")))
+
+
+# ---------------------------------------------------------------- raster
+CELL_SIZE_M = 100.0
+
+
+@query("slope_aspect")
+def q_slope_aspect(spark, sf):
+    """Horn slope and aspect on every interior raster cell."""
+    r = gs.slope_aspect(V.raster(spark, sf), CELL_SIZE_M)
+    return _r6all(r.select("x", "y", "slope_deg", "aspect_deg"))
+
+
+def _raster_ext(spark, sf):
+    r = V.raster(spark, sf)
+    ext = r.agg(F.min("z").alias("_zmin"), F.max("z").alias("_zmax"))
+    return r.withColumn("_one", F.lit(1)).join(F.broadcast(ext.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
+@query("minmax_scale")
+def q_minmax_scale(spark, sf):
+    """Elevation scaled to [0, 1] over the whole raster."""
+    r = _raster_ext(spark, sf)
+    return _r6all(r.select("x", "y", gs.relative(F.col("z"), F.col("_zmin"), F.col("_zmax")).alias("z_scaled")))
+
+
+def _zones(spark, sf):
+    r = _raster_ext(spark, sf)
+    q = st.exact_quantiles(V.raster(spark, sf), [], "z", gs.ZONE_PERCENTILES, ["p20", "p40", "p60", "p80"])
+    r = r.withColumn("_one", F.lit(1)).join(F.broadcast(q.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    rel = gs.relative(F.col("z"), F.col("_zmin"), F.col("_zmax"))
+    return r.select("x", "y", "z",
+                    gs.zone_of(F.col("z"), [F.col(c) for c in ("p20", "p40", "p60", "p80")], False).alias("zone_percentile"),
+                    gs.zone_of(rel, [F.lit(v) for v in gs.ZONE_RELATIVE], False).alias("zone_relative"),
+                    gs.zone_of(F.col("z"), [F.lit(v) for v in gs.ZONE_ABSOLUTE], True).alias("zone_absolute"))
+
+
+@query("elevation_zones")
+def q_elevation_zones(spark, sf):
+    """Zone of every cell by the percentile, relative and absolute methods."""
+    return _zones(spark, sf).select("x", "y", "zone_percentile", "zone_relative", "zone_absolute")
+
+
+@query("zone_stats")
+def q_zone_stats(spark, sf):
+    """Share of cells, min, max, mean elevation per percentile zone."""
+    z = _zones(spark, sf)
+    g = z.groupBy("zone_percentile").agg(F.count(F.lit(1)).alias("n_cells"), F.min("z").alias("min_z"),
+                                         F.max("z").alias("max_z"), F.avg("z").alias("mean_z"))
+    w = F.sum("n_cells").over(Window.partitionBy())
+    g = g.select("*", (F.lit(100.0) * F.col("n_cells") / w).alias("pct_cells"),
+                 F.element_at(F.array(*[F.lit(n) for n in gs.ZONE_NAMES]), F.col("zone_percentile") + 1).alias("zone_name"))
+    return _r6all(g)
+
+
+@query("point_zone")
+def q_point_zone(spark, sf):
+    """G8 + J6: each station's nearest raster cell (per axis, regular grid:
+    rounded and clamped) and that cell's zone — an equi-join, no cross join."""
+    s = V.station(spark, sf)
+    z = _zones(spark, sf)
+    ext = z.agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
+    s = s.withColumn("_one", F.lit(1)).join(F.broadcast(ext.withColumn("_one", F.lit(1))), "_one")
+    gx = (F.col("easting") - F.lit(740000.0)) / F.lit(100.0)
+    gy = (F.col("northing") - F.lit(3978000.0)) / F.lit(300.0)
+    s = s.select("tower", F.least(F.greatest(F.round(gx), F.col("_x0")), F.col("_x1")).cast("long").alias("x"),
+                 F.least(F.greatest(F.round(gy), F.col("_y0")), F.col("_y1")).cast("long").alias("y"))
+    return _r6all(s.join(z, ["x", "y"], "inner").select("tower", "x", "y", "z", "zone_percentile"))
+
+
+@query("transects")
+def q_transects(spark, sf):
+    """Elevation along the middle row, middle column and the diagonal."""
+    r = V.raster(spark, sf)
+    ext = r.agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
+    j = r.withColumn("_one", F.lit(1)).join(F.broadcast(ext.withColumn("_one", F.lit(1))), "_one")
+    midy = F.floor((F.col("_y0") + F.col("_y1")) / 2)
+    midx = F.floor((F.col("_x0") + F.col("_x1")) / 2)
+    rows = F.array(F.when(F.col("y") == midy, F.struct(F.lit("row").alias("profile"), F.col("x").alias("position"))),
+                   F.when(F.col("x") == midx, F.struct(F.lit("column").alias("profile"), F.col("y").alias("position"))),
+                   F.when(F.col("x") == F.col("y"), F.struct(F.lit("diagonal").alias("profile"), F.col("x").alias("position"))))
+    t = j.select("z", F.explode(F.filter(rows, lambda v: v.isNotNull())).alias("_t")).select("_t.*", "z")
+    return _r6all(t)
+
+
+@query("tile_index")
+def q_tile_index(spark, sf):
+    """Web-map tile (zoom 12) of each station."""
+    s = V.station(spark, sf)
+    lat, lon = gs.utm_to_latlon(F.col("easting"), F.col("northing"))
+    tx, ty = gs.tile_of(lat, lon, 12)
+    return s.select("tower", tx.alias("tile_x"), ty.alias("tile_y"))

@@ -90,27 +90,34 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature-importance rows: feature, tower, event, importance."""
+    """Feature-importance rows: feature, tower, event, importance.
+
+    feature = part name + size + a suffix chosen by ``p_partkey % 3``
+    (none, ``_lagN``, ``_rollN_mean``)."""
     p = table(spark, sf_dir, "part")
-    suffix = (F.when(F.pmod("p_partkey", F.lit(3)) == 0, F.lit(""))
-              .when(F.pmod("p_partkey", F.lit(3)) == 1, F.concat(F.lit("_lag"), F.pmod("p_size", F.lit(24)) + 1))
-              .otherwise(F.concat(F.lit("_roll"), F.pmod("p_size", F.lit(24)) + 1, F.lit("_mean"))))
-    name = F.concat(F.regexp_replace(F.split("p_name", " ").getItem(0), "[^A-Za-z]", ""),
-                    F.lit("_"), F.lpad(F.col("p_size").cast("string"), 3, "0"), F.lit("m"), suffix)
+    k = F.pmod("p_partkey", F.lit(3))
+    n = (F.pmod("p_size", F.lit(24)) + 1).cast("string")
+    suffix = (F.when(k == 0, F.lit("")).when(k == 1, F.concat(F.lit("_lag"), n))
+              .otherwise(F.concat(F.lit("_roll"), n, F.lit("_mean"))))
+    name = F.concat(F.regexp_replace("p_name", " ", "_"), F.lit("_"),
+                    F.lpad(F.col("p_size").cast("string"), 3, "0"), F.lit("m"), suffix)
     return p.select(name.alias("feature"), F.col("p_brand").alias("tower"), F.col("p_type").alias("event"),
-                    F.col("p_retailprice").alias("importance"), F.col("p_partkey").alias("item"))
+                    F.col("p_retailprice").alias("importance"))
 
 
 def station(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Station dimension from supplier: UTM easting/northing and elevation."""
+    """Station dimension from supplier: UTM easting/northing, ground
+    elevation and mast height; ``tower`` = 'Brand#<suppkey>' so stations
+    meet the importance rows of the same number."""
     s = table(spark, sf_dir, "supplier")
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
     return (s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-            .select(F.col("s_name").alias("tower"), F.col("s_suppkey").alias("station_id"),
+            .select(F.concat(F.lit("Brand#"), F.col("s_suppkey").cast("string")).alias("tower"),
                     (F.lit(740000.0) + F.lit(100.0) * F.col("s_suppkey")).alias("easting"),
                     (F.lit(3978000.0) + F.lit(300.0) * F.col("s_nationkey")).alias("northing"),
                     (F.lit(250.0) + (F.col("s_acctbal") + F.lit(1000.0)) / F.lit(100.0)).alias("elevation_m"),
+                    (F.lit(10.0) * (F.pmod("s_nationkey", F.lit(4)) + 1)).alias("height_m"),
                     F.col("r_name").alias("region")))
 
 
