@@ -105,3 +105,29 @@ def halo_apply(df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str
     w = Window.partitionBy(*keys, "_pb").orderBy(POS)
     out = ex.select("*", *build(w))
     return out.filter(F.col("_home")).drop("_pb", "_home")
+
+
+def carry_fill(df: DataFrame, keys: Sequence[str], order: str, block: Column,
+               cols: Sequence[str], forward: bool = True) -> DataFrame:
+    """Last non-null value at or before each row (``forward``) or the first
+    at or after it, per series ordered by ``order``, over blocks given by
+    ``block`` (any column monotone in ``order``) plus a per-block carry."""
+    keys = list(keys)
+    o = F.col(order)
+    d = df.withColumn(BLK, block)
+    wl = Window.partitionBy(*keys, BLK).orderBy(order)
+    frame = wl.rowsBetween(Window.unboundedPreceding, 0) if forward else wl.rowsBetween(0, Window.unboundedFollowing)
+    aggs = []
+    for c in cols:
+        v = F.when(F.col(c).isNotNull(), F.struct(o.alias("o"), F.col(c).alias("v")))
+        aggs.append((F.max(v) if forward else F.min(v)).alias(f"_{c}_b"))
+    summ = d.groupBy(*keys, BLK).agg(*aggs)
+    ws = Window.partitionBy(*keys).orderBy(BLK) if keys else Window.orderBy(BLK)
+    other = ws.rowsBetween(Window.unboundedPreceding, -1) if forward else ws.rowsBetween(1, Window.unboundedFollowing)
+    carry = summ.select(*keys, BLK, *[(F.max if forward else F.min)(f"_{c}_b").over(other).getField("v").alias(f"_{c}_c")
+                                      for c in cols])
+    j = carry_join(d, carry, keys)
+    local = [(F.last if forward else F.first)(c, ignorenulls=True).over(frame) for c in cols]
+    out = [F.coalesce(lc, F.col(f"_{c}_c")).alias(c) for c, lc in zip(cols, local)]
+    rest = [c for c in df.columns if c not in cols]
+    return j.select(*rest, *out).select(*df.columns)

@@ -31,13 +31,29 @@ def family_of(feature: Column) -> Column:
 def rank_features(df: DataFrame, keys: Sequence[str], feature: str = "feature",
                   importance: str = "importance", top_n: int | None = 20) -> DataFrame:
     """Rank 1.. by importance within each group, percent of the group
-    total, optionally the top ``top_n``."""
+    total, optionally the top ``top_n``.  The group total is an aggregate
+    joined back (no whole-group window); ``rank <= top_n`` lets Spark insert a
+    per-partition group limit before the shuffle."""
     keys = list(keys)
+    tot = df.groupBy(*keys).agg(F.sum(importance).alias("_tot"))
     w = Window.partitionBy(*keys).orderBy(F.col(importance).desc(), F.col(feature).asc())
-    tot = Window.partitionBy(*keys)
-    r = df.select("*", F.row_number().over(w).alias("rank"),
-                  (F.lit(100.0) * F.col(importance) / F.sum(importance).over(tot)).alias("importance_pct"))
-    return r.filter(F.col("rank") <= top_n) if top_n else r
+    r = df.select("*", F.row_number().over(w).alias("rank"))
+    if top_n:
+        r = r.filter(F.col("rank") <= top_n)
+    r = r.join(tot, keys, "inner")
+    return r.select(*[c for c in df.columns], "rank",
+                    (F.lit(100.0) * F.col(importance) / F.col("_tot")).alias("importance_pct"))
+
+
+def argmax_rows(df: DataFrame, keys: Sequence[str], value: str, tiebreak: str) -> DataFrame:
+    """K4: the row with the largest ``value`` per group (smallest
+    ``tiebreak`` on ties) by two aggregations and a join — never a
+    whole-group window or buffer."""
+    keys = list(keys)
+    mx = df.groupBy(*keys).agg(F.max(value).alias("_mx"))
+    cand = df.join(mx, keys, "inner").filter(F.col(value) == F.col("_mx"))
+    first = cand.groupBy(*keys).agg(F.min(tiebreak).alias(tiebreak))
+    return cand.join(first, [*keys, tiebreak], "left_semi").drop("_mx")
 
 
 def global_importance(df: DataFrame, feature: str = "feature", importance: str = "importance") -> DataFrame:

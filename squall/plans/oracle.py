@@ -779,3 +779,128 @@ SQL["tile_index"] = with_(V_STATION) + """
 SELECT tower, trunc((lon + 180.0::DOUBLE) / 360.0::DOUBLE * 4096.0::DOUBLE)::INT AS tile_x,
   trunc((1.0::DOUBLE - ln(tan(radians(lat)) + 1.0::DOUBLE / cos(radians(lat))) / pi()) / 2.0::DOUBLE * 4096.0::DOUBLE)::INT AS tile_y
 FROM stations"""
+
+# ---------------------------------------------------------------- logs, settings, projections
+def _f6(x: str) -> str:
+    k = f"floor(abs({x}) * 1e6 + 0.5)::BIGINT"
+    return f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END || ({k} // 1000000)::VARCHAR || '.' || lpad(({k} % 1000000)::VARCHAR, 6, '0'))"
+
+
+V_LOGS = V_RESULTS + f""", blocks AS (
+  SELECT row_number() OVER (ORDER BY list_position({_HARR}, h.horizon), h.event, h.model) AS b,
+   ['FORECAST HORIZON: ' || h.horizon, 'EVENT: ' || h.event, 'Confusion Matrix:',
+    '  TN= ' || format('{{:,}}', r.tn) || ' | FP= ' || format('{{:,}}', r.fp),
+    '  FN= ' || format('{{:,}}', r.fn) || ' | TP= ' || format('{{:,}}', r.tp),
+    'Top 20 Most Important Features (SHAP):',
+    '  1. f1 : ' || {_f6('h.test_f1')}, '  2. mcc : ' || {_f6('h.test_mcc')}, '  3. kappa : ' || {_f6('r.kappa')},
+    upper(h.model) || ' Results:',
+    '  CV: AUC=' || {_f6('h.cv_auc')} || ', F1=' || {_f6('h.cv_f1')} || ', MCC=' || {_f6('h.cv_mcc')},
+    '  Test: AUC=' || {_f6('h.test_auc')} || ', F1=' || {_f6('h.test_f1')} || ', MCC=' || {_f6('h.test_mcc')}] AS lines
+  FROM ht h JOIN rr r ON h.horizon = r.horizon AND h.event = r.event AND h.model = r.model AND r.split = 'test'),
+loglines AS (SELECT 'run.log' AS file, b * 100 + u.p - 1 AS line_no, u.line FROM blocks, unnest(lines) WITH ORDINALITY AS u(line, p)),
+tagged AS (SELECT *,
+   last_value(CASE WHEN regexp_matches(line, 'FORECAST HORIZON: (\\w+)') THEN nullif(regexp_extract(line, 'FORECAST HORIZON: (\\w+)', 1), '') END IGNORE NULLS)
+     OVER (ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS horizon,
+   last_value(CASE WHEN regexp_matches(line, 'EVENT: ([\\w_]+)') THEN nullif(regexp_extract(line, 'EVENT: ([\\w_]+)', 1), '') END IGNORE NULLS)
+     OVER (ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS event,
+   last_value(lower(CASE WHEN regexp_matches(line, '(LIGHTGBM|XGBOOST) Results:') THEN regexp_extract(line, '(LIGHTGBM|XGBOOST) Results:', 1) END) IGNORE NULLS)
+     OVER (ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS model_prev,
+   first_value(lower(CASE WHEN regexp_matches(line, '(LIGHTGBM|XGBOOST) Results:') THEN regexp_extract(line, '(LIGHTGBM|XGBOOST) Results:', 1) END) IGNORE NULLS)
+     OVER (ORDER BY line_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS model_next
+  FROM loglines)"""
+
+
+def _xs(pat: str, i: int) -> str:
+    return f"CASE WHEN regexp_matches(line, '{pat}') AND regexp_extract(line, '{pat}', {i}) <> '' THEN regexp_extract(line, '{pat}', {i}) END"
+
+
+_RE_CV = r"CV: AUC=([\d.]+), F1=([\d.]+), MCC=([\d.]+)"
+_RE_TEST = r"Test: AUC=([\d.]+), F1=([\d.]+), MCC=([\d.]+)"
+_RE_TNFP = r"TN=\s*([\d,]+).*FP=\s*([\d,]+)"
+_RE_FNTP = r"FN=\s*([\d,]+).*TP=\s*([\d,]+)"
+_RE_IMP = r"\d+\.\s+([\w_]+)\s*:\s+([\d.]+)"
+
+SQL["run_log_metrics"] = with_(V_LOGS.replace("WITH ", "", 1)) + f""", parsed AS (
+  SELECT horizon, event, CASE WHEN regexp_matches(line, '{_RE_CV}') OR regexp_matches(line, '{_RE_TEST}') THEN model_prev ELSE model_next END AS model,
+   ({_xs(_RE_CV, 1)})::DOUBLE AS cv_auc, ({_xs(_RE_CV, 2)})::DOUBLE AS cv_f1, ({_xs(_RE_CV, 3)})::DOUBLE AS cv_mcc,
+   ({_xs(_RE_TEST, 1)})::DOUBLE AS test_auc, ({_xs(_RE_TEST, 2)})::DOUBLE AS test_f1, ({_xs(_RE_TEST, 3)})::DOUBLE AS test_mcc,
+   replace({_xs(_RE_TNFP, 1)}, ',', '')::BIGINT AS tn, replace({_xs(_RE_TNFP, 2)}, ',', '')::BIGINT AS fp,
+   replace({_xs(_RE_FNTP, 1)}, ',', '')::BIGINT AS fn, replace({_xs(_RE_FNTP, 2)}, ',', '')::BIGINT AS tp
+  FROM tagged),
+g AS (SELECT horizon, event, model, max(cv_auc) AS cv_auc, max(cv_f1) AS cv_f1, max(cv_mcc) AS cv_mcc, max(test_auc) AS test_auc,
+   max(test_f1) AS test_f1, max(test_mcc) AS test_mcc, max(tn) AS tn, max(fp) AS fp, max(fn) AS fn, max(tp) AS tp
+  FROM parsed WHERE horizon IS NOT NULL AND event IS NOT NULL AND model IS NOT NULL GROUP BY 1, 2, 3 HAVING max(test_auc) IS NOT NULL)
+SELECT horizon, event, model, """ + ", ".join(R(c, c) for c in ("cv_auc", "cv_f1", "cv_mcc", "test_auc", "test_f1", "test_mcc")) + \
+    ", tn, fp, fn, tp, " + ", ".join([
+        R("CASE WHEN tp::DOUBLE + fp::DOUBLE > 0 THEN tp::DOUBLE / (tp::DOUBLE + fp::DOUBLE) ELSE 0.0 END", "precision"),
+        R("CASE WHEN tp::DOUBLE + fn::DOUBLE > 0 THEN tp::DOUBLE / (tp::DOUBLE + fn::DOUBLE) ELSE 0.0 END", "recall"),
+        R("CASE WHEN tn::DOUBLE + fp::DOUBLE > 0 THEN tn::DOUBLE / (tn::DOUBLE + fp::DOUBLE) ELSE 0.0 END", "specificity"),
+        R("CASE WHEN fp::DOUBLE + tn::DOUBLE > 0 THEN fp::DOUBLE / (fp::DOUBLE + tn::DOUBLE) ELSE 0.0 END", "fpr"),
+        R("CASE WHEN fn::DOUBLE + tp::DOUBLE > 0 THEN fn::DOUBLE / (fn::DOUBLE + tp::DOUBLE) ELSE 0.0 END", "fnr")]) + " FROM g"
+
+SQL["run_log_importance"] = with_(V_LOGS.replace("WITH ", "", 1)) + f"""
+SELECT horizon, event, model_next AS model, regexp_extract(line, '{_RE_IMP}', 1) AS feature,
+  {R(f"regexp_extract(line, '{_RE_IMP}', 2)::DOUBLE", 'importance')}
+FROM tagged WHERE regexp_matches(line, '{_RE_IMP}') AND horizon IS NOT NULL AND event IS NOT NULL AND model_next IS NOT NULL"""
+
+V_SETTINGS = V_RESULTS + """, sdocs AS (
+  SELECT model, 'optuna_ml_results_' || model || '_' || CASE WHEN split = 'cv' THEN '20251201_000000' ELSE '20251203_000000' END AS run_folder,
+    horizon || '_' || event AS key, 3 + tp % 5 AS max_depth, 0.01::DOUBLE * (1 + fn % 10) AS learning_rate,
+    CASE WHEN tp % 2 = 0 THEN '4,12' ELSE '4,12,24' END AS rolling_windows, mcc FROM results WHERE mcc > 0)"""
+
+SQL["settings_lookup"] = V_SETTINGS + """,
+newest AS (SELECT * FROM sdocs WHERE (model, run_folder) IN (SELECT (model, max(run_folder)) FROM sdocs GROUP BY model)),
+exps AS (SELECT DISTINCT horizon, event, model FROM rcells)
+SELECT e.model, e.horizon, e.event, coalesce(n.max_depth, 6) AS max_depth, round(coalesce(n.learning_rate, 0.05), 6) + 0.0 AS learning_rate,
+  coalesce(n.rolling_windows, '4,12,24,96') AS rolling_windows, n.run_folder IS NOT NULL AS tuned
+FROM exps e LEFT JOIN newest n ON e.model = n.model AND n.key = e.horizon || '_' || e.event"""
+
+SQL["latest_settings"] = V_SETTINGS + """
+SELECT model, key, run_folder, round(mcc, 6) + 0.0 AS mcc, max_depth FROM (
+  SELECT *, row_number() OVER (PARTITION BY model, key ORDER BY run_folder DESC) AS rn FROM sdocs) WHERE rn = 1"""
+
+SQL["clean_projection"] = """
+SELECT user_id AS series, ts, event_type AS var, value, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
+  CASE WHEN value > 100 THEN 1 ELSE 0 END AS flag
+FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-25 00:00:00'
+  AND event_type IN ('click', 'view', 'purchase')"""
+
+SQL["experiment_gate"] = with_(V_OBS) + """
+SELECT var, count(*) AS n_samples, count(*) FILTER (WHERE value > 100) AS n_positive,
+  round(count(*) FILTER (WHERE value > 100) / count(*), 6) + 0.0 AS event_rate,
+  CASE WHEN count(*) < 100 THEN 'insufficient samples' WHEN count(*) FILTER (WHERE value > 100) < 10 THEN 'insufficient positives' END AS skip_reason
+FROM obs GROUP BY var"""
+
+SQL["unpivot_events"] = with_(V_LABELS) + """
+SELECT series, ts, 'event_hot' AS event, event_hot AS flag FROM labels
+UNION ALL SELECT series, ts, 'event_calm', event_calm FROM labels
+UNION ALL SELECT series, ts, 'event_gusty', event_gusty FROM labels"""
+
+SQL["long_results_pivot"] = V_RESULTS + " SELECT horizon, event, split, " + ", ".join(
+    R(f"max({x}) FILTER (WHERE model = '{m}')", f"{m}_{x}") for m in ("lightgbm", "xgboost") for x in ("f1", "mcc")
+) + " FROM results GROUP BY 1, 2, 3"
+
+SQL["topk_per_group"] = with_(V_IMP) + """
+SELECT feature, tower, event, round(importance, 6) + 0.0 AS importance, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY tower ORDER BY importance DESC, feature ASC) AS rank FROM imp) WHERE rank <= 3"""
+
+SQL["top_n"] = with_(V_IMP) + """
+SELECT feature, tower, event, round(importance, 6) + 0.0 AS importance FROM imp
+ORDER BY importance DESC, feature, tower, event LIMIT 10"""
+
+SQL["argmax_row"] = with_(V_IMP) + """
+SELECT event, min(feature) AS feature, round(max(importance), 6) + 0.0 AS importance FROM imp
+WHERE (event, importance) IN (SELECT (event, max(importance)) FROM imp GROUP BY event) GROUP BY event"""
+
+SQL["union_all"] = with_(V_GRID) + """
+SELECT series, ts, temp, peak, n, CASE WHEN series IN ('click', 'error') THEN 'first' END AS note FROM grid"""
+
+SQL["distinct_values"] = with_(V_IMP) + """
+SELECT event, count(DISTINCT tower) AS n_towers, array_to_string(list_sort(list(DISTINCT tower)), ',') AS towers
+FROM imp GROUP BY event"""
+
+SQL["io_roundtrip"] = with_(V_GRID) + "SELECT series, ts, temp, peak, n FROM grid"
+
+SQL["metadata_roundtrip"] = with_(V_STATION) + f"""
+SELECT tower, {R('lat', 'lat')}, {R('lon', 'lon')}, {R('elevation_m', 'elevation_m')}, {R('height_m', 'height_m')}, terrain_type, region
+FROM stations"""

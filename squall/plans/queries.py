@@ -843,3 +843,194 @@ def q_tile_index(spark, sf):
     lat, lon = gs.utm_to_latlon(F.col("easting"), F.col("northing"))
     tx, ty = gs.tile_of(lat, lon, 12)
     return s.select("tower", tx.alias("tile_x"), ty.alias("tile_y"))
+
+
+# ---------------------------------------------------------------- logs and settings
+from squall.operators import logs as lg  # noqa: E402
+
+
+@query("run_log_metrics")
+def q_run_log_metrics(spark, sf):
+    """Sections, metrics and confusion cells parsed back from run-log lines."""
+    m = lg.run_log_metrics(V.logs(spark, sf))
+    return _r6all(m.drop("file"))
+
+
+@query("run_log_importance")
+def q_run_log_importance(spark, sf):
+    """S12: 'rank. feature : value' lines under their section."""
+    return _r6all(lg.run_log_importance(V.logs(spark, sf)).drop("file"))
+
+
+def _settings_docs(spark, sf):
+    """Stand-in result folders: one JSON document per (model, run, experiment)
+    in the search output layout ``{key: {params: {...}, mcc: ..}}``."""
+    r = V.results(spark, sf)
+    run = F.concat(F.lit("optuna_ml_results_"), F.col("model"), F.lit("_"),
+                   F.when(F.col("split") == "cv", F.lit("20251201_000000")).otherwise(F.lit("20251203_000000")))
+    params = F.struct((F.lit(3) + F.pmod("tp", F.lit(5))).alias("max_depth"),
+                      (F.lit(0.01) * (F.lit(1) + F.pmod("fn", F.lit(10)))).alias("learning_rate"),
+                      F.when(F.pmod("tp", F.lit(2)) == 0, F.lit("[4, 12]")).otherwise(F.lit("[4, 12, 24]")).alias("rolling_windows"))
+    doc = F.to_json(F.create_map(F.concat_ws("_", "horizon", "event"), F.struct(params.alias("params"), F.col("mcc").alias("mcc"))))
+    return r.filter(F.col("mcc") > 0).select("model", run.alias("run_folder"), doc.alias("doc"))
+
+
+def _parsed_settings(docs):
+    """Parse documents, explode the key map, parse string lists."""
+    schema = "map<string, struct<params: struct<max_depth: int, learning_rate: double, rolling_windows: string>, mcc: double>>"
+    d = docs.select("model", "run_folder", F.explode(F.from_json("doc", schema)).alias("key", "v"))
+    return d.select("model", "run_folder", "key", F.col("v.params.max_depth").alias("max_depth"),
+                    F.col("v.params.learning_rate").alias("learning_rate"),
+                    F.from_json(F.col("v.params.rolling_windows"), "array<int>").alias("rolling_windows"),
+                    F.col("v.mcc").alias("mcc"))
+
+
+@query("settings_lookup")
+def q_settings_lookup(spark, sf):
+    """S6 + S7: newest run folder per model, tuned values per experiment,
+    defaults field by field where nothing was tuned (left join + coalesce)."""
+    s = _parsed_settings(_settings_docs(spark, sf))
+    newest = s.groupBy("model").agg(F.max("run_folder").alias("run_folder"))
+    s = s.join(newest, ["model", "run_folder"], "left_semi")
+    exps = V.result_cells(spark, sf).select("horizon", "event", "model").distinct() \
+        .withColumn("key", F.concat_ws("_", "horizon", "event"))
+    j = exps.join(s, ["model", "key"], "left")
+    return _r6all(j.select("model", "horizon", "event",
+                           F.coalesce("max_depth", F.lit(6)).alias("max_depth"),
+                           F.coalesce("learning_rate", F.lit(0.05)).alias("learning_rate"),
+                           F.array_join(F.coalesce("rolling_windows", F.array(*[F.lit(x) for x in fe.ROLLING_WINDOWS])), ",")
+                           .alias("rolling_windows"),
+                           F.col("run_folder").isNotNull().alias("tuned")))
+
+
+@query("latest_settings")
+def q_latest_settings(spark, sf):
+    """Append-only settings rows; the latest per (model, key) wins."""
+    s = _parsed_settings(_settings_docs(spark, sf))
+    w = Window.partitionBy("model", "key").orderBy(F.col("run_folder").desc())
+    return _r6all(s.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
+                  .select("model", "key", "run_folder", "mcc", "max_depth"))
+
+
+# ---------------------------------------------------------------- projections, gates, reshapes
+from squall.operators import clean as cl  # noqa: E402
+
+
+@query("clean_projection")
+def q_clean_projection(spark, sf):
+    """Labelled-table clean-up on the event readings —
+    half-open time range and series subset (both pushed to the scan), text
+    to number / bool, suffix drops, keys first, numeric features by name
+    rules; the keys travel in the row (no index join)."""
+    e = V.table(spark, sf, "events")
+    e = cl.time_range(e, "ts", "2024-01-05 00:00:00", "2024-01-25 00:00:00")
+    e = cl.series_subset(e, "event_type", ["click", "view", "purchase"])
+    d = e.select(F.col("user_id").alias("series"), "ts", F.col("event_type").alias("var"), "value",
+                 cl.to_numeric(F.get_json_object("props", "$.k")).alias("k"),
+                 F.when(F.col("value") > 100, F.lit("True")).otherwise(F.lit("False")).alias("flag_text"),
+                 F.lit(0.0).alias("event_x_duration_min"), F.lit(False).alias("event_x_meets_duration"))
+    d = cl.drop_by_suffix(d)
+    d = cl.reorder_columns(d, ["series", "ts"])
+    feats = cl.select_features(d, exclude=("series",))
+    return d.select("series", "ts", "var", *feats, cl.bool_to_int(cl.text_to_bool(F.col("flag_text"))).alias("flag"))
+
+
+@query("experiment_gate")
+def q_experiment_gate(spark, sf):
+    """A4: samples, positives, rate and skip reason per experiment (variable)."""
+    o = V.obs(spark, sf).withColumn("label", F.col("value") > F.lit(100.0))
+    return _r6all(rp.experiment_gate(o, ["var"], "label", 100, 10))
+
+
+@query("unpivot_events")
+def q_unpivot_events(spark, sf):
+    """Labelled event flags to (series, ts, event, flag) rows."""
+    lab = _labels(spark, sf)
+    cols = [f"event_{r.name}" for r in GRID_RULES]
+    return rs.unpivot_wide(lab.select("series", "ts", *cols), ["series", "ts"], cols, "event", "flag")
+
+
+@query("long_results_pivot")
+def q_long_results_pivot(spark, sf):
+    """R3 + R4: long metric rows pivoted back to one column per model x metric."""
+    long = rp.long_metrics(V.results(spark, sf), ["horizon", "event", "model", "split"], ["f1", "mcc"], with_cells=False)
+    p = (long.withColumn("_c", F.concat_ws("_", "model", "metric"))
+         .groupBy("horizon", "event", "split")
+         .pivot("_c", [f"{m}_{x}" for m in MODEL_NAMES for x in ("f1", "mcc")]).agg(F.first("value")))
+    return _r6all(p)
+
+
+# ---------------------------------------------------------------- sorts, limits, sets
+@query("topk_per_group")
+def q_topk_per_group(spark, sf):
+    """K3: three most important features per tower."""
+    t = im.top_k_per_group(V.importance(spark, sf), ["tower"], [F.col("importance").desc(), F.col("feature").asc()], 3)
+    return _r6all(t)
+
+
+@query("top_n")
+def q_top_n(spark, sf):
+    """K1 + K2: the ten most important rows overall (a top-k report)."""
+    return _r6all(V.importance(spark, sf).orderBy(F.col("importance").desc(), "feature", "tower", "event").limit(10))
+
+
+@query("argmax_row")
+def q_argmax_row(spark, sf):
+    """K4: the most important feature per event (first name on ties)."""
+    return _r6all(im.argmax_rows(V.importance(spark, sf).select("event", "feature", "importance"),
+                                 ["event"], "importance", "feature"))
+
+
+@query("union_all")
+def q_union_all(spark, sf):
+    """K5: union by name where one side has an extra column."""
+    g = V.grid(spark, sf)
+    a = g.filter(F.col("series").isin("click", "error")).withColumn("note", F.lit("first"))
+    b = g.filter(~F.col("series").isin("click", "error"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query("distinct_values")
+def q_distinct_values(spark, sf):
+    """K6: distinct towers per event (exact count and sorted list)."""
+    return V.importance(spark, sf).groupBy("event").agg(
+        F.countDistinct("tower").alias("n_towers"),
+        F.array_join(F.array_sort(F.collect_set("tower")), ",").alias("towers"))
+
+
+@query("sample_rows")
+def q_sample_rows(spark, sf):
+    """Exactly 500 readings chosen by a seeded hash, sorted by time."""
+    return cl.sample_rows(V.obs(spark, sf), 500, 42, ["series", "ts", "var"], ["ts", "series"])
+
+
+# ---------------------------------------------------------------- sources and sinks
+from squall.session import shared_dir  # noqa: E402
+from squall.sources import io as sio  # noqa: E402
+
+
+@query("io_roundtrip")
+def q_io_roundtrip(spark, sf):
+    """S1 + S5 + S8: the grid written as raw tower CSVs (one folder per
+    series, compact times, sentinel for NULL, a footer line) into a fresh
+    folder under the shared checkpoint folder, read back with an explicit
+    schema, the series taken from the file path."""
+    base = shared_dir(spark, "io_roundtrip")
+    g = V.grid(spark, sf)
+    sio.write_tower_csv(g, f"{base}/towers", "ts", ["temp", "peak", "n"], "series")
+    back = sio.read_tower_csv(spark, f"{base}/towers", ["temp", "peak", "n"], tower_pattern=r"series=([^/]+)/")
+    return back.select(F.col("tower").alias("series"), "ts", "temp", "peak", F.col("n").cast("long").alias("n"))
+
+
+@query("metadata_roundtrip")
+def q_metadata_roundtrip(spark, sf):
+    """S4 + S9: station metadata written as nested JSON documents (one map
+    per region) and read back by exploding the map; the run configuration
+    is written as one JSON document alongside."""
+    base = shared_dir(spark, "metadata_roundtrip")
+    s = _stations(spark, sf).select("tower", "lat", "lon", "easting", "northing", "elevation_m", "height_m",
+                                    "terrain_type", "region")
+    sio.write_station_metadata(s, f"{base}/stations")
+    sio.write_run_config(spark, {"rules": [r.name for r in GRID_RULES], "horizons": V.HORIZONS}, f"{base}/config")
+    back = sio.read_station_metadata(spark, f"{base}/stations")
+    return _r6all(back.select("tower", "lat", "lon", "elevation_m", "height_m", "terrain_type", "region"))

@@ -138,3 +138,36 @@ def aux(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+
+
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run-log lines (file, line_no, line) written from the score table in
+    the writer's layout: headers, confusion matrix and importance lines
+    before '<MODEL> Results:', CV and test lines after it."""
+    from squall.operators.logs import fixed6
+    from squall.operators.report import horizon_table, with_rates
+    r = with_rates(results(spark, sf_dir))
+    ht = horizon_table(results(spark, sf_dir), "horizon", "event", "model", "split")
+    cells = r.filter(F.col("split") == "test").select("horizon", "event", "model", "tn", "fp", "fn", "tp", "kappa")
+    b = ht.join(cells, ["horizon", "event", "model"], "inner")
+    lines = F.array(
+        F.concat(F.lit("FORECAST HORIZON: "), F.col("horizon")),
+        F.concat(F.lit("EVENT: "), F.col("event")),
+        F.lit("Confusion Matrix:"),
+        F.format_string("  TN= %,d | FP= %,d", F.col("tn"), F.col("fp")),
+        F.format_string("  FN= %,d | TP= %,d", F.col("fn"), F.col("tp")),
+        F.lit("Top 20 Most Important Features (SHAP):"),
+        F.concat(F.lit("  1. f1 : "), fixed6(F.col("test_f1"))),
+        F.concat(F.lit("  2. mcc : "), fixed6(F.col("test_mcc"))),
+        F.concat(F.lit("  3. kappa : "), fixed6(F.col("kappa"))),
+        F.concat(F.upper(F.col("model")), F.lit(" Results:")),
+        F.concat(F.lit("  CV: AUC="), fixed6(F.col("cv_auc")), F.lit(", F1="), fixed6(F.col("cv_f1")),
+                 F.lit(", MCC="), fixed6(F.col("cv_mcc"))),
+        F.concat(F.lit("  Test: AUC="), fixed6(F.col("test_auc")), F.lit(", F1="), fixed6(F.col("test_f1")),
+                 F.lit(", MCC="), fixed6(F.col("test_mcc"))))
+    order = F.array_position(F.array(*[F.lit(h) for h in HORIZONS]), F.col("horizon"))
+    from pyspark.sql import Window
+    blk = F.row_number().over(Window.orderBy(order, "event", "model"))   # one row per experiment
+    b = b.select(blk.alias("_b"), lines.alias("_lines"))
+    return b.select("_b", F.lit("run.log").alias("file"), F.posexplode("_lines").alias("_p", "line")).select(
+        "file", (F.col("_b") * 100 + F.col("_p")).cast("long").alias("line_no"), "line")
