@@ -162,7 +162,7 @@ def best_threshold_fbeta(df: DataFrame, keys: Sequence[str], score: str, label:
 
 
 def assign_folds(df: DataFrame, order: Sequence[str], ts: str, k: int,
-                 keys: Sequence[str] = (), block_seconds: int = 30 * 86400) -> DataFrame:
+                 keys: Sequence[str] = (), block_seconds: int = 3600) -> DataFrame:
     """Expanding-window time-series folds.  With n rows and t = n div
     (k+1), fold j (1..k) tests positions [n-(k-j+1)t, n-(k-j)t) and trains
     on every earlier position.  Adds ``_pos``, ``n_rows`` and ``test_fold``

@@ -1034,3 +1034,89 @@ def q_metadata_roundtrip(spark, sf):
     sio.write_run_config(spark, {"rules": [r.name for r in GRID_RULES], "horizons": V.HORIZONS}, f"{base}/config")
     back = sio.read_station_metadata(spark, f"{base}/stations")
     return _r6all(back.select("tower", "lat", "lon", "elevation_m", "height_m", "terrain_type", "region"))
+
+
+# ---------------------------------------------------------------- Spark ML jobs (rows-only checks)
+from squall.operators import model as ml  # noqa: E402
+
+ML_LAGS = [1, 2, 4]
+ML_FOLDS = 3
+ML_HORIZON = 2
+
+
+def _ml_features(spark, sf):
+    """Per (series, variable): value, lags, rolling mean/std, differences and
+    the target 'value > 100' two readings ahead — one window pass; then
+    calendar encodings."""
+    o = V.obs(spark, sf).withColumn("event", (F.col("value") > F.lit(100.0)).cast("int"))
+    d = fe.temporal_features(o, OBS_KEYS, "ts", ["value"], lags=ML_LAGS, windows=[4], stats=["mean", "std"],
+                             diffs=True, leads={"target": ("event", ML_HORIZON)})
+    d = fe.cyclic_time(d, "ts")
+    names = ["value", *[f"value_lag{k}" for k in ML_LAGS], "value_roll4_mean", "value_roll4_std",
+             "value_diff1", "value_diff2", "hour_sin", "hour_cos"]
+    return d, names
+
+
+def _prepared(spark, sf):
+    d, names = _ml_features(spark, sf)
+    return ml.prepare(d, names, "target", ["ts", "series", "var"], "ts", ML_FOLDS), names
+
+
+@query("gbt_cross_validate")
+def q_gbt_cross_validate(spark, sf):
+    """M3 + M4 + M1 + M5 + M7-M10: expanding-window CV of boosted trees with
+    balanced weights and early stopping; metrics per fold at the best-F1
+    threshold."""
+    d, _ = _prepared(spark, sf)
+    m = ml.cross_validate(d, ML_FOLDS, ml.TreeSettings(max_iter=10, max_depth=3))
+    return _r6all(m.select("fold", "threshold", "tp", "fp", "fn", "tn", "accuracy", "balanced_accuracy", "precision",
+                           "recall", "f1", "specificity", "mcc", "kappa", "roc_auc", "average_precision"))
+
+
+def _first_fold_model(spark, sf):
+    d, names = _prepared(spark, sf)
+    lo, _ = evl.fold_bounds(F.col("n_rows"), ML_FOLDS, 1)
+    model = ml.gbt(ml.TreeSettings(max_iter=10, max_depth=3), "features", "is_val").fit(ml.weighted_train(d, lo))
+    return d, names, model
+
+
+@query("gbt_importance")
+def q_gbt_importance(spark, sf):
+    """M11 + W18: gain importance of the first fold's model by feature name,
+    ranked, percent of total, top 20."""
+    _, names, model = _first_fold_model(spark, sf)
+    imp = spark.createDataFrame(ml.tree_importance(model, names), "feature string, importance double") \
+        .withColumn("model", F.lit("gbt"))
+    return _r6all(im.rank_features(imp, ["model"], top_n=20))
+
+
+@query("permutation_importance")
+def q_permutation_importance(spark, sf):
+    """AUC drop per permuted feature on the first test fold."""
+    d, names, model = _first_fold_model(spark, sf)
+    return _r6all(ml.permutation_importance(model, d.filter(F.col("test_fold") == 1), names))
+
+
+SEARCH_TRIALS = [{"lags": [1, 2], "max_depth": 2}, {"lags": [1, 2], "max_depth": 3},
+                 {"lags": [1, 2, 4], "max_depth": 2}, {"lags": [1, 2, 4], "max_depth": 3}]
+
+
+@query("search_settings")
+def q_search_settings(spark, sf):
+    """Every trial (lag set x depth) scored by mean CV MCC on features
+    built once and sliced per trial; the best trial is flagged."""
+    d, names = _prepared(spark, sf)
+    base = [n for n in names if "_lag" not in n]
+    out = []
+    for i, t in enumerate(SEARCH_TRIALS):
+        keep = base + [f"value_lag{k}" for k in t["lags"]]
+        dt = ml.slice_features(d, names, keep, "fx")
+        cv = ml.cross_validate(dt, ML_FOLDS, ml.TreeSettings(max_iter=5, max_depth=t["max_depth"]), "fx")
+        out.append(cv.agg(F.avg("mcc").alias("mean_mcc"), F.stddev_pop("mcc").alias("std_mcc"))
+                   .select(F.lit(i).alias("trial"), F.lit(",".join(map(str, t["lags"]))).alias("lags"),
+                           F.lit(t["max_depth"]).alias("max_depth"), "mean_mcc", "std_mcc"))
+    res = out[0]
+    for r in out[1:]:
+        res = res.unionByName(r)
+    w = Window.orderBy(F.col("mean_mcc").desc(), F.col("trial").asc())
+    return _r6all(res.withColumn("best", F.row_number().over(w) == 1))
