@@ -684,7 +684,7 @@ SELECT tower, aspect_deg, dist_to_ridge_m, canopy_cover_pct, soil_type, land_use
        {R('total_height_m', 'total_height_m')} FROM stations"""
 
 V_PROFILE = V_RANKED + ",\n" + V_STATION + """,
-top AS (SELECT tower, event, sum(importance_pct) AS top5_importance, arg_min(feature, rank) AS top1_feature,
+top AS (SELECT tower, event, round(sum(importance_pct), 9) AS top5_importance, arg_min(feature, rank) AS top1_feature,
    arg_min(importance_pct, rank) AS top1_importance FROM ranked WHERE rank <= 5 GROUP BY 1, 2),
 profile AS (SELECT t.event, t.tower, t.top5_importance, t.top1_feature, t.top1_importance, s.elevation_m, s.height_m,
    s.total_height_m, s.slope_deg, s.canopy_cover_pct, s.terrain_type, s.dist_from_center_km, s.lat, s.lon
@@ -700,7 +700,7 @@ SQL["station_profile"] = with_(V_PROFILE) + "SELECT event, tower, " + ", ".join(
 def _spearman(geo: str) -> str:
     rx = f"(SELECT event, {geo} AS v, count(*) OVER (PARTITION BY event ORDER BY {geo} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (count(*) OVER (PARTITION BY event, {geo}) - 1) / 2.0 AS rx FROM profile)"
     return f"""SELECT event, '{geo}' AS variable, n, r AS spearman_r,
-  CASE WHEN abs(r) < 1 THEN {_t_p_sql('r * sqrt((n - 2)::DOUBLE / (1.0 - r * r))', '(n - 2)')} ELSE 0.0 END AS p_value FROM (
+  CASE WHEN abs(r) < 1 THEN {_t_p_sql('r * sqrt((n - 2)::DOUBLE / (1.0 - r * r))', '(n - 2)')} WHEN r IS NOT NULL THEN 0.0 END AS p_value FROM (
   SELECT event, count(*) AS n, CASE WHEN count(*) * sum(rx * rx) - sum(rx) * sum(rx) > 0 AND count(*) * sum(ry * ry) - sum(ry) * sum(ry) > 0
      THEN (count(*) * sum(rx * ry) - sum(rx) * sum(ry)) / sqrt((count(*) * sum(rx * rx) - sum(rx) * sum(rx)) * (count(*) * sum(ry * ry) - sum(ry) * sum(ry))) END AS r
   FROM (SELECT p.event, (SELECT DISTINCT rx FROM {rx} q WHERE q.event = p.event AND q.v = p.{geo}) AS rx,

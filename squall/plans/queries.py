@@ -676,8 +676,9 @@ def _profile(spark, sf):
     feature, joined to the station dimension (towers without a station are
     skipped by the inner join)."""
     r = im.rank_features(V.importance(spark, sf), ["tower", "event"], top_n=5)
+    # rounded to 9 places so float summation noise cannot break rank ties
     top = r.groupBy("tower", "event").agg(
-        F.sum("importance_pct").alias("top5_importance"),
+        F.round(F.sum("importance_pct"), 9).alias("top5_importance"),
         F.min(F.when(F.col("rank") == 1, F.struct(F.col("feature"), F.col("importance_pct")))).alias("_t1"))
     st_ = _stations(spark, sf).select("tower", "elevation_m", "height_m", "total_height_m", "slope_deg",
                                       "canopy_cover_pct", "terrain_type", "dist_from_center_km", "lat", "lon")
@@ -707,7 +708,7 @@ def q_spearman_geo(spark, sf):
         t = r * F.sqrt((n - 2).cast("double") / (F.lit(1.0) - r * r))
         pv = rp.t_two_sided_p(t, (n - 2).cast("int"))
         out.append(g.filter(n >= 3).select("event", F.lit(geo).alias("variable"), n.alias("n"), r.alias("spearman_r"),
-                                          F.when(F.abs(r) < 1, pv).otherwise(F.lit(0.0)).alias("p_value")))
+                                          F.when(F.abs(r) < 1, pv).when(r.isNotNull(), F.lit(0.0)).alias("p_value")))
     u = out[0].unionByName(out[1])
     stars = (F.when(F.col("p_value") < 0.001, F.lit("***")).when(F.col("p_value") < 0.01, F.lit("**"))
              .when(F.col("p_value") < 0.05, F.lit("*")).otherwise(F.lit("ns")))
