@@ -195,6 +195,10 @@ SELECT tower, (floor(null_pct / 10) * 10)::INT AS band_low, (floor(null_pct / 10
        count(*) AS n_columns, array_to_string(list_sort(list("column")), ',') AS columns
 FROM nprof WHERE null_pct < 100 GROUP BY 1, 2, 3"""
 
+SQL["keep_columns_below"] = with_(V_NULLPROF) + """
+SELECT tower, count(*) AS n_kept, array_to_string(list_sort(list("column")), ',') AS kept_columns
+FROM nprof WHERE null_pct < 100 AND (floor(null_pct / 10) + 1) * 10 <= 30 GROUP BY tower"""
+
 SQL["columns_below_threshold"] = with_(V_NULLPROF) + """
 SELECT count(*) FILTER (WHERE null_pct = 0) AS n_cols_0,
        count(*) FILTER (WHERE null_pct > 0 AND null_pct <= 20) AS n_cols_0_20,

@@ -199,6 +199,12 @@ def q_null_bands(spark, sf):
     return rs.null_bands(_null_profile(spark, sf), ["tower"])
 
 
+@query("keep_columns_below")
+def q_keep_columns_below(spark, sf):
+    """Per tower, the columns whose NULL band's upper edge is <= 30 %."""
+    return rs.keep_columns_below(_null_profile(spark, sf), 30.0, ["tower"])
+
+
 @query("columns_below_threshold")
 def q_columns_below(spark, sf):
     """Columns kept at <= 80 % NULL and the band counts."""
@@ -848,6 +854,7 @@ def q_tile_index(spark, sf):
 
 # ---------------------------------------------------------------- logs and settings
 from squall.operators import logs as lg  # noqa: E402
+from squall.operators import settings as so  # noqa: E402
 
 
 @query("run_log_metrics")
@@ -876,40 +883,25 @@ def _settings_docs(spark, sf):
     return r.filter(F.col("mcc") > 0).select("model", run.alias("run_folder"), doc.alias("doc"))
 
 
-def _parsed_settings(docs):
-    """Parse documents, explode the key map, parse string lists."""
-    schema = "map<string, struct<params: struct<max_depth: int, learning_rate: double, rolling_windows: string>, mcc: double>>"
-    d = docs.select("model", "run_folder", F.explode(F.from_json("doc", schema)).alias("key", "v"))
-    return d.select("model", "run_folder", "key", F.col("v.params.max_depth").alias("max_depth"),
-                    F.col("v.params.learning_rate").alias("learning_rate"),
-                    F.from_json(F.col("v.params.rolling_windows"), "array<int>").alias("rolling_windows"),
-                    F.col("v.mcc").alias("mcc"))
-
-
 @query("settings_lookup")
 def q_settings_lookup(spark, sf):
     """S6 + S7: newest run folder per model, tuned values per experiment,
     defaults field by field where nothing was tuned (left join + coalesce)."""
-    s = _parsed_settings(_settings_docs(spark, sf))
-    newest = s.groupBy("model").agg(F.max("run_folder").alias("run_folder"))
-    s = s.join(newest, ["model", "run_folder"], "left_semi")
+    s = so.newest_run(so.parse_settings(_settings_docs(spark, sf)))
     exps = V.result_cells(spark, sf).select("horizon", "event", "model").distinct() \
         .withColumn("key", F.concat_ws("_", "horizon", "event"))
-    j = exps.join(s, ["model", "key"], "left")
-    return _r6all(j.select("model", "horizon", "event",
-                           F.coalesce("max_depth", F.lit(6)).alias("max_depth"),
-                           F.coalesce("learning_rate", F.lit(0.05)).alias("learning_rate"),
-                           F.array_join(F.coalesce("rolling_windows", F.array(*[F.lit(x) for x in fe.ROLLING_WINDOWS])), ",")
-                           .alias("rolling_windows"),
-                           F.col("run_folder").isNotNull().alias("tuned")))
+    defaults = {"max_depth": F.lit(6), "learning_rate": F.lit(0.05),
+                "rolling_windows": F.array(*[F.lit(x) for x in fe.ROLLING_WINDOWS])}
+    j = so.lookup(exps, s, ["model", "key"], defaults)
+    return _r6all(j.select("model", "horizon", "event", "max_depth", "learning_rate",
+                           F.array_join("rolling_windows", ",").alias("rolling_windows"), "tuned"))
 
 
 @query("latest_settings")
 def q_latest_settings(spark, sf):
     """Append-only settings rows; the latest per (model, key) wins."""
-    s = _parsed_settings(_settings_docs(spark, sf))
-    w = Window.partitionBy("model", "key").orderBy(F.col("run_folder").desc())
-    return _r6all(s.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
+    s = so.parse_settings(_settings_docs(spark, sf))
+    return _r6all(so.latest_per_key(s, ["model", "key"], "run_folder")
                   .select("model", "key", "run_folder", "mcc", "max_depth"))
 
 
@@ -919,7 +911,7 @@ from squall.operators import clean as cl  # noqa: E402
 
 @query("clean_projection")
 def q_clean_projection(spark, sf):
-    """Labelled-table clean-up on the event readings —
+    """Labelled-table clean-up on the event readings —
     half-open time range and series subset (both pushed to the scan), text
     to number / bool, suffix drops, keys first, numeric features by name
     rules; the keys travel in the row (no index join)."""
@@ -932,7 +924,7 @@ def q_clean_projection(spark, sf):
                  F.lit(0.0).alias("event_x_duration_min"), F.lit(False).alias("event_x_meets_duration"))
     d = cl.drop_by_suffix(d)
     d = cl.reorder_columns(d, ["series", "ts"])
-    feats = cl.select_features(d, exclude=("series",))
+    feats = rs.drop_all_null_columns(d, cl.select_features(d, exclude=("series",)))   # P3 + P9
     return d.select("series", "ts", "var", *feats, cl.bool_to_int(cl.text_to_bool(F.col("flag_text"))).alias("flag"))
 
 
