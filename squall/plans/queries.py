@@ -131,8 +131,8 @@ def _union_masks(spark, sf):
             name = f"_m_{rule.name}_{s}"
             exprs.append(rule_mask(rule, cols).alias(name))
             masks[name] = GRID_STEPS[rule.name]
-    d = w.select("ts", *exprs)
-    dm = ev.duration_mask(d, [], "ts", masks, block_rows=256)
+    d = w.select("*", *exprs)
+    dm = ev.duration_mask(d, [], "ts", masks, block_rows=256)      # keeps every wide column
     out = []
     for rule in GRID_RULES:
         cs = [F.col(f"_m_{rule.name}_{s}_dur") for s in V.SERIES]
@@ -140,7 +140,7 @@ def _union_masks(spark, sf):
         for c in cs[1:]:
             acc = acc | c
         out.append(acc.alias(f"event_{rule.name}"))
-    return w.join(dm.select("ts", *out), "ts")
+    return dm.select(*w.columns, *out)
 
 
 @query("duration_mask_union")
