@@ -23,9 +23,11 @@ def category_of(feature: Column) -> Column:
 
 
 def family_of(feature: Column) -> Column:
-    """Lag / Rolling / Raw by substring."""
-    return (F.when(feature.contains("_lag"), F.lit("Lag"))
-            .when(feature.contains("_roll"), F.lit("Rolling")).otherwise(F.lit("Raw")))
+    """Feature family by case-insensitive substring ('lag' first,
+    then 'roll'); labels are the reference's."""
+    f = F.lower(feature)
+    return (F.when(f.contains("lag"), F.lit("Lag Features"))
+            .when(f.contains("roll"), F.lit("Rolling Statistics")).otherwise(F.lit("Raw Features")))
 
 
 def rank_features(df: DataFrame, keys: Sequence[str], feature: str = "feature",
@@ -82,7 +84,8 @@ def category_importance(df: DataFrame, by: str, top: int = 15, feature: str = "f
     ``top`` categories (left-semi join with the top list)."""
     c = df.withColumn("category", category_of(F.col(feature)))
     tot = c.groupBy("category").agg(F.sum(importance).alias("total_importance"),
-                                    F.avg(importance).alias("mean_importance"), F.count(F.lit(1)).alias("n_features"))
+                                    F.avg(importance).alias("mean_importance"),
+                                    F.stddev_samp(importance).alias("std_importance"), F.count(F.lit(1)).alias("n_features"))
     w = Window.orderBy(F.col("total_importance").desc(), F.col("category").asc())
     ranked = tot.withColumn("category_rank", F.row_number().over(w)).filter(F.col("category_rank") <= top)
     cell = c.groupBy("category", by).agg(F.sum(importance).alias("cell_importance"))

@@ -565,56 +565,59 @@ V_IMP = """imp AS (SELECT replace(p_name, ' ', '_') || '_' || lpad(p_size::VARCH
         ELSE '_roll' || ((p_size % 24) + 1)::VARCHAR || '_mean' END AS feature,
    p_brand AS tower, p_type AS event, p_retailprice AS importance FROM part)"""
 
-SQL["global_importance"] = with_(V_IMP) + f"""
-SELECT feature, {R('avg(importance)', 'mean')}, {R('stddev_samp(importance)', 'std')}, {R('min(importance)', 'min')},
-       {R('max(importance)', 'max')}, count(*) AS count FROM imp GROUP BY feature"""
+V_RANKED = V_IMP + """,
+ranked AS (SELECT *, row_number() OVER (PARTITION BY tower, event ORDER BY importance DESC, feature ASC) AS rank,
+   100.0 * importance / sum(importance) OVER (PARTITION BY tower, event) AS importance_pct FROM imp)"""
+
+V_FILES = V_RANKED + """,
+files AS (SELECT feature, tower, event, importance, rank, importance_pct FROM ranked WHERE rank <= 20)"""
+
+SQL["global_importance"] = with_(V_FILES) + f"""
+SELECT feature, {R('avg(importance_pct)', 'mean')}, {R('stddev_samp(importance_pct)', 'std')}, {R('min(importance_pct)', 'min')},
+       {R('max(importance_pct)', 'max')}, count(*) AS count FROM files GROUP BY feature"""
 
-SQL["importance_by_event"] = with_(V_IMP) + f"""
+SQL["importance_by_event"] = with_(V_FILES) + f"""
 SELECT event, feature, {R('mean_importance', 'mean_importance')}, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY event ORDER BY mean_importance DESC, feature ASC) AS rank
-  FROM (SELECT event, feature, avg(importance) AS mean_importance FROM imp GROUP BY 1, 2)) WHERE rank <= 10"""
+  FROM (SELECT event, feature, avg(importance_pct) AS mean_importance FROM files GROUP BY 1, 2)) WHERE rank <= 10"""
 
-SQL["category_importance"] = with_(V_IMP, """c AS (SELECT *, regexp_split_to_array(feature, '_[0-9]+m|_lag|_roll')[1] AS category FROM imp)""",
-                                   """tot AS (SELECT category, sum(importance) AS total_importance, avg(importance) AS mean_importance,
-     count(*) AS n_features FROM c GROUP BY 1)""",
+SQL["category_importance"] = with_(V_FILES, """c AS (SELECT *, regexp_split_to_array(feature, '_[0-9]+m|_lag|_roll')[1] AS category FROM files)""",
+                                   """tot AS (SELECT category, sum(importance_pct) AS total_importance, avg(importance_pct) AS mean_importance,
+     stddev_samp(importance_pct) AS std_importance, count(*) AS n_features FROM c GROUP BY 1)""",
                                    """rk AS (SELECT *, row_number() OVER (ORDER BY total_importance DESC, category ASC) AS category_rank FROM tot)""") + f"""
 SELECT x.category, x.event, {R('x.cell_importance', 'cell_importance')}, {R('rk.total_importance', 'total_importance')},
-       {R('rk.mean_importance', 'mean_importance')}, rk.n_features, rk.category_rank
-FROM (SELECT category, event, sum(importance) AS cell_importance FROM c GROUP BY 1, 2) x
+       {R('rk.mean_importance', 'mean_importance')}, {R('rk.std_importance', 'std_importance')}, rk.n_features, rk.category_rank
+FROM (SELECT category, event, sum(importance_pct) AS cell_importance FROM c GROUP BY 1, 2) x
 JOIN rk ON x.category = rk.category WHERE rk.category_rank <= 15"""
 
-SQL["family_share"] = with_(V_IMP) + f"""
-SELECT CASE WHEN contains(feature, '_lag') THEN 'Lag' WHEN contains(feature, '_roll') THEN 'Rolling' ELSE 'Raw' END AS family,
-       {R('avg(importance)', 'mean_importance')}, {R('sum(importance)', 'sum_importance')}, count(*) AS n_features
-FROM imp GROUP BY 1"""
+SQL["family_share"] = with_(V_FILES) + f"""
+SELECT CASE WHEN contains(lower(feature), 'lag') THEN 'Lag Features' WHEN contains(lower(feature), 'roll') THEN 'Rolling Statistics'
+            ELSE 'Raw Features' END AS family,
+       {R('avg(importance_pct)', 'mean_importance')}, {R('sum(importance_pct)', 'sum_importance')}, count(*) AS n_features
+FROM files GROUP BY 1"""
 
 _EVENTS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-_cells = [f"coalesce(avg(importance) FILTER (WHERE event = '{e}'), 0.0)" for e in _EVENTS]
-SQL["importance_matrix"] = with_(V_IMP) + "SELECT feature, " + ", ".join(f"imp_{e}" for e in _EVENTS) + \
+_cells = [f"coalesce(avg(importance_pct) FILTER (WHERE event = '{e}'), 0.0)" for e in _EVENTS]
+SQL["importance_matrix"] = with_(V_FILES) + "SELECT feature, " + ", ".join(f"imp_{e}" for e in _EVENTS) + \
     ", row_mean, row_number() OVER (ORDER BY row_mean_raw DESC, feature ASC) AS row_rank " \
     "FROM (SELECT feature, " + ", ".join(R(c, f"imp_{e}") for c, e in zip(_cells, _EVENTS)) + \
     ", " + R("(" + " + ".join(_cells) + f") / {float(len(_EVENTS))}", "row_mean") + \
-    ", (" + " + ".join(_cells) + f") / {float(len(_EVENTS))} AS row_mean_raw FROM imp GROUP BY feature)"
-
-V_RANKED = V_IMP + """,
-ranked AS (SELECT *, row_number() OVER (PARTITION BY tower, event ORDER BY importance DESC, feature ASC) AS rank,
-   100.0 * importance / sum(importance) OVER (PARTITION BY tower, event) AS importance_pct FROM imp)"""
+    ", (" + " + ".join(_cells) + f") / {float(len(_EVENTS))} AS row_mean_raw FROM files GROUP BY feature)"
 
-SQL["rank_features"] = with_(V_RANKED) + f"""
-SELECT feature, tower, event, {R('importance', 'importance')}, rank, {R('importance_pct', 'importance_pct')}
-FROM ranked WHERE rank <= 20"""
+SQL["rank_features"] = with_(V_FILES) + f"""
+SELECT feature, tower, event, {R('importance', 'importance')}, rank, {R('importance_pct', 'importance_pct')} FROM files"""
 
-SQL["box_stats"] = with_(V_IMP, """q AS (SELECT event, quantile_cont(importance, 0.25) AS q1, quantile_cont(importance, 0.5) AS median,
-   quantile_cont(importance, 0.75) AS q3 FROM imp GROUP BY event)""") + f"""
+SQL["box_stats"] = with_(V_FILES, """q AS (SELECT event, quantile_cont(importance_pct, 0.25) AS q1, quantile_cont(importance_pct, 0.5) AS median,
+   quantile_cont(importance_pct, 0.75) AS q3 FROM files GROUP BY event)""") + f"""
 SELECT i.event, {R('q.q1', 'q1')}, {R('q.median', 'median')}, {R('q.q3', 'q3')}, {R('q.q3 - q.q1', 'iqr')},
-  {R('min(importance) FILTER (WHERE importance >= q.q1 - 1.5 * (q.q3 - q.q1))', 'whisker_low')},
-  {R('max(importance) FILTER (WHERE importance <= q.q3 + 1.5 * (q.q3 - q.q1))', 'whisker_high')},
-  count(*) FILTER (WHERE importance < q.q1 - 1.5 * (q.q3 - q.q1) OR importance > q.q3 + 1.5 * (q.q3 - q.q1)) AS n_outliers,
+  {R('min(importance_pct) FILTER (WHERE importance_pct >= q.q1 - 1.5 * (q.q3 - q.q1))', 'whisker_low')},
+  {R('max(importance_pct) FILTER (WHERE importance_pct <= q.q3 + 1.5 * (q.q3 - q.q1))', 'whisker_high')},
+  count(*) FILTER (WHERE importance_pct < q.q1 - 1.5 * (q.q3 - q.q1) OR importance_pct > q.q3 + 1.5 * (q.q3 - q.q1)) AS n_outliers,
   count(*) AS n
-FROM imp i JOIN q ON i.event = q.event GROUP BY i.event, q.q1, q.median, q.q3"""
+FROM files i JOIN q ON i.event = q.event GROUP BY i.event, q.q1, q.median, q.q3"""
 
-SQL["series_importance"] = with_(V_IMP) + f"""
-SELECT tower, {R('sum(importance)', 'total_importance')}, count(*) AS n_features FROM imp GROUP BY tower"""
+SQL["series_importance"] = with_(V_FILES) + f"""
+SELECT tower, {R('sum(importance_pct)', 'total_importance')}, count(*) AS n_features FROM files GROUP BY tower"""
 
 
 def _utm_sql(east: str, north: str, zone: int = 16) -> tuple[str, str]:
@@ -884,24 +887,24 @@ SQL["long_results_pivot"] = V_RESULTS + " SELECT horizon, event, split, " + ", "
     R(f"max({x}) FILTER (WHERE model = '{m}')", f"{m}_{x}") for m in ("lightgbm", "xgboost") for x in ("f1", "mcc")
 ) + " FROM results GROUP BY 1, 2, 3"
 
-SQL["topk_per_group"] = with_(V_IMP) + """
-SELECT feature, tower, event, round(importance, 6) + 0.0 AS importance, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY tower ORDER BY importance DESC, feature ASC) AS rank FROM imp) WHERE rank <= 3"""
+SQL["topk_per_group"] = with_(V_FILES) + """
+SELECT feature, tower, event, round(importance_pct, 6) + 0.0 AS importance_pct, k AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY tower ORDER BY importance_pct DESC, feature ASC, event ASC) AS k FROM files) WHERE k <= 3"""
 
-SQL["top_n"] = with_(V_IMP) + """
-SELECT feature, tower, event, round(importance, 6) + 0.0 AS importance FROM imp
-ORDER BY importance DESC, feature, tower, event LIMIT 10"""
+SQL["top_n"] = with_(V_FILES) + """
+SELECT feature, tower, event, round(importance_pct, 6) + 0.0 AS importance_pct FROM files
+ORDER BY importance_pct DESC, feature, tower, event LIMIT 10"""
 
-SQL["argmax_row"] = with_(V_IMP) + """
-SELECT event, min(feature) AS feature, round(max(importance), 6) + 0.0 AS importance FROM imp
-WHERE (event, importance) IN (SELECT (event, max(importance)) FROM imp GROUP BY event) GROUP BY event"""
+SQL["argmax_row"] = with_(V_FILES, "m AS (SELECT event, feature, avg(importance_pct) AS mean_importance FROM files GROUP BY 1, 2)") + """
+SELECT event, min(feature) AS feature, round(max(mean_importance), 6) + 0.0 AS mean_importance FROM m
+WHERE (event, mean_importance) IN (SELECT (event, max(mean_importance)) FROM m GROUP BY event) GROUP BY event"""
 
 SQL["union_all"] = with_(V_GRID) + """
 SELECT series, ts, temp, peak, n, CASE WHEN series IN ('click', 'error') THEN 'first' END AS note FROM grid"""
 
-SQL["distinct_values"] = with_(V_IMP) + """
+SQL["distinct_values"] = with_(V_FILES) + """
 SELECT event, count(DISTINCT tower) AS n_towers, array_to_string(list_sort(list(DISTINCT tower)), ',') AS towers
-FROM imp GROUP BY event"""
+FROM files GROUP BY event"""
 
 SQL["io_roundtrip"] = with_(V_GRID) + "SELECT series, ts, temp, peak, n FROM grid"
 

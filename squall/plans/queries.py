@@ -575,56 +575,64 @@ from squall.operators import importance as im  # noqa: E402
 from squall.operators import stations as gs  # noqa: E402
 
 
+def _files(spark, sf):
+    """The per-(tower, event) importance files: top 20 by importance with
+    rank and percent of the group total (W18), as the roll-ups read them."""
+    return im.rank_features(V.importance(spark, sf), ["tower", "event"], top_n=20)
+
+
+PCT = "importance_pct"
+
+
 @query("global_importance")
 def q_global_importance(spark, sf):
-    """Per feature mean, sample std, min, max, count."""
-    return _r6all(im.global_importance(V.importance(spark, sf)))
+    """Per feature mean, sample std, min, max, count of importance %."""
+    return _r6all(im.global_importance(_files(spark, sf), importance=PCT))
 
 
 @query("importance_by_event")
 def q_importance_by_event(spark, sf):
-    """A20 + K3: top 10 features by mean importance per event."""
-    return _r6all(im.importance_by(V.importance(spark, sf), "event", 10))
+    """A20 + K3: top 10 features by mean importance % per event."""
+    return _r6all(im.importance_by(_files(spark, sf), "event", 10, importance=PCT))
 
 
 @query("category_importance")
 def q_category_importance(spark, sf):
     """A21 + J7: category totals and the category x event matrix of the top 15."""
-    return _r6all(im.category_importance(V.importance(spark, sf), "event", 15))
+    return _r6all(im.category_importance(_files(spark, sf), "event", 15, importance=PCT))
 
 
 @query("family_share")
 def q_family_share(spark, sf):
-    """Lag / Rolling / Raw importance share."""
-    return _r6all(im.family_share(V.importance(spark, sf)))
+    """Lag / rolling / raw share of importance %."""
+    return _r6all(im.family_share(_files(spark, sf), importance=PCT))
 
 
 @query("importance_matrix")
 def q_importance_matrix(spark, sf):
-    """Feature x event mean importance (missing 0), ordered by row mean.
-    Pivot values are the distinct events (a tiny driver-side list)."""
-    imp = V.importance(spark, sf)
-    events = sorted(r[0] for r in imp.select("event").distinct().collect())
-    return _r6all(im.importance_matrix(imp, "feature", "event", events))
+    """Feature x event mean importance % (missing 0), ordered by row
+    mean.  Pivot values are the distinct events (a tiny driver-side list)."""
+    f = _files(spark, sf)
+    events = sorted(r[0] for r in V.importance(spark, sf).select("event").distinct().collect())
+    return _r6all(im.importance_matrix(f, "feature", "event", events, importance=PCT))
 
 
 @query("rank_features")
 def q_rank_features(spark, sf):
     """W18 + K2: rank, percent of total and top 20 per (tower, event)."""
-    r = im.rank_features(V.importance(spark, sf), ["tower", "event"], top_n=20)
-    return _r6all(r)
+    return _r6all(_files(spark, sf))
 
 
 @query("box_stats")
 def q_box_stats(spark, sf):
-    """Quartiles and whiskers of importance per event."""
-    return _r6all(im.box_stats(V.importance(spark, sf), "event", "importance"))
+    """Quartiles and whiskers of importance % per event."""
+    return _r6all(im.box_stats(_files(spark, sf), "event", PCT))
 
 
 @query("series_importance")
 def q_series_importance(spark, sf):
-    """Total importance per tower."""
-    return _r6all(im.total_by(V.importance(spark, sf), "tower"))
+    """Total importance % per tower."""
+    return _r6all(im.total_by(_files(spark, sf), "tower", importance=PCT))
 
 
 # ---------------------------------------------------------------- stations
@@ -957,21 +965,24 @@ def q_long_results_pivot(spark, sf):
 @query("topk_per_group")
 def q_topk_per_group(spark, sf):
     """K3: three most important features per tower."""
-    t = im.top_k_per_group(V.importance(spark, sf), ["tower"], [F.col("importance").desc(), F.col("feature").asc()], 3)
+    f = _files(spark, sf).select("feature", "tower", "event", PCT)
+    t = im.top_k_per_group(f, ["tower"], [F.col(PCT).desc(), F.col("feature").asc(), F.col("event").asc()], 3)
     return _r6all(t)
 
 
 @query("top_n")
 def q_top_n(spark, sf):
     """K1 + K2: the ten most important rows overall (a top-k report)."""
-    return _r6all(V.importance(spark, sf).orderBy(F.col("importance").desc(), "feature", "tower", "event").limit(10))
+    f = _files(spark, sf).select("feature", "tower", "event", PCT)
+    return _r6all(f.orderBy(F.col(PCT).desc(), "feature", "tower", "event").limit(10))
 
 
 @query("argmax_row")
 def q_argmax_row(spark, sf):
-    """K4: the most important feature per event (first name on ties)."""
-    return _r6all(im.argmax_rows(V.importance(spark, sf).select("event", "feature", "importance"),
-                                 ["event"], "importance", "feature"))
+    """K4: the feature with the largest mean importance % per event (first
+    name on ties)."""
+    m = _files(spark, sf).groupBy("event", "feature").agg(F.avg(PCT).alias("mean_importance"))
+    return _r6all(im.argmax_rows(m, ["event"], "mean_importance", "feature"))
 
 
 @query("union_all")
@@ -986,7 +997,7 @@ def q_union_all(spark, sf):
 @query("distinct_values")
 def q_distinct_values(spark, sf):
     """K6: distinct towers per event (exact count and sorted list)."""
-    return V.importance(spark, sf).groupBy("event").agg(
+    return _files(spark, sf).groupBy("event").agg(
         F.countDistinct("tower").alias("n_towers"),
         F.array_join(F.array_sort(F.collect_set("tower")), ",").alias("towers"))
 
