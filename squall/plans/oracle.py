@@ -453,10 +453,13 @@ SQL["fold_summary"] = V_RESULTS + f"SELECT horizon, event, model, metric, {R('me
 def _best_by(group: str, label: str) -> str:
     return V_RESULTS + f"""
 SELECT b.{group}, b.model, b.metric, {R('b.mean', 'best_value')}, b.{label} AS best_{label},
-       {R('s.avg_value', 'avg_value')}, {R('s.std_value', 'std_value')}, s.n_{label}
+       {R('s.avg_value', 'avg_value')}, {R('s.std_value', 'std_value')}, s.n_{label},
+       t.total_samples, {R('t.avg_event_rate', 'avg_event_rate')}
 FROM (SELECT *, row_number() OVER (PARTITION BY {group}, model, metric ORDER BY mean DESC, {label} ASC) AS rn FROM means) b
 JOIN (SELECT {group}, model, metric, avg(mean) AS avg_value, stddev_samp(mean) AS std_value,
              count(DISTINCT {label}) AS n_{label} FROM means GROUP BY 1, 2, 3) s USING ({group}, model, metric)
+JOIN (SELECT {group}, sum(n_samples)::BIGINT AS total_samples, avg(event_rate) AS avg_event_rate FROM results GROUP BY 1) t
+  USING ({group})
 WHERE rn = 1"""
 
 

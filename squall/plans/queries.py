@@ -467,14 +467,19 @@ def _means(spark, sf):
 @query("best_by_event")
 def q_best_by_event(spark, sf):
     """A6 + A7 + A10: per event and model, best horizon per metric, mean
-    and sample std across horizons."""
-    return _r6all(rp.best_by_group(_means(spark, sf), "event", "horizon"))
+    and sample std across horizons, total samples and mean event rate."""
+    b = rp.best_by_group(_means(spark, sf), "event", "horizon")
+    t = rp.group_totals(V.results(spark, sf), "event", "horizon").drop("n_horizon")
+    return _r6all(b.join(t, "event", "inner"))
 
 
 @query("best_by_series")
 def q_best_by_series(spark, sf):
-    """A6 + A7: per series (horizon) and model, best event per metric."""
-    return _r6all(rp.best_by_group(_means(spark, sf), "horizon", "event"))
+    """A6 + A7 + A10: per series (horizon) and model, best event per metric,
+    with the group's total samples and mean event rate."""
+    b = rp.best_by_group(_means(spark, sf), "horizon", "event")
+    t = rp.group_totals(V.results(spark, sf), "horizon", "event").drop("n_event")
+    return _r6all(b.join(t, "horizon", "inner"))
 
 
 def _auc_means(spark, sf):
