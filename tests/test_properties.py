@@ -111,3 +111,16 @@ def test_t_pvalue(spark, t, df, p):
     from squall.operators.report import t_two_sided_p
     got = spark.range(1).select(t_two_sided_p(F.lit(t), F.lit(df)).alias("p")).first().p
     assert abs(got - p) < 5e-4
+
+
+@pytest.mark.parametrize("sf,rows,runs,calm3,merged_hot", [
+    ("0.001", 868, {"hot": 189, "gusty": 120, "calm": 215}, 174, 48),
+    ("0.01", 3385, {"hot": 688, "gusty": 729, "calm": 863}, 206, 102)])
+def test_measured_counts(spark, sf, rows, runs, calm3, merged_hot):
+    """Counts measured independently in FIXTURES.md §2."""
+    d = f"/root/testdata/sf{sf}"
+    assert V.grid(spark, d).count() == rows
+    s = V.segments(spark, d)
+    assert {r.event: r.n for r in s.groupBy("event").agg(F.count("*").alias("n")).collect()} == runs
+    assert s.filter((F.col("event") == "calm") & F.col("meets_min_duration")).count() == calm3
+    assert ev.merge_intervals(s, ["event"]).filter(F.col("event") == "hot").count() == merged_hot
