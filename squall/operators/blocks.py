@@ -65,13 +65,43 @@ def carry_join(df: DataFrame, summary: DataFrame, keys: Sequence[str],
     return df.join(s, cond, "left").drop(*[f"_k_{c}" for c in on])
 
 
+def global_position(df: DataFrame, order: Sequence[str], partitions: int | None = None,
+                    pos: str = POS) -> DataFrame:
+    """0-based position of every row in the global ``order`` (which must be
+    unique), balanced whatever the key distribution.
+
+    ``repartitionByRange`` picks partition boundaries from a sample of the
+    order key, so every partition holds a similar number of rows even when
+    many rows share a time.  The range-partitioned, sorted table is pinned
+    with a reliable checkpoint (partition ids must not move on recompute);
+    then position = rows in earlier partitions + index inside the partition
+    (the low bits of ``monotonically_increasing_id``) — no further shuffle."""
+    from squall.session import cut_lineage
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    r = cut_lineage(r.withColumn("_pid", F.spark_partition_id()))
+    counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_pn"))       # one row per partition
+    offs = counts.select("_pid", F.coalesce(F.sum("_pn").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    d = r.withColumn("_li", local)
+    d = d.join(F.broadcast(offs), "_pid", "inner")
+    return d.withColumn(pos, (F.col("_off") + F.col("_li")).cast("long")).drop("_pid", "_li", "_off")
+
+
 def add_position(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  ts: str, block_seconds: int = DEFAULT_BLOCK_SECONDS,
                  pos: str = POS) -> DataFrame:
     """0-based row position inside each series (``keys``), ordered by
     ``order``, computed without a whole-series window: local row numbers per
-    time block plus the row count of all earlier blocks."""
+    time block plus the row count of all earlier blocks.  Without series
+    keys the global position comes from range partitioning instead
+    (``global_position``), which stays balanced when many rows share a
+    time."""
     keys = list(keys)
+    if not keys:
+        return global_position(df, order, pos=pos)
     b = with_block(df, ts, block_seconds)
     wl = block_window(keys, order)
     local = b.withColumn("_lrn", F.row_number().over(wl) - 1)

@@ -124,3 +124,14 @@ def test_measured_counts(spark, sf, rows, runs, calm3, merged_hot):
     assert {r.event: r.n for r in s.groupBy("event").agg(F.count("*").alias("n")).collect()} == runs
     assert s.filter((F.col("event") == "calm") & F.col("meets_min_duration")).count() == calm3
     assert ev.merge_intervals(s, ["event"]).filter(F.col("event") == "hot").count() == merged_hot
+
+
+def test_global_position_equals_row_number(spark):
+    from pyspark.sql import Window
+    from squall.operators.blocks import global_position
+    s = V.scored(spark, SF_SMALL)
+    assert s.select(*V.SCORED_ORDER).distinct().count() == s.count()      # the order is total
+    g = global_position(s, V.SCORED_ORDER, partitions=7).select(*V.SCORED_ORDER, "_pos")
+    w = s.select(*V.SCORED_ORDER, (F.row_number().over(Window.orderBy(*V.SCORED_ORDER)) - 1).alias("_rn"))
+    j = g.join(w, V.SCORED_ORDER)
+    assert j.count() == s.count() and j.filter(F.col("_pos") != F.col("_rn")).count() == 0
