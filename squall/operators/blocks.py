@@ -51,18 +51,9 @@ def summary_window(keys: Sequence[str], block: str = BLK):
 
 def carry_join(df: DataFrame, summary: DataFrame, keys: Sequence[str],
                block: str = BLK) -> DataFrame:
-    """Attach per-block carry columns.  Summary has one row per block.
-
-    The condition is null-safe on purpose: no ``isnotnull`` filter is
-    inferred on the row side, so the row side and the summary side start
-    from the same plan and Spark reuses one shuffle for both."""
-    on = [*keys, block]
-    s = summary.select(*[F.col(c).alias(f"_k_{c}") for c in on], *[c for c in summary.columns if c not in on])
-    cond = None
-    for c in on:
-        e = df[c].eqNullSafe(s[f"_k_{c}"])
-        cond = e if cond is None else cond & e
-    return df.join(s, cond, "left").drop(*[f"_k_{c}" for c in on])
+    """Attach per-block carry columns.  Summary has one row per block; keys
+    are never NULL here (series keys and blocks of non-null times)."""
+    return df.join(summary, [*keys, block], "left")
 
 
 def global_position(df: DataFrame, order: Sequence[str], partitions: int | None = None,
