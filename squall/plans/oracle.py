@@ -475,7 +475,7 @@ FROM (SELECT horizon, event, coalesce(max(mean) FILTER (WHERE model = 'lightgbm'
 
 SQL["rank_experiments"] = V_RESULTS + f"""
 SELECT model, horizon, event, {R('mean', 'value')},
-       row_number() OVER (PARTITION BY model ORDER BY mean DESC, horizon ASC, event ASC) AS rank
+       (row_number() OVER (PARTITION BY model ORDER BY mean DESC, horizon ASC, event ASC))::INTEGER AS rank
 FROM means WHERE metric = 'auc_roc'"""
 
 SQL["overall_stats"] = V_RESULTS + f"""
@@ -521,7 +521,7 @@ SQL["reliability"] = V_RESULTS + f""", e AS (SELECT event, avg(test_f1) AS avg_f
 m AS (SELECT avg(test_f1) FILTER (WHERE model = 'lightgbm') AS a, avg(test_f1) FILTER (WHERE model = 'xgboost') AS b FROM ht)
 SELECT event, {R('avg_f1', 'avg_f1')}, {R('avg_auc', 'avg_auc')},
   CASE WHEN avg_f1 > 0.7 THEN 'EXCELLENT' WHEN avg_f1 > 0.5 THEN 'GOOD' WHEN avg_f1 > 0.3 THEN 'MODERATE' ELSE 'POOR' END AS reliability,
-  row_number() OVER (ORDER BY avg_f1 DESC, event ASC) AS f1_rank,
+  (row_number() OVER (ORDER BY avg_f1 DESC, event ASC))::INTEGER AS f1_rank,
   {R('CASE WHEN b <> 0 THEN (a - b) / b * 100.0 END', 'lightgbm_f1_advantage_pct')}
 FROM e, m"""
 
@@ -580,7 +580,7 @@ SELECT feature, {R('avg(importance_pct)', 'mean')}, {R('stddev_samp(importance_p
        {R('max(importance_pct)', 'max')}, count(*) AS count FROM files GROUP BY feature"""
 
 SQL["importance_by_event"] = with_(V_FILES) + f"""
-SELECT event, feature, {R('mean_importance', 'mean_importance')}, rank FROM (
+SELECT event, feature, {R('mean_importance', 'mean_importance')}, rank::INTEGER AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY event ORDER BY mean_importance DESC, feature ASC) AS rank
   FROM (SELECT event, feature, avg(importance_pct) AS mean_importance FROM files GROUP BY 1, 2)) WHERE rank <= 10"""
 
@@ -589,7 +589,7 @@ SQL["category_importance"] = with_(V_FILES, """c AS (SELECT *, regexp_split_to_a
      stddev_samp(importance_pct) AS std_importance, count(*) AS n_features FROM c GROUP BY 1)""",
                                    """rk AS (SELECT *, row_number() OVER (ORDER BY total_importance DESC, category ASC) AS category_rank FROM tot)""") + f"""
 SELECT x.category, x.event, {R('x.cell_importance', 'cell_importance')}, {R('rk.total_importance', 'total_importance')},
-       {R('rk.mean_importance', 'mean_importance')}, {R('rk.std_importance', 'std_importance')}, rk.n_features, rk.category_rank
+       {R('rk.mean_importance', 'mean_importance')}, {R('rk.std_importance', 'std_importance')}, rk.n_features, rk.category_rank::INTEGER AS category_rank
 FROM (SELECT category, event, sum(importance_pct) AS cell_importance FROM c GROUP BY 1, 2) x
 JOIN rk ON x.category = rk.category WHERE rk.category_rank <= 15"""
 
@@ -602,13 +602,13 @@ FROM files GROUP BY 1"""
 _EVENTS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 _cells = [f"coalesce(avg(importance_pct) FILTER (WHERE event = '{e}'), 0.0)" for e in _EVENTS]
 SQL["importance_matrix"] = with_(V_FILES) + "SELECT feature, " + ", ".join(f"imp_{e}" for e in _EVENTS) + \
-    ", row_mean, row_number() OVER (ORDER BY row_mean_raw DESC, feature ASC) AS row_rank " \
+    ", row_mean, (row_number() OVER (ORDER BY row_mean_raw DESC, feature ASC))::INTEGER AS row_rank " \
     "FROM (SELECT feature, " + ", ".join(R(c, f"imp_{e}") for c, e in zip(_cells, _EVENTS)) + \
     ", " + R("(" + " + ".join(_cells) + f") / {float(len(_EVENTS))}", "row_mean") + \
     ", (" + " + ".join(_cells) + f") / {float(len(_EVENTS))} AS row_mean_raw FROM files GROUP BY feature)"
 
 SQL["rank_features"] = with_(V_FILES) + f"""
-SELECT feature, tower, event, {R('importance', 'importance')}, rank, {R('importance_pct', 'importance_pct')} FROM files"""
+SELECT feature, tower, event, {R('importance', 'importance')}, rank::INTEGER AS rank, {R('importance_pct', 'importance_pct')} FROM files"""
 
 SQL["box_stats"] = with_(V_FILES, """q AS (SELECT event, quantile_cont(importance_pct, 0.25) AS q1, quantile_cont(importance_pct, 0.5) AS median,
    quantile_cont(importance_pct, 0.75) AS q3 FROM files GROUP BY event)""") + f"""
@@ -861,12 +861,12 @@ V_SETTINGS = V_RESULTS + """, sdocs AS (
 SQL["settings_lookup"] = V_SETTINGS + """,
 newest AS (SELECT * FROM sdocs WHERE (model, run_folder) IN (SELECT (model, max(run_folder)) FROM sdocs GROUP BY model)),
 exps AS (SELECT DISTINCT horizon, event, model FROM rcells)
-SELECT e.model, e.horizon, e.event, coalesce(n.max_depth, 6) AS max_depth, round(coalesce(n.learning_rate, 0.05), 6) + 0.0 AS learning_rate,
+SELECT e.model, e.horizon, e.event, coalesce(n.max_depth, 6)::INTEGER AS max_depth, round(coalesce(n.learning_rate, 0.05), 6) + 0.0 AS learning_rate,
   coalesce(n.rolling_windows, '4,12,24,96') AS rolling_windows, n.run_folder IS NOT NULL AS tuned
 FROM exps e LEFT JOIN newest n ON e.model = n.model AND n.key = e.horizon || '_' || e.event"""
 
 SQL["latest_settings"] = V_SETTINGS + """
-SELECT model, key, run_folder, round(mcc, 6) + 0.0 AS mcc, max_depth FROM (
+SELECT model, key, run_folder, round(mcc, 6) + 0.0 AS mcc, max_depth::INTEGER AS max_depth FROM (
   SELECT *, row_number() OVER (PARTITION BY model, key ORDER BY run_folder DESC) AS rn FROM sdocs) WHERE rn = 1"""
 
 SQL["clean_projection"] = """
@@ -891,7 +891,7 @@ SQL["long_results_pivot"] = V_RESULTS + " SELECT horizon, event, split, " + ", "
 ) + " FROM results GROUP BY 1, 2, 3"
 
 SQL["topk_per_group"] = with_(V_FILES) + """
-SELECT feature, tower, event, round(importance_pct, 6) + 0.0 AS importance_pct, k AS rank FROM (
+SELECT feature, tower, event, round(importance_pct, 6) + 0.0 AS importance_pct, k::INTEGER AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY tower ORDER BY importance_pct DESC, feature ASC, event ASC) AS k FROM files) WHERE k <= 3"""
 
 SQL["top_n"] = with_(V_FILES) + """
