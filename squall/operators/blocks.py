@@ -139,26 +139,39 @@ def halo_apply(df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str
 
 
 def carry_fill(df: DataFrame, keys: Sequence[str], order: str, block: Column,
-               cols: Sequence[str], forward: bool = True) -> DataFrame:
-    """Last non-null value at or before each row (``forward``) or the first
-    at or after it, per series ordered by ``order``, over blocks given by
-    ``block`` (any column monotone in ``order``) plus a per-block carry."""
+               cols: Sequence[str] = (), forward: bool = True,
+               backward_cols: Sequence[str] = ()) -> DataFrame:
+    """Last non-null value at or before each row (``cols`` with
+    ``forward``) and/or the first at or after it (``cols`` without
+    ``forward``, plus ``backward_cols``), per series ordered by ``order``,
+    over blocks given by ``block`` (any column monotone in ``order``).
+
+    Both directions share one window spec, one per-block summary and one
+    carry join."""
     keys = list(keys)
+    fwd = list(cols) if forward else []
+    bwd = ([] if forward else list(cols)) + list(backward_cols)
     o = F.col(order)
     d = df.withColumn(BLK, block)
     wl = Window.partitionBy(*keys, BLK).orderBy(order)
-    frame = wl.rowsBetween(Window.unboundedPreceding, 0) if forward else wl.rowsBetween(0, Window.unboundedFollowing)
-    aggs = []
-    for c in cols:
-        v = F.when(F.col(c).isNotNull(), F.struct(o.alias("o"), F.col(c).alias("v")))
-        aggs.append((F.max(v) if forward else F.min(v)).alias(f"_{c}_b"))
+    upto = wl.rowsBetween(Window.unboundedPreceding, 0)
+    after = wl.rowsBetween(0, Window.unboundedFollowing)
+
+    def tagged(c):
+        return F.when(F.col(c).isNotNull(), F.struct(o.alias("o"), F.col(c).alias("v")))
+    aggs = [F.max(tagged(c)).alias(f"_{c}_bf") for c in fwd] + [F.min(tagged(c)).alias(f"_{c}_bb") for c in bwd]
     summ = d.groupBy(*keys, BLK).agg(*aggs)
     ws = Window.partitionBy(*keys).orderBy(BLK) if keys else Window.orderBy(BLK)
-    other = ws.rowsBetween(Window.unboundedPreceding, -1) if forward else ws.rowsBetween(1, Window.unboundedFollowing)
-    carry = summ.select(*keys, BLK, *[(F.max if forward else F.min)(f"_{c}_b").over(other).getField("v").alias(f"_{c}_c")
-                                      for c in cols])
+    prev = ws.rowsBetween(Window.unboundedPreceding, -1)
+    nxt = ws.rowsBetween(1, Window.unboundedFollowing)
+    carry = summ.select(*keys, BLK,
+                        *[F.max(f"_{c}_bf").over(prev).getField("v").alias(f"_{c}_cf") for c in fwd],
+                        *[F.min(f"_{c}_bb").over(nxt).getField("v").alias(f"_{c}_cb") for c in bwd])
     j = carry_join(d, carry, keys)
-    local = [(F.last if forward else F.first)(c, ignorenulls=True).over(frame) for c in cols]
-    out = [F.coalesce(lc, F.col(f"_{c}_c")).alias(c) for c, lc in zip(cols, local)]
-    rest = [c for c in df.columns if c not in cols]
-    return j.select(*rest, *out).select(*df.columns)
+    out = {}
+    for c in fwd:
+        out[c] = F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_{c}_cf"))
+    for c in bwd:
+        out[c] = F.coalesce(F.first(c, ignorenulls=True).over(after), F.col(f"_{c}_cb"))
+    rest = [c for c in df.columns if c not in out]
+    return j.select(*rest, *[v.alias(k) for k, v in out.items()]).select(*df.columns)

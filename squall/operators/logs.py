@@ -44,9 +44,8 @@ def tag_sections(lines: DataFrame) -> DataFrame:
                      F.lower(_x(RE_MODEL, 1)).alias("model_prev"))
     d = d.withColumn("model_next", F.col("model_prev"))
     blk = F.floor(F.col("line_no") / F.lit(LINE_BLOCK))
-    d = carry_fill(d, ["file"], "line_no", blk, ["horizon", "event", "model_prev"], forward=True)
-    d = carry_fill(d, ["file"], "line_no", blk, ["model_next"], forward=False)
-    return d
+    return carry_fill(d, ["file"], "line_no", blk, ["horizon", "event", "model_prev"], forward=True,
+                      backward_cols=["model_next"])
 
 
 def run_log_metrics(lines: DataFrame) -> DataFrame:
