@@ -11,9 +11,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from squall.functions.rules import GRID_RULES
+from squall.functions.rules import GRID_RULES, rule_mask
 from squall.operators import events as ev
+from squall.operators import clean as cl
+from squall.operators import evaluate as evl
+from squall.operators import features as fe
+from squall.operators import importance as im
+from squall.operators import logs as lg
+from squall.operators import model as ml
+from squall.operators import report as rp
+from squall.operators import reshape as rs
+from squall.operators import settings as so
+from squall.operators import stations as gs
+from squall.operators import stats as st
+from squall.session import shared_dir
 from squall.plans import views as V
+from squall.sources import io as sio
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,7 +118,6 @@ def q_event_cooccurrence(spark, sf):
 
 
 # ---------------------------------------------------------------- reshape
-from squall.operators import reshape as rs  # noqa: E402
 
 WIDE_COLS = [f"{s}_{v}" for s in V.SERIES for v in ("temp", "peak")]
 GRID_STEPS = {"hot": 2, "calm": 3, "gusty": 1}   # rule minimum in hourly steps
@@ -127,7 +139,6 @@ def _union_masks(spark, sf):
     for rule in GRID_RULES:
         for s in V.SERIES:
             cols = {"temp": F.col(f"{s}_temp"), "peak": F.col(f"{s}_peak")}
-            from squall.functions.rules import rule_mask
             name = f"_m_{rule.name}_{s}"
             exprs.append(rule_mask(rule, cols).alias(name))
             masks[name] = GRID_STEPS[rule.name]
@@ -212,9 +223,6 @@ def q_columns_below(spark, sf):
 
 
 # ---------------------------------------------------------------- features
-from squall.functions.timecols import epoch_us, minutes_between  # noqa: E402
-from squall.operators import features as fe  # noqa: E402
-from squall.operators import stats as st  # noqa: E402
 
 OBS_KEYS = ["series", "var"]
 OBS_LAGS = fe.LAG_CONFIGS["short"]
@@ -346,7 +354,6 @@ def q_step_minutes(spark, sf):
 
 
 # ---------------------------------------------------------------- evaluation
-from squall.operators import evaluate as evl  # noqa: E402
 
 K_FOLDS = 5
 F2_GRID = [0.1 + i * 0.05 for i in range(10)]   # numpy.arange(0.1, 0.6, 0.05)
@@ -438,7 +445,6 @@ def q_best_threshold_f2(spark, sf):
 
 
 # ---------------------------------------------------------------- reports
-from squall.operators import report as rp  # noqa: E402
 
 EXP_KEYS = ["horizon", "event", "model"]
 MODEL_NAMES = ["lightgbm", "xgboost"]
@@ -576,8 +582,6 @@ def q_paired_t(spark, sf):
 
 
 # ---------------------------------------------------------------- importance
-from squall.operators import importance as im  # noqa: E402
-from squall.operators import stations as gs  # noqa: E402
 
 
 def _files(spark, sf):
@@ -866,8 +870,6 @@ def q_tile_index(spark, sf):
 
 
 # ---------------------------------------------------------------- logs and settings
-from squall.operators import logs as lg  # noqa: E402
-from squall.operators import settings as so  # noqa: E402
 
 
 @query("run_log_metrics")
@@ -919,12 +921,11 @@ def q_latest_settings(spark, sf):
 
 
 # ---------------------------------------------------------------- projections, gates, reshapes
-from squall.operators import clean as cl  # noqa: E402
 
 
 @query("clean_projection")
 def q_clean_projection(spark, sf):
-    """Labelled-table clean-up on the event readings —
+    """Labelled-table clean-up on the event readings —
     half-open time range and series subset (both pushed to the scan), text
     to number / bool, suffix drops, keys first, numeric features by name
     rules; the keys travel in the row (no index join)."""
@@ -958,7 +959,8 @@ def q_unpivot_events(spark, sf):
 
 @query("long_results_pivot")
 def q_long_results_pivot(spark, sf):
-    """R3 + R4: long metric rows pivoted back to one column per model x metric."""
+    """Results written long (one row per metric), pivoted back to one
+    column per model x metric with explicit pivot values."""
     long = rp.long_metrics(V.results(spark, sf), ["horizon", "event", "model", "split"], ["f1", "mcc"], with_cells=False)
     p = (long.withColumn("_c", F.concat_ws("_", "model", "metric"))
          .groupBy("horizon", "event", "split")
@@ -1014,8 +1016,6 @@ def q_sample_rows(spark, sf):
 
 
 # ---------------------------------------------------------------- sources and sinks
-from squall.session import shared_dir  # noqa: E402
-from squall.sources import io as sio  # noqa: E402
 
 
 @query("io_roundtrip")
@@ -1046,7 +1046,6 @@ def q_metadata_roundtrip(spark, sf):
 
 
 # ---------------------------------------------------------------- Spark ML jobs (rows-only checks)
-from squall.operators import model as ml  # noqa: E402
 
 ML_LAGS = [1, 2, 4]
 ML_FOLDS = 3
