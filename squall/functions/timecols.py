@@ -50,3 +50,16 @@ def cyclic(value: Column, period: float, fn: str) -> Column:
 def weekday_monday0(ts) -> Column:
     """Day of week with Monday = 0 (pandas convention)."""
     return F.weekday(_c(ts))
+
+
+def exact_mean(col: str, scale: int = 6, input_scale: int = 9) -> Column:
+    """Aggregate: mean of ``col`` rounded half away from zero to ``scale``
+    places, computed exactly — values as DECIMAL(38, input_scale), an exact
+    sum, and integral rounding division.  Unlike ``round(avg(x), 6)`` on
+    doubles, the digits do not depend on summation order, so any partition
+    layout (and the SQL oracle) gives the same result; no rounding ties."""
+    x = f"CAST(`{col}` AS DECIMAL(38,{input_scale}))"
+    units = f"CAST(sum({x}) * {10 ** input_scale} AS DECIMAL(38,0))"
+    den = f"(count({x}) * {10 ** (input_scale - scale)})"
+    q = f"((2 * abs({units}) + {den}) div (2 * {den}))"
+    return F.expr(f"CASE WHEN count({x}) > 0 THEN CAST(sign({units}) * {q} AS DOUBLE) / {float(10 ** scale)} END")

@@ -108,12 +108,14 @@ def time_slices(df: DataFrame, ts: str, by: str, value: str, n: int, event: Colu
 
 def step_minutes(df: DataFrame, keys: Sequence[str], ts: str, fallback: float = 15.0) -> DataFrame:
     """Median minutes between consecutive readings per series."""
-    from squall.functions.timecols import minutes_between
+    from squall.functions.timecols import epoch_us
     from squall.operators.blocks import halo_apply
     keys = list(keys)
+    # gaps in whole microseconds: the median is then exact (a half-integer at
+    # worst) and the conversion to minutes is one division
     gaps = halo_apply(df.select(*keys, ts), keys, [ts], ts, 1, 0,
-                      lambda w: [minutes_between(F.lag(ts, 1).over(w), F.col(ts)).alias("_gap")])
+                      lambda w: [(epoch_us(ts) - epoch_us(F.lag(ts, 1).over(w))).alias("_gap")])
     med = exact_quantiles(gaps, keys, "_gap", [0.5], ["_med"])
     all_keys = df.select(*keys).distinct()
     return all_keys.join(med, keys, "left").select(
-        *keys, F.round(F.coalesce(F.col("_med"), F.lit(float(fallback))), 6).alias("step_minutes"))
+        *keys, F.coalesce(F.col("_med") / F.lit(60_000_000.0), F.lit(float(fallback))).alias("step_minutes"))

@@ -6,9 +6,16 @@ rounded to 6 places on both sides.
 
 from __future__ import annotations
 
-V_GRID = """grid AS (SELECT event_type AS series, date_trunc('hour', ts) AS ts,
-       round(avg(value), 6) AS temp, max(value) AS peak, count(*) AS n
-FROM events GROUP BY 1, 2)"""
+def exact_mean_sql(nv: str, u: str) -> str:
+    """Mean rounded half away from zero to 6 places from an exact decimal
+    sum ``u`` (in 1e-9 units) and a count ``nv`` — same digits as the engine."""
+    return f"CASE WHEN {nv} > 0 THEN sign({u}) * ((2 * abs({u}) + {nv} * 1000) // (2 * {nv} * 1000)) / 1e6 END"
+
+
+V_GRID = """grid AS (SELECT series, ts, """ + exact_mean_sql("nv", "u") + """ AS temp, peak, n FROM (
+  SELECT event_type AS series, date_trunc('hour', ts) AS ts, count(value) AS nv,
+         (sum(value::DECIMAL(38,9)) * 1000000000)::HUGEINT AS u, max(value) AS peak, count(*) AS n
+  FROM events GROUP BY 1, 2))"""
 
 V_OBS = """obs AS (SELECT user_id AS series, ts, event_type AS var, value FROM events)"""
 
@@ -162,8 +169,9 @@ filled AS (SELECT ts, """ + ", ".join(
      for c in WIDE_COLS] + [f"coalesce(event_{r}, false) AS event_{r}" for r in _GRID_RULES_SQL]) + """
   FROM resampled)"""
 
-V_AUX = """aux AS (SELECT date_trunc('hour', ts) AS ts,
-  round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS aux_k FROM events GROUP BY 1)"""
+V_AUX = """aux AS (SELECT ts, """ + exact_mean_sql("nv", "u") + """ AS aux_k FROM (
+  SELECT date_trunc('hour', ts) AS ts, count(k) AS nv, (sum(k::DECIMAL(38,9)) * 1000000000)::HUGEINT AS u
+  FROM (SELECT ts, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events) GROUP BY 1))"""
 
 SQL["wide_pivot"] = with_(V_WIDE) + "SELECT * FROM wide"
 
@@ -303,8 +311,8 @@ SELECT var, round(quantile_cont(value, 0.05), 6) AS q05, round(quantile_cont(val
 FROM obs GROUP BY var"""
 
 SQL["step_minutes"] = with_(V_OBS) + """
-SELECT series, round(coalesce(quantile_cont(gap, 0.5), 15.0), 6) AS step_minutes FROM (
-  SELECT series, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY series ORDER BY ts))) / 60000000.0 AS gap
+SELECT series, coalesce(quantile_cont(gap, 0.5) / 60000000.0::DOUBLE, 15.0::DOUBLE) AS step_minutes FROM (
+  SELECT series, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY series ORDER BY ts)) AS gap
   FROM obs) GROUP BY series"""
 
 # ---------------------------------------------------------------- evaluation

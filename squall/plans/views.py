@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from squall.functions.rules import GRID_RULES
+from squall.functions.timecols import exact_mean
 from squall.session import ensure_utc
 
 SERIES = ["click", "error", "purchase", "signup", "view"]
@@ -34,10 +35,11 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly tower-like timeline per event type (hourly mean and peak)."""
+    """Hourly tower-like timeline per event type: mean (rounded to 6 places,
+    computed exactly so it does not depend on summation order), peak, count."""
     e = table(spark, sf_dir, "events")
     return (e.groupBy(F.col("event_type").alias("series"), F.date_trunc("hour", "ts").alias("ts"))
-            .agg(F.round(F.avg("value"), 6).alias("temp"), F.max("value").alias("peak"),
+            .agg(exact_mean("value").alias("temp"), F.max("value").alias("peak"),
                  F.count(F.lit(1)).alias("n")))
 
 
@@ -133,8 +135,8 @@ def aux(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly side table: mean of the JSON field k per hour."""
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("double")
-    return (e.groupBy(F.date_trunc("hour", "ts").alias("ts"))
-            .agg(F.round(F.avg(k), 6).alias("aux_k")))
+    return (e.select(F.date_trunc("hour", "ts").alias("ts"), k.alias("k"))
+            .groupBy("ts").agg(exact_mean("k").alias("aux_k")))
 
 
 
