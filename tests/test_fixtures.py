@@ -96,3 +96,8 @@ def test_fill(spark):
     for block in (3600, 86400):
         f = rs.fill_forward_backward(df, [], "ts", ["x"], final=0.0, block_seconds=block).orderBy("ts").collect()
         assert [r.x for r in f] == [5.0, 5.0, 5.0, 7.0]
+
+
+def test_labels_exclusive_end(spark):
+    lab = ev.label_rows(readings(spark), ["series"], "ts", [NEG], end_inclusive=False).orderBy("ts").collect()
+    assert [int(r.event_neg) for r in lab] == [0, 1, 1, 1, 1, 1, 1, 1, 1, 0, 1, 0, 1, 1]

@@ -135,3 +135,17 @@ def test_global_position_equals_row_number(spark):
     w = s.select(*V.SCORED_ORDER, (F.row_number().over(Window.orderBy(*V.SCORED_ORDER)) - 1).alias("_rn"))
     j = g.join(w, V.SCORED_ORDER)
     assert j.count() == s.count() and j.filter(F.col("_pos") != F.col("_rn")).count() == 0
+
+
+def test_interval_join_equals_run_labels(spark):
+    """J2 form (b), the bucketised equi-join, labels exactly the readings
+    that form (a), the run ids, labels."""
+    from squall.operators.joins import interval_join
+    g = V.grid(spark, SF_SMALL)
+    segs = V.segments(spark, SF_SMALL)
+    pairs = interval_join(g.select("series", "ts"), segs, ["series"], "ts", "start", "end", bucket_seconds=3600)
+    lab = ev.label_rows(g, ["series"], "ts", GRID_RULES)
+    for r in GRID_RULES:
+        a = {(x.series, x.ts) for x in pairs.filter(F.col("event") == r.name).select("series", "ts").collect()}
+        b = {(x.series, x.ts) for x in lab.filter(F.col(f"event_{r.name}")).select("series", "ts").collect()}
+        assert a == b
