@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from squall.functions.rules import EventRule, rule_mask
 from squall.functions.timecols import epoch_us, minutes_between, time_block
 from squall.operators.blocks import BLK, DEFAULT_BLOCK_SECONDS, carry_join, with_block
+from squall.session import cut_lineage
 
 SEGMENT_COLUMNS = ["event", "start", "end", "duration_minutes", "meets_min_duration",
                    "min_duration_required_min"]
@@ -171,7 +172,7 @@ def label_rows(df: DataFrame, keys: Sequence[str], ts: str, rules: Sequence[Even
 
 def merge_intervals(segs: DataFrame, group: Sequence[str], start: str = "start", end: str = "end",
                     max_gap_minutes: float = 0.0, default_step_min: float = 15.0,
-                    block_seconds: int = 30 * 24 * 3600) -> DataFrame:
+                    block_seconds: int = 30 * 24 * 3600, materialize: bool = True) -> DataFrame:
     """Union of intervals per ``group`` (e.g. per event across towers).
 
     Intervals sorted by (start, end); a new merged interval begins when its
@@ -183,6 +184,11 @@ def merge_intervals(segs: DataFrame, group: Sequence[str], start: str = "start",
     gap_us = int(round(max_gap_minutes * 60_000_000))
     iv = segs.select(*group, F.col(start).alias("_s"), F.col(end).alias("_e"))
     iv = iv.withColumn(BLK, time_block("_s", block_seconds))
+    if materialize:
+        # the intervals feed three branches (two carries and the main scan);
+        # pin them once (reliable checkpoint: small, one row per interval) so
+        # the upstream run detection over all readings is not recomputed
+        iv = cut_lineage(iv)
     ws = Window.partitionBy(*group).orderBy(BLK) if group else Window.orderBy(BLK)
     prev_blocks = ws.rowsBetween(Window.unboundedPreceding, -1)
     # carry 1: max end of all earlier blocks
