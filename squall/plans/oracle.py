@@ -922,3 +922,8 @@ SQL["io_roundtrip"] = with_(V_GRID) + "SELECT series, ts, temp, peak, n FROM gri
 SQL["metadata_roundtrip"] = with_(V_STATION) + f"""
 SELECT tower, {R('lat', 'lat')}, {R('lon', 'lon')}, {R('elevation_m', 'elevation_m')}, {R('height_m', 'height_m')}, terrain_type, region
 FROM stations"""
+
+SQL["labelled_roundtrip"] = with_(V_LABELS) + "SELECT * FROM labels"
+
+SQL["side_table_optional"] = with_(V_GRID, V_AUX) + """
+SELECT t.ts, a.aux_k FROM (SELECT DISTINCT ts FROM grid) t LEFT JOIN aux a ON t.ts = a.ts"""

@@ -1128,3 +1128,31 @@ def q_search_settings(spark, sf):
         res = res.unionByName(r)
     w = Window.orderBy(F.col("mean_mcc").desc(), F.col("trial").asc())
     return _r6all(res.withColumn("best", F.row_number().over(w) == 1))
+
+
+@query("labelled_roundtrip")
+def q_labelled_roundtrip(spark, sf):
+    """S8 + S2: labelled readings written as a Parquet table partitioned by
+    series (fresh folder under the shared checkpoint folder), read back with
+    the key columns first."""
+    base = shared_dir(spark, "labelled_roundtrip")
+    sio.write_table(_labels(spark, sf), f"{base}/labelled", "parquet", ["series"])
+    back = sio.read_labeled(spark, f"{base}/labelled", ["series", "ts"])
+    return back.select(*[r6(c).alias(c) if c.endswith("_duration_min") else c for c in back.columns])
+
+
+@query("side_table_optional")
+def q_side_table_optional(spark, sf):
+    """S3: the hourly side table is written, then read through the optional
+    reader; an absent path yields no table and the timeline continues
+    without it (here: the side table is present, and a second, absent one
+    adds nothing)."""
+    base = shared_dir(spark, "side_tables")
+    sio.write_table(V.aux(spark, sf), f"{base}/aux_present")
+    present = sio.read_auxiliary(spark, f"{base}/aux_present")
+    absent = sio.read_auxiliary(spark, f"{base}/aux_absent")
+    timeline = V.grid(spark, sf).select("ts").distinct()
+    out = timeline.join(present, "ts", "left") if present is not None else timeline
+    if absent is not None:                      # never true here: the path does not exist
+        out = out.join(absent, "ts", "left")
+    return out.select("ts", "aux_k")
