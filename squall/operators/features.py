@@ -3,8 +3,9 @@ cross-series statistics, calendar encodings, threshold distances, future
 targets and fixed-length sequences.
 
 All row-count windows of one table share one window spec over position
-blocks (``halo_apply``): one exchange and one sort for every lag, roll, diff,
-lead and sequence together, and no series is ever a single task.
+blocks (``halo_apply``): after the position pass (one exchange by series and
+time block), every lag, roll, diff, lead and sequence is computed by a single
+exchange and sort, and no series is ever a single task.
 """
 
 from __future__ import annotations
