@@ -143,7 +143,7 @@ def _union_masks(spark, sf):
             exprs.append(rule_mask(rule, cols).alias(name))
             masks[name] = GRID_STEPS[rule.name]
     d = w.select("*", *exprs)
-    dm = ev.duration_mask(d, [], "ts", masks, block_rows=256)      # keeps every wide column
+    dm = ev.duration_mask(d, [], "ts", masks)      # keeps every wide column
     out = []
     for rule in GRID_RULES:
         cs = [F.col(f"_m_{rule.name}_{s}_dur") for s in V.SERIES]
