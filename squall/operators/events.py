@@ -244,8 +244,8 @@ def event_frequency(labels: DataFrame, names: Sequence[str]) -> DataFrame:
     aggs += [F.sum(F.col("has_any_event").cast("long")).alias("any"), F.count(F.lit(1)).alias("n_rows")]
     wide = labels.agg(*aggs)
     long = wide.unpivot(["n_rows"], [*names, "any"], "event", "n_true")
-    return long.select("event", F.col("n_true").cast("long").alias("n_true"), "n_rows",
-                       F.round(F.lit(100.0) * F.col("n_true") / F.col("n_rows"), 6).alias("pct"))
+    pct = F.when(F.col("n_rows") > 0, F.round(F.lit(100.0) * F.col("n_true") / F.col("n_rows"), 6))
+    return long.select("event", F.col("n_true").cast("long").alias("n_true"), "n_rows", pct.alias("pct"))
 
 
 def cooccurrence(labels: DataFrame, by: str, more_than: int = 2) -> DataFrame:

@@ -43,8 +43,8 @@ def rank_features(df: DataFrame, keys: Sequence[str], feature: str = "feature",
     if top_n:
         r = r.filter(F.col("rank") <= top_n)
     r = r.join(tot, keys, "inner")
-    return r.select(*[c for c in df.columns], "rank",
-                    (F.lit(100.0) * F.col(importance) / F.col("_tot")).alias("importance_pct"))
+    pct = F.when(F.col("_tot") != 0, F.lit(100.0) * F.col(importance) / F.col("_tot")).otherwise(F.lit(0.0))
+    return r.select(*[c for c in df.columns], "rank", pct.alias("importance_pct"))
 
 
 def argmax_rows(df: DataFrame, keys: Sequence[str], value: str, tiebreak: str) -> DataFrame:

@@ -119,6 +119,9 @@ def permutation_importance(model, test: DataFrame, names: Sequence[str], seed: i
     in one pass and the AUC is grouped by feature."""
     base = fold_metrics(score(model, test).withColumn("g", F.lit(1)), ["g"]).select("roc_auc").first()[0]
     lo, n = test.agg(F.min("_pos"), F.count(F.lit(1))).first()       # two scalars
+    if not n:
+        return test.sparkSession.createDataFrame([], "feature string, base_auc double, permuted_auc double, "
+                                                     "auc_drop double")
     t = test.withColumn("_tp", F.col("_pos") - F.lit(lo))
     mult = seed if n % seed else seed + 2
     variants = []

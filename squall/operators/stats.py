@@ -98,9 +98,10 @@ def time_slices(df: DataFrame, ts: str, by: str, value: str, n: int, event: Colu
     from squall.functions.timecols import epoch_us
     span = df.agg(F.min(ts).alias("_t0"), F.max(ts).alias("_t1"))
     d = df.withColumn("_one", F.lit(1)).join(F.broadcast(span.withColumn("_one", F.lit(1))), "_one")
-    rel = (epoch_us(ts) - epoch_us("_t0")).cast("double") * F.lit(float(n)) / \
-        (epoch_us("_t1") - epoch_us("_t0")).cast("double")
-    sl = F.least(F.floor(rel), F.lit(n - 1)).cast("int")
+    span_us = (epoch_us("_t1") - epoch_us("_t0")).cast("double")
+    rel = (epoch_us(ts) - epoch_us("_t0")).cast("double") * F.lit(float(n)) / span_us
+    # a zero span (every reading at one time) puts all rows in slice 0
+    sl = F.when(span_us > 0, F.least(F.floor(rel), F.lit(n - 1))).otherwise(F.lit(0)).cast("int")
     return (d.groupBy(sl.alias("slice"), F.col(by))
             .agg(F.round(F.avg(value), 6).alias("mean_value"), F.count(F.lit(1)).alias("n_rows"),
                  F.count(F.when(event, 1)).alias("n_events")))
