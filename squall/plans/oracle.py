@@ -171,7 +171,7 @@ filled AS (SELECT ts, """ + ", ".join(
 
 V_AUX = """aux AS (SELECT ts, """ + exact_mean_sql("nv", "u") + """ AS aux_k FROM (
   SELECT date_trunc('hour', ts) AS ts, count(k) AS nv, (sum(k::DECIMAL(38,9)) * 1000000000)::HUGEINT AS u
-  FROM (SELECT ts, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events) GROUP BY 1))"""
+  FROM (SELECT ts, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events) GROUP BY 1))"""
 
 SQL["wide_pivot"] = with_(V_WIDE) + "SELECT * FROM wide"
 

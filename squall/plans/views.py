@@ -73,7 +73,7 @@ def result_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     truth = F.col("l_quantity") > F.lit(25.0)
     pred = F.col("l_extendedprice") > F.lit(40000.0)
-    horizon = F.element_at(F.array(*[F.lit(h) for h in HORIZONS]), F.col("l_linenumber"))
+    horizon = F.try_element_at(F.array(*[F.lit(h) for h in HORIZONS]), F.col("l_linenumber"))
     model = F.when(F.col("l_linestatus") == "F", F.lit(MODELS["F"])).otherwise(F.lit(MODELS["O"]))
     split = F.when(F.pmod(F.col("l_orderkey"), F.lit(2)) == 0, F.lit("cv")).otherwise(F.lit("test"))
     return (li.groupBy(horizon.alias("horizon"), F.concat(F.lit("event_"), F.col("l_returnflag")).alias("event"),
@@ -134,7 +134,7 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
 def aux(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly side table: mean of the JSON field k per hour."""
     e = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("double")
+    k = F.get_json_object("props", "$.k").try_cast("double")      # unparsable -> NULL (ANSI-safe)
     return (e.select(F.date_trunc("hour", "ts").alias("ts"), k.alias("k"))
             .groupBy("ts").agg(exact_mean("k").alias("aux_k")))
 
