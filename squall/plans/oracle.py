@@ -927,3 +927,8 @@ SQL["labelled_roundtrip"] = with_(V_LABELS) + "SELECT * FROM labels"
 
 SQL["side_table_optional"] = with_(V_GRID, V_AUX) + """
 SELECT t.ts, a.aux_k FROM (SELECT DISTINCT ts FROM grid) t LEFT JOIN aux a ON t.ts = a.ts"""
+
+SQL["tower_files_labels"] = with_(V_LABELS) + """
+SELECT series AS tower, ts, temp, peak, n, event_hot, event_hot_duration_min, event_hot_meets_duration,
+  event_calm, event_calm_duration_min, event_calm_meets_duration, event_gusty, event_gusty_duration_min,
+  event_gusty_meets_duration, event_count, active_events, event_durations, has_any_event FROM labels"""

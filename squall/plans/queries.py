@@ -1156,3 +1156,20 @@ def q_side_table_optional(spark, sf):
     if absent is not None:                      # never true here: the path does not exist
         out = out.join(absent, "ts", "left")
     return out.select("ts", "aux_k")
+
+
+@query("tower_files_labels")
+def q_tower_files_labels(spark, sf):
+    """Entry A end to end (``plans.jobs.label_tower_files``): the grid
+    written as raw tower CSV files (one folder per series, compact times,
+    sentinel, footer), read back (S1), each series' columns resolved through
+    a column map (P5), runs found and every reading labelled (W1-W4)."""
+    from squall.plans import jobs
+    base = shared_dir(spark, "tower_files")
+    sio.write_tower_csv(V.grid(spark, sf), f"{base}/raw", "ts", ["temp", "peak", "n"], "series")
+    colmap = {s: {"temp": "temp", "peak": "peak"} for s in V.SERIES}
+    _, lab = jobs.label_tower_files(spark, f"{base}/raw", ["temp", "peak", "n"], rules=GRID_RULES, colmap=colmap,
+                                    tower_pattern=r"series=([^/]+)/")
+    cols = [c for c in lab.columns if c not in ("tower", "ts", "temp", "peak", "n")]
+    return lab.select("tower", "ts", "temp", "peak", F.col("n").cast("long").alias("n"),
+                      *[r6(c).alias(c) if c.endswith("_duration_min") else c for c in cols])
