@@ -932,3 +932,5 @@ SQL["tower_files_labels"] = with_(V_LABELS) + """
 SELECT series AS tower, ts, temp, peak, n, event_hot, event_hot_duration_min, event_hot_meets_duration,
   event_calm, event_calm_duration_min, event_calm_meets_duration, event_gusty, event_gusty_duration_min,
   event_gusty_meets_duration, event_count, active_events, event_durations, has_any_event FROM labels"""
+
+SQL["tower_files_pooled_flags"] = with_(V_UNION_MASK) + "SELECT * FROM umask"

@@ -1173,3 +1173,19 @@ def q_tower_files_labels(spark, sf):
     cols = [c for c in lab.columns if c not in ("tower", "ts", "temp", "peak", "n")]
     return lab.select("tower", "ts", "temp", "peak", F.col("n").cast("long").alias("n"),
                       *[r6(c).alias(c) if c.endswith("_duration_min") else c for c in cols])
+
+
+@query("tower_files_pooled_flags")
+def q_tower_files_pooled_flags(spark, sf):
+    """Entry C end to end (``plans.jobs.pooled_event_flags``): raw tower
+    files read back (S1), pivoted to one row per hour with
+    ``{tower}_{column}`` columns (R2), each rule as a k-row duration mask per
+    tower (W6) and OR across towers (W7)."""
+    from squall.plans import jobs
+    base = shared_dir(spark, "tower_files_pooled")
+    sio.write_tower_csv(V.grid(spark, sf), f"{base}/raw", "ts", ["temp", "peak"], "series")
+    readings = sio.read_tower_csv(spark, f"{base}/raw", ["temp", "peak"], tower_pattern=r"series=([^/]+)/")
+    colmap = {s: {"temp": "temp", "peak": "peak"} for s in V.SERIES}
+    w = jobs.pooled_event_flags(readings, V.SERIES, ["temp", "peak"], rules=GRID_RULES, colmap=colmap,
+                                step_minutes=60.0)
+    return w.select("ts", *[f"event_{r.name}" for r in GRID_RULES])
