@@ -59,6 +59,19 @@ def pinned(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def arrow_function(function, kind: str):
+    """A column function on whole Arrow arrays; its one argument and its result are arrays."""
+    def call(values: pa.Array) -> pa.Array:
+        return function(values)
+
+    return F.arrow_udf(call, kind)
+
+
+def crc_of(name: str):
+    """crc32 of a value written as text; null for null."""
+    return F.crc32(F.col(name).cast("string"))
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

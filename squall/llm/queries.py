@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from squall.llm import byte_bpe, shards, token_counts, token_files
+from squall.llm import byte_bpe, decontaminate, shards, token_counts, token_files, toxicity
 from squall.llm.common import shared_dir, table
 
 QUERIES = {}
@@ -43,3 +43,15 @@ def byte_bpe_query(spark, sf_dir):
     """Every document encoded by the 50k multilingual ranks and decoded again."""
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"),
                                public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query("op1_decontamination")
+def decontamination_query(spark, sf_dir):
+    """Documents with a window that matches a benchmark item, and where."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_toxicity")
+def toxicity_query(spark, sf_dir):
+    """Toxicity of every document, learned from the labels that are not held out."""
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -34,6 +34,14 @@ class Words:
     end: np.ndarray
     data: np.ndarray
     text_at: np.ndarray
+    total: np.ndarray
+
+    def prefix(self, size: int) -> np.ndarray:
+        """Hash of the first ``size`` bytes of each word; 0 for shorter words."""
+        enough = self.end - self.start >= size
+        stop = np.where(enough, self.start + size, self.start)
+        value = (self.total[stop] - self.total[self.start]) * _power(_INVERSE, len(self.data) + 1)[self.start]
+        return np.where(enough, mix(value ^ (U64(size) << U64(56))), U64(0))
 
     def count(self) -> np.ndarray:
         return np.diff(self.first)
@@ -93,13 +101,14 @@ def pieces(texts: pa.Array, most: int = 4 << 20):
         row = end
 
 
-def words(texts: pa.Array) -> Words:
-    """Words of every text of a string array."""
+def words(texts: pa.Array, letters: np.ndarray = _LOWER, gaps: np.ndarray = _SPACE) -> Words:
+    """Words of every text of a string array. ``letters`` says what each byte becomes, ``gaps``
+    which of the resulting bytes lie between words."""
     raw, at = utf8(texts)
-    data = _LOWER[raw]
+    data = letters[raw]
     inside = np.ones(len(data) + 2, dtype=bool)
     inside[0] = inside[-1] = False
-    inside[1:-1] = ~_SPACE[data]
+    inside[1:-1] = ~gaps[data]
     starts = inside[1:] & ~inside[:-1]
     ends = inside[:-1] & ~inside[1:]
     cut = at[1:-1]                      # a word never runs on into the next text
@@ -112,7 +121,7 @@ def words(texts: pa.Array) -> Words:
     np.cumsum((data.astype(U64) + U64(1)) * _power(_BASE, len(data)), out=total[1:])
     hashes = (total[end] - total[start]) * _power(_INVERSE, len(data) + 1)[start]
     hashes = mix(hashes ^ ((end - start).astype(U64) << U64(48)))
-    return Words(hashes, np.searchsorted(start, at), start, end, data, at)
+    return Words(hashes, np.searchsorted(start, at), start, end, data, at, total)
 
 
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,11 +159,13 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def distinct(value: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (document, hash) pairs, ordered by document and hash."""
-    order = np.lexsort((value, doc))
-    value, doc = value[order], doc[order]
+    """Distinct (document, hash) pairs, ordered by document and hash; ``doc`` must ascend."""
     if len(value) == 0:
         return value, doc
+    value = value.copy()
+    cuts = np.flatnonzero(doc[1:] != doc[:-1]) + 1
+    for part in np.split(value, cuts):      # views: each document's hashes are sorted in place
+        part.sort()
     keep = np.ones(len(value), dtype=bool)
     keep[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
     return value[keep], doc[keep]
