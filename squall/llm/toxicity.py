@@ -237,9 +237,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                .agg(F.count(F.lit(1)).alias("n")).collect()}
     if any((which, kind) not in classes for which in (True, False) for kind in (0.0, 1.0)):
         return ToxicityModel(lexicon, None, None, base)
-    trees = GBTClassifier(featuresCol="_vector", labelCol="toxic", predictionCol="_class", rawPredictionCol="_margin",
-                          probabilityCol="_probability", maxIter=rounds, maxDepth=depth, seed=1,
-                          minInstancesPerNode=5).fit(made.where("part < 8").coalesce(4))
+    learner = GBTClassifier(featuresCol="_vector", labelCol="toxic", predictionCol="_class", maxIter=rounds,
+                            maxDepth=depth, minInstancesPerNode=5, seed=1)
+    learner.setRawPredictionCol("_margin").setProbabilityCol("_probability")
+    trees = learner.fit(made.where("part < 8").coalesce(4))
     held = trees.transform(made.where("part >= 8")).withColumn("_raw", vector_to_array("_probability")[1])
     calibration = IsotonicRegression(featuresCol="_raw", labelCol="toxic", predictionCol="_calibrated") \
         .fit(held.select("_raw", "toxic").coalesce(1))
