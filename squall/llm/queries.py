@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from squall.llm import byte_bpe, decontaminate, shards, token_counts, token_files, toxicity
+from squall.llm import byte_bpe, decontaminate, quality, shards, token_counts, token_files, toxicity
 from squall.llm.common import shared_dir, table
 
 QUERIES = {}
@@ -55,3 +55,9 @@ def decontamination_query(spark, sf_dir):
 def toxicity_query(spark, sf_dir):
     """Toxicity of every document, learned from the labels that are not held out."""
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_quality")
+def quality_query(spark, sf_dir):
+    """Quality of every document; sources are the hosts and their languages the paths."""
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
