@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from squall.llm import byte_bpe, decontaminate, quality, shards, token_counts, token_files, toxicity
+from squall.llm import byte_bpe, decontaminate, licenses, quality, shards, token_counts, token_files, toxicity
 from squall.llm.common import shared_dir, table
 
 QUERIES = {}
@@ -61,3 +61,9 @@ def toxicity_query(spark, sf_dir):
 def quality_query(spark, sf_dir):
     """Quality of every document; sources are the hosts and their languages the paths."""
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_license_scan")
+def license_scan_query(spark, sf_dir):
+    """License texts and notices in every document."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
