@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from squall.llm import byte_bpe, decontaminate, licenses, quality, shards, token_counts, token_files, toxicity
+from squall.llm import byte_bpe, decontaminate, licenses, neighbours, quality, shards, token_counts, token_files, toxicity
 from squall.llm.common import shared_dir, table
 
 QUERIES = {}
@@ -67,3 +67,9 @@ def quality_query(spark, sf_dir):
 def license_scan_query(spark, sf_dir):
     """License texts and notices in every document."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op5_neighbours")
+def neighbours_query(spark, sf_dir):
+    """The 20 nearest of every twentieth embedding among all others."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), 20, 20)
