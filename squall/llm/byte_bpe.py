@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +34,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class BacktrackingBPE:
     """Encoder and decoder for one rank table."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 800_000, most_pairs: int = 1_000_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 450_000, most_pairs: int = 1_000_000):
         import ahocorasick
         import regex
 
@@ -142,7 +143,7 @@ class BacktrackingBPE:
         ids: list[int] = []
         for piece in self._pieces(chunk):
             ids += self.encode_piece(piece.encode("utf-8"))
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""

@@ -2,7 +2,8 @@
 
 For byte-level BPE with the public pre-split pattern, such a space always
 begins a new piece and nothing left of it looks past it, so the pieces of a
-text are the pieces of its chunks one after the other. Chunks repeat far more
+text are the pieces of its chunks one after the other; a single line break
+between two visible characters is always one piece. Chunks repeat far more
 often than texts, so their ids are kept in a bounded memory.
 """
 
@@ -14,28 +15,34 @@ _EDGE = re.compile(r"(?<=\S)(?= \S)")
 
 
 def split(text: str) -> list[str]:
-    """Chunks of a text; every chunk but the first is given without its leading space."""
-    parts = text.split(" ")
-    if len(text.split()) == len(parts) + text.count("\n"):
-        return parts                    # no white space touches another, none at either end
+    """Chunks of a text; every chunk but the first is given without its leading space. Where no
+    white space touches another, a line break is a piece of its own and begins a chunk too."""
+    if len(text.split()) == text.count(" ") + text.count("\n") + 1:
+        return text.replace("\n", " \n").split(" ")
     parts = _EDGE.split(text)
     return [parts[0], *(p[1:] for p in parts[1:])]
 
 
 class Memory(dict):
-    """chunk -> bytes; ``make`` fills it in on a miss. ``trim`` empties it when it holds over
-    ``most`` chunks (only speed depends on it)."""
+    """chunk -> bytes; ``make`` fills it in on a miss. When it holds over ``most`` chunks, ``trim``
+    lays them aside in place of those laid aside before; a chunk used again comes back from
+    there. Only speed depends on it."""
 
     def __init__(self, make, most: int):
         super().__init__()
         self._make, self._most = make, most
+        self._aside: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        value = self[chunk] = self._make(chunk)
+        value = self._aside.get(chunk)
+        if value is None:
+            value = self._make(chunk)
+        self[chunk] = value
         return value
 
     def trim(self) -> None:
         if len(self) > self._most:
+            self._aside = dict(self)
             self.clear()
 
 
@@ -43,9 +50,16 @@ class ChunkEncoder:
     """``encode`` gives the ids of a text as little-endian unsigned 32-bit integers.
     ``ids_of(piece)`` encodes a chunk that begins where a text or a safe space begins."""
 
-    def __init__(self, ids_of, most: int = 800_000):
-        self._head = Memory(ids_of, most // 8)
-        self._tail = Memory(lambda chunk: ids_of(" " + chunk), most)
+    def __init__(self, ids_of, most: int = 450_000):
+        self._ids_of = ids_of
+        self._head = Memory(ids_of, most // 4)
+        self._tail = Memory(self._behind, most)
+        self._break = ids_of("\n")
+
+    def _behind(self, chunk: str) -> bytes:
+        if chunk[:1] == "\n":            # only from ``split``: a line break stands for the space
+            return self._break + self._head[chunk[1:]]
+        return self._ids_of(" " + chunk)
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -55,6 +69,10 @@ class ChunkEncoder:
         first = self._head[parts[0]]
         return b"".join((first, *map(get, parts[1:])))
 
+    def get(self, chunk: str) -> bytes:
+        """The ids of one chunk, with its leading space if it has one."""
+        return self._tail[chunk[1:]] if chunk[:1] == " " else self._head[chunk]
+
     def trim(self) -> None:
         self._head.trim()
         self._tail.trim()

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -22,36 +24,52 @@ FILE_OPTIONS = {
     "parquet.page.size": str(1 << 20), "parquet.page.row.count.limit": "20000",
     "parquet.dictionary.page.size": str(2 << 20), "parquet.enable.dictionary": "true",
 }
-_WORD = re.compile(r" ?[A-Za-z]+")
+#: One run of Latin letters, maybe behind a space and before a mark: one piece and one for the mark.
+_WORD = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([.,]?)")
+
+
+_ID = attrgetter("id")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level BPE writes for each byte: itself where it can be seen, else the
+    next one from U+0100 on."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class LibraryEncoder:
     """Ids as the tokenizers library gives them, with its byte-level BPE model called once for
-    each distinct piece; texts that hold an added token, and pieces outside ASCII, go through the
-    library's whole path."""
+    each distinct word of Latin letters; every other chunk, and texts that hold an added token,
+    go through the library's whole path."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
-        from public_tokenizers import PATTERN
 
         self._tokenizer = Tokenizer.from_file(path)
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._model = self._tokenizer.model
-        self._pieces = regex.compile(PATTERN).findall
-        self._letters = str.maketrans({" ": "Ġ"})
+        self._tokenize = self._tokenizer.model.tokenize
+        self._letters = _byte_letters()
+        self._marks = {mark: self._library(mark) for mark in ".,"}
         self._chunks = ChunkEncoder(self._chunk, most)
-        self._parts = ChunkEncoder(self._chunk, 1)
 
     def _library(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if not chunk.isascii() or not chunk.isprintable():
+        word = _WORD.fullmatch(chunk)
+        if word is None:
             return self._library(chunk)
-        ids = [t.id for piece in self._pieces(chunk) for t in self._model.tokenize(piece.translate(self._letters))]
-        return np.array(ids, "<u4").tobytes()
+        piece, mark = word.groups()
+        if mark:
+            return self._chunks.get(piece) + self._marks[mark]
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self._letters)
+        elif piece[0] == " ":
+            piece = self._letters[32] + piece[1:]
+        return array("I", map(_ID, self._tokenize(piece))).tobytes()
 
     def encode(self, text: str) -> bytes:
         if any(a in text for a in self._added):
