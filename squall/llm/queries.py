@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from squall.llm import byte_bpe, decontaminate, licenses, neighbours, quality, shards, token_counts, token_files, toxicity
+from squall.llm import byte_bpe, decontaminate, licenses, neighbours, ngram_join, quality, shards, token_counts, token_files, toxicity
 from squall.llm.common import shared_dir, table
 
 QUERIES = {}
@@ -73,3 +73,9 @@ def license_scan_query(spark, sf_dir):
 def neighbours_query(spark, sf_dir):
     """The 20 nearest of every twentieth embedding among all others."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), 20, 20)
+
+
+@query("op6_ngram_join")
+def ngram_join_query(spark, sf_dir):
+    """Components of documents that share 90 % of their three-word shingles."""
+    return ngram_join.join_components(table(spark, sf_dir, "documents"), size=3, percent=90)
