@@ -67,6 +67,16 @@ def arrow_function(function, kind: str):
     return F.arrow_udf(call, kind)
 
 
+def packed(df: DataFrame, **columns) -> DataFrame:
+    """``df`` with all its columns in one, ``row``, beside the given ones, so that no name of an
+    operator's own can clash with one of the table's."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    return df.select("row.*")
+
+
 def crc_of(name: str):
     """crc32 of a value written as text; null for null."""
     return F.crc32(F.col(name).cast("string"))

@@ -25,7 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from squall.llm.common import arrow_function, column, map_arrow, pinned, ship
+from squall.llm.common import arrow_function, column, map_arrow, packed, pinned, ship, unpacked
 from squall.llm.words import distinct, mix, pieces, shingles, words
 
 SIZE, PERCENT = 3, 90
@@ -53,8 +53,9 @@ def sets_of(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def names_of(value: np.ndarray, at: np.ndarray) -> pa.Array:
     """16 bytes that name each set: two sums over its mixed hashes. Null for an empty set."""
-    one = np.concatenate([[0], np.cumsum(mix(value), dtype=np.uint64)]).astype(np.uint64)
-    two = np.concatenate([[0], np.cumsum(mix(value ^ _LOST), dtype=np.uint64)]).astype(np.uint64)
+    start = np.zeros(1, np.uint64)
+    one = np.concatenate([start, np.cumsum(mix(value), dtype=np.uint64)])
+    two = np.concatenate([start, np.cumsum(mix(value ^ _LOST), dtype=np.uint64)])
     both = np.stack([one[at[1:]] - one[at[:-1]], two[at[1:]] - two[at[:-1]]], axis=1)
     raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(both), [None, pa.py_buffer(both.tobytes())])
     return pa.compute.if_else(pa.array(at[1:] > at[:-1]), raw.cast(pa.binary()), pa.scalar(None, pa.binary()))
@@ -371,20 +372,15 @@ def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", siz
     repeated with that key one stays. Rows without words, or without a key, stay."""
     documents, found = _classes(df, key, text, size, percent)
     grouped = documents.join(found, "name")
-    dropped = pinned(grouped.where("key != component").select(F.col("key").alias("_key")).distinct(), "join-dropped")
+    dropped = pinned(grouped.where("key != component").select("key").distinct(), "join-dropped")
     repeated = not grouped.where("key = component").groupBy("key").count().where("count > 1").isEmpty()
     side = F.broadcast(dropped) if dropped.count() <= FEW_KEYS else dropped
-    out = df.join(side, F.col(key) == F.col("_key"), "left_anti")
+    out = packed(df, own=F.col(key), text=F.col(text)).join(side, F.col("own") == F.col("key"), "left_anti")
     if repeated:
-        out = _one_of_repeated(out, key, text, size)
-    return out
+        def names(texts: pa.Array) -> pa.Array:
+            return names_of(*sets_of(texts, size))
 
-
-def _one_of_repeated(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    def names(texts: pa.Array) -> pa.Array:
-        return names_of(*sets_of(texts, size))
-
-    marked = df.withColumn("_name", arrow_function(names, "binary")(F.col(text)))
-    alone = F.col("_name").isNull() | F.col(key).isNull()
-    kept = marked.where(~alone).dropDuplicates([key, "_name"])
-    return marked.where(alone).unionByName(kept).drop("_name")
+        out = out.withColumn("name", arrow_function(names, "binary")(F.col("text")))
+        alone = F.col("name").isNull() | F.col("own").isNull()
+        out = out.where(alone).unionByName(out.where(~alone).dropDuplicates(["own", "name"]))
+    return unpacked(out)

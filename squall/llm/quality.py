@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from squall.llm.common import arrow_function, crc_of, pinned, ship
+from squall.llm.common import arrow_function, crc_of, packed, pinned, ship, unpacked
 from squall.llm.words import pieces, utf8, words
 
 FEATURES = ("log_words", "word_bytes", "distinct_words", "log_lines", "repeated_lines", "longest_word", "capitals",
@@ -203,9 +203,6 @@ def drop_poor(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
               path: str = "lang", threshold: float = THRESHOLD, **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score reaches the threshold."""
     model = fit(docs, labels, key, text, **options)
-    marked = model.add(docs.withColumns({"_host": _site(host), "_path": _site(path)}), text, "_evidence")
-    rates = site_rates(marked.select(F.col("_host").alias("host"), F.col("_path").alias("path"),
-                                     F.col("_evidence").alias("evidence")))
-    rates = rates.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("path_rate").alias("_rate"))
-    return marked.join(rates, ["_host", "_path"]) \
-        .where(_joined("_evidence", "_rate", model.base) >= threshold).select(*docs.columns)
+    marked = model.add(packed(docs, text=F.col(text), host=_site(host), path=_site(path)), "text", "evidence")
+    rates = site_rates(marked.select("host", "path", "evidence"))
+    return unpacked(marked.join(rates, ["host", "path"]).where(_joined("evidence", "path_rate", model.base) >= threshold))

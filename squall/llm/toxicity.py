@@ -17,7 +17,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from squall.llm.common import arrow_function, column, crc_of, map_arrow, pinned, ship
+from squall.llm.common import arrow_function, column, crc_of, map_arrow, packed, pinned, ship, unpacked
 from squall.llm.words import Words, pieces, utf8, words
 
 # Common insults, second-person words, and characters written for letters.
@@ -265,4 +265,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
                threshold: float = THRESHOLD, **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score is under the threshold."""
     model = fit(docs, labels, key, text, **options)
-    return model.score(docs, text, "_toxicity").where(F.col("_toxicity") < threshold).select(*docs.columns)
+    return unpacked(model.score(packed(docs, text=F.col(text))).where(F.col("score") < threshold))
