@@ -88,7 +88,7 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def pieces(texts: pa.Array, most: int = 4 << 20):
+def pieces(texts: pa.Array, most: int = 1 << 20):
     """Cut a batch into runs of documents of at most ``most`` bytes (one longer document stays
     whole), so that working arrays stay bounded: yields (first row, end row)."""
     _, at = utf8(texts)
