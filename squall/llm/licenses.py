@@ -185,15 +185,14 @@ def scan_texts(texts: pa.Array, known: Templates, least: float) -> list[tuple]:
                 by_doc.setdefault(d, {}).setdefault(t, []).append(int(at[h] - w.first[d]))
         for d, by_template in by_doc.items():
             own = w.hashes[w.first[d]:w.first[d + 1]].tolist()
-            got = [(m, -s, n, t) for t, places in by_template.items()
+            got = [(-m, len(known.words[t]), s, n, t) for t, places in by_template.items()
                    for s, n, m in matches_in(own, places, known.words[t], least)]
             taken: list[tuple[int, int]] = []
-            for m, minus, n, t in sorted(got, key=lambda x: (-x[0], -x[1], x[3])):
-                s = -minus
+            for m, _, s, n, t in sorted(got):       # most words first, then best covered
                 if any(2 * (min(s + n, b) - max(s, a)) > n for a, b in taken):
                     continue
                 taken.append((s, s + n))
-                out.append((begin + d, known.names[t], s, n, m, m / len(known.words[t])))
+                out.append((begin + d, known.names[t], s, n, -m, -m / len(known.words[t])))
     return out
 
 
