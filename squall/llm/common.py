@@ -67,6 +67,26 @@ def arrow_function(function, kind: str):
     return F.arrow_udf(call, kind)
 
 
+class Scratch:
+    """Tables written to the shared folder for one job, removed with ``drop``."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._paths = spark, []
+
+    def pin(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_dir(self._spark, name)
+        self._paths.append(path)
+        df.write.parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Remove the tables; nothing that is still to be computed may read them."""
+        jvm, conf = self._spark._jvm, self._spark.sparkContext._jsc.hadoopConfiguration()
+        while self._paths:
+            path = jvm.org.apache.hadoop.fs.Path(self._paths.pop())
+            path.getFileSystem(conf).delete(path, True)
+
+
 def packed(df: DataFrame, **columns) -> DataFrame:
     """``df`` with all its columns in one, ``row``, beside the given ones, so that no name of an
     operator's own can clash with one of the table's."""
@@ -86,4 +106,4 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-__all__ = ["ship", "table", "map_arrow", "column", "pinned", "cut_lineage", "shared_dir", "text_or_empty"]
+__all__ = ["ship", "table", "map_arrow", "column", "pinned", "Scratch", "cut_lineage", "shared_dir", "text_or_empty"]

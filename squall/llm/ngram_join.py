@@ -25,16 +25,16 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from squall.llm.common import arrow_function, column, map_arrow, packed, pinned, ship, unpacked
+from squall.llm.common import Scratch, arrow_function, column, map_arrow, packed, pinned, ship, unpacked
 from squall.llm.words import distinct, mix, pieces, shingles, words
 
 SIZE, PERCENT = 3, 90
 #: Shingles in more prefixes than this go by hubs.
 HOT = 8
 #: Bound of the table of frequent shingles (12 bytes each), and shingles counted at a time.
-TABLE, COUNTED = 300_000, 4_000_000
+TABLE, COUNTED = 1_000_000, 4_000_000
 #: Numbers of shared shingles a prefix may ask for; cost of a comparison, in list entries.
-NEEDS, COMPARISON = (1, 2, 3, 4, 6, 8), 20.0
+NEEDS, COMPARISON = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32), 20.0
 #: Up to so many keys are looked up by broadcast (16 MB at most).
 FEW_KEYS = 1_000_000
 _LOST = np.uint64(0x94D049BB133111EB)       # marks a shingle of the hub that a set lacks
@@ -110,10 +110,10 @@ def _once(names: pa.Array) -> list[int]:
     return list(seen.values())
 
 
-def frequent_shingles(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(counts: DataFrame, most: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles (sorted) and in how many sets they were counted: all those above
     the least count that keeps the table within ``most``. Only the order of shingles rests on it."""
-    sums = pinned(counts.groupBy("token").agg(F.sum("count").alias("count")), "join-counts")
+    sums = scratch.pin(counts.groupBy("token").agg(F.sum("count").alias("count")), "join-counts")
     levels = sums.groupBy(F.least("count", F.lit(100_000)).alias("count")).agg(F.count(F.lit(1)).alias("n")) \
         .orderBy(F.desc("count")).collect()         # 100,000 rows at most
     least, held = None, 0
@@ -221,22 +221,28 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int, apart: bool) -> D
                      "x binary, y binary, n_x int, n_y int, linked boolean, apart array<long>")
 
 
-def _sets(rows: DataFrame, wanted: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+def _sets(rows: DataFrame, wanted: DataFrame, classes: DataFrame, documents: DataFrame, size: int,
+          scratch: Scratch) -> DataFrame:
     """(name, shingles) of the wanted names, from the text of the class's smallest key."""
-    keys = pinned(wanted.join(classes, "name").select("key").where("key is not null").distinct(), "join-keys")
-    side = F.broadcast(keys) if keys.count() <= FEW_KEYS else keys
+    keys = scratch.pin(wanted.join(classes, "name").where("key is not null").select("key", "name"), "join-keys")
+    n = keys.count()
+    side = F.broadcast(keys) if n <= FEW_KEYS else keys
 
     def build(batches):
         for batch in batches:
             value, at = sets_of(column(batch, "text"), size)
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(value.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([names_of(value, at), lists], names=["name", "shingles"])
+            own = names_of(value, at)
+            same = pa.compute.equal(own, column(batch, "name"))     # rows can share a key, but not a text
+            yield pa.RecordBatch.from_arrays([own, lists], names=["name", "shingles"]).filter(same)
 
-    built = map_arrow(rows.join(side, "key").select("text"), build, "name binary, shingles array<long>")
-    return pinned(built.where("name is not null").join(wanted, "name", "left_semi").dropDuplicates(["name"]), "join-sets")
+    built = map_arrow(rows.join(side, "key").select("name", "text"), build, "name binary, shingles array<long>")
+    if documents.join(side, ["key", "name"]).count() > n:           # repeated rows
+        built = built.dropDuplicates(["name"])
+    return scratch.pin(built, "join-sets")
 
 
-def _pairs_of_differences(members: DataFrame, percent: int) -> DataFrame:
+def _pairs_of_differences(members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (x, y) of one hub, not both linked to it, that can link: from rows (hub, x, n_x, n_hub,
     linked, apart).
 
@@ -258,7 +264,7 @@ def _pairs_of_differences(members: DataFrame, percent: int) -> DataFrame:
     own = Window.partitionBy("hub", "x")
     shared = shared.withColumn("place", F.col("d") - F.count(F.lit(1)).over(own)
                                + F.row_number().over(own.orderBy("often", "token"))).where("place <= prefix")
-    shared = pinned(shared.select("hub", "token", "x", "n_x", "d", "linked"), "join-differences")
+    shared = scratch.pin(shared.select("hub", "token", "x", "n_x", "d", "linked"), "join-differences")
     y = shared.select("hub", "token", F.col("x").alias("y"), F.col("n_x").alias("n_y"), F.col("d").alias("d_y"),
                       F.col("linked").alias("linked_y"))
     k = (100 - percent) * (F.col("n_x") + F.col("n_y")) / (100 + percent)
@@ -268,12 +274,12 @@ def _pairs_of_differences(members: DataFrame, percent: int) -> DataFrame:
         .where((F.col("d") + F.col("d_y") - k) / 2 <= F.least("d", "d_y")).select("x", "y").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(name, root) of every name in the links (x, y): the smallest name it is connected with.
 
     Large-star and small-star rounds: every name hands its larger (then its smaller) neighbours to
     the smallest one it knows, until nothing changes."""
-    edges = pinned(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u != v")
+    edges = scratch.pin(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u != v")
                    .distinct(), "join-edges")
 
     def state(e: DataFrame):
@@ -287,7 +293,7 @@ def components(links: DataFrame) -> DataFrame:
         # each name's neighbours are now not larger than it
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        edges = pinned(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = scratch.pin(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
                        .unionByName(small.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "join-edges")
         after = state(edges)
         if after == now:
@@ -301,17 +307,24 @@ def _classes(df: DataFrame, key: str, text: str, size: int, percent: int) -> tup
     """(key, n, name) of every row, and (name, component) of every set that is not alone."""
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     ship(df.sparkSession)
-    described = pinned(_described(rows, size), "join-described")
-    documents = described.where("n is not null").select("key", "n", "name")
-    table = frequent_shingles(described.where("token is not null").select("token", "count"), TABLE)
-    classes = pinned(documents.where("name is not null").groupBy("name")
-                     .agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies")), "join-classes")
-
-    prefixes = pinned(_prefixes(rows, table, size, percent), "join-prefixes")
-    if not classes.where("copies > 1").isEmpty():       # equal sets of other batches
+    scratch = Scratch(df.sparkSession)
+    described = scratch.pin(_described(rows, size), "join-described")
+    documents = pinned(described.where("n is not null").select("key", "n", "name"), "join-documents")
+    table = frequent_shingles(described.where("token is not null").select("token", "count"), TABLE, scratch)
+    classes = scratch.pin(documents.where("name is not null").groupBy("name")
+                          .agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies")), "join-classes")
+
+    # one row of each set is cut into a prefix: the other copies are left out before if they are
+    # few, and their equal prefixes merged if not
+    extra = scratch.pin(documents.join(classes.where("copies > 1").withColumnRenamed("key", "first"), "name")
+                        .where("key != first").select("key").distinct(), "join-extra")
+    few_extra = extra.count() <= FEW_KEYS
+    once = rows.join(F.broadcast(extra), "key", "left_anti") if few_extra else rows
+    prefixes = scratch.pin(_prefixes(once, table, size, percent), "join-prefixes")
+    if not few_extra or documents.where("name is not null").groupBy("key", "name").count().where("count > 1").count():
         prefixes = prefixes.groupBy("token", "name").agg(*(F.first(c).alias(c) for c in ("n", "need", "at")))
     often = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    lists = pinned(prefixes.join(often, "token"), "join-lists")
+    lists = scratch.pin(prefixes.join(often, "token"), "join-lists")
 
     # few sets: pairs, with the number of shingles they share
     few = lists.where(F.col("often") <= HOT)
@@ -322,33 +335,34 @@ def _classes(df: DataFrame, key: str, text: str, size: int, percent: int) -> tup
         .where(_may_link(F.least("at", "at_y") + behind, F.col("n"), F.col("n_y"), percent)) \
         .groupBy(F.col("name").alias("x"), F.col("name_y").alias("y"), F.least("need", "need_y").alias("need")) \
         .agg(F.count(F.lit(1)).alias("shared")).where("shared >= need").select("x", "y")
-    pairs = pinned(pairs, "join-pairs")
+    pairs = scratch.pin(pairs, "join-pairs")
 
     # many sets: each with the list's hub, the set with most shingles in lists
     many = lists.where(F.col("often") > HOT)
     weight = lists.groupBy("name").agg(F.count(F.lit(1)).alias("weight"))
     hubs = many.join(weight, "name").groupBy("token").agg(F.max(F.struct("weight", "name")).alias("top")) \
         .select("token", F.col("top.name").alias("hub"))
-    with_hub = pinned(many.join(hubs, "token").where("name != hub").select(F.col("name").alias("x"),
-                                                                          F.col("hub").alias("y")).distinct(), "join-hubs")
-    wanted = pairs.select(F.col("x").alias("name")).unionByName(pairs.select(F.col("y").alias("name"))) \
-        .unionByName(with_hub.select(F.col("x").alias("name"))).unionByName(with_hub.select(F.col("y").alias("name"))) \
-        .distinct()
-    sets = _sets(rows, wanted, classes.select("name", "key"), size)
-    direct = pinned(_compared(pairs, sets, percent, False), "join-direct")
-    members = pinned(_compared(with_hub, sets, percent, True)
-                     .select(F.col("y").alias("hub"), "x", "n_x", F.col("n_y").alias("n_hub"), "linked", "apart"),
-                     "join-members")
-    rest = pinned(_compared(_pairs_of_differences(members, percent), sets, percent, False), "join-rest")
+    with_hub = scratch.pin(many.join(hubs, "token").where("name != hub").select(
+        F.col("name").alias("x"), F.col("hub").alias("y")).distinct(), "join-hubs")
+    both = pairs.unionByName(with_hub)
+    wanted = both.select(F.col("x").alias("name")).unionByName(both.select(F.col("y").alias("name"))).distinct()
+    sets = _sets(rows, wanted, classes.select("name", "key"), documents, size, scratch)
+    direct = scratch.pin(_compared(pairs, sets, percent, False), "join-direct")
+    members = scratch.pin(_compared(with_hub, sets, percent, True)
+                          .select(F.col("y").alias("hub"), "x", "n_x", F.col("n_y").alias("n_hub"), "linked", "apart"),
+                          "join-members")
+    rest = scratch.pin(_compared(_pairs_of_differences(members, percent, scratch), sets, percent, False), "join-rest")
     links = direct.where("linked").select("x", "y") \
         .unionByName(members.where("linked").select("x", F.col("hub").alias("y"))) \
         .unionByName(rest.where("linked").select("x", "y"))
-    roots = pinned(components(links), "join-roots")
+    roots = scratch.pin(components(links, scratch), "join-roots")
     smallest = roots.join(classes.select("name", "key"), "name").groupBy("root").agg(F.min("key").alias("component"))
     joined = roots.join(smallest, "root").select("name", "component")
     copies = classes.where("copies > 1").join(roots, "name", "left_anti") \
         .select("name", F.col("key").alias("component"))
-    return documents, pinned(joined.unionByName(copies), "join-components")
+    found = pinned(joined.unionByName(copies), "join-components")
+    scratch.drop()
+    return documents, found
 
 
 def join_components(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE,

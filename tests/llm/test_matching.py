@@ -8,6 +8,7 @@ import pyarrow as pa
 
 from fixtures import changed, documents, empty, prose, word
 from squall.llm import decontaminate, licenses, ngram_join
+from squall.llm.common import Scratch
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -232,7 +233,7 @@ def test_chains_have_one_root(spark):
     random.Random(1).shuffle(order)
     links = [(names[a], names[b]) for a, b in zip(order[:200], order[1:200], strict=False)] + [(names[order[250]], names[order[251]])]
     got = {bytes(x["name"]): bytes(x["root"]) for x in
-           ngram_join.components(spark.createDataFrame(links, "x binary, y binary")).collect()}
+           ngram_join.components(spark.createDataFrame(links, "x binary, y binary"), Scratch(spark)).collect()}
     assert len(got) == 202
     assert {got[names[i]] for i in order[:200]} == {names[min(order[:200])]}
 
