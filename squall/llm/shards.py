@@ -3,8 +3,11 @@
 A partial partition is a vector of ``k`` sums. Differencing takes the two
 partial partitions with the largest spread (largest minus smallest sum) and
 adds one's sums in falling to the other's in rising order, until one is left.
-Here buckets of groups are differenced in parallel, then the buckets' results
-with each other in the same way, level by level.
+
+Groups are taken by size, the largest first, in classes a factor apart. The
+groups of a class are differenced in parallel buckets; each bucket starts with
+its equal share of the sums that the larger groups have made, as one more
+partial partition, so that smaller groups fill what larger ones left uneven.
 """
 
 from __future__ import annotations
@@ -19,8 +22,10 @@ from pyspark.sql import functions as F
 from squall.llm.common import pinned, ship
 from squall.operators.blocks import global_position
 
+#: A bucket's groups at most, about; the first class has groups of at least the total through this.
 GROUPS_PER_BUCKET = 10_000
-PARTS_PER_BUCKET = 500
+#: How much smaller the groups of each next class can be.
+FACTOR = 64
 
 
 def difference(vectors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -51,61 +56,48 @@ def difference(vectors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return sums[-1], np.stack(places[:n])
 
 
-def _difference_groups(k: int):
+def _deal(start: list[int]):
+    """Difference one bucket's groups with the sums ``start``; a group goes where the shard of that
+    place in ``start`` went."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("group").reset_index(drop=True)
-        vectors = []
+        order = np.argsort(-np.array(start), kind="stable")
+        vectors = [np.array(start, dtype=np.int64)[order]]
         for size in rows["size"].to_numpy():
-            v = np.zeros(k, dtype=np.int64)
+            v = np.zeros(len(start), dtype=np.int64)
             v[0] = size
             vectors.append(v)
-        sums, places = difference(vectors)
-        out = rows[["bucket", "group"]].copy()
-        out["place"] = places[:, 0].astype(np.int32)
-        out["sums"] = [sums if i == 0 else None for i in range(len(rows))]     # once a bucket
-        return out
-
-    return run
-
-
-def _difference_parts(k: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("part").reset_index(drop=True)
-        sums, places = difference([np.array(v, dtype=np.int64) for v in rows["sums"]])
-        out = rows[["part", "parent"]].copy()
-        out["places"] = list(places.astype(np.int32))
-        out["sums"] = [sums if i == 0 else None for i in range(len(rows))]
-        return out
+        _, places = difference(vectors)
+        shard_at = np.empty(len(start), dtype=np.int32)
+        shard_at[places[0]] = order
+        return pd.DataFrame({"group": rows["group"], "size": rows["size"], "shard": shard_at[places[1:, 0]]})
 
     return run
 
 
 def balanced_groups(groups: DataFrame, shards: int) -> DataFrame:
-    """(group, shard) for a table (group string, size long) with one row a group: shards of nearly
-    equal total size. Buckets of about GROUPS_PER_BUCKET groups are differenced in one task each;
-    their vectors of sums are then differenced PARTS_PER_BUCKET at a time until one is left."""
-    spark = groups.sparkSession
-    ship(spark)
-    buckets = max(1, groups.count() // GROUPS_PER_BUCKET)
-    first = groups.withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets)))
-    leaf = pinned(first.groupBy("bucket").applyInPandas(
-        _difference_groups(shards), "bucket long, group string, place int, sums array<long>"), "kk-groups")
-    parts = leaf.where(F.col("sums").isNotNull()).select(F.col("bucket").alias("part"), "sums")
-    # each bucket's places, carried up: place p of a bucket's vector goes to path[p]
-    path = leaf.select("bucket").distinct().select(
-        "bucket", F.col("bucket").alias("top"),
-        F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<int>").alias("path"))
-    left = buckets
-    while left > 1:
-        left = max(1, -(-left // PARTS_PER_BUCKET))
-        level = pinned(parts.withColumn("parent", F.pmod(F.xxhash64("part"), F.lit(left))).groupBy("parent")
-                       .applyInPandas(_difference_parts(shards),
-                                      "part long, parent long, places array<int>, sums array<long>"), "kk-parts")
-        parts = level.where(F.col("sums").isNotNull()).select(F.col("parent").alias("part"), "sums")
-        path = path.join(level.select(F.col("part").alias("top"), "parent", "places"), "top").select(
-            "bucket", F.col("parent").alias("top"),
-            F.transform("path", lambda p: F.element_at("places", p + 1)).alias("path"))
-    return leaf.join(path, "bucket").select("group", F.element_at("path", F.col("place") + 1).alias("shard"))
+    """(group, size, shard) for a table (group string, size long) with one row a group and sizes
+    over 0: shards of nearly equal total size.
+
+    A class ends at a size that its bucket's share of a shard exceeds several times, so a bucket
+    can even out any of its groups; only a group larger than a shard's share cannot be."""
+    ship(groups.sparkSession)
+    count, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    sums, below, least, out = [0] * shards, None, total / GROUPS_PER_BUCKET, None
+    while out is None or count:
+        rest = groups if below is None else groups.where(F.col("size") < below)
+        some = rest if count <= GROUPS_PER_BUCKET else rest.where(F.col("size") >= least)
+        n = some.count()
+        if n or out is None:
+            buckets = max(1, -(-n // GROUPS_PER_BUCKET))
+            bucket = F.pmod(F.xxhash64("group"), F.lit(buckets))
+            dealt = pinned(some.groupBy(bucket.alias("bucket")).applyInPandas(
+                _deal([s // buckets for s in sums]), "group string, size long, shard int"), "shard-class")
+            for r in dealt.groupBy("shard").agg(F.sum("size").alias("size")).collect():
+                sums[r["shard"]] += r["size"]
+            out = dealt if out is None else out.unionByName(dealt)
+        count, below, least = count - n, least, least / FACTOR
+    return out
 
 
 def shard_documents(df: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,7 +116,7 @@ def shard_documents(df: DataFrame, shards: int = 40, key: str = "doc_id", text:
     groups = pinned(rows.groupBy("group").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")),
                     "shard-groups")
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    placed = pinned(groups.join(balanced_groups(groups.select("group", "size"), shards), "group")
+    placed = pinned(groups.drop("size").join(balanced_groups(groups.select("group", "size"), shards).drop("size"), "group")
                     .select("group", "shard", (F.col("n") * 1000 > total).alias("hot")), "shard-placed")
     hot = F.broadcast(placed.where("hot").select("group", F.col("shard").alias("hot_shard")))
     marked = rows.join(hot, "group", "left")
