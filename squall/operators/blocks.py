@@ -51,9 +51,12 @@ def summary_window(keys: Sequence[str], block: str = BLK):
 
 def carry_join(df: DataFrame, summary: DataFrame, keys: Sequence[str],
                block: str = BLK) -> DataFrame:
-    """Attach per-block carry columns.  Summary has one row per block; keys
-    are never NULL here (series keys and blocks of non-null times)."""
-    return df.join(summary, [*keys, block], "left")
+    """Attach per-block carry columns.  Summary has one row per block.  The
+    join is null-safe, so readings without a series key form a series of
+    their own."""
+    right = summary.withColumnsRenamed({c: f"_s_{c}" for c in [*keys, block]})
+    on = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in [*keys, block]]
+    return df.join(right, on, "left").drop(*[f"_s_{c}" for c in [*keys, block]])
 
 
 def global_position(df: DataFrame, order: Sequence[str], partitions: int | None = None,

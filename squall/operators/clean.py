@@ -63,10 +63,10 @@ def bool_to_int(c: Column) -> Column:
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Exactly ``n`` rows chosen by a seeded hash of ``key`` (a global
-    top-n, planned as a per-partition top-n plus a merge), sorted by
-    ``order``."""
-    h = F.xxhash64(*[F.col(k) for k in key], F.lit(seed))
+    """Exactly ``n`` rows chosen by a seeded hash (md5 of the seed and
+    ``key`` as text, so any engine can repeat it; a global top-n, planned as a
+    per-partition top-n plus a merge), sorted by ``order``."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in key]))
     return df.withColumn("_h", h).orderBy("_h", *key).limit(n).drop("_h").orderBy(*order)
 
 

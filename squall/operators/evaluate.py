@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from squall.operators.blocks import add_position
+from squall.operators.stats import value_bounds, value_bucket
 
 
 def _d(c) -> Column:
@@ -67,23 +68,21 @@ def confusion_shares(cells: DataFrame) -> DataFrame:
                         ratio(F.lit(100.0) * TP, FN + TP).alias("tp_pct"))
 
 
-def score_table(df: DataFrame, keys: Sequence[str], score: str, label: str, buckets: int = 1024) -> DataFrame:
+def score_table(df: DataFrame, keys: Sequence[str], score: str, label: str, buckets: int = 128) -> DataFrame:
     """One row per (group, distinct score): ``n``, ``ps`` (positives),
     ``n_lt`` / ``ps_lt`` (rows / positives with a lower score), ``n_tot``,
-    ``p_tot``.  Running sums are two-level: equal-width score buckets per
-    group carry offsets; inside a bucket a small window adds up."""
+    ``p_tot``.  Running sums are two-level: score buckets at sampled quantiles
+    of each group's distinct scores carry offsets; inside a bucket a small window adds up."""
     keys = list(keys)
     s = F.col(score)
     b = (df.filter(s.isNotNull())
          .groupBy(*keys, score).agg(F.count(F.lit(1)).alias("n"),
                                     F.sum(F.col(label).cast("long")).alias("ps")))
-    tot = b.groupBy(*keys).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"),
-                               F.sum("n").alias("n_tot"), F.sum("ps").alias("p_tot"))
+    tot = b.groupBy(*keys).agg(value_bounds(score, buckets).alias("_bounds"), F.sum("n").alias("n_tot"),
+                               F.sum("ps").alias("p_tot"))
     b = (b.join(tot, keys, "inner") if keys else
          b.withColumn("_one", F.lit(1)).join(F.broadcast(tot.withColumn("_one", F.lit(1))), "_one").drop("_one"))
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(buckets))
-    b = b.withColumn("_b", F.when(width > 0, F.least(F.floor((s - F.col("_lo")) / width), F.lit(buckets - 1)))
-                     .otherwise(F.lit(0)).cast("int"))
+    b = b.withColumn("_b", value_bucket(s)).drop("_bounds")
     bt = b.groupBy(*keys, "_b").agg(F.sum("n").alias("_bn"), F.sum("ps").alias("_bp"))
     wb = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_b")
     prev = wb.rowsBetween(Window.unboundedPreceding, -1)

@@ -177,18 +177,23 @@ def merge_intervals(segs: DataFrame, group: Sequence[str], start: str = "start",
 
     Intervals sorted by (start, end); a new merged interval begins when its
     start is later than every previous end plus the gap.  Zero-length merged
-    intervals count ``default_step_min`` minutes.  Runs on (group, block of
-    start time) with two carries: the running maximum of earlier ends, and
-    the start of the merged interval still open at each block border."""
+    intervals count ``default_step_min`` minutes.  Runs on (group, block) with
+    two carries: the running maximum of earlier ends, and the start of the
+    merged interval still open at each block border.  Blocks are the range
+    partitions of (group, start, end), of similar size however many
+    intervals start in one month; unmaterialised input is cut by time."""
     group = list(group)
     gap_us = int(round(max_gap_minutes * 60_000_000))
     iv = segs.select(*group, F.col(start).alias("_s"), F.col(end).alias("_e"))
-    iv = iv.withColumn(BLK, time_block("_s", block_seconds))
     if materialize:
         # the intervals feed three branches (two carries and the main scan);
         # pin them once (reliable checkpoint: small, one row per interval) so
-        # the upstream run detection over all readings is not recomputed
-        iv = cut_lineage(iv)
+        # the upstream run detection over all readings is not recomputed and
+        # partition numbers stay as they are
+        iv = cut_lineage(iv.repartitionByRange(*group, "_s", "_e")
+                         .withColumn(BLK, F.spark_partition_id().cast("long")))
+    else:
+        iv = iv.withColumn(BLK, time_block("_s", block_seconds))
     ws = Window.partitionBy(*group).orderBy(BLK) if group else Window.orderBy(BLK)
     prev_blocks = ws.rowsBetween(Window.unboundedPreceding, -1)
     # carry 1: max end of all earlier blocks

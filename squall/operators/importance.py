@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from squall.operators.blocks import global_position
 from squall.operators.stats import exact_quantiles
 
 # Base variable of a feature name: text before `_NNNm`, `_lag` or `_roll`.
@@ -103,7 +104,8 @@ def family_share(df: DataFrame, feature: str = "feature", importance: str = "imp
 def importance_matrix(df: DataFrame, index: str, columns: str, values: Sequence[str],
                       importance: str = "importance") -> DataFrame:
     """``index`` x ``columns`` mean importance (explicit pivot values),
-    missing cells 0, the row mean and the row's rank by that mean."""
+    missing cells 0, the row mean and the row's rank by that mean (the
+    position in a range-partitioned order: no window over all rows)."""
     p = df.groupBy(index).pivot(columns, list(values)).agg(F.avg(importance))
     cells = [F.coalesce(F.col(v), F.lit(0.0)) for v in values]
     total = cells[0]
@@ -111,8 +113,8 @@ def importance_matrix(df: DataFrame, index: str, columns: str, values: Sequence[
         total = total + c
     mean = total / F.lit(float(len(values)))
     p = p.select(index, *[c.alias(f"imp_{v}") for c, v in zip(cells, values)], mean.alias("row_mean"))
-    w = Window.orderBy(F.col("row_mean").desc(), F.col(index).asc())
-    return p.withColumn("row_rank", F.row_number().over(w))
+    d = global_position(p.withColumn("_down", -F.col("row_mean")), ["_down", index], pos="_at")
+    return d.withColumn("row_rank", (F.col("_at") + 1).cast("int")).drop("_down", "_at")
 
 
 def box_stats(df: DataFrame, by: str, value: str) -> DataFrame:

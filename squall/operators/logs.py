@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 
 from squall.operators.blocks import carry_fill
 
-# --- fixed values: patterns of the run log --------------------------------
+# --- fixed values: patterns of the run log (numbers may be negative) -------
 RE_HORIZON = r"FORECAST HORIZON: (\w+)"
 RE_EVENT = r"EVENT: ([\w_]+)"
 RE_MODEL = r"(LIGHTGBM|XGBOOST) Results:"
-RE_CV = r"CV: AUC=([\d.]+), F1=([\d.]+), MCC=([\d.]+)"
-RE_TEST = r"Test: AUC=([\d.]+), F1=([\d.]+), MCC=([\d.]+)"
+RE_CV = r"CV: AUC=(-?[\d.]+), F1=(-?[\d.]+), MCC=(-?[\d.]+)"
+RE_TEST = r"Test: AUC=(-?[\d.]+), F1=(-?[\d.]+), MCC=(-?[\d.]+)"
 RE_TN_FP = r"TN=\s*([\d,]+).*FP=\s*([\d,]+)"
 RE_FN_TP = r"FN=\s*([\d,]+).*TP=\s*([\d,]+)"
-RE_IMPORTANCE = r"\d+\.\s+([\w_]+)\s*:\s+([\d.]+)"
+RE_IMPORTANCE = r"\d+\.\s+([\w_]+)\s*:\s+(-?[\d.]+)"
 # --- end of fixed values ------------------------------------------------------
 
 LINE_BLOCK = 100_000
@@ -39,29 +39,32 @@ def _count(pattern: str, idx: int):
 def tag_sections(lines: DataFrame) -> DataFrame:
     """Horizon and event carried forward; the model taken from the next
     '<MODEL> Results:' line for lines printed before it (matrix, importance)
-    and from the previous one for lines after it (CV, Test)."""
+    and from the previous one for lines after it (CV, Test).  The number of
+    that results line tells apart sections that occur twice in a file."""
     d = lines.select("file", "line_no", "line", _x(RE_HORIZON, 1).alias("horizon"), _x(RE_EVENT, 1).alias("event"),
                      F.lower(_x(RE_MODEL, 1)).alias("model_prev"))
-    d = d.withColumn("model_next", F.col("model_prev"))
+    d = d.withColumn("section_prev", F.when(F.col("model_prev").isNotNull(), F.col("line_no")))
+    d = d.withColumn("model_next", F.col("model_prev")).withColumn("section_next", F.col("section_prev"))
     blk = F.floor(F.col("line_no") / F.lit(LINE_BLOCK))
-    return carry_fill(d, ["file"], "line_no", blk, ["horizon", "event", "model_prev"], forward=True,
-                      backward_cols=["model_next"])
+    return carry_fill(d, ["file"], "line_no", blk, ["horizon", "event", "model_prev", "section_prev"], forward=True,
+                      backward_cols=["model_next", "section_next"])
 
 
 def run_log_metrics(lines: DataFrame) -> DataFrame:
-    """One row per (horizon, event, model) section with CV and test
-    AUC/F1/MCC, confusion cells and the derived precision, recall,
+    """One row per section (a '<MODEL> Results:' line, ``section`` being
+    its line number) with its horizon, event, model, CV and test AUC/F1/MCC, confusion cells and the derived precision, recall,
     specificity, FPR and FNR (0 when undefined)."""
     d = tag_sections(lines)
     is_after = F.col("line").rlike(RE_CV) | F.col("line").rlike(RE_TEST)
     model = F.when(is_after, F.col("model_prev")).otherwise(F.col("model_next"))
-    d = d.select("file", "horizon", "event", model.alias("model"),
+    section = F.when(is_after, F.col("section_prev")).otherwise(F.col("section_next"))
+    d = d.select("file", section.alias("section"), "horizon", "event", model.alias("model"),
                  *[_x(RE_CV, i).cast("double").alias(n) for i, n in ((1, "cv_auc"), (2, "cv_f1"), (3, "cv_mcc"))],
                  *[_x(RE_TEST, i).cast("double").alias(n) for i, n in ((1, "test_auc"), (2, "test_f1"), (3, "test_mcc"))],
                  _count(RE_TN_FP, 1).alias("tn"), _count(RE_TN_FP, 2).alias("fp"),
                  _count(RE_FN_TP, 1).alias("fn"), _count(RE_FN_TP, 2).alias("tp"))
     d = d.filter(F.col("horizon").isNotNull() & F.col("event").isNotNull() & F.col("model").isNotNull())
-    g = d.groupBy("file", "horizon", "event", "model").agg(
+    g = d.groupBy("file", "section", "horizon", "event", "model").agg(
         *[F.max(c).alias(c) for c in ("cv_auc", "cv_f1", "cv_mcc", "test_auc", "test_f1", "test_mcc",
                                       "tn", "fp", "fn", "tp")])
     g = g.filter(F.col("test_auc").isNotNull())
@@ -74,11 +77,12 @@ def run_log_metrics(lines: DataFrame) -> DataFrame:
 
 
 def run_log_importance(lines: DataFrame) -> DataFrame:
-    """S12: 'rank. feature : value' lines with their section."""
+    """S12: 'rank. feature : value' lines with their section (the number of
+    the results line that ends it)."""
     d = tag_sections(lines)
     return (d.filter(F.col("line").rlike(RE_IMPORTANCE) & F.col("horizon").isNotNull()
                      & F.col("event").isNotNull() & F.col("model_next").isNotNull())
-            .select("file", "horizon", "event", F.col("model_next").alias("model"),
+            .select("file", F.col("section_next").alias("section"), "horizon", "event", F.col("model_next").alias("model"),
                     F.regexp_extract("line", RE_IMPORTANCE, 1).alias("feature"),
                     F.regexp_extract("line", RE_IMPORTANCE, 2).cast("double").alias("importance")))
 

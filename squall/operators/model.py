@@ -10,6 +10,7 @@ readings.  Scores are evaluated with the exact aggregations of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -114,24 +115,25 @@ def tree_importance(model, names: Sequence[str]) -> list[tuple[str, float]]:
 def permutation_importance(model, test: DataFrame, names: Sequence[str], seed: int = 7919) -> DataFrame:
     """M12 (re-aimed): drop in ROC AUC when one feature's column is permuted
     across the test rows.  The permutation is a bijection of test positions
-    (multiplication by a prime modulo n), applied by an equi-join on the
-    permuted position — no row sampling.  All permuted copies are scored
-    in one pass and the AUC is grouped by feature."""
+    (multiplication modulo n by a number that has no factor in common with n), applied by an equi-join on the
+    permuted position — no row sampling, one join for all features.  All
+    permuted copies are scored in one pass and the AUC is grouped by feature."""
     base = fold_metrics(score(model, test).withColumn("g", F.lit(1)), ["g"]).select("roc_auc").first()[0]
     lo, n = test.agg(F.min("_pos"), F.count(F.lit(1))).first()       # two scalars
     if not n:
         return test.sparkSession.createDataFrame([], "feature string, base_auc double, permuted_auc double, "
                                                      "auc_drop double")
     t = test.withColumn("_tp", F.col("_pos") - F.lit(lo))
-    mult = seed if n % seed else seed + 2
-    variants = []
-    for name in names:
-        src = t.select(((F.col("_tp") * F.lit(mult) + F.lit(13)) % F.lit(n)).alias("_tp"), F.col(name).alias("_perm"))
-        v = t.join(src, "_tp", "inner").withColumn(name, F.col("_perm")).drop("_perm", "features")
-        variants.append(v.select("label", *names, F.lit(name).alias("feature")))
-    allv = variants[0]
-    for v in variants[1:]:
-        allv = allv.unionByName(v)
+    mult = seed
+    while math.gcd(mult, n) > 1:
+        mult += 1
+    # one join brings the row at the permuted position; each copy takes one column from it
+    src = t.select(((F.col("_tp") * F.lit(mult) + F.lit(13)) % F.lit(n)).alias("_tp"),
+                   *[F.col(c).alias(f"_perm_{c}") for c in names])
+    copies = F.explode(F.array(*[F.lit(c) for c in names])).alias("feature")
+    both = t.drop("features").join(src, "_tp", "inner").select("label", *names, *[f"_perm_{c}" for c in names], copies)
+    allv = both.select("label", *[F.when(F.col("feature") == c, F.col(f"_perm_{c}")).otherwise(F.col(c)).alias(c)
+                                  for c in names], "feature")
     allv = VectorAssembler(inputCols=list(names), outputCol="features").transform(allv)
     aucs = fold_metrics(score(model, allv), ["feature"]).select("feature", F.col("roc_auc").alias("permuted_auc"))
     return aucs.select("feature", F.lit(base).cast("double").alias("base_auc"), "permuted_auc",

@@ -16,25 +16,23 @@ from pyspark.sql import functions as F
 
 
 def cumulative_value_counts(df: DataFrame, keys: Sequence[str], value: str,
-                            buckets: int = 1024) -> DataFrame:
+                            buckets: int = 128) -> DataFrame:
     """(keys, value, _c, _prev, _cum, _n): count of each distinct value and
     the running count before / through it, per group.
 
     The running count is two-level so no window ever holds a whole group:
-    distinct values are split into ``buckets`` equal-width value ranges per
-    group; bucket totals are accumulated on the small bucket table, and the
-    running count inside a bucket is added to that offset."""
+    distinct values are split into ``buckets`` ranges per group at sampled
+    quantiles of the distinct values, so a far value or a narrow range does
+    not fill one of them; bucket totals are accumulated on the small bucket
+    table, and the running count inside a bucket is added to that offset."""
     keys = list(keys)
     v = F.col(value)
     cv = df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    rng = cv.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-                                F.sum("_c").alias("_n"))
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(buckets))
+    rng = cv.groupBy(*keys).agg(value_bounds(value, buckets).alias("_bounds"), F.sum("_c").alias("_n"))
     # one row per group; with no group keys it is a single row (size proven)
     b = (cv.join(rng, keys, "inner") if keys else
          cv.withColumn("_one", F.lit(1)).join(F.broadcast(rng.withColumn("_one", F.lit(1))), "_one").drop("_one"))
-    b = b.withColumn("_b", F.when(width > 0, F.least(F.floor((v - F.col("_lo")) / width),
-                                                      F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int"))
+    b = b.withColumn("_b", value_bucket(v)).drop("_bounds")
     bt = b.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
     wb = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_b")
     off = bt.select(*keys, "_b", F.coalesce(F.sum("_bc").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
@@ -45,6 +43,16 @@ def cumulative_value_counts(df: DataFrame, keys: Sequence[str], value: str,
     return c.select(*keys, value, "_c", (F.col("_cum") - F.col("_c")).alias("_prev"), "_cum", "_n")
 
 
+def value_bounds(value: str, buckets: int) -> Column:
+    """Inner bounds of ``buckets`` ranges with about as many of a group's (distinct) values each."""
+    return F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000)
+
+
+def value_bucket(v: Column, bounds: str = "_bounds") -> Column:
+    """The range a value falls in: how many bounds lie below it."""
+    return F.size(F.filter(bounds, lambda x: x < v))
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float],
                     names: Sequence[str] | None = None) -> DataFrame:
     """Linear-interpolated quantiles (NumPy / ``quantile_cont`` semantics)
@@ -83,12 +91,11 @@ def pearson_from_parts(prefix: str) -> Column:
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Average rank (ties share the mean of their positions), 1-based —
-    from per-value counts, so ties never need a row-level self join."""
+    from per-value running counts, so ties never need a row-level self join
+    and no window holds a whole group; NULL values have no rank."""
     keys = list(keys)
-    cv = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(value)
-    r = cv.select(*keys, value, (F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-                                 - (F.col("_c") - 1) / 2.0).alias(out))
+    cv = cumulative_value_counts(df, keys, value)
+    r = cv.select(*keys, value, (F.col("_prev") + (F.col("_c") + 1) / 2.0).alias(out))
     return df.join(r, [*keys, value], "left")
 
 

@@ -14,6 +14,7 @@ their steps, so a user can point them at the tower CSVs directly:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,7 +71,7 @@ def pooled_event_flags(readings: DataFrame, towers: Sequence[str], value_cols: S
     present = set(wide.columns)
     masks, exprs = {}, []
     for rule in rules:
-        k = int(rule.min_hours * 60.0 / step_minutes)
+        k = max(1, math.ceil(rule.min_hours * 60.0 / step_minutes))    # a step over the minimum still needs one row
         for t in towers:
             m = colmap.get(t, {})
             names = {v: f"{t}_{m.get(v)}" for v in rule.needs}

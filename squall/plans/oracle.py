@@ -581,7 +581,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY tower, event ORDER BY impor
    100.0 * importance / sum(importance) OVER (PARTITION BY tower, event) AS importance_pct FROM imp)"""
 
 V_FILES = V_RANKED + """,
-files AS (SELECT feature, tower, event, importance, rank, importance_pct FROM ranked WHERE rank <= 20)"""
+files AS (SELECT feature, tower, event, importance, rank, importance_pct FROM ranked)"""
 
 SQL["global_importance"] = with_(V_FILES) + f"""
 SELECT feature, {R('avg(importance_pct)', 'mean')}, {R('stddev_samp(importance_pct)', 'std')}, {R('min(importance_pct)', 'min')},
@@ -616,7 +616,7 @@ SQL["importance_matrix"] = with_(V_FILES) + "SELECT feature, " + ", ".join(f"imp
     ", (" + " + ".join(_cells) + f") / {float(len(_EVENTS))} AS row_mean_raw FROM files GROUP BY feature)"
 
 SQL["rank_features"] = with_(V_FILES) + f"""
-SELECT feature, tower, event, {R('importance', 'importance')}, rank::INTEGER AS rank, {R('importance_pct', 'importance_pct')} FROM files"""
+SELECT feature, tower, event, {R('importance', 'importance')}, rank::INTEGER AS rank, {R('importance_pct', 'importance_pct')} FROM files WHERE rank <= 20"""
 
 SQL["box_stats"] = with_(V_FILES, """q AS (SELECT event, quantile_cont(importance_pct, 0.25) AS q1, quantile_cont(importance_pct, 0.5) AS median,
    quantile_cont(importance_pct, 0.75) AS q3 FROM files GROUP BY event)""") + f"""
@@ -832,11 +832,11 @@ def _xs(pat: str, i: int) -> str:
     return f"CASE WHEN regexp_matches(line, '{pat}') AND regexp_extract(line, '{pat}', {i}) <> '' THEN regexp_extract(line, '{pat}', {i}) END"
 
 
-_RE_CV = r"CV: AUC=([\d.]+), F1=([\d.]+), MCC=([\d.]+)"
-_RE_TEST = r"Test: AUC=([\d.]+), F1=([\d.]+), MCC=([\d.]+)"
+_RE_CV = r"CV: AUC=(-?[\d.]+), F1=(-?[\d.]+), MCC=(-?[\d.]+)"
+_RE_TEST = r"Test: AUC=(-?[\d.]+), F1=(-?[\d.]+), MCC=(-?[\d.]+)"
 _RE_TNFP = r"TN=\s*([\d,]+).*FP=\s*([\d,]+)"
 _RE_FNTP = r"FN=\s*([\d,]+).*TP=\s*([\d,]+)"
-_RE_IMP = r"\d+\.\s+([\w_]+)\s*:\s+([\d.]+)"
+_RE_IMP = r"\d+\.\s+([\w_]+)\s*:\s+(-?[\d.]+)"
 
 SQL["run_log_metrics"] = with_(V_LOGS.replace("WITH ", "", 1)) + f""", parsed AS (
   SELECT horizon, event, CASE WHEN regexp_matches(line, '{_RE_CV}') OR regexp_matches(line, '{_RE_TEST}') THEN model_prev ELSE model_next END AS model,
@@ -861,10 +861,11 @@ SELECT horizon, event, model_next AS model, regexp_extract(line, '{_RE_IMP}', 1)
   {R(f"regexp_extract(line, '{_RE_IMP}', 2)::DOUBLE", 'importance')}
 FROM tagged WHERE regexp_matches(line, '{_RE_IMP}') AND horizon IS NOT NULL AND event IS NOT NULL AND model_next IS NOT NULL"""
 
-V_SETTINGS = V_RESULTS + """, sdocs AS (
-  SELECT model, 'optuna_ml_results_' || model || '_' || CASE WHEN split = 'cv' THEN '20251201_000000' ELSE '20251203_000000' END AS run_folder,
+_LAST_HORIZON = HORIZONS[-1]
+V_SETTINGS = V_RESULTS + f""", sdocs AS (
+  SELECT model, 'search_results_' || model || '_' || CASE WHEN split = 'cv' THEN '20251201_000000' ELSE '20251203_000000' END AS run_folder,
     horizon || '_' || event AS key, 3 + tp % 5 AS max_depth, 0.01::DOUBLE * (1 + fn % 10) AS learning_rate,
-    CASE WHEN tp % 2 = 0 THEN '4,12' ELSE '4,12,24' END AS rolling_windows, mcc FROM results WHERE mcc > 0)"""
+    CASE WHEN tp % 2 = 0 THEN '4,12' ELSE '4,12,24' END AS rolling_windows, mcc FROM results WHERE horizon <> '{_LAST_HORIZON}')"""
 
 SQL["settings_lookup"] = V_SETTINGS + """,
 newest AS (SELECT * FROM sdocs WHERE (model, run_folder) IN (SELECT (model, max(run_folder)) FROM sdocs GROUP BY model)),
@@ -913,12 +914,20 @@ WHERE (event, mean_importance) IN (SELECT (event, max(mean_importance)) FROM m G
 SQL["union_all"] = with_(V_GRID) + """
 SELECT series, ts, temp, peak, n, CASE WHEN series IN ('click', 'error') THEN 'first' END AS note FROM grid"""
 
-SQL["distinct_values"] = with_(V_FILES) + """
-SELECT event, count(DISTINCT tower) AS n_towers, array_to_string(list_sort(list(DISTINCT tower)), ',') AS towers
-FROM files GROUP BY event"""
+SQL["distinct_values"] = """
+SELECT event, tower, count(*) OVER (PARTITION BY event) AS n_towers
+FROM (SELECT DISTINCT p_type AS event, p_brand AS tower FROM part)"""
+
+SQL["sample_rows"] = """
+SELECT user_id AS series, ts, event_type AS var, value FROM events
+ORDER BY md5('42|' || coalesce(user_id::VARCHAR, 'null') || '|' || coalesce(epoch_us(ts)::VARCHAR, 'null') || '|' || coalesce(event_type, 'null')),
+  user_id, ts, event_type LIMIT 500"""
 
 SQL["io_roundtrip"] = with_(V_GRID) + "SELECT series, ts, temp, peak, n FROM grid"
 
+SQL["tower_rejects"] = with_(V_GRID) + """
+SELECT series AS tower, count(*) AS n_readings, count(*) FILTER (WHERE n % 10 = 0) AS n_rejects FROM grid GROUP BY series"""
+
 SQL["metadata_roundtrip"] = with_(V_STATION) + f"""
 SELECT tower, {R('lat', 'lat')}, {R('lon', 'lon')}, {R('elevation_m', 'elevation_m')}, {R('height_m', 'height_m')}, terrain_type, region
 FROM stations"""

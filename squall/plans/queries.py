@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from squall.functions.rules import GRID_RULES, rule_mask
+from squall.functions.timecols import epoch_us
 from squall.operators import events as ev
 from squall.operators import clean as cl
 from squall.operators import evaluate as evl
@@ -585,9 +586,9 @@ def q_paired_t(spark, sf):
 
 
 def _files(spark, sf):
-    """The per-(tower, event) importance files: top 20 by importance with
-    rank and percent of the group total (W18), as the roll-ups read them."""
-    return im.rank_features(V.importance(spark, sf), ["tower", "event"], top_n=20)
+    """All importance rows with rank and percent of their (tower, event)
+    total (W18 without its cut): the roll-ups count every feature."""
+    return im.rank_features(V.importance(spark, sf), ["tower", "event"], top_n=None)
 
 
 PCT = "importance_pct"
@@ -628,8 +629,9 @@ def q_importance_matrix(spark, sf):
 
 @query("rank_features")
 def q_rank_features(spark, sf):
-    """W18 + K2: rank, percent of total and top 20 per (tower, event)."""
-    return _r6all(_files(spark, sf))
+    """W18 + K2: rank, percent of total and top 20 per (tower, event) — the
+    report whose feature the cut is."""
+    return _r6all(im.rank_features(V.importance(spark, sf), ["tower", "event"], top_n=20))
 
 
 @query("box_stats")
@@ -876,26 +878,28 @@ def q_tile_index(spark, sf):
 def q_run_log_metrics(spark, sf):
     """Sections, metrics and confusion cells parsed back from run-log lines."""
     m = lg.run_log_metrics(V.logs(spark, sf))
-    return _r6all(m.drop("file"))
+    return _r6all(m.drop("file", "section"))
 
 
 @query("run_log_importance")
 def q_run_log_importance(spark, sf):
     """S12: 'rank. feature : value' lines under their section."""
-    return _r6all(lg.run_log_importance(V.logs(spark, sf)).drop("file"))
+    return _r6all(lg.run_log_importance(V.logs(spark, sf)).drop("file", "section"))
 
 
 def _settings_docs(spark, sf):
     """Stand-in result folders: one JSON document per (model, run, experiment)
-    in the search output layout ``{key: {params: {...}, mcc: ..}}``."""
+    in the search output layout ``{key: {params: {...}, mcc: ..}}``, whatever
+    its score.  Nothing was tuned for the longest horizon, whose experiments
+    show the defaults."""
     r = V.results(spark, sf)
-    run = F.concat(F.lit("optuna_ml_results_"), F.col("model"), F.lit("_"),
+    run = F.concat(F.lit("search_results_"), F.col("model"), F.lit("_"),
                    F.when(F.col("split") == "cv", F.lit("20251201_000000")).otherwise(F.lit("20251203_000000")))
     params = F.struct((F.lit(3) + F.pmod("tp", F.lit(5))).alias("max_depth"),
                       (F.lit(0.01) * (F.lit(1) + F.pmod("fn", F.lit(10)))).alias("learning_rate"),
                       F.when(F.pmod("tp", F.lit(2)) == 0, F.lit("[4, 12]")).otherwise(F.lit("[4, 12, 24]")).alias("rolling_windows"))
     doc = F.to_json(F.create_map(F.concat_ws("_", "horizon", "event"), F.struct(params.alias("params"), F.col("mcc").alias("mcc"))))
-    return r.filter(F.col("mcc") > 0).select("model", run.alias("run_folder"), doc.alias("doc"))
+    return r.filter(F.col("horizon") != V.HORIZONS[-1]).select("model", run.alias("run_folder"), doc.alias("doc"))
 
 
 @query("settings_lookup")
@@ -1003,16 +1007,17 @@ def q_union_all(spark, sf):
 
 @query("distinct_values")
 def q_distinct_values(spark, sf):
-    """K6: distinct towers per event (exact count and sorted list)."""
-    return _files(spark, sf).groupBy("event").agg(
-        F.countDistinct("tower").alias("n_towers"),
-        F.array_join(F.array_sort(F.collect_set("tower")), ",").alias("towers"))
+    """K6: distinct towers per event, one row each, with the event's exact
+    count (no list of all towers in one cell)."""
+    pairs = V.importance(spark, sf).select("event", "tower").distinct()
+    return pairs.join(pairs.groupBy("event").agg(F.count(F.lit(1)).alias("n_towers")), "event")
 
 
 @query("sample_rows")
 def q_sample_rows(spark, sf):
     """Exactly 500 readings chosen by a seeded hash, sorted by time."""
-    return cl.sample_rows(V.obs(spark, sf), 500, 42, ["series", "ts", "var"], ["ts", "series"])
+    o = V.obs(spark, sf).withColumn("at", epoch_us("ts"))
+    return cl.sample_rows(o, 500, 42, ["series", "at", "var"], ["ts", "series"]).drop("at")
 
 
 # ---------------------------------------------------------------- sources and sinks
@@ -1031,6 +1036,23 @@ def q_io_roundtrip(spark, sf):
     return back.select(F.col("tower").alias("series"), "ts", "temp", "peak", F.col("n").cast("long").alias("n"))
 
 
+@query("tower_rejects")
+def q_tower_rejects(spark, sf):
+    """Lines of raw tower files whose time does not parse, counted by
+    tower.  Every tenth count of the grid is written a second time with a
+    month 13, beside the good lines and the footer."""
+    base = shared_dir(spark, "tower_rejects")
+    g = V.grid(spark, sf).select("series", "ts", F.col("n").cast("double").alias("n"))
+    sio.write_tower_csv(g, f"{base}/towers", "ts", ["n"], "series")
+    broken = g.where(F.col("n") % 10 == 0).select("series", F.date_format("ts", "yyyy'13'ddHHmmss").alias("timestampUTC"), "n")
+    broken.write.mode("append").partitionBy("series").option("header", True).csv(f"{base}/towers")
+    rejects = sio.read_tower_rejects(spark, f"{base}/towers", ["n"], tower_pattern=r"series=([^/]+)/")
+    good = sio.read_tower_csv(spark, f"{base}/towers", ["n"], tower_pattern=r"series=([^/]+)/")
+    return good.groupBy("tower").agg(F.count(F.lit(1)).alias("n_readings")) \
+        .join(rejects.groupBy("tower").agg(F.count(F.lit(1)).alias("n_rejects")), "tower", "left") \
+        .select("tower", "n_readings", F.coalesce("n_rejects", F.lit(0)).alias("n_rejects"))
+
+
 @query("metadata_roundtrip")
 def q_metadata_roundtrip(spark, sf):
     """S4 + S9: station metadata written as nested JSON documents (one map

@@ -44,9 +44,13 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``grid`` pivoted to one row per hour: ``{series}_temp``, ``{series}_peak``."""
+    """``grid`` pivoted to one row per hour: ``{series}_temp``, ``{series}_peak``.
+    A series outside ``SERIES`` fails the job instead of vanishing."""
     from squall.operators.reshape import pivot_wide
-    return pivot_wide(grid(spark, sf_dir), "ts", "series", ["temp", "peak"], SERIES)
+    name = F.col("series")
+    other = F.raise_error(F.concat(F.lit("series outside the pivot list: "), F.coalesce(name, F.lit("null"))))
+    g = grid(spark, sf_dir).withColumn("series", F.when(name.isin(SERIES), name).otherwise(other))
+    return pivot_wide(g, "ts", "series", ["temp", "peak"], SERIES)
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:

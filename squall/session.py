@@ -55,7 +55,7 @@ def _context(spark: SparkSession):
 def _is_local(spark: SparkSession) -> bool:
     sc = _context(spark)
     master = sc.master if sc is not None else spark.conf.get("spark.master", "")
-    return str(master).startswith("local")
+    return str(master) == "local" or str(master).startswith("local[")    # local-cluster has executors of its own
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

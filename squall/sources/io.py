@@ -19,18 +19,35 @@ SENTINEL = -999.0               # missing reading in the raw tower files
 def read_tower_csv(spark: SparkSession, path: str, value_cols: Sequence[str], ts_col: str = "timestampUTC",
                    tower_pattern: str | None = None) -> DataFrame:
     """Header row, explicit schema (no inference), sentinel -> NULL,
-    compact timestamp parsed; footer lines drop out because their time does
-    not parse.  ``tower_pattern`` extracts the tower from the file path."""
-    schema = T.StructType([T.StructField(ts_col, T.StringType())] +
-                          [T.StructField(c, T.DoubleType()) for c in value_cols])
-    df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
-    ts = F.try_to_timestamp(F.col(ts_col), F.lit(TS_FORMAT))
+    compact timestamp parsed.  Lines whose time does not parse are no
+    readings: the footer, and those that ``read_tower_rejects`` returns.
+    ``tower_pattern`` extracts the tower from the file path."""
+    df, ts = _tower_lines(spark, path, value_cols, ts_col)
     out = df.select(ts.alias("ts"), *[F.when(F.col(c) == F.lit(SENTINEL), F.lit(None)).otherwise(F.col(c)).alias(c)
                                       for c in value_cols],
                     *([F.regexp_extract(F.input_file_name(), tower_pattern, 1).alias("tower")] if tower_pattern else []))
     return out.filter(F.col("ts").isNotNull())
 
 
+def _tower_lines(spark: SparkSession, path: str, value_cols: Sequence[str], ts_col: str):
+    schema = T.StructType([T.StructField(ts_col, T.StringType())] +
+                          [T.StructField(c, T.DoubleType()) for c in value_cols])
+    df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    return df, F.try_to_timestamp(F.col(ts_col), F.lit(TS_FORMAT))
+
+
+def read_tower_rejects(spark: SparkSession, path: str, value_cols: Sequence[str], ts_col: str = "timestampUTC",
+                       tower_pattern: str | None = None) -> DataFrame:
+    """The lines that ``read_tower_csv`` leaves out without being a footer (a
+    time text without any digit): their time text and values, to be counted."""
+    df, ts = _tower_lines(spark, path, value_cols, ts_col)
+    text = F.col(ts_col)
+    bad = ts.isNull() & (text.isNull() | text.rlike("[0-9]"))
+    return df.where(bad).select(text.alias("time_text"), *value_cols,
+                                *([F.regexp_extract(F.input_file_name(), tower_pattern, 1).alias("tower")]
+                                  if tower_pattern else []))
+
+
 def write_tower_csv(df: DataFrame, path: str, ts: str, value_cols: Sequence[str], by: str) -> None:
     """Writer of the raw tower layout (used to round-trip S1): one folder
     per ``by`` value, compact time text, NULL -> sentinel, one footer line."""
