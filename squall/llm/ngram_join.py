@@ -26,15 +26,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from squall.llm.common import Scratch, arrow_function, column, map_arrow, packed, pinned, ship, unpacked
-from squall.llm.words import distinct, mix, pieces, shingles, words
+from squall.llm.words import distinct, mix, pieces, shingles, slices, words
 
 SIZE, PERCENT = 3, 90
 #: Shingles in more prefixes than this go by hubs.
 HOT = 8
 #: Bound of the table of frequent shingles (12 bytes each), and shingles counted at a time.
-TABLE, COUNTED = 1_000_000, 4_000_000
-#: Numbers of shared shingles a prefix may ask for; cost of a comparison, in list entries.
-NEEDS, COMPARISON = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32), 20.0
+TABLE, COUNTED = 600_000, 4_000_000
+#: Numbers of shared shingles a prefix may ask for.
+NEEDS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
+#: Estimated costs, in list entries: a comparison of two sets, and one more shingle in a prefix;
+#: and the entries expected in the list of a shingle outside the table of frequent ones.
+COMPARISON, LONGER, UNKNOWN = 20.0, 0.5, 0.1
 #: Up to so many keys are looked up by broadcast (16 MB at most).
 FEW_KEYS = 1_000_000
 _LOST = np.uint64(0x94D049BB133111EB)       # marks a shingle of the hub that a set lacks
@@ -81,7 +84,7 @@ def _described(rows: DataFrame, size: int) -> DataFrame:
                 names=["key", "n", "name", "token", "count"])
 
         keys = None
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             keys = column(batch, "key")
             value, at = sets_of(column(batch, "text"), size)
             names = names_of(value, at)
@@ -126,23 +129,24 @@ def frequent_shingles(counts: DataFrame, most: int, scratch: Scratch) -> tuple[n
     table = sums.where(F.col("count") >= least).toPandas()
     token = table["token"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(token)
-    return token[order], table["count"].to_numpy().astype(np.int64)[order]
+    return token[order], table["count"].to_numpy().astype(np.int32)[order]
 
 
 def prefix_of(often: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
     """For one set, given how often each of its shingles (sorted by hash) was counted: its order,
     how many shingles its prefix has, and how many it asks to share. The cost of a choice is the
-    length of the prefix's lists, and a comparison for each set that can be in as many of them."""
+    length of the prefix's lists, a comparison for each set that can be in as many of them as are
+    asked for, and the prefix itself."""
     n = len(often)
     order = np.argsort(often, kind="stable")
     spare = slack(n, percent)
-    length = np.cumsum(np.maximum(often[order] - 1, 0))
+    length = np.cumsum(np.maximum(often[order] - 1.0, UNKNOWN))
     best = None
     for need in NEEDS:
         if need > n - spare:
             break
         entries = float(length[spare + need - 1])
-        cost = entries + COMPARISON * entries / need
+        cost = entries + COMPARISON * entries / need + LONGER * need
         if best is None or cost < best[0]:
             best = (cost, need)
     return order, spare + best[1], best[1]
@@ -154,7 +158,7 @@ def _prefixes(rows: DataFrame, table: tuple[np.ndarray, np.ndarray], size: int,
     known, counts = table
 
     def cut(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             value, at = sets_of(column(batch, "text"), size)
             names = names_of(value, at)
             often = np.zeros(len(value), np.int64)
@@ -229,7 +233,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, classes: DataFrame, documents: Dat
     side = F.broadcast(keys) if n <= FEW_KEYS else keys
 
     def build(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             value, at = sets_of(column(batch, "text"), size)
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(value.view(np.int64)))
             own = names_of(value, at)

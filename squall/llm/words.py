@@ -23,6 +23,12 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: dict[int, np.ndarray] = {}
 
 
+def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
+    """A batch in parts of about ``most`` bytes of the column ``text``."""
+    for begin, end in pieces(batch.column(batch.schema.get_field_index(text)), most):
+        yield batch.slice(begin, end - begin)
+
+
 @dataclass
 class Words:
     """Words of a batch: ``hashes`` in text order, document ``i`` owning ``first[i]:first[i + 1]``;
