@@ -1,5 +1,30 @@
-"""DuckDB SQL for the queries that SQL can express on whole tables."""
+"""DuckDB SQL for the queries that SQL can express on whole tables.
+
+The other queries rest on tokenizers, models, alignment, differencing or
+approximate search; tests/llm holds them against their libraries, brute force
+or held-out labels.
+"""
 
 from __future__ import annotations
 
 SQL: dict[str, str] = {}
+
+SQL["op6_ngram_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+  FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reached AS (
+  SELECT doc_id, doc_id AS first FROM sets
+  UNION
+  SELECT l.y, r.first FROM reached r JOIN links l ON l.x = r.doc_id WHERE r.first < l.y)
+SELECT s.doc_id, len(s.s)::INTEGER AS n_shingles, min(r.first) AS component_id
+FROM sets s JOIN reached r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.s"""
