@@ -8,7 +8,8 @@ ones; if each takes an ``l`` of its own, at least the smaller ``l``. A set
 whose prefix holds frequent shingles takes a longer prefix, so that fewer sets
 reach the number they have to share with it.
 
-Shingles in few prefixes (``HOT`` at most) make pairs directly. A frequent one
+Lists of sets by shingle are kept apart by size. Lists of few sets (``HOT`` at
+most) make pairs directly. A frequent one
 does not: all its sets are compared with one of them, the hub, and kept as
 their difference from it. Sets linked to the hub are connected already; any
 other link has a set outside, and by the triangle of differences its two sets
@@ -184,6 +185,27 @@ def _prefixes(rows: DataFrame, table: tuple[np.ndarray, np.ndarray], size: int,
     return map_arrow(rows, cut, "token long, name binary, n int, need int, at int")
 
 
+def _lists(rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The lists of prefix shingles, one for each shingle and band of sizes, with how ``often`` each
+    is held; lists of one set are left out.
+
+    Linked sets differ in size by at most 100 / percent, which is the width of a band: each set
+    is in the lists of its ``own`` band and the next, and two linked sets meet in the larger of
+    theirs. A set has to share as many shingles as it or a set it meets asks for; sets with
+    fewer shingles in lists than that link with nothing and are left out, twice over."""
+    own = F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9).cast("int") if percent < 100 else F.col("n")
+    lists = rows.withColumn("own", own).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    for turn in range(3):
+        held = lists.groupBy("token", "band").agg(F.count(F.lit(1)).alias("often"), F.min("need").alias("least")) \
+            .where("often > 1")
+        lists = scratch.pin(lists.join(held, ["token", "band"]), f"join-lists-{turn}")
+        if turn < 2:
+            enough = lists.groupBy("name").agg(F.countDistinct("token").alias("has"), F.min("least").alias("asked")) \
+                .where("has >= asked").select("name")
+            lists = lists.drop("often", "least").join(enough, "name", "left_semi")
+    return lists.drop("least")
+
+
 def _may_link(shared: Column, x: Column, y: Column, percent: int) -> Column:
     """Whether two sets of sizes x and y that share so many shingles link."""
     return (100 + percent) * shared >= percent * (x + y)
@@ -327,14 +349,15 @@ def _classes(df: DataFrame, key: str, text: str, size: int, percent: int) -> tup
     prefixes = scratch.pin(_prefixes(once, table, size, percent), "join-prefixes")
     if not few_extra or documents.where("name is not null").groupBy("key", "name").count().where("count > 1").count():
         prefixes = prefixes.groupBy("token", "name").agg(*(F.first(c).alias(c) for c in ("n", "need", "at")))
-    often = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    lists = scratch.pin(prefixes.join(often, "token"), "join-lists")
+    often = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1").drop("often")
+    lists = _lists(scratch.pin(prefixes.join(often, "token"), "join-lists"), percent, scratch)
 
     # few sets: pairs, with the number of shingles they share
     few = lists.where(F.col("often") <= HOT)
-    other = few.select("token", *(F.col(c).alias(f"{c}_y") for c in ("name", "n", "need", "at")))
+    other = few.select("token", "band", *(F.col(c).alias(f"{c}_y") for c in ("name", "n", "need", "at", "own")))
     behind = F.least(F.col("n") - F.col("at"), F.col("n_y") - F.col("at_y"))
-    pairs = few.join(other, "token").where(F.col("name") < F.col("name_y")) \
+    pairs = few.join(other, ["token", "band"]).where(F.col("name") < F.col("name_y")) \
+        .where(F.col("band") == F.greatest("own", "own_y")) \
         .where(_may_link(F.least("n", "n_y"), F.col("n"), F.col("n_y"), percent)) \
         .where(_may_link(F.least("at", "at_y") + behind, F.col("n"), F.col("n_y"), percent)) \
         .groupBy(F.col("name").alias("x"), F.col("name_y").alias("y"), F.least("need", "need_y").alias("need")) \
@@ -344,9 +367,9 @@ def _classes(df: DataFrame, key: str, text: str, size: int, percent: int) -> tup
     # many sets: each with the list's hub, the set with most shingles in lists
     many = lists.where(F.col("often") > HOT)
     weight = lists.groupBy("name").agg(F.count(F.lit(1)).alias("weight"))
-    hubs = many.join(weight, "name").groupBy("token").agg(F.max(F.struct("weight", "name")).alias("top")) \
-        .select("token", F.col("top.name").alias("hub"))
-    with_hub = scratch.pin(many.join(hubs, "token").where("name != hub").select(
+    hubs = many.join(weight, "name").groupBy("token", "band").agg(F.max(F.struct("weight", "name")).alias("top")) \
+        .select("token", "band", F.col("top.name").alias("hub"))
+    with_hub = scratch.pin(many.join(hubs, ["token", "band"]).where("name != hub").select(
         F.col("name").alias("x"), F.col("hub").alias("y")).distinct(), "join-hubs")
     both = pairs.unionByName(with_hub)
     wanted = both.select(F.col("x").alias("name")).unionByName(both.select(F.col("y").alias("name"))).distinct()
