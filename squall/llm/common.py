@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import os
-import tempfile
 import zipfile
 
 import pyarrow as pa
@@ -17,8 +16,8 @@ _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def ship(spark: SparkSession) -> None:
-    """Give every Python worker this package, once per session, through Spark's own file server
-    (no shared folder and no fixed path on the executors is needed)."""
+    """Give every Python worker this package, once per session: as an archive in the shared folder
+    that Spark hands to the executors (no fixed path on them is needed)."""
     sc = spark.sparkContext
     if getattr(sc, "_squall_shipped", False):
         return
@@ -29,9 +28,11 @@ def ship(spark: SparkSession) -> None:
                 if name.endswith(".py"):
                     path = os.path.join(folder, name)
                     z.write(path, os.path.relpath(path, os.path.dirname(_PACKAGE)))
-    path = os.path.join(tempfile.mkdtemp(prefix="squall-py-"), "squall_package.zip")
-    with open(path, "wb") as f:
-        f.write(out.getvalue())
+    path = shared_dir(spark, "squall-package") + ".zip"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)
+    stream.write(out.getvalue())
+    stream.close()
     sc.addPyFile(path)
     sc._squall_shipped = True
 
