@@ -75,7 +75,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="squall-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(path)
-    spark.conf.set("spark.checkpoint.dir", path)
+    else:
+        spark.conf.set("spark.checkpoint.dir", path)      # a running context's own setting is fixed
     return path
 
 
