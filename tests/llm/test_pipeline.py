@@ -1,6 +1,7 @@
 """The pipeline's stages on a small table with every kind of case planted, and the registration."""
 import random
 
+import duckdb
 import public_tokenizers
 import tiktoken
 
@@ -19,6 +20,15 @@ def test_queries_are_registered_once_for_each_operator():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_copies", "decontamination", "encoding"]
 
 
+def test_the_jaccard_join_agrees_with_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.001/documents.parquet')")
+    expected = con.execute(entry.oracle_sql()["op6_ngram_join"]).fetchall()
+    got = entry.queries()["op6_ngram_join"](spark, "/root/testdata/sf0.001")
+    assert got.columns == ["doc_id", "n_shingles", "component_id"]
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+
+
 def corpus(spark, path):
     r = random.Random(21)
     clean = [prose(r, r.randint(60, 150)).capitalize() + "." for _ in range(400)]
