@@ -34,8 +34,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the documents left, and whether decoding gives them back."""
-    return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    """Token counts and digests of the documents left, and whether decoding gives them back. The
+    workers have run the other stages before, so less is kept in their memory than by default."""
+    return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), most=120_000)
 
 
 STAGES = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import io
 import os
 import zipfile
@@ -10,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from squall.llm import words
 from squall.session import cut_lineage, shared_dir
 
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -42,10 +45,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return the memory that finished arrays have left with the allocators of this worker, which
+    Spark uses again for the next job's tasks."""
+    words.forget()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):      # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` with the package shipped."""
+    """``mapInArrow`` with the package shipped; each task gives its memory back."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        yield from function(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -63,7 +80,9 @@ def pinned(df: DataFrame, name: str) -> DataFrame:
 def arrow_function(function, kind: str):
     """A column function on whole Arrow arrays; its one argument and its result are arrays."""
     def call(values: pa.Array) -> pa.Array:
-        return function(values)
+        result = function(values)
+        give_back()
+        return result
 
     return F.arrow_udf(call, kind)
 

@@ -81,6 +81,11 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def forget() -> None:
+    """Drop the kept powers; they are made again when needed."""
+    _powers.clear()
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, one after the other, and where each begins (nulls are empty)."""
     if isinstance(texts, pa.ChunkedArray):
