@@ -12,12 +12,13 @@ from __future__ import annotations
 import re
 
 _EDGE = re.compile(r"(?<=\S)(?= \S)")
+_TOUCHING = re.compile(r"\s\s")
 
 
 def split(text: str) -> list[str]:
     """Chunks of a text; every chunk but the first is given without its leading space. Where no
     white space touches another, a line break is a piece of its own and begins a chunk too."""
-    if len(text.split()) == text.count(" ") + text.count("\n") + 1:
+    if not _TOUCHING.search(text):
         return text.replace("\n", " \n").split(" ")
     parts = _EDGE.split(text)
     return [parts[0], *(p[1:] for p in parts[1:])]

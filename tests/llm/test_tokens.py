@@ -20,9 +20,13 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: As many blanks other than space and line break as there are touching line breaks too many.
+BLANKS = ["a\tb\tc\n\n", "id\tname\tvalue\n\n\nnext line", "a\u3000b\u3000c\n\n\nd", "a\u00a0b c\n\nd", "a\rb\rc\n\n\nd  e"]
+
+
 def texts():
     r = random.Random(5)
-    return [*EDGES, *(prose(r, r.randint(1, 200)).capitalize() + ".\n" + prose(r, 20) for _ in range(40)), "x", "x"]
+    return [*EDGES, *BLANKS, *(prose(r, r.randint(1, 200)).capitalize() + ".\n" + prose(r, 20) for _ in range(40)), "x", "x"]
 
 
 def test_token_counts_are_the_librarys(spark):
@@ -42,6 +46,20 @@ def test_segments_cut_only_between_single_blanks():
         assert " ".join(parts) == text and len(parts) > 1
 
 
+def test_chunks_of_texts_of_any_blanks_give_the_librarys_ids():
+    library = Tokenizer.from_file(VOCABULARY)
+    coder = token_files.LibraryEncoder(VOCABULARY)
+    ranks = byte_bpe.read_ranks(RANKS)
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    bpe = byte_bpe.coder(RANKS)
+    r = random.Random(11)
+    mixed = ["".join(r.choice(["a", "be", "1", "'s", ".", "\u00e9", " ", " ", "\n", "\t", "\r", "\u00a0", "\u3000", "\x85", "\x1c"])
+                     for _ in range(r.randint(1, 12))) for _ in range(5000)]
+    for t in [*BLANKS, *mixed]:
+        assert np.frombuffer(coder.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+        assert np.frombuffer(bpe.encode(t), "<u4").tolist() == other.encode_ordinary(t), t
+
+
 def test_token_files_hold_the_librarys_ids_in_key_order(spark):
     keys = [*range(100, 100 + len(texts()) - 2), None, 7]
     docs = documents(spark, texts(), keys).repartition(5)
