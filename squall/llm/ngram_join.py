@@ -330,7 +330,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _classes(df: DataFrame, key: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(key, n, name) of every row, and (name, component) of every set that is not alone."""
+    """(key, n, name) of every row, and (name, component, top) of every set that is not alone: the
+    smallest key of its component, and of the sets that have a row with this key the least name."""
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     ship(df.sparkSession)
     scratch = Scratch(df.sparkSession)
@@ -341,13 +342,19 @@ def _classes(df: DataFrame, key: str, text: str, size: int, percent: int) -> tup
                           .agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies")), "join-classes")
 
     # one row of each set is cut into a prefix: the other copies are left out before if they are
-    # few, and their equal prefixes merged if not
+    # few, and their equal prefixes merged if not, or if a copy shares its key with another set's
+    # first row: rows are left out by key here, so all rows of such a key stay
     extra = scratch.pin(documents.join(classes.where("copies > 1").withColumnRenamed("key", "first"), "name")
                         .where("key != first").select("key").distinct(), "join-extra")
     few_extra = extra.count() <= FEW_KEYS
-    once = rows.join(F.broadcast(extra), "key", "left_anti") if few_extra else rows
+    once, several = rows, True
+    if few_extra:
+        first = classes.select("key").join(F.broadcast(extra), "key", "left_semi").distinct()
+        extra = F.broadcast(scratch.pin(extra.join(first, "key", "left_anti"), "join-extra"))
+        once = rows.join(extra, "key", "left_anti")
+        several = documents.where("name is not null").join(extra, "key", "left_anti").count() > classes.count()
     prefixes = scratch.pin(_prefixes(once, table, size, percent), "join-prefixes")
-    if not few_extra or documents.where("name is not null").groupBy("key", "name").count().where("count > 1").count():
+    if several:
         prefixes = prefixes.groupBy("token", "name").agg(*(F.first(c).alias(c) for c in ("n", "need", "at")))
     often = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1").drop("often")
     lists = _lists(scratch.pin(prefixes.join(often, "token"), "join-lists"), percent, scratch)
@@ -383,10 +390,11 @@ def _classes(df: DataFrame, key: str, text: str, size: int, percent: int) -> tup
         .unionByName(members.where("linked").select("x", F.col("hub").alias("y"))) \
         .unionByName(rest.where("linked").select("x", "y"))
     roots = scratch.pin(components(links, scratch), "join-roots")
-    smallest = roots.join(classes.select("name", "key"), "name").groupBy("root").agg(F.min("key").alias("component"))
-    joined = roots.join(smallest, "root").select("name", "component")
+    least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "name")).alias("least")
+    smallest = roots.join(classes.select("name", "key"), "name").groupBy("root").agg(least)
+    joined = roots.join(smallest, "root").select("name", F.col("least.key").alias("component"), F.col("least.name").alias("top"))
     copies = classes.where("copies > 1").join(roots, "name", "left_anti") \
-        .select("name", F.col("key").alias("component"))
+        .select("name", F.col("key").alias("component"), F.col("name").alias("top"))
     found = pinned(joined.unionByName(copies), "join-components")
     scratch.drop()
     return documents, found
@@ -410,18 +418,31 @@ def join_components(df: DataFrame, key: str = "doc_id", text: str = "text", size
 def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE,
                      percent: int = PERCENT) -> DataFrame:
     """The rows of ``df``, with all their columns, of the smallest key of each component; of rows
-    repeated with that key one stays. Rows without words, or without a key, stay."""
+    repeated with that key one stays. Rows that share a key are each judged by their own text.
+    Rows without words, or without a key, stay."""
     documents, found = _classes(df, key, text, size, percent)
+
+    def looked_up(some: DataFrame) -> DataFrame:
+        return F.broadcast(some) if some.count() <= FEW_KEYS else some
+
     grouped = documents.join(found, "name")
-    dropped = pinned(grouped.where("key != component").select("key").distinct(), "join-dropped")
-    repeated = not grouped.where("key = component").groupBy("key").count().where("count > 1").isEmpty()
-    side = F.broadcast(dropped) if dropped.count() <= FEW_KEYS else dropped
-    out = packed(df, own=F.col(key), text=F.col(text)).join(side, F.col("own") == F.col("key"), "left_anti")
-    if repeated:
+    stays = (F.col("key") == F.col("component")) & (F.col("name") == F.col("top"))
+    dropped = looked_up(pinned(grouped.where(~stays & F.col("key").isNotNull()).select("key", "name").distinct(),
+                               "join-dropped"))
+    # a key is judged by the texts of its rows if only some of them are dropped, or if one of
+    # several equal ones stays, and else as a whole
+    some = documents.join(dropped, ["key", "name"], "left_anti").join(dropped, "key", "left_semi")
+    several = grouped.where(stays).groupBy("key", "name").count().where("count > 1")
+    by_text = pinned(some.select("key").unionByName(several.select("key")).distinct(), "join-by-text")
+    whole = looked_up(pinned(dropped.select("key").distinct().join(by_text, "key", "left_anti"), "join-dropped-keys"))
+    out = packed(df, own=F.col(key), text=F.col(text)).join(whole, F.col("own") == F.col("key"), "left_anti")
+    if not by_text.isEmpty():
         def names(texts: pa.Array) -> pa.Array:
             return names_of(*sets_of(texts, size))
 
+        out = out.join(looked_up(by_text), F.col("own") == F.col("key"), "left") \
+            .withColumn("text", F.when(F.col("key").isNotNull(), F.col("text"))).drop("key")
         out = out.withColumn("name", arrow_function(names, "binary")(F.col("text")))
-        alone = F.col("name").isNull() | F.col("own").isNull()
-        out = out.where(alone).unionByName(out.where(~alone).dropDuplicates(["own", "name"]))
+        judged = out.where("name is not null").join(dropped.withColumnsRenamed({"key": "own"}), ["own", "name"], "left_anti")
+        out = out.where("name is null").unionByName(judged.dropDuplicates(["own", "name"]))
     return unpacked(out)

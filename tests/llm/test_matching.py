@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import combinations
 
 import pyarrow as pa
+import pytest
 
 from fixtures import changed, documents, empty, prose, word
 from squall.llm import decontaminate, licenses, ngram_join
@@ -227,6 +228,24 @@ def test_one_of_each_component_stays(spark):
     assert sorted(x["doc_id"] for x in kept.collect()) == expected
 
 
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_rows_that_share_a_key_are_told_apart_by_their_texts(spark, monkeypatch, few):
+    monkeypatch.setattr(ngram_join, "FEW_KEYS", few)
+    r = random.Random(12)
+    a, b, c, alone = (prose(r, 80) for _ in range(4))
+    near_b, near_c = changed(r, b, 1), changed(r, c, 1)
+    texts = [a, a, b, near_b, c, near_c, c, near_c, alone, "", a]
+    keys = [3, 5, 5, 7, 9, 9, 12, 12, 12, 5, 3]
+    docs = documents(spark, texts, keys)
+    got = Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in ngram_join.join_components(docs).collect())
+    n = [len(set(shingles_of(t, 3))) for t in texts]
+    assert got == Counter(zip(keys, n, [3, 3, 5, 5, 9, 9, 9, 9, 12, 5, 3], strict=True))
+    kept = [(x["doc_id"], x["text"]) for x in ngram_join.drop_near_copies(docs).collect()]
+    (of_c,) = [t for k, t in kept if k == 9]
+    assert of_c in (c, near_c)
+    assert Counter(kept) == Counter([(3, a), (5, b), (9, of_c), (12, alone), (5, "")])
+
+
 def test_chains_have_one_root(spark):
     names = [i.to_bytes(16, "big") for i in range(300)]
     order = list(range(300))
