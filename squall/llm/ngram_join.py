@@ -14,8 +14,13 @@ does not: all its sets are compared with one of them, the hub, and kept as
 their difference from it. Sets linked to the hub are connected already; any
 other link has a set outside, and by the triangle of differences its two sets
 share part of what sets them apart from the hub, so these pairs come from an
-index of the differences, by prefixes again. The work for a group of near
-copies so grows with its size and not with its square, and no link is lost.
+index of the differences, by prefixes again: the set with fewer differences
+by a prefix half as long as the other's, so that sets that each have changes
+enough of their own do not meet in what sets the hub apart from all of them.
+The work for a group of near copies so grows with its size and not with its
+square, and no link is lost. This does not hold for sets close to the hub but
+not linked to it: the lists of their differences have no bound like ``HOT``,
+and sets that share a rare difference are compared in pairs.
 """
 
 from __future__ import annotations
@@ -276,26 +281,31 @@ def _pairs_of_differences(members: DataFrame, percent: int, scratch: Scratch) ->
     With d_x and d_y shingles of difference from the hub, a link needs ``(d_x + d_y - k) / 2``
     of them in common, which is at least ``d - (100 - percent) * n / percent`` for a set outside
     (sizes of linked sets differ by at most that share) and over ``d / 2`` less the sizes' part
-    for one linked to the hub. Prefixes of the rarest differences are cut accordingly."""
+    for one linked to the hub. Of two sets, the one with fewer differences (d_y) even has
+    ``d_y - k / 2`` of them in common with the other, and k is at most the ``widest`` of either.
+    Prefixes of the rarest differences are cut accordingly: the ``near`` half is looked up by sets
+    with more differences."""
     outside = members.where("not linked").select("hub").distinct()
     some = members.join(outside, "hub").withColumn("d", F.size("apart"))
     widest = F.floor((100 - percent) * F.col("n_x") / percent)
     part = F.ceil((100 - percent) * F.greatest(F.col("n_x") - F.col("n_hub"), F.lit(0)) / (100 + percent))
-    need = F.greatest(F.lit(1), F.when(F.col("linked"), F.floor((F.col("d") + 1 - part) / 2))
-                      .otherwise(F.col("d") - widest))
+    need = F.greatest(F.lit(1), F.when(F.col("linked"), F.floor((F.col("d") + 1 - part) / 2)), F.col("d") - widest)
+    half = F.greatest(need, F.ceil(F.col("d") - (100 - percent) * F.col("n_x") / (2 * percent)))
     rows = some.select("hub", "x", "n_x", "d", "linked", (F.col("d") - need + 1).alias("prefix"),
-                       F.explode("apart").alias("token"))
+                       (F.col("d") - half + 1).alias("near"), F.explode("apart").alias("token"))
     often = rows.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     shared = rows.join(often, ["hub", "token"])
     own = Window.partitionBy("hub", "x")
     shared = shared.withColumn("place", F.col("d") - F.count(F.lit(1)).over(own)
                                + F.row_number().over(own.orderBy("often", "token"))).where("place <= prefix")
-    shared = scratch.pin(shared.select("hub", "token", "x", "n_x", "d", "linked"), "join-differences")
-    y = shared.select("hub", "token", F.col("x").alias("y"), F.col("n_x").alias("n_y"), F.col("d").alias("d_y"),
+    shared = scratch.pin(shared.select("hub", "token", "x", "n_x", "d", "linked", (F.col("place") <= F.col("near")).alias("near")),
+                         "join-differences")
+    y = shared.where("near").select("hub", "token", F.col("x").alias("y"), F.col("n_x").alias("n_y"), F.col("d").alias("d_y"),
                       F.col("linked").alias("linked_y"))
     k = (100 - percent) * (F.col("n_x") + F.col("n_y")) / (100 + percent)
-    return shared.where("not linked").join(y, ["hub", "token"]) \
-        .where((F.col("linked_y") & (F.col("x") != F.col("y"))) | (~F.col("linked_y") & (F.col("x") < F.col("y")))) \
+    both = shared.where("not linked").join(y, ["hub", "token"]) \
+        .unionByName(shared.where("linked").join(y.where("not linked_y"), ["hub", "token"]))
+    return both.where(F.struct("d_y", "y") < F.struct("d", "x")) \
         .where(_may_link(F.least("n_x", "n_y"), F.col("n_x"), F.col("n_y"), percent)) \
         .where((F.col("d") + F.col("d_y") - k) / 2 <= F.least("d", "d_y")).select("x", "y").distinct()
 

@@ -228,6 +228,32 @@ def test_one_of_each_component_stays(spark):
     assert sorted(x["doc_id"] for x in kept.collect()) == expected
 
 
+def test_a_family_of_unlinked_sets_makes_few_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TABLE", 0)
+    r = random.Random(13)
+    base = prose(r, 302).split(" ")
+    texts = []
+    for i in range(80):
+        own = list(base)
+        for k, at in enumerate(r.sample(range(3, 299, 6), 5)):
+            own[at] = f"own{i}x{k}"
+        texts.append(" ".join(own))
+    texts += [texts[3] + " end", texts[5] + " end"]
+    made = []
+    pairs_of = ngram_join._pairs_of_differences
+
+    def counted(members, percent, scratch):
+        made.append((members.count(), (pairs := scratch.pin(pairs_of(members, percent, scratch), "test-pairs")).count()))
+        return pairs
+
+    monkeypatch.setattr(ngram_join, "_pairs_of_differences", counted)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"])
+           for x in ngram_join.join_components(documents(spark, texts)).collect()}
+    assert got == dict(enumerate(brute_components(texts, range(len(texts)), 3, 90)))
+    (members, pairs), = made
+    assert members >= 80 and pairs <= 4 * members, made
+
+
 @pytest.mark.parametrize("few", [1_000_000, 0])
 def test_rows_that_share_a_key_are_told_apart_by_their_texts(spark, monkeypatch, few):
     monkeypatch.setattr(ngram_join, "FEW_KEYS", few)
