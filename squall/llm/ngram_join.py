@@ -254,8 +254,10 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int, apart: bool) -> D
 
 def _sets(rows: DataFrame, wanted: DataFrame, classes: DataFrame, documents: DataFrame, size: int,
           scratch: Scratch) -> DataFrame:
-    """(name, shingles) of the wanted names, from the text of the class's smallest key."""
-    keys = scratch.pin(wanted.join(classes, "name").where("key is not null").select("key", "name"), "join-keys")
+    """(name, shingles) of the wanted names, from the text of the class's smallest key; of a class
+    without a key from any of its texts."""
+    named = scratch.pin(wanted.join(classes, "name").select("key", "name"), "join-keys")
+    keys = named.where("key is not null")
     n = keys.count()
     side = F.broadcast(keys) if n <= FEW_KEYS else keys
 
@@ -264,12 +266,22 @@ def _sets(rows: DataFrame, wanted: DataFrame, classes: DataFrame, documents: Dat
             value, at = sets_of(column(batch, "text"), size)
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(value.view(np.int64)))
             own = names_of(value, at)
-            same = pa.compute.equal(own, column(batch, "name"))     # rows can share a key, but not a text
-            yield pa.RecordBatch.from_arrays([own, lists], names=["name", "shingles"]).filter(same)
-
-    built = map_arrow(rows.join(side, "key").select("name", "text"), build, "name binary, shingles array<long>")
+            made = pa.RecordBatch.from_arrays([own, lists], names=["name", "shingles"])
+            if "name" in batch.schema.names:
+                yield made.filter(pa.compute.equal(own, column(batch, "name")))     # rows can share a key, but not a text
+            else:
+                yield made.take(pa.array(_once(own), pa.int32()))
+
+    schema = "name binary, shingles array<long>"
+    built = map_arrow(rows.join(side, "key").select("name", "text"), build, schema)
     if documents.join(side, ["key", "name"]).count() > n:           # repeated rows
         built = built.dropDuplicates(["name"])
+    keyless = named.where("key is null").select("name")
+    n = keyless.count()
+    if n:
+        side = F.broadcast(keyless) if n <= FEW_KEYS else keyless
+        more = map_arrow(rows.where("key is null").select("text"), build, schema)
+        built = built.unionByName(more.join(side, "name", "left_semi").dropDuplicates(["name"]))
     return scratch.pin(built, "join-sets")
 
 
@@ -418,8 +430,8 @@ def join_components(df: DataFrame, key: str = "doc_id", text: str = "text", size
     Words are runs outside white space with A-Z lower-cased; fewer words than ``size`` make one
     shingle of the whole sequence. A null or empty text has an empty set, linked with nothing.
     Equal sets always link and are handled as one. Rows that share a key are each given by their
-    own text. A row with a null key links with equal sets only, and its component is null unless
-    another row of it has a key."""
+    own text. Rows with a null key link as all others do; their component is null unless another
+    row of it has a key."""
     documents, found = _classes(df, key, text, size, percent)
     return documents.join(found, "name", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
@@ -428,31 +440,35 @@ def join_components(df: DataFrame, key: str = "doc_id", text: str = "text", size
 def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE,
                      percent: int = PERCENT) -> DataFrame:
     """The rows of ``df``, with all their columns, of the smallest key of each component; of rows
-    repeated with that key one stays. Rows that share a key are each judged by their own text.
-    Rows without words, or without a key, stay."""
+    repeated with that key one stays. Rows that share a key are each judged by their own text, and
+    so are rows without a key; of a component without any key one row stays. Rows without words
+    stay."""
     documents, found = _classes(df, key, text, size, percent)
 
     def looked_up(some: DataFrame) -> DataFrame:
         return F.broadcast(some) if some.count() <= FEW_KEYS else some
 
     grouped = documents.join(found, "name")
-    stays = (F.col("key") == F.col("component")) & (F.col("name") == F.col("top"))
-    dropped = looked_up(pinned(grouped.where(~stays & F.col("key").isNotNull()).select("key", "name").distinct(),
-                               "join-dropped"))
+    stays = F.col("key").eqNullSafe(F.col("component")) & (F.col("name") == F.col("top"))
+    dropped = looked_up(pinned(grouped.where(~stays).select("key", "name").distinct(), "join-dropped"))
     # a key is judged by the texts of its rows if only some of them are dropped, or if one of
-    # several equal ones stays, and else as a whole
+    # several equal ones stays, and else as a whole; rows without a key are judged by their texts
     some = documents.join(dropped, ["key", "name"], "left_anti").join(dropped, "key", "left_semi")
     several = grouped.where(stays).groupBy("key", "name").count().where("count > 1")
-    by_text = pinned(some.select("key").unionByName(several.select("key")).distinct(), "join-by-text")
-    whole = looked_up(pinned(dropped.select("key").distinct().join(by_text, "key", "left_anti"), "join-dropped-keys"))
+    by_text = pinned(some.select("key").unionByName(several.select("key")).where("key is not null").distinct(), "join-by-text")
+    keyless = not grouped.where("key is null").isEmpty()
+    whole = looked_up(pinned(dropped.select("key").where("key is not null").distinct().join(by_text, "key", "left_anti"),
+                             "join-dropped-keys"))
     out = packed(df, own=F.col(key), text=F.col(text)).join(whole, F.col("own") == F.col("key"), "left_anti")
-    if not by_text.isEmpty():
+    if keyless or not by_text.isEmpty():
         def names(texts: pa.Array) -> pa.Array:
             return names_of(*sets_of(texts, size))
 
         out = out.join(looked_up(by_text), F.col("own") == F.col("key"), "left") \
-            .withColumn("text", F.when(F.col("key").isNotNull(), F.col("text"))).drop("key")
+            .withColumn("text", F.when(F.col("key").isNotNull() | F.col("own").isNull(), F.col("text"))).drop("key")
         out = out.withColumn("name", arrow_function(names, "binary")(F.col("text")))
-        judged = out.where("name is not null").join(dropped.withColumnsRenamed({"key": "own"}), ["own", "name"], "left_anti")
+        pairs = dropped.withColumnsRenamed({"key": "of", "name": "dropped"})
+        judged = out.where("name is not null").join(
+            pairs, F.col("own").eqNullSafe(F.col("of")) & (F.col("name") == F.col("dropped")), "left_anti")
         out = out.where("name is null").unionByName(judged.dropDuplicates(["own", "name"]))
     return unpacked(out)

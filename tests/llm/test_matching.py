@@ -272,6 +272,24 @@ def test_rows_that_share_a_key_are_told_apart_by_their_texts(spark, monkeypatch,
     assert Counter(kept) == Counter([(3, a), (5, b), (9, of_c), (12, alone), (5, "")])
 
 
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_rows_without_a_key_link_and_one_of_each_component_stays(spark, monkeypatch, few):
+    monkeypatch.setattr(ngram_join, "FEW_KEYS", few)
+    r = random.Random(14)
+    a, b, c, alone, d = (prose(r, 80) for _ in range(5))
+    middle = changed(r, c, 1)
+    texts = [a, a, changed(r, a, 1), b, changed(r, b, 1), b, c, middle, changed(r, middle, 1), alone, "", None, d, d]
+    keys = [None, None, None, 4, None, None, 6, None, 8, None, None, None, 9, None]
+    docs = documents(spark, texts, keys)
+    got = Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in ngram_join.join_components(docs).collect())
+    n = [len(set(shingles_of(t, 3))) for t in texts]
+    ids = [None, None, None, 4, 4, 4, 6, 6, 6, None, None, None, 9, 9]
+    assert got == Counter(zip(keys, n, ids, strict=True))
+    kept = [(x["doc_id"], x["text"]) for x in ngram_join.drop_near_copies(docs).collect()]
+    (of_a,) = [t for k, t in kept if k is None and t in (a, texts[2])]
+    assert Counter(kept) == Counter([(None, of_a), (4, b), (6, c), (None, alone), (None, ""), (None, None), (9, d)])
+
+
 def test_chains_have_one_root(spark):
     names = [i.to_bytes(16, "big") for i in range(300)]
     order = list(range(300))
