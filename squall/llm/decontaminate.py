@@ -4,7 +4,8 @@ verified by the exact weighted similarity of word shingles.
 Every window of a document with as many words as an item (a shorter document
 is one window) that holds at least one of that item's shingles gets a
 fingerprint; a window without any has similarity 0, so leaving it out loses
-nothing. The 128 bits fall into 8 blocks: two fingerprints within the radius
+nothing. Items of fewer than five words are one shingle, their whole sequence,
+and are looked up among all sequences of as many words. The 128 bits fall into 8 blocks: two fingerprints within the radius
 ``r`` differ by at most ``r // 8`` bits in some block, so looking each block
 up among the items' block values within that distance finds every item within
 the radius. Candidates within the radius are compared exactly: a shingle
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from squall.llm.common import arrow_function, column, map_arrow, ship
-from squall.llm.words import mix, pieces, shingles, words
+from squall.llm.words import mix, pieces, sequences, shingles, words
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -77,6 +78,10 @@ class Index:
         self.shingle, first = np.unique(pairs[:, 0], return_index=True)
         self.size_at = np.append(first, len(pairs))
         self.sizes = pairs[:, 1].astype(np.int64)
+        # items shorter than a shingle, by their number of words: hash -> items
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for i in np.flatnonzero((self.length > 0) & (self.length < size)).tolist():
+            self.short.setdefault(int(self.length[i]), {}).setdefault(int(value[at[i]]), []).append(i)
         # a block's table: value -> items with a value within the distance
         masks = _within(radius // BLOCKS)
         has = np.flatnonzero(self.total > 0)
@@ -125,6 +130,12 @@ def leaks_in(texts: pa.Array, index: Index, size: int, least: float) -> list[tup
         value, at, doc = shingles(w, size)
         if len(value) == 0:
             continue
+        for n, known in index.short.items():
+            own, start, of = sequences(w, n)
+            for h in np.flatnonzero(np.isin(own, np.array(list(known), np.uint64))).tolist():
+                d = int(of[h])
+                for i in known[int(own[h])]:
+                    best.setdefault((begin + d, i), (begin + d, i, int(start[h] - w.first[d]), n, 0, 1.0))
         found = np.searchsorted(index.shingle, value)
         found[found == len(index.shingle)] = 0
         hits = np.flatnonzero(index.shingle[found] == value)
@@ -175,7 +186,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     the most similar window with ``similarity >= least``, if any.
 
     Words are runs outside white space with A-Z lower-cased; an item or document of fewer than
-    ``size`` words has one shingle, its whole sequence. Null or empty texts match nothing; items
+    ``size`` words has one shingle, its whole sequence; such an item matches wherever its words
+    stand in a row. Null or empty texts match nothing; items
     with null ids are left out; repeated rows give repeated matches. No shuffle: one pass over the
     documents for each ``per_pass`` items, whose index (at most about 0.1 MB an item) goes to
     the workers with the function."""

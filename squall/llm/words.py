@@ -151,7 +151,7 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for k in range(size - 1):
             has = n[short] > k
             few[has] = mix(few[has] * U64(0x9E3779B97F4A7C15) + w.hashes[w.first[short[has]] + k] + U64(k + 1))
-        few = mix(few ^ U64(0xD6E8FEB86659FD93) * n[short].astype(U64))
+        few = mix(few ^ U64(0xD6E8FEB86659FD93) * n[short].astype(U64))     # as in ``sequences``
         value = np.concatenate([value, few])
         at = np.concatenate([at, w.first[short]])
         doc = np.concatenate([doc, short])
@@ -160,6 +160,18 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return value, at, doc
 
 
+def sequences(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every ``n`` consecutive words, hashed as a whole sequence of fewer words than a shingle's is:
+    (hash, first word, document)."""
+    many = np.maximum(w.count() - n + 1, 0)
+    at = _ranges(w.first[:-1], many)
+    value = np.zeros(len(at), dtype=U64)
+    for k in range(n):
+        value = mix(value * U64(0x9E3779B97F4A7C15) + w.hashes[at + k] + U64(k + 1))
+    value = mix(value ^ U64(0xD6E8FEB86659FD93) * np.full(len(at), n, U64))
+    return value, at, np.repeat(np.arange(len(many)), many)
+
+
 def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """first[0], first[0]+1, ... (count[0] of them), first[1], ..."""
     total = int(count.sum())

@@ -67,6 +67,25 @@ def test_leaks_are_those_of_brute_force(spark):
     assert sorted(x["doc_id"] for x in kept.collect()) == [d for d in range(len(texts)) if d not in bad]
 
 
+def test_items_of_few_words_are_found_inside_documents(spark):
+    items = ["alpha", "two words", "one more item", "an item of four", "two words"]
+    texts = ["x two WORDS y z u v", "two words", "p two\nwords", "a b c one more item", "and an item of four here too",
+             "an item of three and more words", "two other words are not one", "words two words two words", "alpha",
+             "a b c d e f alpha", "alphabet one two three four"]
+    got = {(x["doc_id"], x["item_id"]): (x["first_word"], x["n_words"], x["similarity"]) for x in
+           decontaminate.find_leaks(documents(spark, texts), benchmark(spark, items)).collect()}
+    expected = {}
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            own, other = words_of(t), words_of(item)
+            at = [s for s in range(len(own) - len(other) + 1) if own[s:s + len(other)] == other]
+            if at:
+                expected[d, i] = (at[0], len(other), 1.0)
+    assert got == expected and len(got) == 12
+    kept = decontaminate.drop_leaks(documents(spark, texts), benchmark(spark, items))
+    assert {x["doc_id"] for x in kept.collect()} == set(range(len(texts))) - {d for d, _ in expected}
+
+
 def test_leaks_of_empty_tables(spark):
     assert decontaminate.find_leaks(empty(spark), benchmark(spark, ["a b c d e f"])).collect() == []
     docs = documents(spark, ["a b c d e f", None, "x"], [1, None, 1])
