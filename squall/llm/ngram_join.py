@@ -121,7 +121,9 @@ def _once(names: pa.Array) -> list[int]:
 
 def frequent_shingles(counts: DataFrame, most: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles (sorted) and in how many sets they were counted: all those above
-    the least count that keeps the table within ``most``. Only the order of shingles rests on it."""
+    the least count that keeps the table within ``most``. The counts are approximate, as a shingle
+    seen once in a stretch is not counted there: only the order of shingles and the lengths of
+    prefixes rest on them, and any one order gives the same links."""
     sums = scratch.pin(counts.groupBy("token").agg(F.sum("count").alias("count")), "join-counts")
     levels = sums.groupBy(F.least("count", F.lit(100_000)).alias("count")).agg(F.count(F.lit(1)).alias("n")) \
         .orderBy(F.desc("count")).collect()         # 100,000 rows at most
