@@ -3,8 +3,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
-from helpers import norm
+from helpers import SF_SMALL, norm
 from squall.plans.oracle import SQL as REFERENCE
 
 TABLES = "region nation customer supplier part orders lineitem events embeddings labels".split()

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from squall.functions.rules import GRID_RULES
 from squall.operators import evaluate as evl
 from squall.operators import events as ev
