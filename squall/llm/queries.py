@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from squall.llm import byte_bpe, decontaminate, licenses, neighbours, ngram_join, quality, shards, token_counts, token_files, toxicity
+from squall.llm import byte_bpe, conversations, decontaminate, licenses, neighbours, ngram_join, quality, shards, token_counts, token_files, toxicity
 from squall.llm.common import shared_dir, table
 
 QUERIES = {}
@@ -79,3 +79,9 @@ def neighbours_query(spark, sf_dir):
 def ngram_join_query(spark, sf_dir):
     """Components of documents that share 90 % of their three-word shingles."""
     return ngram_join.join_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+@query("op11_conversation_repair")
+def conversation_repair_query(spark, sf_dir):
+    """Faults and cheapest repair of every conversation, after the damage that the contract names."""
+    return conversations.repair_report(table(spark, sf_dir, "conversations"))
