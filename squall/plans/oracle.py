@@ -943,3 +943,96 @@ SELECT series AS tower, ts, temp, peak, n, event_hot, event_hot_duration_min, ev
   event_gusty_meets_duration, event_count, active_events, event_durations, has_any_event FROM labels"""
 
 SQL["tower_files_pooled_flags"] = with_(V_UNION_MASK) + "SELECT * FROM umask"
+
+# ---------------------------------------------------------------- pooled forecast job
+# event: (hours a step, lags, windows, horizons, variable of the limit, limit)
+_EVENT_SETTINGS = {"hot": (2, range(1, 7), (2, 6), {"2hr": 1, "6hr": 3}, "temp", 60),
+                   "calm": (1, (1, 2, 4), (2, 4, 12), {"1hr": 1, "6hr": 6}, "temp", 42),
+                   "gusty": (1, range(1, 13), (6,), {"1hr": 1, "3hr": 3, "12hr": 12}, "peak", 100)}
+
+
+def _timeline(event: str) -> str:
+    step = _EVENT_SETTINGS[event][0]
+    cut = ", ".join(f"avg(floor({c} * 100) / 100) AS {c}" for c in WIDE_COLS)
+    fill = ", ".join(
+        f"coalesce({c}, last_value({c} IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
+        f"first_value({c} IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0.0) AS {c}"
+        for c in WIDE_COLS)
+    return f"""
+{event}_bins AS (SELECT time_bucket(INTERVAL {step} HOUR, ts) AS ts, {cut}, bool_or(event_{event}) AS flag
+  FROM wide JOIN umask USING (ts) GROUP BY 1),
+{event}_dense AS (SELECT d.ts, {", ".join(WIDE_COLS)}, coalesce(flag, false) AS flag
+  FROM (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL {step} HOUR)) AS ts FROM {event}_bins) d
+  LEFT JOIN {event}_bins b ON b.ts = d.ts),
+{event}_line AS (SELECT ts, flag, {fill} FROM {event}_dense)"""
+
+
+def _feature_columns(event: str) -> dict[str, str]:
+    _, lags, windows, _, variable, limit = _EVENT_SETTINGS[event]
+    out = {}
+    for c in WIDE_COLS:
+        out |= {f"{c}_lag{k}": f"lag({c}, {k}) OVER (ORDER BY ts)" for k in lags}
+        for w in windows:
+            frame = f"OVER (ORDER BY ts ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+            for stat, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")):
+                out[f"{c}_roll{w}_{stat}"] = f"CASE WHEN count({c}) {frame} = {w} THEN {f}({c}) {frame} END"
+        out[f"{c}_diff1"] = f"{c} - lag({c}) OVER (ORDER BY ts)"
+        out[f"{c}_diff2"] = f"{c} - 2 * lag({c}) OVER (ORDER BY ts) + lag({c}, 2) OVER (ORDER BY ts)"
+    for v in ("temp", "peak"):
+        members = ", ".join(f"{s}_{v}" for s in SERIES)
+        mean = f"list_avg([{members}])"
+        out |= {f"{v}_tower_mean": mean, f"{v}_tower_std": f"list_stddev_samp([{members}])",
+                f"{v}_tower_range": f"greatest({members}) - least({members})"}
+        out |= {f"{s}_{v}_dev_from_mean": f"{s}_{v} - {mean}" for s in SERIES}
+    for name, x, n in (("hour", "hour(ts)", 24), ("dow", "(isodow(ts) - 1)", 7), ("month", "month(ts)", 12)):
+        out |= {f"{name}_{f}": f"{f}(2 * pi() * {x} / {n})" for f in ("sin", "cos")}
+    return out | {f"{s}_{variable}_dist_to_{limit}": f"{s}_{variable} - {limit}" for s in SERIES}
+
+
+def _feature_rows(event: str) -> str:
+    columns = _feature_columns(event)
+    made, names = ", ".join(f'round({x}, 6) + 0.0 AS "{n}"' for n, x in columns.items()), ", ".join(columns)
+    return f"""
+{event}_wide AS (SELECT '{event}' AS event, ts, {made} FROM {event}_line),
+{event}_rows AS (SELECT event, ts, feature, value FROM {event}_wide UNPIVOT INCLUDE NULLS (value FOR feature IN ({names})))"""
+
+
+def _target_rows(event: str) -> str:
+    return f"{event}_targets AS (" + " UNION ALL ".join(
+        f"SELECT '{event}' AS event, ts, '{h}' AS horizon, lead(flag::INT::DOUBLE, {k}) OVER (ORDER BY ts) AS target FROM {event}_line"
+        for h, k in _EVENT_SETTINGS[event][3].items()) + ")"
+
+
+V_LINES = V_UNION_MASK + "," + ",".join(_timeline(e) for e in _EVENT_SETTINGS)
+
+SQL["pooled_features"] = with_(V_LINES, *[_feature_rows(e) for e in _EVENT_SETTINGS]) + " UNION ALL ".join(
+    f"SELECT event, ts, feature, value FROM {e}_rows" for e in _EVENT_SETTINGS)
+
+SQL["pooled_targets"] = with_(V_LINES, *[_target_rows(e) for e in _EVENT_SETTINGS]) + " UNION ALL ".join(
+    f"SELECT * FROM {e}_targets" for e in _EVENT_SETTINGS)
+
+
+def _reach(event: str) -> int:
+    _, lags, windows, *_ = _EVENT_SETTINGS[event]
+    return max([2, *lags, *(w - 1 for w in windows)])
+
+
+SQL["training_grid"] = with_(
+    V_LINES, *[_target_rows(e) for e in _EVENT_SETTINGS],
+    "numbered AS (" + " UNION ALL ".join(
+        f"SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY ts) AS i, {_reach(e)} AS reach FROM {e}_targets"
+        for e in _EVENT_SETTINGS) + ")",
+    """kept AS (SELECT event, horizon, target AS y, row_number() OVER (PARTITION BY event, horizon ORDER BY ts) - 1 AS p,
+  count(*) OVER (PARTITION BY event, horizon) AS n FROM numbered WHERE target IS NOT NULL AND i > reach)""",
+    "sized AS (SELECT *, floor(n * 0.8)::BIGINT AS m, (floor(n * 0.8)::BIGINT // 4) AS size FROM kept)",
+    """spans AS (SELECT *, CASE WHEN fold = 0 THEN m ELSE m - (4 - fold) * size END AS cut,
+  CASE WHEN fold = 0 THEN n ELSE m - (3 - fold) * size END AS stop FROM sized, range(4) AS folds(fold))""",
+    """counts AS (SELECT event, horizon, fold, n AS n_rows, count(*) FILTER (p < cut) AS train_rows,
+  count(*) FILTER (p < cut AND y = 1) AS train_positives, count(*) FILTER (p >= cut AND p < stop) AS test_rows,
+  count(*) FILTER (p >= cut AND p < stop AND y = 1) AS test_positives, count(*) FILTER (y = 1) AS positives
+  FROM spans GROUP BY ALL)""") + """
+SELECT event, horizon, fold::INT AS fold, n_rows, train_rows, train_positives, test_rows, test_positives,
+  CASE WHEN train_positives > 0 THEN round(pow((train_rows - train_positives) / train_positives, 0.75), 6) ELSE 1.0 END AS pos_weight,
+  CASE WHEN n_rows < 100 THEN 'insufficient data' WHEN positives < 10 THEN 'too few positive events'
+       WHEN train_positives = 0 OR train_positives = train_rows THEN 'one class in training'
+       WHEN test_rows = 0 THEN 'no test rows' END AS skipped FROM counts"""

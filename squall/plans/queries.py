@@ -20,12 +20,13 @@ from squall.operators import features as fe
 from squall.operators import importance as im
 from squall.operators import logs as lg
 from squall.operators import model as ml
+from squall.operators import pooled
 from squall.operators import report as rp
 from squall.operators import reshape as rs
 from squall.operators import settings as so
 from squall.operators import stations as gs
 from squall.operators import stats as st
-from squall.session import shared_dir
+from squall.session import cut_lineage, shared_dir
 from squall.plans import views as V
 from squall.sources import io as sio
 
@@ -1211,3 +1212,68 @@ def q_tower_files_pooled_flags(spark, sf):
     w = jobs.pooled_event_flags(readings, V.SERIES, ["temp", "peak"], rules=GRID_RULES, colmap=colmap,
                                 step_minutes=60.0)
     return w.select("ts", *[f"event_{r.name}" for r in GRID_RULES])
+
+
+# ---------------------------------------------------------------- pooled forecast job (entry C)
+
+GRID_SETTINGS = (
+    pooled.EventSettings("hot", 7200, (1, 2, 3, 4, 5, 6), (2, 6), {"2hr": 1, "6hr": 3}, "temp", 60.0, "60"),
+    pooled.EventSettings("calm", 3600, (1, 2, 4), (2, 4, 12), {"1hr": 1, "6hr": 6}, "temp", 42.0, "42"),
+    pooled.EventSettings("gusty", 3600, tuple(range(1, 13)), (6,), {"1hr": 1, "3hr": 3, "12hr": 12}, "peak", 100.0, "100"),
+)
+GRID_GROUPS = {v: [f"{s}_{v}" for s in V.SERIES] for v in ("temp", "peak")}
+POOLED_FOLDS = 3
+
+
+def _pooled(spark, sf):
+    """Feature vectors of the three grid events, each with its own step, lags, windows and limit;
+    readings are taken to two places."""
+    d = _union_masks(spark, sf).select(
+        "ts", *[(F.floor(F.col(c) * 100) / 100).alias(c) for c in WIDE_COLS], *[f"event_{r.name}" for r in GRID_RULES])
+    return pooled.pooled_features(d, "ts", WIDE_COLS, GRID_GROUPS, GRID_SETTINGS)
+
+
+@query("pooled_features")
+def q_pooled_features(spark, sf):
+    """W8-W15 as one job: all features of every event at its own step, long (event, ts, feature, value)."""
+    d = _pooled(spark, sf)
+    each = F.explode(F.arrays_zip(F.col("names").alias("feature"), F.col("features").alias("value")))
+    return d.select("event", "ts", each.alias("_f")).select("event", "ts", "_f.feature", r6("_f.value").alias("value"))
+
+
+@query("pooled_targets")
+def q_pooled_targets(spark, sf):
+    """W15 by event and horizon: the flag that many steps later, null past the end."""
+    d = _pooled(spark, sf)
+    return d.select("event", "ts", F.inline("targets")).select("event", "ts", "horizon", F.col("flag").cast("double").alias("target"))
+
+
+def _groups(spark, sf):
+    return cut_lineage(pooled.labelled_groups(_pooled(spark, sf), "ts"))
+
+
+@query("training_grid")
+def q_training_grid(spark, sf):
+    """M2 + M4 + A4 + W20 + W21: for every event, horizon and fold (0 is the final fit on the first 80 %)
+    rows, positives and weight, and why it is skipped."""
+    rows = pooled.tagged(_groups(spark, sf), ["event", "horizon"], "ts", POOLED_FOLDS)
+    plan = pooled.fit_plan(rows, ["event", "horizon"], POOLED_FOLDS)
+    return plan.select("event", "horizon", "fold", "n_rows", "train_rows", "train_positives", "test_rows", "test_positives",
+                       r6("pos_weight").alias("pos_weight"), "skipped")
+
+
+def _scored_grid(spark, sf):
+    return pooled.score_grid(_groups(spark, sf), ["event", "horizon"], "ts", POOLED_FOLDS,
+                             ml.TreeSettings(max_iter=5, max_depth=3))
+
+
+@query("grid_scored_rows")
+def q_grid_scored_rows(spark, sf):
+    """M4 + M10: every test row of every fitted (event, horizon, fold) with probability and prediction."""
+    return _scored_grid(spark, sf)[0]
+
+
+@query("grid_metrics")
+def q_grid_metrics(spark, sf):
+    """M4 + M7-M10: metrics of every fitted (event, horizon, fold), from its scored rows."""
+    return _r6all(pooled.grid_metrics(_scored_grid(spark, sf)[0], ["event", "horizon"]))
