@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from squall.llm import byte_bpe, conversations, decontaminate, licenses, neighbours, ngram_join, quality, shards, token_counts, token_files, toxicity
+from squall.llm import (byte_bpe, conversations, decontaminate, licenses, neighbours, ngram_join, phrases, quality, rule_lists, shards,
+                        token_counts, token_files, toxicity)
 from squall.llm.common import shared_dir, table
 
 QUERIES = {}
@@ -85,3 +86,15 @@ def ngram_join_query(spark, sf_dir):
 def conversation_repair_query(spark, sf_dir):
     """Faults and cheapest repair of every conversation, after the damage that the contract names."""
     return conversations.repair_report(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_quality_rules")
+def quality_rules_query(spark, sf_dir):
+    """Statistics of every document and the verdict of the decision list learned from the labels."""
+    return rule_lists.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+
+
+@query("op13_phrases")
+def phrases_query(spark, sf_dir):
+    """The 2,000 firmest phrases of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
