@@ -14,15 +14,15 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from squall.llm.common import column, map_arrow
+from squall.llm.common import alone, column, kept, map_arrow
 from squall.llm.safe_chunks import ChunkEncoder
+from squall.llm.words import slices
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -158,11 +158,11 @@ class BacktrackingBPE:
             self._pairs.clear()
 
 
-@lru_cache(maxsize=2)
+@kept
 def coder(path: str, most: int = 450_000) -> BacktrackingBPE:
     from public_tokenizers import PATTERN
 
-    return BacktrackingBPE(read_ranks(path), PATTERN, most)
+    return BacktrackingBPE(read_ranks(path), PATTERN, most, 2 * most)
 
 
 def encode_texts(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,21 +209,23 @@ def round_trip(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str =
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def both(batches):
+        alone(coder)
         bpe = coder(ranks_path, most)
         for batch in batches:
-            n, first, second, exact = [], [], [], []
-            for t in column(batch, "text").to_pylist():
-                ids = bpe.encode(t)
-                data = bpe.decode(np.frombuffer(ids, "<u4"))
-                n.append(len(ids) // 4)
-                first.append(hashlib.sha256(ids).hexdigest())
-                second.append(hashlib.sha256(data).hexdigest())
-                exact.append(data == t.encode("utf-8"))
-                bpe.trim()
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "key"), pa.array(n, pa.int64()), pa.array(first, pa.string()),
-                 pa.array(second, pa.string()), pa.array(exact, pa.bool_())],
-                names=["key", "n_tokens", "ids_sha256", "decoded_sha256", "exact"])
+            for part in slices(batch, "text", 1 << 20):
+                n, first, second, exact = [], [], [], []
+                for t in column(part, "text").to_pylist():
+                    ids = bpe.encode(t)
+                    data = bpe.decode(np.frombuffer(ids, "<u4"))
+                    n.append(len(ids) // 4)
+                    first.append(hashlib.sha256(ids).hexdigest())
+                    second.append(hashlib.sha256(data).hexdigest())
+                    exact.append(data == t.encode("utf-8"))
+                    bpe.trim()
+                yield pa.RecordBatch.from_arrays(
+                    [column(part, "key"), pa.array(n, pa.int64()), pa.array(first, pa.string()),
+                     pa.array(second, pa.string()), pa.array(exact, pa.bool_())],
+                    names=["key", "n_tokens", "ids_sha256", "decoded_sha256", "exact"])
 
     kind = dict(rows.dtypes)["key"]
     out = map_arrow(rows, both, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")

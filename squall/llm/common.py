@@ -7,6 +7,7 @@ import ctypes
 import io
 import os
 import zipfile
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_kept: list = []
+
+
+def kept(function):
+    """Keep the last two results of ``function`` in a worker, which Spark uses again for later jobs,
+    until another job asks for room with ``alone``."""
+    cached = lru_cache(maxsize=2)(function)
+    _kept.append(cached)
+    return cached
+
+
+def alone(*needed) -> None:
+    """Drop what the functions under ``kept`` left in this worker, but for those ``needed``."""
+    for cached in _kept:
+        if cached not in needed:
+            cached.cache_clear()
+    give_back()
+
+
 def give_back() -> None:
     """Return the memory that finished arrays have left with the allocators of this worker, which
     Spark uses again for the next job's tasks."""

@@ -15,7 +15,6 @@ over the sum of the larger.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from squall.llm.common import arrow_function, column, map_arrow, ship
+from squall.llm.common import arrow_function, column, kept, map_arrow, ship
 from squall.llm.words import mix, pieces, sequences, shingles, words
 
 WORDS = 5
@@ -114,7 +113,7 @@ class Index:
         return shared / (len(window) + int(self.total[item]) - shared)
 
 
-@lru_cache(maxsize=2)
+@kept
 def _index(ids: tuple, texts: tuple, size: int, radius: int) -> Index:
     return Index(ids, texts, size, radius)
 
