@@ -57,19 +57,19 @@ LABELER_RULES = (
     EventRule("E5_LowWind_lt2", ("PkWSpdMph",), _lt("PkWSpdMph", 2.0), 3.0),
 )
 
-# First labeler: nine rules.
-FIRST_LABELER_RULES = (
-    EventRule("E1_TempMoistHaz", ("TempC", "AbsHum"),
-              lambda c: (c["TempC"] > F.lit(24.0)) & (c["AbsHum"] > F.lit(20.0)), 2.0),
-    EventRule("E2_WindChill", ("TempC", "PkWSpdMph"),
-              lambda c: (c["TempC"] <= F.lit(4.8)) & (c["PkWSpdMph"] >= F.lit(3.0)), 2.0),
-    EventRule("E3_LowTemp_lt0", ("TempC",), _lt("TempC", 0.0), 2.0),
-    EventRule("E3_LowTemp_lt-5", ("TempC",), _lt("TempC", -5.0), 2.0),
-    EventRule("E3_LowTemp_lt-10", ("TempC",), _lt("TempC", -10.0), 2.0),
-    EventRule("E4_HighWind_Peak_gt25", ("PkWSpdMph",), _gt("PkWSpdMph", 25.0), 1.0),
-    EventRule("E5_LowWind_lt2", ("PkWSpdMph",), _lt("PkWSpdMph", 2.0), 3.0),
-    EventRule("E5_LowWind_lt1", ("PkWSpdMph",), _lt("PkWSpdMph", 1.0), 3.0),
-    EventRule("E5_LowWind_lt0_5", ("PkWSpdMph",), _lt("PkWSpdMph", 0.5), 3.0),
+# First labeler: nine rules as terms (event, variable, op, limit, minimum hours).
+FIRST_LABELER_TERMS = (
+    ("E1_TempMoistHaz", "TempC", ">", 24.0, 2.0),
+    ("E1_TempMoistHaz", "AbsHum", ">", 20.0, 2.0),
+    ("E2_WindChill", "TempC", "<=", 4.8, 2.0),
+    ("E2_WindChill", "PkWSpdMph", ">=", 3.0, 2.0),
+    ("E3_LowTemp_lt0", "TempC", "<", 0.0, 2.0),
+    ("E3_LowTemp_lt-5", "TempC", "<", -5.0, 2.0),
+    ("E3_LowTemp_lt-10", "TempC", "<", -10.0, 2.0),
+    ("E4_HighWind_Peak_gt25", "PkWSpdMph", ">", 25.0, 1.0),
+    ("E5_LowWind_lt2", "PkWSpdMph", "<", 2.0, 3.0),
+    ("E5_LowWind_lt1", "PkWSpdMph", "<", 1.0, 3.0),
+    ("E5_LowWind_lt0_5", "PkWSpdMph", "<", 0.5, 3.0),
 )
 
 # Pooled (wide-table) script: same names, other limits and durations.
@@ -89,8 +89,6 @@ TOWER_COLUMNS = {
     "TOWY": {"TempC": "TempC_033m", "AbsHum": None, "PkWSpdMph": "PkWSpdMph_033m"},
 }
 
-# Threshold-distance limits of the pooled script, by event kind.
-DISTANCE_LIMITS = {"LowTemp": ("TempC", 3.0), "HighWind": ("PkWSpdMph", 20.0), "LowWind": ("PkWSpdMph", 4.0)}
 # --- end of fixed values ----------------------------------------------------
 
 # Rules on the driver's hourly `grid` view (temp = hourly mean, peak = max).

@@ -1036,3 +1036,75 @@ SELECT event, horizon, fold::INT AS fold, n_rows, train_rows, train_positives, t
   CASE WHEN n_rows < 100 THEN 'insufficient data' WHEN positives < 10 THEN 'too few positive events'
        WHEN train_positives = 0 OR train_positives = train_rows THEN 'one class in training'
        WHEN test_rows = 0 THEN 'no test rows' END AS skipped FROM counts"""
+
+# ---------------------------------------------------------------- rules as a table
+# series -> column of each variable that it has
+_MAP = {"click": {"temp": "temp", "peak": "peak"}, "error": {"temp": "temp", "hum": "n"},
+        "purchase": {"temp": "temp", "peak": "peak", "hum": "n"}, "signup": {"temp": "temp"},
+        "view": {"temp": "temp", "peak": "peak"}}
+_TERMS = {"hot": (("temp",), "{temp} > 60", 120.0), "calm": (("temp",), "{temp} < 42", 180.0),
+          "gusty": (("temp", "peak"), "{temp} > 40 AND {peak} > 100", 60.0),
+          "muggy": (("temp", "hum"), "{temp} >= 55 AND {hum} <= 2", 60.0)}
+
+SQL["rule_availability"] = " UNION ALL ".join(
+    f"SELECT '{s}' AS series, '{e}' AS event, {len(needs)}::BIGINT AS n_needed, {sum(v in m for v in needs)}::BIGINT AS n_present, "
+    f"'{','.join(sorted(v for v in needs if v not in m))}' AS lacking, {all(v in m for v in needs)} AS available"
+    for s, m in _MAP.items() for e, (needs, _, _) in _TERMS.items())
+
+V_MASKS = V_GRID + ", masks AS (" + " UNION ALL ".join(
+    f"SELECT series, ts, '{e}' AS event, coalesce({p.format(**m)}, false) AS m, {h} AS min_minutes FROM grid WHERE series = '{s}'"
+    for s, m in _MAP.items() for e, (needs, p, h) in _TERMS.items() if all(v in m for v in needs)) + ")"
+
+
+def _runs(groups: str, where: str) -> str:
+    by = "PARTITION BY series, event, gap_group"
+    return with_(V_MASKS, f"grouped AS ({groups})", f"""
+marked AS (SELECT *, m AND NOT coalesce(lag(m) OVER ({by} ORDER BY ts), false) AS st,
+  coalesce(min(CASE WHEN NOT m THEN ts END) OVER ({by} ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+           max(ts) OVER ({by})) AS e FROM grouped),
+found AS (SELECT series, event, ts AS start, e AS "end", round((epoch_us(e) - epoch_us(ts)) / 60000000.0, 6) + 0.0 AS duration_minutes,
+  min_minutes FROM marked WHERE st)""") + f"SELECT * FROM found {where}"
+
+
+SQL["table_rule_segments"] = _runs("SELECT *, 0 AS gap_group FROM masks", "WHERE duration_minutes >= min_minutes")
+
+SQL["gap_segments"] = _runs("""SELECT *, sum(brk::INT) OVER (PARTITION BY series, event ORDER BY ts) AS gap_group FROM (
+  SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY series, event ORDER BY ts) > INTERVAL 120 MINUTE, false) AS brk FROM masks)""", "")
+
+SQL["log_files_metrics"] = SQL["run_log_metrics"]
+SQL["log_files_importance"] = SQL["run_log_importance"]
+
+_MODEL_DEFAULTS = {
+    "lightgbm": {"num_leaves": 31, "max_depth": -1, "min_child_samples": 20, "min_child_weight": 0.001, "reg_alpha": 0.0,
+                 "reg_lambda": 0.0, "min_split_gain": 0.0, "feature_fraction": 0.9, "bagging_fraction": 0.8, "bagging_freq": 5,
+                 "learning_rate": 0.05, "n_estimators": 1000},
+    "xgboost": {"max_depth": 6, "min_child_weight": 1.0, "max_delta_step": 0, "reg_alpha": 0.0, "reg_lambda": 1.0, "gamma": 0.0,
+                "subsample": 0.8, "colsample_bytree": 0.9, "colsample_bylevel": 1.0, "colsample_bynode": 1.0,
+                "learning_rate": 0.05, "n_estimators": 1000}}
+_FOUND = {"max_depth": "n.max_depth", "learning_rate": "n.learning_rate", "num_leaves": "n.num_leaves",
+          "feature_fraction": "n.feature_fraction", "gamma": "n.gamma", "reg_alpha": "n.reg_alpha"}
+
+
+def _field(name: str) -> str:
+    cases = []
+    for model, fields in _MODEL_DEFAULTS.items():
+        if name in fields:
+            found = _FOUND.get(name, "NULL")
+            cases.append(f"WHEN e.model = '{model}' THEN round(coalesce({found}, {fields[name]})::DOUBLE, 6) + 0.0")
+    return f"CASE {' '.join(cases)} END AS {name}"
+
+
+SQL["settings_files"] = V_RESULTS + f""", docs AS (
+  SELECT model, split, horizon || '_' || event AS key, CASE WHEN tp % 3 = 0 THEN 'short' END AS lag_config,
+    CASE WHEN tp % 4 = 0 THEN false END AS use_rolling, 3 + tp % 5 AS max_depth, 0.01::DOUBLE * (1 + fn % 10) AS learning_rate,
+    16 + fn % 64 AS num_leaves, CASE WHEN fn % 2 = 0 THEN 0.25 * (fp % 4) END AS feature_fraction, 0.5 * (fn % 3) AS gamma,
+    CASE WHEN fp % 3 <> 1 THEN fp % 7 END AS reg_alpha, CASE WHEN tp % 2 = 0 THEN '4,12' ELSE '4,12,24' END AS windows,
+    CASE WHEN tp % 2 = 0 THEN mcc END AS mcc, CASE WHEN tp % 2 = 0 THEN f1 END AS f1, CASE WHEN tp % 2 = 0 THEN kappa END AS kappa
+  FROM results WHERE horizon <> '{_LAST_HORIZON}'),
+newest AS (SELECT * FROM docs WHERE (model, split = 'cv') IN (SELECT (model, bool_and(split = 'cv')) FROM docs GROUP BY model)),
+exps AS (SELECT DISTINCT horizon, event, model FROM rcells)
+SELECT e.horizon, e.event, e.model, coalesce(n.lag_config, 'long') AS lag_config, coalesce(n.use_rolling, true) AS use_rolling,
+  {", ".join(_field(f) for f in dict.fromkeys(f for m in _MODEL_DEFAULTS.values() for f in m))},
+  coalesce(n.windows, '4,12,24,96') AS windows, round(n.mcc, 6) + 0.0 AS mcc, round(n.f1, 6) + 0.0 AS f1,
+  round(n.kappa, 6) + 0.0 AS kappa, n.key IS NOT NULL AS tuned
+FROM exps e LEFT JOIN newest n ON e.model = n.model AND n.key = e.horizon || '_' || e.event"""

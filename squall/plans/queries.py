@@ -23,6 +23,7 @@ from squall.operators import model as ml
 from squall.operators import pooled
 from squall.operators import report as rp
 from squall.operators import reshape as rs
+from squall.operators import rule_table as rt
 from squall.operators import settings as so
 from squall.operators import stations as gs
 from squall.operators import stats as st
@@ -1277,3 +1278,100 @@ def q_grid_scored_rows(spark, sf):
 def q_grid_metrics(spark, sf):
     """M4 + M7-M10: metrics of every fitted (event, horizon, fold), from its scored rows."""
     return _r6all(pooled.grid_metrics(_scored_grid(spark, sf)[0], ["event", "horizon"]))
+
+
+# ---------------------------------------------------------------- rules as a table
+
+GRID_TERMS = (("hot", "temp", ">", 60.0, 2.0), ("calm", "temp", "<", 42.0, 3.0), ("gusty", "temp", ">", 40.0, 1.0),
+              ("gusty", "peak", ">", 100.0, 1.0), ("muggy", "temp", ">=", 55.0, 1.0), ("muggy", "hum", "<=", 2.0, 1.0))
+GRID_MAP = {"click": {"temp": "temp", "peak": "peak", "hum": None}, "error": {"temp": "temp", "peak": None, "hum": "n"},
+            "purchase": {"temp": "temp", "peak": "peak", "hum": "n"}, "signup": {"temp": "temp", "peak": "gust", "hum": None},
+            "view": {"temp": "temp", "peak": "peak"}}
+
+
+def _rule_tables(spark):
+    return rt.terms_table(spark, GRID_TERMS), rt.column_map_table(spark, GRID_MAP)
+
+
+@query("rule_availability")
+def q_rule_availability(spark, sf):
+    """P5: for every series and rule what the series lacks; a rule with a lacking variable is skipped."""
+    terms, colmap = _rule_tables(spark)
+    return rt.availability(terms, colmap, V.grid(spark, sf).columns)
+
+
+@query("table_rule_segments")
+def q_table_rule_segments(spark, sf):
+    """P4 + P5 + W1 + W2 with rules and column map as tables: runs of at least the rule's minimum."""
+    terms, colmap = _rule_tables(spark)
+    return _r6all(rt.segments(V.grid(spark, sf), "series", "ts", terms, colmap))
+
+
+@query("gap_segments")
+def q_gap_segments(spark, sf):
+    """W1 with Q2's option: a step of more than two hours between readings ends a run; all runs."""
+    terms, colmap = _rule_tables(spark)
+    return _r6all(rt.segments(V.grid(spark, sf), "series", "ts", terms, colmap, keep_short=True, max_gap_minutes=120.0))
+
+
+# ---------------------------------------------------------------- files of a run
+
+
+def _log_files(spark, sf):
+    """The run log written as text files, one a horizon, and read back with line numbers."""
+    base = shared_dir(spark, "run_logs")
+    lines = V.logs(spark, sf).withColumn("part", F.floor(F.col("line_no") / 600).cast("int"))
+    sio.write_log_lines(lines, base, "part")
+    return sio.read_log_lines(spark, base)
+
+
+@query("log_files_metrics")
+def q_log_files_metrics(spark, sf):
+    """S11 from text files: sections, metrics and confusion cells."""
+    return _r6all(lg.run_log_metrics(_log_files(spark, sf)).drop("file", "section"))
+
+
+@query("log_files_importance")
+def q_log_files_importance(spark, sf):
+    """S12 from text files."""
+    return _r6all(lg.run_log_importance(_log_files(spark, sf)).drop("file", "section"))
+
+
+def _settings_folders(spark, sf):
+    """Documents of search runs in run folders: nested ones where tp is even, flat ones elsewhere, some
+    fields absent, window lists as text or as a list; nothing was tuned for the longest horizon."""
+    r = V.results(spark, sf).filter(F.col("horizon") != V.HORIZONS[-1])
+    run = F.concat(F.lit("search_results_"), F.col("model"), F.lit("_"),
+                   F.when(F.col("split") == "cv", F.lit("20251201_000000")).otherwise(F.lit("20251203_000000")))
+    light = F.col("model") == "lightgbm"
+    nested = F.pmod("tp", F.lit(2)) == 0
+    fields = [F.when(F.pmod("tp", F.lit(3)) == 0, F.lit("short")).alias("lag_config"),
+              F.when(F.pmod("tp", F.lit(4)) == 0, F.lit(False)).alias("use_rolling"),
+              (F.lit(3) + F.pmod("tp", F.lit(5))).alias("max_depth"), (F.lit(0.01) * (F.lit(1) + F.pmod("fn", F.lit(10)))).alias("learning_rate"),
+              F.when(light, F.lit(16) + F.pmod("fn", F.lit(64))).alias("num_leaves"),
+              F.when(light & (F.pmod("fn", F.lit(2)) == 0), F.lit(0.25) * F.pmod("fp", F.lit(4))).alias("feature_fraction"),
+              F.when(~light, F.lit(0.5) * F.pmod("fn", F.lit(3))).alias("gamma"),
+              F.when(F.pmod("fp", F.lit(3)) == 1, F.lit("many")).otherwise(F.pmod("fp", F.lit(7)).cast("string")).alias("reg_alpha")]
+    inside = F.struct(*fields, F.lit("[4, 12]").alias("rolling_windows"))
+    flat = F.struct(*fields, F.array(F.lit(4), F.lit(12), F.lit(24)).alias("rolling_windows"))
+    key = F.concat_ws("_", "horizon", "event")
+    metrics = F.create_map(F.lit("f1"), F.col("f1"), F.lit("kappa"), F.col("kappa"))
+    doc = F.when(nested, F.to_json(F.create_map(key, F.struct(inside.alias("params"), F.col("mcc"), metrics.alias("metrics"))))) \
+        .otherwise(F.to_json(F.create_map(key, flat)))
+    base = shared_dir(spark, "search_runs")
+    r.select(run.alias("run_folder"), doc.alias("value")).write.partitionBy("run_folder").text(base)
+    return so.read_run_settings(spark, base)
+
+
+@query("settings_files")
+def q_settings_files(spark, sf):
+    """S6 + S7 from run folders: the newest run of each model, nested and flat documents, every field
+    found or its model's default, and the metrics."""
+    s = so.newest_run(_settings_folders(spark, sf))
+    exps = V.result_cells(spark, sf).select("horizon", "event", "model").distinct() \
+        .withColumn("key", F.concat_ws("_", "horizon", "event"))
+    d = so.with_defaults(exps, s, ["model", "key"], fe.ROLLING_WINDOWS)
+    whole = [F.col(c).cast("double").alias(c) for c, t in d.dtypes if t == "int"]        # null for the other model
+    rest = [c for c, t in d.dtypes if t != "int" and c not in ("key", "metrics", "rolling_windows")]
+    return _r6all(d.select(*rest, *whole, F.col("metrics")["f1"].alias("f1"), F.col("metrics")["kappa"].alias("kappa"),
+                           F.array_join("rolling_windows", ",").alias("windows")))

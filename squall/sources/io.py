@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,8 +129,20 @@ def write_run_config(spark: SparkSession, config: dict, path: str) -> None:
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """S11 source: (file, line_no, line) — each log file read whole (logs
-    are small per run; files are spread over tasks)."""
-    d = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
-    return d.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line")) \
-        .select("file", F.col("line_no").cast("long").alias("line_no"), "line")
+    """S11 source: (file, line_no, line), lines numbered from 0 in each file. A long file is read as
+    many splits: a line's number is the lines of the file's earlier splits (one row a split, added up
+    by file) plus its place in its own."""
+    d = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"),
+                                     F.col("_metadata.file_block_start").alias("_split"),
+                                     F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    splits = d.groupBy("file", "_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    earlier = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "_split", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return d.join(splits, ["file", "_split"]).select(
+        "file", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line_no"), "line")
+
+
+def write_log_lines(lines: DataFrame, path: str, by: str) -> None:
+    """Log lines (``by``, line_no, line) as text files, one folder per ``by``, in order."""
+    lines.select(by, "line_no", "line").repartition(by).sortWithinPartitions(by, "line_no") \
+        .select(by, F.col("line").alias("value")).write.partitionBy(by).text(path)
