@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from squall.operators.blocks import add_position
-from squall.operators.stats import value_bounds, value_bucket
+from squall.operators.stats import BLOCK_VALUES, running_sums
 
 
 def _d(c) -> Column:
@@ -68,31 +68,17 @@ def confusion_shares(cells: DataFrame) -> DataFrame:
                         ratio(F.lit(100.0) * TP, FN + TP).alias("tp_pct"))
 
 
-def score_table(df: DataFrame, keys: Sequence[str], score: str, label: str, buckets: int = 128) -> DataFrame:
+def score_table(df: DataFrame, keys: Sequence[str], score: str, label: str, block_values: int = BLOCK_VALUES) -> DataFrame:
     """One row per (group, distinct score): ``n``, ``ps`` (positives),
     ``n_lt`` / ``ps_lt`` (rows / positives with a lower score), ``n_tot``,
-    ``p_tot``.  Running sums are two-level: score buckets at sampled quantiles
-    of each group's distinct scores carry offsets; inside a bucket a small window adds up."""
+    ``p_tot``, by sums that run over blocks of bounded size."""
     keys = list(keys)
-    s = F.col(score)
-    b = (df.filter(s.isNotNull())
+    b = (df.filter(F.col(score).isNotNull())
          .groupBy(*keys, score).agg(F.count(F.lit(1)).alias("n"),
                                     F.sum(F.col(label).cast("long")).alias("ps")))
-    tot = b.groupBy(*keys).agg(value_bounds(score, buckets).alias("_bounds"), F.sum("n").alias("n_tot"),
-                               F.sum("ps").alias("p_tot"))
-    b = (b.join(tot, keys, "inner") if keys else
-         b.withColumn("_one", F.lit(1)).join(F.broadcast(tot.withColumn("_one", F.lit(1))), "_one").drop("_one"))
-    b = b.withColumn("_b", value_bucket(s)).drop("_bounds")
-    bt = b.groupBy(*keys, "_b").agg(F.sum("n").alias("_bn"), F.sum("ps").alias("_bp"))
-    wb = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_b")
-    prev = wb.rowsBetween(Window.unboundedPreceding, -1)
-    off = bt.select(*keys, "_b", F.coalesce(F.sum("_bn").over(prev), F.lit(0)).alias("_on"),
-                    F.coalesce(F.sum("_bp").over(prev), F.lit(0)).alias("_op"))
-    wl = Window.partitionBy(*keys, "_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    c = b.join(off, [*keys, "_b"], "inner")
-    return c.select(*keys, score, "n", "ps", "n_tot", "p_tot",
-                    (F.col("_on") + F.coalesce(F.sum("n").over(wl), F.lit(0))).alias("n_lt"),
-                    (F.col("_op") + F.coalesce(F.sum("ps").over(wl), F.lit(0))).alias("ps_lt"))
+    r = running_sums(b, keys, score, ["n", "ps"], block_values)
+    return r.select(*keys, score, "n", "ps", F.col("n_all").alias("n_tot"), F.col("ps_all").alias("p_tot"),
+                    F.col("n_before").alias("n_lt"), F.col("ps_before").alias("ps_lt"))
 
 
 def roc_auc(st: DataFrame, keys: Sequence[str]) -> DataFrame:

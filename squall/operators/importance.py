@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from squall.operators.blocks import global_position
-from squall.operators.stats import exact_quantiles
+from squall.operators.stats import cumulative_value_counts, quantiles_of
 
 # Base variable of a feature name: text before `_NNNm`, `_lag` or `_roll`.
 CATEGORY_SPLIT = "_[0-9]+m|_lag|_roll"
@@ -119,17 +119,21 @@ def importance_matrix(df: DataFrame, index: str, columns: str, values: Sequence[
 
 def box_stats(df: DataFrame, by: str, value: str) -> DataFrame:
     """Quartiles (exact, linear), IQR, whiskers at 1.5 IQR and the
-    number of outliers per group."""
-    q = exact_quantiles(df, [by], value, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
-    j = df.select(by, value).join(q, by, "inner")
+    number of outliers per group, all from one table of value counts; groups
+    without any value have no row."""
+    cum = cumulative_value_counts(df, [by], value)
+    q = quantiles_of(cum, [by], value, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    nulls = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    j = cum.select(F.col(by).alias("_by"), F.col(value).alias("_v"), "_c").join(q, F.col("_by").eqNullSafe(F.col(by)))
     iqr = F.col("q3") - F.col("q1")
     lo, hi = F.col("q1") - F.lit(1.5) * iqr, F.col("q3") + F.lit(1.5) * iqr
-    v = F.col(value)
-    return j.groupBy(by, "q1", "median", "q3").agg(
+    v = F.col("_v")
+    found = j.groupBy(by, "q1", "median", "q3").agg(
         F.min(F.when(v >= lo, v)).alias("whisker_low"), F.max(F.when(v <= hi, v)).alias("whisker_high"),
-        F.count(F.when((v < lo) | (v > hi), 1)).alias("n_outliers"), F.count(F.lit(1)).alias("n")
-    ).select(by, "q1", "median", "q3", (F.col("q3") - F.col("q1")).alias("iqr"), "whisker_low", "whisker_high",
-             "n_outliers", "n")
+        F.sum(F.when((v < lo) | (v > hi), F.col("_c")).otherwise(0)).alias("n_outliers"))
+    found = found.join(nulls.withColumnRenamed(by, "_by"), F.col("_by").eqNullSafe(F.col(by)))
+    return found.select(by, "q1", "median", "q3", (F.col("q3") - F.col("q1")).alias("iqr"), "whisker_low", "whisker_high",
+                        "n_outliers", "n")
 
 
 def total_by(df: DataFrame, by: str, importance: str = "importance") -> DataFrame:

@@ -725,18 +725,12 @@ def q_spearman_geo(spark, sf):
     """Spearman r (average ranks) of ground elevation and total height
     with the top-5 importance, per event, with t-based p and stars."""
     p = _profile(spark, sf)
-    out = []
-    for geo in ("elevation_m", "total_height_m"):
-        d = st.average_rank(p, ["event"], geo, "_rx")
-        d = st.average_rank(d, ["event"], "top5_importance", "_ry")
-        g = d.groupBy("event").agg(*st.pearson_parts(F.col("_rx"), F.col("_ry"), "_p"))
-        r = st.pearson_from_parts("_p")
-        n = F.col("_p_n")
-        t = r * F.sqrt((n - 2).cast("double") / (F.lit(1.0) - r * r))
-        pv = rp.t_two_sided_p(t, (n - 2).cast("int"))
-        out.append(g.filter(n >= 3).select("event", F.lit(geo).alias("variable"), n.alias("n"), r.alias("spearman_r"),
-                                          F.when(F.abs(r) < 1, pv).when(r.isNotNull(), F.lit(0.0)).alias("p_value")))
-    u = out[0].unionByName(out[1])
+    g = st.rank_pairs(p, ["event"], [(geo, "top5_importance") for geo in ("elevation_m", "total_height_m")])
+    r, n = F.col("r"), F.col("n")
+    t = r * F.sqrt((n - 2).cast("double") / (F.lit(1.0) - r * r))
+    pv = rp.t_two_sided_p(t, (n - 2).cast("int"))
+    u = g.filter(n >= 3).select("event", F.col("x").alias("variable"), "n", r.alias("spearman_r"),
+                                F.when(F.abs(r) < 1, pv).when(r.isNotNull(), F.lit(0.0)).alias("p_value"))
     stars = (F.when(F.col("p_value") < 0.001, F.lit("***")).when(F.col("p_value") < 0.01, F.lit("**"))
              .when(F.col("p_value") < 0.05, F.lit("*")).otherwise(F.lit("ns")))
     return _r6all(u.select("*", stars.alias("significance")))

@@ -91,7 +91,7 @@ def test_auc_brute_force_and_symmetry(spark):
     auc = evl.roc_auc(evl.score_table(df, ["model"], "score", "label"), ["model"]).first().roc_auc
     assert abs(auc - _brute_auc(y, p)) < 1e-12
     neg = df.withColumn("score", -F.col("score"))
-    auc2 = evl.roc_auc(evl.score_table(neg, ["model"], "score", "label", buckets=7), ["model"]).first().roc_auc
+    auc2 = evl.roc_auc(evl.score_table(neg, ["model"], "score", "label", block_values=7), ["model"]).first().roc_auc
     assert abs(auc2 - (1 - auc)) < 1e-12
 
 

@@ -35,12 +35,9 @@ def test_log_sections_with_negative_values_and_twice_in_a_file(spark):
     assert values == [(6, "f1", 0.5), (6, "mcc", -0.25), (15, "f1", 0.5), (15, "mcc", -0.25)]
 
 
-def test_a_far_value_does_not_fill_one_bucket(spark):
+def test_a_far_value_changes_no_quantile(spark):
     d = spark.range(20_000).select((F.col("id") / 20_000).alias("v"), F.lit("g").alias("g"))
     d = d.unionByName(spark.createDataFrame([(1e12, "g")], "v double, g string"))
-    bounds = d.groupBy("g").agg(stats.value_bounds("v", 128).alias("_bounds"))
-    sizes = [x["count"] for x in d.join(bounds, "g").groupBy(stats.value_bucket(F.col("v"))).count().collect()]
-    assert max(sizes) < 3 * 20_000 / 128
     got = stats.exact_quantiles(d, ["g"], "v", [0.0, 0.5, 1.0]).first()
     assert (got["q00"], got["q50"], got["q100"]) == (0.0, 0.5, 1e12)
 

@@ -11,6 +11,7 @@ from squall.functions.rules import FIRST_LABELER_TERMS, TOWER_COLUMNS
 from squall.operators import pooled
 from squall.operators import rule_table as rt
 from squall.operators import settings as so
+from squall.operators import stats as st
 from squall.plans import queries as Q
 from squall.sources import io as sio
 
@@ -174,3 +175,47 @@ def test_settings_of_mixed_layouts(spark, tmp_path):
     assert (full["lightgbm", "A_x"]["reg_alpha"], full["lightgbm", "C_x"]["max_depth"], full["lightgbm", "A_x"]["gamma"]) == (0.0, -1, None)
     assert (full["xgboost", "A_x"]["gamma"], full["xgboost", "C_x"]["max_depth"], full["xgboost", "C_x"]["tuned"]) == (0.5, 6, False)
     assert full["xgboost", "C_x"]["rolling_windows"] == [4, 96]
+
+
+@pytest.mark.parametrize("block", [1, 7, 100, 10 ** 6])
+def test_running_sums_by_size(spark, block):
+    """Blocks of any size give the sums of plain Python; a large group, one far value, a null group."""
+    r = random.Random(6)
+    table = {("g", float(v)): r.randint(1, 5) for v in range(150)} | {("g", 1e15): 3, ("h", 0.5): 2, (None, 1.0): 1, (None, 2.0): 4}
+    d = spark.createDataFrame([(k, v, c, -c) for (k, v), c in table.items()], "k string, v double, c long, d long")
+    got = {(x["k"], x["v"]): (x["c_before"], x["c_all"], x["d_before"], x["d_all"])
+           for x in st.running_sums(d, ["k"], "v", ["c", "d"], block).collect()}
+    for (k, v), found in got.items():
+        before = sum(c for (g, w), c in table.items() if g == k and w < v)
+        whole = sum(c for (g, _), c in table.items() if g == k)
+        assert found == (before, whole, -before, -whole)
+    assert set(got) == set(table)
+
+
+def test_no_task_holds_more_than_a_block(spark):
+    """However the values lie, a window of the running sums holds at most the given number of them."""
+    d = spark.range(5000).select((F.col("id") % 4999).cast("double").alias("v")).unionByName(
+        spark.createDataFrame([(1e18,), (-1e18,)], "v double"))
+    seen = []
+    original = st.carry_join
+
+    def spy(df, *rest):
+        seen.append(df.groupBy(st.BLK).count().agg(F.max("count")).first()[0])
+        return original(df, *rest)
+    st.carry_join = spy
+    try:
+        got = st.exact_quantiles(d, [], "v", [0.5]).first()[0], st.quantiles_of(
+            st.cumulative_value_counts(d, [], "v", 300), [], "v", [0.5]).first()[0]
+    finally:
+        st.carry_join = original
+    assert got[0] == got[1]
+    assert seen == [300]
+
+
+def test_spearman_of_pairs(spark):
+    rows = [("a", 1.0, 3.0, 1.0), ("a", 2.0, 1.0, 1.0), ("a", 3.0, 2.0, 5.0), ("a", 3.0, None, 9.0), ("b", 1.0, 1.0, 2.0)]
+    d = spark.createDataFrame(rows, "e string, x double, y double, z double")
+    got = {(r["e"], r["x"], r["y"]): (r["n"], r["r"]) for r in st.rank_pairs(d, ["e"], [("x", "z"), ("x", "x")]).collect()}
+    assert got["a", "x", "x"] == (4, pytest.approx(1.0))
+    assert got["a", "x", "z"] == (4, pytest.approx(8 / 9))
+    assert got["b", "x", "z"] == (1, None)
