@@ -27,8 +27,8 @@ from squall.llm.words import U64, mix, slices, utf8, words
 
 THRESHOLD, LONGEST = 30, 4
 #: Counters a partition's summary is planned for, hashes a task packs at once, bits of the table at
-#: most, phrases a task counts before it sends them.
-CAPACITY, PACK, MOST_BITS, MOST_COUNTED = 1 << 18, 1 << 22, 1 << 28, 400_000
+#: most, phrases a task holds before it adds up equal ones.
+CAPACITY, PACK, MOST_BITS, MOST_COUNTED = 1 << 18, 1 << 22, 1 << 28, 1_500_000
 
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
@@ -85,10 +85,31 @@ class Grams:
             self.value[n] = mix(self.value[n - 1][:many] * U64(0x9E3779B97F4A7C15) + w.hashes[n - 1:] + U64(n))
             self.whole[n] = self.whole[n - 1][:many] & joined[n - 2:n - 2 + many]
 
-    def phrase(self, at: int, n: int) -> str:
+    def phrases(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The n words from each of these words on, joined by a blank: their bytes one after the other,
+        and how many each has. A blank is kept where one stands, and stands in for other gaps."""
+        w = self.words
+        begin, size = w.start[at], w.end[at + n - 1] - w.start[at]
+        odd = np.zeros(len(at), dtype=bool)
+        for k in range(n - 1):
+            odd |= (w.start[at + k + 1] - w.end[at + k] != 1) | (w.data[w.end[at + k]] != 32)
+        if not odd.any():
+            return _gathered(w.data, begin, size), size
+        made = [self._phrase(i, n) for i in at[odd].tolist()]
+        size[odd] = [len(x) for x in made]
+        begin[odd] = len(w.data) + np.cumsum(size[odd]) - size[odd]
+        return _gathered(np.concatenate([w.data, np.frombuffer(b"".join(made), np.uint8)]), begin, size), size
+
+    def _phrase(self, at: int, n: int) -> bytes:
         w = self.words
         return b" ".join(w.data[a:b].tobytes() for a, b in zip(w.start[at:at + n].tolist(), w.end[at:at + n].tolist(),
-                                                               strict=True)).decode()
+                                                               strict=True))
+
+
+def _gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes ``begin:begin + size`` of ``data``, one run after the other."""
+    ends = np.cumsum(size)
+    return data[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size - begin, size)]
 
 
 def has(table: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -233,45 +254,66 @@ def bit_table(hashes: DataFrame, most_bits: int) -> np.ndarray:
     return table
 
 
-def _counted(batches, table: np.ndarray, most: int):
-    """(lang, n, phrase, count) of the n-grams in the table, partly added up; n = 0 counts all words.
-    Equal hashes of different phrases in one task would add up: phrases are told apart by hash and a
-    second one of their bytes' length and last word."""
-    counts, names, totals, seeds = {}, {}, {}, {}
+class Counted:
+    """Phrases of a task with their counts, as arrays: equal ones are added up once ``most`` have come."""
 
-    def rows():
-        keys = list(counts)
-        made = [[names[k][i] for k in keys] for i in range(3)]
-        made.append([counts[k] for k in keys])
-        for lang, n in totals.items():
-            for c, v in zip(made, (lang, 0, None, n), strict=True):
-                c.append(v)
-        counts.clear()
-        names.clear()
-        totals.clear()
-        return pa.record_batch([pa.array(c, t) for c, t in zip(made, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)],
-                               ["lang", "n", "phrase", "count"])
+    def __init__(self, most: int):
+        self.most, self.held, self._parts = most, 0, []
 
-    for langs, texts in _texts(batches):
-        g = Grams(langs, texts, seeds)
-        for lang, n in zip(langs, g.words.count().tolist(), strict=True):
-            totals[lang] = totals.get(lang, 0) + n
+    def add(self, g: Grams, langs: np.ndarray, table: np.ndarray) -> None:
         for n in range(1, LONGEST + 1):
             at = np.flatnonzero(g.whole[n])
             at = at[has(table, g.value[n][at])]
+            if len(at) == 0:
+                continue
             value, first, count = np.unique(g.value[n][at], return_index=True, return_counts=True)
-            last = g.words.hashes[at[first] + n - 1]
-            for v, tail, i, c in zip(value.tolist(), last.tolist(), at[first].tolist(), count.tolist(), strict=True):
-                key = (v, tail)
-                if key in counts:
-                    counts[key] += c
-                else:
-                    counts[key] = c
-                    names[key] = (langs[g.doc[i]], n, g.phrase(i, n))
-        if len(counts) > most:
-            yield rows()
+            at = at[first]
+            text, size = g.phrases(at, n)
+            self._parts.append((value, g.words.hashes[at + n - 1], count, langs[g.doc[at]], np.full(len(at), n, np.int8), size, text))
+            self.held += len(at)
+
+    def merge(self) -> None:
+        """Add up equal phrases: those of one hash, told apart by their last word should two share it."""
+        value, last, count, lang, n, size, text = (np.concatenate(x) for x in zip(*self._parts, strict=True))
+        order = np.argsort(value, kind="stable")
+        if np.any((value[order][1:] == value[order][:-1]) & (last[order][1:] != last[order][:-1])):
+            order = np.lexsort((last, value))
+        value, last = value[order], last[order]
+        first = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (last[1:] != last[:-1])]))
+        one = order[first]
+        begin = np.cumsum(size) - size
+        self._parts = [(value[first], last[first], np.add.reduceat(count[order], first), lang[one], n[one], size[one],
+                        _gathered(text, begin[one], size[one]))]
+        self.held = len(first)
+
+    def take(self, names: list) -> pa.RecordBatch:
+        _, _, count, lang, n, size, text = self._parts[0]
+        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        phrase = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(ends), pa.py_buffer(text.tobytes())).cast(pa.string())
+        self._parts, self.held = [], 0
+        return pa.record_batch([pa.array(names, pa.string()).take(pa.array(lang)), pa.array(n.astype(np.int32)), phrase,
+                                pa.array(count.astype(np.int64))], ["lang", "n", "phrase", "count"])
+
+
+def _counted(batches, table: np.ndarray, most: int):
+    """(lang, n, phrase, count) of the n-grams in the table, partly added up; n = 0 counts all words."""
+    counted, totals, numbers, seeds = Counted(most), {}, {}, {}
+    for langs, texts in _texts(batches):
+        g = Grams(langs, texts, seeds)
+        for lang, n in zip(langs, g.words.count().tolist(), strict=True):
+            totals[lang] = totals.get(lang, 0) + n
+        counted.add(g, np.array([numbers.setdefault(x, len(numbers)) for x in langs], dtype=np.int32), table)
+        if counted.held > most:
+            counted.merge()
+            if counted.held > most // 2:
+                yield counted.take(list(numbers))
+    if counted.held:
+        counted.merge()
+        yield counted.take(list(numbers))
     if totals:
-        yield rows()
+        yield pa.record_batch([pa.array(list(totals), pa.string()), pa.array([0] * len(totals), pa.int32()),
+                               pa.array([None] * len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())],
+                              ["lang", "n", "phrase", "count"])
 
 
 def frequent(docs: DataFrame, scratch: Scratch, text: str = "text", lang: str = "lang", threshold: int = THRESHOLD,
