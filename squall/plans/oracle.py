@@ -661,38 +661,49 @@ def _utm_sql(east: str, north: str, zone: int = 16) -> tuple[str, str]:
 
 
 _LAT, _LON = _utm_sql("easting", "northing")
-V_STATION = f"""station AS (SELECT 'Brand#' || s_suppkey::VARCHAR AS tower, 740000.0::DOUBLE + 100.0::DOUBLE * s_suppkey AS easting,
+V_STATION0 = f"""station AS (SELECT 'Brand#' || s_suppkey::VARCHAR AS tower, s_suppkey, 740000.0::DOUBLE + 100.0::DOUBLE * s_suppkey AS easting,
    3978000.0::DOUBLE + 300.0::DOUBLE * s_nationkey AS northing, 250.0::DOUBLE + (s_acctbal + 1000.0::DOUBLE) / 100.0::DOUBLE AS elevation_m,
    10.0::DOUBLE * ((s_nationkey % 4) + 1) AS height_m, r_name AS region
  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-st0 AS (SELECT *, {_LAT} AS lat, {_LON} AS lon FROM station),
-ext AS (SELECT min(elevation_m) AS emin, max(elevation_m) AS emax, avg(lat) AS clat, avg(lon) AS clon FROM st0),
-st1 AS (SELECT st0.*, ext.*, CASE WHEN emax > emin THEN (elevation_m - emin) / (emax - emin) END AS rel_elev FROM st0, ext),
-st2 AS (SELECT *, round_even(1.0::DOUBLE + coalesce(rel_elev, 0.5::DOUBLE) * 7.0::DOUBLE, 1) AS slope_deg,
-   trunc((((degrees(atan2(lon - clon, lat - clat)) + 180.0::DOUBLE) % 360.0::DOUBLE) + 360.0::DOUBLE) % 360.0::DOUBLE)::INT AS aspect_deg FROM st1),
-st3 AS (SELECT *, CASE WHEN rel_elev IS NULL THEN 'Flat'
-     WHEN rel_elev < 0.25 THEN CASE WHEN slope_deg IS NOT NULL AND slope_deg < 3 THEN 'Valley Floor' ELSE 'Valley Slope' END
-     WHEN rel_elev < 0.5 THEN CASE WHEN slope_deg IS NOT NULL AND slope_deg < 4 THEN 'Valley Floor' ELSE 'Valley Slope' END
-     WHEN rel_elev < 0.75 THEN CASE WHEN slope_deg IS NOT NULL AND slope_deg > 5 THEN 'Ridge Slope' ELSE 'Valley Slope' END
-     ELSE CASE WHEN slope_deg IS NOT NULL AND slope_deg < 4 THEN 'Ridge Top' ELSE 'Ridge Slope' END END AS terrain_type FROM st2),
-st4 AS (SELECT *, CASE WHEN rel_elev IS NOT NULL THEN trunc(lo + rel_elev * (hi - lo))::INT ELSE trunc((lo + hi) / 2)::INT END AS canopy_cover_pct
-   FROM (SELECT *, CASE terrain_type WHEN 'Valley Floor' THEN 5 WHEN 'Valley Slope' THEN 20 WHEN 'Ridge Slope' THEN 35
-                     WHEN 'Ridge Top' THEN 50 WHEN 'Unknown' THEN 25 WHEN 'Flat' THEN 10 ELSE 20 END AS lo,
-                   CASE terrain_type WHEN 'Valley Floor' THEN 20 WHEN 'Valley Slope' THEN 40 WHEN 'Ridge Slope' THEN 55
-                     WHEN 'Ridge Top' THEN 70 WHEN 'Unknown' THEN 35 WHEN 'Flat' THEN 30 ELSE 40 END AS hi FROM st3)),
-stations AS (SELECT *,
-   CASE terrain_type WHEN 'Ridge Top' THEN 0 WHEN 'Ridge Slope' THEN trunc((emax - elevation_m) * 10.0 * 0.5)::INT
-     WHEN 'Valley Slope' THEN trunc((emax - elevation_m) * 10.0 * 0.8)::INT ELSE trunc((emax - elevation_m) * 10.0 * 1.2)::INT END AS dist_to_ridge_m,
-   CASE WHEN terrain_type = 'Ridge Top' THEN 'Rocky Loam'
-     WHEN terrain_type = 'Ridge Slope' THEN CASE WHEN coalesce(slope_deg, 0) > 6 THEN 'Sandy Loam' ELSE 'Silt Loam' END
-     WHEN terrain_type = 'Valley Slope' THEN CASE WHEN coalesce(slope_deg, 0) > 5 THEN 'Loam' ELSE 'Silt Loam' END
-     ELSE CASE WHEN coalesce(slope_deg, 0) <> 0 AND coalesce(slope_deg, 0) < 2 THEN 'Clay' ELSE 'Clay Loam' END END AS soil_type,
-   CASE WHEN canopy_cover_pct > 50 THEN 'Deciduous Forest' WHEN canopy_cover_pct > 35 THEN 'Mixed Forest'
-     WHEN canopy_cover_pct > 20 THEN CASE WHEN terrain_type IN ('Valley Slope', 'Ridge Slope') THEN 'Shrubland' ELSE 'Grassland' END
-     WHEN canopy_cover_pct > 10 THEN 'Grassland' ELSE 'Open Field' END AS land_use,
-   sqrt(((lat - clat) * 111.0::DOUBLE) * ((lat - clat) * 111.0::DOUBLE) + ((lon - clon) * 111.0::DOUBLE * cos(radians(lat)))
-        * ((lon - clon) * 111.0::DOUBLE * cos(radians(lat)))) AS dist_from_center_km,
-   elevation_m + height_m AS total_height_m FROM st4)"""
+st0 AS (SELECT *, {_LAT} AS lat, {_LON} AS lon FROM station)"""
+
+# fixed tables of the derived attributes, as VALUES
+_TERRAIN_SQL = """
+bands(start, over, under, inside, outside) AS (VALUES (0.0, NULL, 3, 'Valley Floor', 'Valley Slope'),
+  (0.25, NULL, 4, 'Valley Floor', 'Valley Slope'), (0.5, 5, NULL, 'Ridge Slope', 'Valley Slope'), (0.75, NULL, 4, 'Ridge Top', 'Ridge Slope')),
+facts(terrain, ridge, least, most) AS (VALUES ('Valley Floor', 1.2, 5, 20), ('Valley Slope', 0.8, 20, 40), ('Ridge Slope', 0.5, 35, 55),
+  ('Ridge Top', 0.0, 50, 70), ('Unknown', 1.2, 25, 35), ('Flat', 1.2, 10, 30)),
+soils(terrain, over, under, inside, outside) AS (VALUES ('Valley Floor', 0, 2, 'Clay', 'Clay Loam'), ('Flat', 0, 2, 'Clay', 'Clay Loam'),
+  ('Valley Slope', 5, NULL, 'Loam', 'Silt Loam'), ('Ridge Slope', 6, NULL, 'Sandy Loam', 'Silt Loam'), ('Ridge Top', NULL, NULL, 'Rocky Loam', 'Rocky Loam')),
+uses(over, slopes, elsewhere) AS (VALUES (50, 'Deciduous Forest', 'Deciduous Forest'), (35, 'Mixed Forest', 'Mixed Forest'),
+  (20, 'Shrubland', 'Grassland'), (10, 'Grassland', 'Grassland'), (-1, 'Open Field', 'Open Field'))"""
+
+
+def _stations_sql(name: str, source: str) -> str:
+    """``name``: the stations of ``source`` with what lacks filled in and all derived attributes."""
+    between = "coalesce(s.slope_deg > {t}.over, true) AND coalesce(s.slope_deg < {t}.under, true)"
+    return f"""
+{name}_all AS (SELECT floor(avg(elevation_m)) AS emean, min(elevation_m) AS emin, max(elevation_m) AS emax, avg(lat) AS clat, avg(lon) AS clon
+  FROM {source}),
+{name}_1 AS (SELECT s.* REPLACE (coalesce(elevation_m, emean) AS elevation_m), emin, emax, clat, clon FROM {source} s, {name}_all),
+{name}_2 AS (SELECT *, CASE WHEN emax > emin THEN (elevation_m - emin) / (emax - emin) END AS rel_elev FROM {name}_1),
+{name}_3 AS (SELECT * REPLACE (coalesce(slope_deg, round_even(1.0::DOUBLE + coalesce(rel_elev, 0.5::DOUBLE) * 7.0::DOUBLE, 1)) AS slope_deg,
+    coalesce(aspect_deg, trunc((((degrees(atan2(lon - clon, lat - clat)) + 180.0::DOUBLE) % 360.0::DOUBLE) + 360.0::DOUBLE) % 360.0::DOUBLE)::INT)
+      AS aspect_deg) FROM {name}_2),
+{name}_4 AS (SELECT s.*, CASE WHEN s.rel_elev IS NULL THEN 'Flat' WHEN {between.format(t="b")} THEN b.inside ELSE b.outside END AS terrain_type
+  FROM {name}_3 s ASOF LEFT JOIN bands b ON s.rel_elev >= b.start),
+{name}_5 AS (SELECT s.*, trunc(f.least + coalesce(s.rel_elev, 0.5) * (f.most - f.least))::INT AS canopy_cover_pct,
+    trunc((s.emax - s.elevation_m) * 10.0 * f.ridge)::INT AS dist_to_ridge_m,
+    CASE WHEN {between.format(t="o")} THEN o.inside ELSE o.outside END AS soil_type
+  FROM {name}_4 s JOIN facts f ON f.terrain = s.terrain_type JOIN soils o ON o.terrain = s.terrain_type),
+{name} AS (SELECT s.*, CASE WHEN s.terrain_type LIKE '%Slope' THEN u.slopes ELSE u.elsewhere END AS land_use,
+    sqrt(pow((lat - clat) * 111.0::DOUBLE, 2) + pow((lon - clon) * 111.0::DOUBLE * cos(radians(lat)), 2)) AS dist_from_center_km,
+    elevation_m + height_m AS total_height_m
+  FROM {name}_5 s ASOF JOIN uses u ON s.canopy_cover_pct > u.over)"""
+
+
+V_STATION = ",".join([V_STATION0, _TERRAIN_SQL, """
+bare AS (SELECT * EXCLUDE (s_suppkey), NULL::DOUBLE AS slope_deg, NULL::INT AS aspect_deg FROM st0)""", _stations_sql("stations", "bare")])
 
 SQL["utm_to_latlon"] = with_(V_STATION) + f"SELECT tower, {R('lat', 'lat')}, {R('lon', 'lon')} FROM stations"
 SQL["terrain_class"] = with_(V_STATION) + f"""
@@ -1108,3 +1119,16 @@ SELECT e.horizon, e.event, e.model, coalesce(n.lag_config, 'long') AS lag_config
   coalesce(n.windows, '4,12,24,96') AS windows, round(n.mcc, 6) + 0.0 AS mcc, round(n.f1, 6) + 0.0 AS f1,
   round(n.kappa, 6) + 0.0 AS kappa, n.key IS NOT NULL AS tuned
 FROM exps e LEFT JOIN newest n ON e.model = n.model AND n.key = e.horizon || '_' || e.event"""
+
+SQL["station_fallbacks"] = with_(V_STATION0, _TERRAIN_SQL.strip(), """
+partial AS (SELECT tower, height_m, lat, lon, CASE WHEN s_suppkey % 5 <> 0 THEN floor(elevation_m) END AS elevation_m,
+  CASE WHEN s_suppkey % 3 = 0 THEN (s_suppkey % 80) / 10 END AS slope_deg, CASE WHEN s_suppkey % 4 = 0 THEN (s_suppkey % 360)::INT END AS aspect_deg
+  FROM st0)""", _stations_sql("mended", "partial")) + f"""
+SELECT tower, {R('elevation_m', 'elevation_m')}, {R('slope_deg', 'slope_deg')}, aspect_deg, terrain_type, canopy_cover_pct, dist_to_ridge_m,
+  soil_type, land_use FROM mended"""
+
+SQL["tile_corner"] = with_(V_STATION) + f"""
+SELECT tower, x, y, {R("degrees(atan(sinh(pi() * (1.0::DOUBLE - 2.0::DOUBLE * y / 8192.0::DOUBLE))))", "lat")},
+  {R("x / 8192.0::DOUBLE * 360.0::DOUBLE - 180.0::DOUBLE", "lon")}
+FROM (SELECT tower, trunc((lon + 180.0::DOUBLE) / 360.0::DOUBLE * 8192.0::DOUBLE)::INT AS x,
+  trunc((1.0::DOUBLE - ln(tan(radians(lat)) + 1.0::DOUBLE / cos(radians(lat))) / pi()) / 2.0::DOUBLE * 8192.0::DOUBLE)::INT AS y FROM stations)"""

@@ -656,21 +656,17 @@ def _stations(spark, sf):
     s = V.station(spark, sf)
     lat, lon = gs.utm_to_latlon(F.col("easting"), F.col("northing"))
     s = s.select("*", lat.alias("lat"), lon.alias("lon"))
-    ext = s.agg(F.min("elevation_m").alias("_emin"), F.max("elevation_m").alias("_emax"),
-                F.avg("lat").alias("_clat"), F.avg("lon").alias("_clon"))
-    s = s.withColumn("_one", F.lit(1)).join(F.broadcast(ext.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    rel = gs.relative(F.col("elevation_m"), F.col("_emin"), F.col("_emax"))
-    s = s.withColumn("rel_elev", rel)
-    slope = F.bround(F.lit(1.0) + F.coalesce(F.col("rel_elev"), F.lit(0.5)) * F.lit(7.0), 1)
-    aspect = F.pmod(F.degrees(F.atan2(F.col("lon") - F.col("_clon"), F.col("lat") - F.col("_clat"))) + F.lit(180.0),
-                    F.lit(360.0)).cast("int")
-    s = s.select("*", slope.alias("slope_deg"), aspect.alias("aspect_deg"))
+    s = gs.with_fallbacks(s.withColumn("slope_deg", F.lit(None).cast("double")).withColumn("aspect_deg", F.lit(None).cast("int")))
+    return _attributes(s)
+
+
+def _attributes(s):
     s = s.withColumn("terrain_type", gs.terrain_class(F.col("rel_elev"), F.col("slope_deg")))
     s = s.withColumn("canopy_cover_pct", gs.canopy_pct(F.col("terrain_type"), F.col("rel_elev")))
-    return s.select("*", gs.ridge_distance(F.col("terrain_type"), F.col("elevation_m"), F.col("_emax")).alias("dist_to_ridge_m"),
+    return s.select("*", gs.ridge_distance(F.col("terrain_type"), F.col("elevation_m"), F.col("max_elev")).alias("dist_to_ridge_m"),
                     gs.soil_type(F.col("terrain_type"), F.col("slope_deg")).alias("soil_type"),
                     gs.land_use(F.col("terrain_type"), F.col("canopy_cover_pct")).alias("land_use"),
-                    gs.distance_km(F.col("lat"), F.col("lon"), F.col("_clat"), F.col("_clon")).alias("dist_from_center_km"),
+                    gs.distance_km(F.col("lat"), F.col("lon"), F.col("center_lat"), F.col("center_lon")).alias("dist_from_center_km"),
                     (F.col("elevation_m") + F.col("height_m")).alias("total_height_m"))
 
 
@@ -1369,3 +1365,28 @@ def q_settings_files(spark, sf):
     rest = [c for c, t in d.dtypes if t != "int" and c not in ("key", "metrics", "rolling_windows")]
     return _r6all(d.select(*rest, *whole, F.col("metrics")["f1"].alias("f1"), F.col("metrics")["kappa"].alias("kappa"),
                            F.array_join("rolling_windows", ",").alias("windows")))
+
+
+@query("station_fallbacks")
+def q_station_fallbacks(spark, sf):
+    """G5 where some values are there: elevations, slopes and aspects are filled only where they lack,
+    and the derived attributes follow."""
+    k = F.regexp_extract("tower", "([0-9]+)", 1).cast("int")
+    s = V.station(spark, sf)
+    lat, lon = gs.utm_to_latlon(F.col("easting"), F.col("northing"))
+    s = s.select("tower", "height_m", lat.alias("lat"), lon.alias("lon"), F.when(k % 5 != 0, F.floor("elevation_m").cast("double")).alias("elevation_m"),
+                 F.when(k % 3 == 0, (k % 80) / 10).alias("slope_deg"), F.when(k % 4 == 0, k % 360).alias("aspect_deg"))
+    d = _attributes(gs.with_fallbacks(s))
+    return _r6all(d.select("tower", "elevation_m", "slope_deg", "aspect_deg", "terrain_type", "canopy_cover_pct", "dist_to_ridge_m",
+                           "soil_type", "land_use"))
+
+
+@query("tile_corner")
+def q_tile_corner(spark, sf):
+    """G9 and back: each station's tile and the tile's north-western corner."""
+    s = V.station(spark, sf)
+    lat, lon = gs.utm_to_latlon(F.col("easting"), F.col("northing"))
+    x, y = gs.tile_of(lat, lon, 13)
+    d = s.select("tower", x.alias("x"), y.alias("y"))
+    north, west = gs.tile_corner(F.col("x"), F.col("y"), 13)
+    return _r6all(d.select("*", north.alias("lat"), west.alias("lon")))
