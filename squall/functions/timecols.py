@@ -29,29 +29,12 @@ def time_block(ts, seconds: int) -> Column:
     return F.floor(epoch_us(ts) / F.lit(int(seconds) * 1_000_000)).cast("long")
 
 
-def duration_string(spec: str) -> str:
-    """pandas-style rule ('2H', '30T', '15min') -> Spark interval text."""
-    s = spec.strip()
-    units = {"H": "hours", "h": "hours", "T": "minutes", "min": "minutes",
-             "D": "days", "d": "days", "S": "seconds", "s": "seconds"}
-    for suf in sorted(units, key=len, reverse=True):
-        if s.endswith(suf):
-            n = s[: -len(suf)] or "1"
-            return f"{int(n)} {units[suf]}"
-    return s
-
-
 def cyclic(value: Column, period: float, fn: str) -> Column:
     """sin/cos of 2*pi*value/period."""
     arg = F.lit(2.0 * math.pi) * value.cast("double") / F.lit(float(period))
     return F.sin(arg) if fn == "sin" else F.cos(arg)
 
 
-def weekday_monday0(ts) -> Column:
-    """Day of week with Monday = 0 (pandas convention)."""
-    return F.weekday(_c(ts))
-
-
 def exact_mean(col: str, scale: int = 6, input_scale: int = 9) -> Column:
     """Aggregate: mean of ``col`` rounded half away from zero to ``scale``
     places, computed exactly — values as DECIMAL(38, input_scale), an exact

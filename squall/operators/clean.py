@@ -37,6 +37,11 @@ def select_features(df: DataFrame, exclude: Sequence[str] = FEATURE_EXCLUDE, tar
             and not any(p in c for p in exclude)]
 
 
+def unique_names(names: Sequence[str]) -> list[str]:
+    """K7: a list of column names without repeats, in its order."""
+    return list(dict.fromkeys(names))
+
+
 def time_range(df: DataFrame, ts: str, start, end) -> DataFrame:
     """Half-open [start, end) — pushed down to the Parquet scan."""
     return df.filter((F.col(ts) >= F.lit(start)) & (F.col(ts) < F.lit(end)))
@@ -68,7 +73,3 @@ def sample_rows(df: DataFrame, n: int, seed: int, key: Sequence[str], order: Seq
     per-partition top-n plus a merge), sorted by ``order``."""
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in key]))
     return df.withColumn("_h", h).orderBy("_h", *key).limit(n).drop("_h").orderBy(*order)
-
-
-def fill_flags(df: DataFrame, cols: Mapping[str, bool]) -> DataFrame:
-    return df.fillna(dict(cols))

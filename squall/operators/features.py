@@ -18,11 +18,9 @@ from pyspark.sql import functions as F
 from squall.functions.timecols import cyclic
 from squall.operators.blocks import DEFAULT_BLOCK_ROWS, DEFAULT_BLOCK_SECONDS, halo_apply
 
-# --- fixed values: lag sets, rolling windows and horizons of the reference ---
+# --- fixed values: lag sets and rolling windows of the reference ---
 LAG_CONFIGS = {"short": [1, 2, 4, 8], "medium": [1, 2, 4, 8, 16, 24], "long": [1, 4, 8, 16, 24, 48, 96]}
 ROLLING_WINDOWS = [4, 12, 24, 96]
-FORECAST_HORIZONS = {"15min": 1, "30min": 2, "1hour": 4, "3hours": 12, "6hours": 24, "12hours": 48,
-                     "24hours": 96}
 # --- end of fixed values ------------------------------------------------------
 
 

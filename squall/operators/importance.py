@@ -117,6 +117,18 @@ def importance_matrix(df: DataFrame, index: str, columns: str, values: Sequence[
     return d.withColumn("row_rank", (F.col("_at") + 1).cast("int")).drop("_down", "_at")
 
 
+def importance_cells(df: DataFrame, index: str, columns: str, importance: str = "importance") -> DataFrame:
+    """A23 in long form, for any number of ``columns`` values: (index, column value, mean importance, row
+    mean with missing cells as 0, row rank). Names stay in rows, so nothing grows with them; the number
+    of values is one counted row."""
+    cells = df.groupBy(index, columns).agg(F.avg(importance).alias("cell"))
+    n = cells.select(columns).distinct().agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
+    rows = cells.groupBy(index).agg(F.sum("cell").alias("_total")).withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one")
+    rows = rows.select(index, (F.col("_total") / F.col("_n")).alias("row_mean"))
+    d = global_position(rows.withColumn("_down", -F.round("row_mean", 9)), ["_down", index], pos="_at")
+    return cells.join(d.select(index, "row_mean", (F.col("_at") + 1).alias("row_rank")), index)
+
+
 def box_stats(df: DataFrame, by: str, value: str) -> DataFrame:
     """Quartiles (exact, linear), IQR, whiskers at 1.5 IQR and the
     number of outliers per group, all from one table of value counts; groups

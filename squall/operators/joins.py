@@ -27,3 +27,18 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str],
     pt = points.withColumn("_bk", F.floor(epoch_us(ts) / F.lit(width)).cast("long"))
     j = pt.join(iv, [*keys, "_bk"], "inner")
     return j.filter((F.col(ts) >= F.col(start)) & (F.col(ts) <= F.col(end))).drop("_bk")
+
+
+def nearest_cell(points: DataFrame, cells: DataFrame, axes: Sequence[tuple[str, str, float, float]]) -> DataFrame:
+    """Every point with the nearest cell of a regular grid. ``axes`` are (point coordinate, integer
+    cell coordinate, coordinate of cell 0, cell width): a point is rounded to a cell on each axis and
+    clamped to the grid's extent (one row), then an equi-join finds the cell. Points without a
+    coordinate, and places that the grid lacks, give no row."""
+    extent = cells.agg(*[f(c).alias(f"_{n}_{c}") for _, c, _, _ in axes for n, f in (("lo", F.min), ("hi", F.max))])
+    d = points.withColumn("_one", F.lit(1)).join(F.broadcast(extent.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    at = [F.least(F.greatest(F.round((F.col(x) - F.lit(float(zero))) / F.lit(float(width))), F.col(f"_lo_{c}")), F.col(f"_hi_{c}"))
+          .cast("long").alias(c) for x, c, zero, width in axes]
+    names = [c for _, c, _, _ in axes]
+    kept = [c for c in points.columns if c not in names]
+    d = d.where(" and ".join(f"`{x}` is not null" for x, *_ in axes)).select(*kept, *at)
+    return d.join(cells, names, "inner")

@@ -138,9 +138,3 @@ def permutation_importance(model, test: DataFrame, names: Sequence[str], seed: i
     aucs = fold_metrics(score(model, allv), ["feature"]).select("feature", F.col("roc_auc").alias("permuted_auc"))
     return aucs.select("feature", F.lit(base).cast("double").alias("base_auc"), "permuted_auc",
                        (F.lit(base).cast("double") - F.col("permuted_auc")).alias("auc_drop"))
-
-
-def slice_features(d: DataFrame, all_names: Sequence[str], keep: Sequence[str], out: str) -> DataFrame:
-    """M13 helper: a trial's feature subset, sliced from the full vector."""
-    idx = [list(all_names).index(n) for n in keep]
-    return VectorSlicer(inputCol="features", outputCol=out, indices=idx).transform(d)

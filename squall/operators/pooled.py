@@ -266,3 +266,84 @@ def grid_metrics(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     cells = evl.confusion_cells(scored, by, "label", F.col("predicted") == 1)
     table = evl.score_table(scored.withColumn("label", F.col("label").cast("int")), by, "prob", "label")
     return evl.metrics_from_cells(cells).join(evl.roc_auc(table, by), by, "left").join(evl.average_precision(table, by), by, "left")
+
+
+@dataclass(frozen=True)
+class Trial:
+    """One setting of the search: lags and windows to use (no windows: without rolling features) and
+    trees."""
+
+    lags: tuple[int, ...]
+    windows: tuple[int, ...]
+    trees: ml.TreeSettings
+
+
+def trial_places(names: Sequence[str], trial: Trial) -> list[int]:
+    """Places of a trial's features in the vector of all: what is neither a lag nor a rolling
+    statistic belongs to every trial."""
+    def wanted(name: str) -> bool:
+        tail = name.rsplit("_", 1)[-1]
+        if tail.startswith("lag") and tail[3:].isdigit():
+            return int(tail[3:]) in trial.lags
+        middle = name.rsplit("_", 2)[-2] if name.count("_") > 1 else ""
+        if middle.startswith("roll") and middle[4:].isdigit():
+            return int(middle[4:]) in trial.windows
+        return True
+
+    return [i for i, name in enumerate(names) if wanted(name)]
+
+
+def search(rows: DataFrame, names: Sequence[str], ts: str, trials: Sequence[Trial], folds: int = 3, first_folds: int = 1,
+           keep: float = 0.5, least_rows: int = 500, at_once: int = 4) -> DataFrame:
+    """Every trial scored by the mean MCC of its folds, on slices of one feature table built with
+    all lags and windows: (trial, lags, windows, max_depth, max_iter, step_size, n_folds, mean_mcc, status).
+
+    Rows (ts, label, features) of one group; fewer than ``least_rows`` complete ones score -1. All trials
+    are scored on the first ``first_folds`` folds, the worse ones (all but the share ``keep``) stop there,
+    the others get the rest, and the best of them is fitted anew on the first 80 % and scored on the last
+    part (``status`` best, its ``test_mcc``). ``trials`` is a short list; the driver holds their scores."""
+    spark = rows.sparkSession
+    table = cut_lineage(tagged(rows.withColumn("_group", F.lit(0)), ["_group"], ts, folds).withColumn("features", array_to_vector("features")))
+    plan = fit_plan(table, ["_group"], folds, least_rows=least_rows, least_positives=1)
+    plan = {r["fold"]: r for r in plan.collect()}                      # folds + 1 rows
+    schema = ("trial int, lags string, windows string, max_depth int, max_iter int, step_size double, n_folds int, mean_mcc double, "
+              "test_mcc double, status string")
+
+    def line(i: int, scores: list[float], status: str, test: float | None = None) -> tuple:
+        t = trials[i]
+        mean = sum(scores) / len(scores) if scores else -1.0
+        return (i, ",".join(map(str, t.lags)), ",".join(map(str, t.windows)), t.trees.max_depth, t.trees.max_iter, t.trees.step_size,
+                len(scores), mean, test, status)
+
+    able = [j for j in range(1, folds + 1) if j in plan and plan[j]["skipped"] is None]
+    if not able:
+        return spark.createDataFrame([line(i, [], "insufficient data") for i in range(len(trials))], schema)
+    sliced = {i: ml.VectorSlicer(inputCol="features", outputCol="slice", indices=trial_places(names, t)) for i, t in enumerate(trials)}
+
+    def mcc(job: tuple[int, int]) -> float:
+        i, fold = job
+        part = plan[fold]
+        d = sliced[i].transform(table)
+        train = d.where(F.col(POS) < part["train_end"])
+        train = train.withColumn("weight", F.when(F.col("label") > 0, F.lit(float(part["pos_weight"]))).otherwise(F.lit(1.0))) \
+            .withColumn("is_val", F.col(POS) >= part["train_end"] - part["train_end"] // 10)
+        model = ml.gbt(trials[i].trees, "slice", "is_val").fit(train)
+        scored = ml.score(model, d.where(F.col("fold") == fold)).withColumn("one", F.lit(1))
+        best = evl.best_threshold_f1(evl.score_table(scored.withColumn("label", F.col("label").cast("int")), ["one"], "prob", "label"), ["one"])
+        found = evl.metrics_from_cells(best.drop("f1")).first()
+        return float(found["mcc"]) if found else 0.0
+
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        def scored_all(jobs):
+            return dict(zip(jobs, pool.map(inheritable_thread_target(spark)(mcc), jobs), strict=True))
+
+        scores = scored_all([(i, j) for i in range(len(trials)) for j in able[:first_folds]])
+        early = {i: sum(scores[i, j] for j in able[:first_folds]) for i in range(len(trials))}
+        alive = sorted(early, key=lambda i: (-early[i], i))[:max(1, round(keep * len(trials)))]
+        scores |= scored_all([(i, j) for i in alive for j in able[first_folds:]])
+        own = {i: [s for (k, _), s in sorted(scores.items()) if k == i] for i in range(len(trials))}
+        best = max(alive, key=lambda i: (sum(own[i]) / len(own[i]), -i))
+        test = mcc((best, 0)) if plan[0]["skipped"] is None else None
+    rows_out = [line(i, own[i], "best" if i == best else "scored" if i in alive else "stopped early", test if i == best else None)
+                for i in range(len(trials))]
+    return spark.createDataFrame(rows_out, schema)

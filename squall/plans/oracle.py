@@ -940,9 +940,25 @@ SQL["tower_rejects"] = with_(V_GRID) + """
 SELECT series AS tower, count(*) AS n_readings, count(*) FILTER (WHERE n % 10 = 0) AS n_rejects FROM grid GROUP BY series"""
 
 SQL["metadata_roundtrip"] = with_(V_STATION) + f"""
-SELECT tower, {R('lat', 'lat')}, {R('lon', 'lon')}, {R('elevation_m', 'elevation_m')}, {R('height_m', 'height_m')}, terrain_type, region
+SELECT tower, {R('lat', 'lat')}, {R('lon', 'lon')}, {R('elevation_m', 'elevation_m')}, {R('elevation_m', 'elevation_msl_m')},
+  {R('height_m', 'height_m')}, 'Site ' || tower AS name, terrain_type, {R('slope_deg', 'slope_deg')}, aspect_deg::DOUBLE AS aspect_deg,
+  canopy_cover_pct::DOUBLE AS canopy_cover_pct, dist_to_ridge_m::DOUBLE AS dist_to_ridge_m, soil_type, land_use, '#888888' AS color, region
 FROM stations"""
 
+SQL["region_info"] = with_(V_STATION) + f"""
+SELECT region AS name, count(*)::VARCHAR AS state, {R('avg(lat)', 'center_lat')}, {R('avg(lon)', 'center_lon')} FROM stations GROUP BY region"""
+
+SQL["run_config"] = V_RESULTS + """
+SELECT 'events' AS setting, '["' || string_agg(DISTINCT event, '","' ORDER BY event) || '"]' AS value FROM results
+UNION ALL SELECT 'models', '["' || string_agg(DISTINCT model, '","' ORDER BY model) || '"]' FROM results
+UNION ALL SELECT 'n_results', count(*)::VARCHAR FROM results
+UNION ALL SELECT 'n_samples', sum(n_samples)::BIGINT::VARCHAR FROM results"""
+
+SQL["importance_files"] = with_(V_IMP) + """
+SELECT replace(tower, '#', '') AS tower, replace(event, ' ', '-') AS event, count(*) AS n,
+  round(sum(importance::DECIMAL(18,4))::DOUBLE, 6) + 0.0 AS total, max(feature) AS last_feature
+FROM imp GROUP BY 1, 2"""
+
 SQL["labelled_roundtrip"] = with_(V_LABELS) + "SELECT * FROM labels"
 
 SQL["side_table_optional"] = with_(V_GRID, V_AUX) + """
@@ -1132,3 +1148,25 @@ SELECT tower, x, y, {R("degrees(atan(sinh(pi() * (1.0::DOUBLE - 2.0::DOUBLE * y
   {R("x / 8192.0::DOUBLE * 360.0::DOUBLE - 180.0::DOUBLE", "lon")}
 FROM (SELECT tower, trunc((lon + 180.0::DOUBLE) / 360.0::DOUBLE * 8192.0::DOUBLE)::INT AS x,
   trunc((1.0::DOUBLE - ln(tan(radians(lat)) + 1.0::DOUBLE / cos(radians(lat))) / pi()) / 2.0::DOUBLE * 8192.0::DOUBLE)::INT AS y FROM stations)"""
+
+# ---------------------------------------------------------------- roll-ups by other keys
+SQL["importance_by_series"] = SQL["importance_by_event"].replace("SELECT event, feature,", "SELECT tower, feature,").replace(
+    "PARTITION BY event", "PARTITION BY tower")
+
+SQL["importance_cells"] = with_(V_FILES, """
+c AS (SELECT regexp_split_to_array(feature, '_[0-9]+m|_lag|_roll')[1] AS category, tower, avg(importance_pct) AS cell FROM files GROUP BY 1, 2)""",
+                                "m AS (SELECT category, sum(cell) / (SELECT count(DISTINCT tower) FROM files) AS row_mean FROM c GROUP BY 1)") + f"""
+SELECT category, tower, {R('cell', 'cell')}, {R('row_mean', 'row_mean')}, rank AS row_rank
+FROM c JOIN (SELECT *, row_number() OVER (ORDER BY round(row_mean, 9) DESC, category) AS rank FROM m) USING (category)"""
+
+SQL["score_box_stats"] = V_RESULTS + f""",
+q AS (SELECT model, quantile_cont(f1, 0.25) AS q1, quantile_cont(f1, 0.5) AS median, quantile_cont(f1, 0.75) AS q3 FROM results GROUP BY model),
+l AS (SELECT r.f1, q.*, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM results r JOIN q USING (model))
+SELECT model, {R('q1', 'q1')}, {R('median', 'median')}, {R('q3', 'q3')}, {R('q3 - q1', 'iqr')},
+  {R('min(f1) FILTER (f1 >= lo)', 'whisker_low')}, {R('max(f1) FILTER (f1 <= hi)', 'whisker_high')},
+  count(*) FILTER (f1 < lo OR f1 > hi) AS n_outliers, count(*) AS n
+FROM l GROUP BY model, q1, median, q3"""
+
+SQL["feature_columns"] = with_(V_LABELS) + """
+SELECT * FROM (SELECT count(temp) AS temp, count(peak) AS peak, count(n) AS n FROM labels)
+UNPIVOT (n_values FOR "column" IN (temp, peak, n))"""

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from squall.functions.rules import GRID_RULES, rule_mask
 from squall.functions.timecols import epoch_us
@@ -18,6 +19,7 @@ from squall.operators import clean as cl
 from squall.operators import evaluate as evl
 from squall.operators import features as fe
 from squall.operators import importance as im
+from squall.operators import joins as jn
 from squall.operators import logs as lg
 from squall.operators import model as ml
 from squall.operators import pooled
@@ -828,15 +830,8 @@ def q_zone_stats(spark, sf):
 def q_point_zone(spark, sf):
     """G8 + J6: each station's nearest raster cell (per axis, regular grid:
     rounded and clamped) and that cell's zone — an equi-join, no cross join."""
-    s = V.station(spark, sf)
-    z = _zones(spark, sf)
-    ext = z.agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
-    s = s.withColumn("_one", F.lit(1)).join(F.broadcast(ext.withColumn("_one", F.lit(1))), "_one")
-    gx = (F.col("easting") - F.lit(740000.0)) / F.lit(100.0)
-    gy = (F.col("northing") - F.lit(3978000.0)) / F.lit(300.0)
-    s = s.select("tower", F.least(F.greatest(F.round(gx), F.col("_x0")), F.col("_x1")).cast("long").alias("x"),
-                 F.least(F.greatest(F.round(gy), F.col("_y0")), F.col("_y1")).cast("long").alias("y"))
-    return _r6all(s.join(z, ["x", "y"], "inner").select("tower", "x", "y", "z", "zone_percentile"))
+    d = jn.nearest_cell(V.station(spark, sf), _zones(spark, sf), [("easting", "x", 740000.0, 100.0), ("northing", "y", 3978000.0, 300.0)])
+    return _r6all(d.select("tower", "x", "y", "z", "zone_percentile"))
 
 
 @query("transects")
@@ -1047,16 +1042,52 @@ def q_tower_rejects(spark, sf):
 
 @query("metadata_roundtrip")
 def q_metadata_roundtrip(spark, sf):
-    """S4 + S9: station metadata written as nested JSON documents (one map
-    per region) and read back by exploding the map; the run configuration
-    is written as one JSON document alongside."""
-    base = shared_dir(spark, "metadata_roundtrip")
-    s = _stations(spark, sf).select("tower", "lat", "lon", "easting", "northing", "elevation_m", "height_m",
-                                    "terrain_type", "region")
-    sio.write_station_metadata(s, f"{base}/stations")
-    sio.write_run_config(spark, {"rules": [r.name for r in GRID_RULES], "horizons": V.HORIZONS}, f"{base}/config")
-    back = sio.read_station_metadata(spark, f"{base}/stations")
-    return _r6all(back.select("tower", "lat", "lon", "elevation_m", "height_m", "terrain_type", "region"))
+    """All station fields written as nested JSON documents of bounded size and read back by
+    exploding the map."""
+    back = sio.read_station_metadata(spark, _metadata_documents(spark, sf))
+    return _r6all(back.select("tower", "lat", "lon", "elevation_m", "elevation_msl_m", "height_m", "name", "terrain_type", "slope_deg",
+                              "aspect_deg", "canopy_cover_pct", "dist_to_ridge_m", "soil_type", "land_use", "color", "region"))
+
+
+def _metadata_documents(spark, sf):
+    path = f"{shared_dir(spark, 'metadata')}/stations"
+    s = _stations(spark, sf).withColumn("elevation_msl_m", F.col("elevation_m")).withColumn("color", F.lit("#888888")) \
+        .withColumn("name", F.concat(F.lit("Site "), F.col("tower")))
+    regions = s.groupBy(F.col("region").alias("name")).agg(F.avg("lat").alias("center_lat"), F.avg("lon").alias("center_lon"),
+                                                           F.count(F.lit(1)).cast("string").alias("state"))
+    sio.write_station_metadata(s, path, regions=regions, per_document=7)
+    return path
+
+
+@query("region_info")
+def q_region_info(spark, sf):
+    """The region entries of the metadata documents."""
+    return _r6all(sio.read_region_info(spark, _metadata_documents(spark, sf)).select("name", "state", "center_lat", "center_lon"))
+
+
+@query("run_config")
+def q_run_config(spark, sf):
+    """A run's settings, taken from its results, written as one JSON document and read back."""
+    base = shared_dir(spark, "run_config")
+    r = V.results(spark, sf).agg(F.array_sort(F.collect_set("event")).alias("events"), F.array_sort(F.collect_set("model")).alias("models"),
+                                 F.count(F.lit(1)).alias("n_results"), F.sum("n_samples").alias("n_samples")).first()       # one row of settings
+    sio.write_run_config(spark, {"events": r["events"], "models": r["models"], "n_results": r["n_results"], "n_samples": r["n_samples"]}, base)
+    return sio.read_run_config(spark, base).drop("file")
+
+
+@query("importance_files")
+def q_importance_files(spark, sf):
+    """Importance rows written as one CSV per tower and event in named folders, read back with tower
+    and event from the path."""
+    base = shared_dir(spark, "importance_files")
+    d = V.importance(spark, sf).withColumn("file", F.concat(F.lit("importance_"), F.regexp_replace("tower", "#", ""), F.lit("_event_"),
+                                                            F.regexp_replace("event", " ", "-")))
+    d.select("file", "feature", "importance").write.partitionBy("file").option("header", True).csv(base)
+    back = sio.read_partitioned_by_name(spark, base, r"importance_([^/]+)_event_([^/]+)/", ["tower", "event"],
+                                        T.StructType([T.StructField("feature", T.StringType()), T.StructField("importance", T.DoubleType())]))
+    g = back.groupBy("tower", "event").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("importance").cast("decimal(18,4)")).cast("double").alias("total"),
+                                           F.max("feature").alias("last_feature"))
+    return _r6all(g)
 
 
 # ---------------------------------------------------------------- Spark ML jobs (rows-only checks)
@@ -1119,29 +1150,17 @@ def q_permutation_importance(spark, sf):
     return _r6all(ml.permutation_importance(model, d.filter(F.col("test_fold") == 1), names))
 
 
-SEARCH_TRIALS = [{"lags": [1, 2], "max_depth": 2}, {"lags": [1, 2], "max_depth": 3},
-                 {"lags": [1, 2, 4], "max_depth": 2}, {"lags": [1, 2, 4], "max_depth": 3}]
+SEARCH_TRIALS = [pooled.Trial(lags, windows, ml.TreeSettings(max_iter=5, max_depth=depth))
+                 for lags, windows, depth in (((1,), (), 2), ((1, 2, 4), (2, 4), 2), ((1, 2, 4), (2, 4, 12), 3), ((1, 2), (12,), 4))]
 
 
 @query("search_settings")
 def q_search_settings(spark, sf):
-    """Every trial (lag set x depth) scored by mean CV MCC on features
-    built once and sliced per trial; the best trial is flagged."""
-    d, names = _prepared(spark, sf)
-    base = [n for n in names if "_lag" not in n]
-    out = []
-    for i, t in enumerate(SEARCH_TRIALS):
-        keep = base + [f"value_lag{k}" for k in t["lags"]]
-        dt = ml.slice_features(d, names, keep, "fx")
-        cv = ml.cross_validate(dt, ML_FOLDS, ml.TreeSettings(max_iter=5, max_depth=t["max_depth"]), "fx")
-        out.append(cv.agg(F.avg("mcc").alias("mean_mcc"), F.stddev_pop("mcc").alias("std_mcc"))
-                   .select(F.lit(i).alias("trial"), F.lit(",".join(map(str, t["lags"]))).alias("lags"),
-                           F.lit(t["max_depth"]).alias("max_depth"), "mean_mcc", "std_mcc"))
-    res = out[0]
-    for r in out[1:]:
-        res = res.unionByName(r)
-    w = Window.orderBy(F.col("mean_mcc").desc(), F.col("trial").asc())
-    return _r6all(res.withColumn("best", F.row_number().over(w) == 1))
+    """Trials of lag set, windows (none: rolling off), depth and trees over slices of one table of the
+    gusty event; poor ones stop after their first fold, the best is scored anew on the last 20 %."""
+    rows = _groups(spark, sf).where("event = 'gusty' and horizon = '3hr'").drop("event", "horizon")
+    names = pooled.feature_names(GRID_SETTINGS[2], WIDE_COLS, GRID_GROUPS)
+    return _r6all(pooled.search(rows, names, "ts", SEARCH_TRIALS, folds=2))
 
 
 @query("labelled_roundtrip")
@@ -1390,3 +1409,34 @@ def q_tile_corner(spark, sf):
     d = s.select("tower", x.alias("x"), y.alias("y"))
     north, west = gs.tile_corner(F.col("x"), F.col("y"), 13)
     return _r6all(d.select("*", north.alias("lat"), west.alias("lon")))
+
+
+# ---------------------------------------------------------------- roll-ups by other keys
+
+
+@query("importance_by_series")
+def q_importance_by_series(spark, sf):
+    """A20 by tower: its ten features with the largest mean importance %."""
+    return _r6all(im.importance_by(_files(spark, sf), "tower", 10, importance=PCT))
+
+
+@query("importance_cells")
+def q_importance_cells(spark, sf):
+    """A23 by tower, in long form: mean importance of every (family, tower), row means and ranks."""
+    d = _files(spark, sf).withColumn("category", im.category_of(F.col("feature")))
+    return _r6all(im.importance_cells(d, "category", "tower", importance=PCT))
+
+
+@query("score_box_stats")
+def q_score_box_stats(spark, sf):
+    """A36 by model: quartiles, whiskers and outliers of F1 over all experiments."""
+    return _r6all(im.box_stats(V.results(spark, sf), "model", "f1"))
+
+
+@query("feature_columns")
+def q_feature_columns(spark, sf):
+    """P3 + K7: the numeric columns of the labelled table that none of the ten name patterns excludes, a
+    list given twice over counted once, with how many values each has."""
+    d = _labels(spark, sf)
+    names = cl.unique_names(cl.select_features(d, target="event_hot") + cl.select_features(d))
+    return d.agg(*[F.count(c).alias(c) for c in names]).unpivot([], names, "column", "n_values")

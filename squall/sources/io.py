@@ -77,26 +77,52 @@ def read_auxiliary(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
     return spark.read.format(fmt).load(path) if path_exists(spark, path) else None
 
 
+# --- fixed values: fields of the station documents ------------------------------------------------
 STATION_FIELDS = T.StructType([T.StructField(n, T.DoubleType()) for n in
-                               ("lat", "lon", "easting", "northing", "elevation_m", "height_m")] +
-                              [T.StructField(n, T.StringType()) for n in ("name", "terrain_type", "region")])
+                               ("lat", "lon", "easting", "northing", "elevation_m", "elevation_msl_m", "height_m", "slope_deg",
+                                "aspect_deg", "canopy_cover_pct", "dist_to_ridge_m")] +
+                              [T.StructField(n, T.StringType()) for n in ("name", "terrain_type", "soil_type", "land_use", "color", "region")])
+REGION_FIELDS = T.StructType([T.StructField(n, T.StringType()) for n in ("name", "state", "terrain", "climate", "prevailing_wind")] +
+                             [T.StructField(n, T.DoubleType()) for n in ("center_lat", "center_lon", "avg_annual_temp_c", "avg_annual_precip_mm")])
+# --- end of fixed values --------------------------------------------------------------------------
+
+
+def _documents(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    schema = T.StructType([T.StructField("tower_coordinates", T.MapType(T.StringType(), STATION_FIELDS)),
+                           T.StructField("region_info", REGION_FIELDS)])
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
 def read_station_metadata(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Documents ``{"tower_coordinates": {id: {...}}}`` -> one row per
+    """Documents ``{"tower_coordinates": {id: {...}}, "region_info": {...}}`` -> one row per
     station (explode of the map)."""
-    schema = T.StructType([T.StructField("tower_coordinates", T.MapType(T.StringType(), STATION_FIELDS))])
-    d = spark.read.schema(schema).option("multiLine", multi_line).json(path)
-    return d.select(F.explode("tower_coordinates").alias("tower", "m")).select("tower", "m.*")
+    return _documents(spark, path, multi_line).select(F.explode("tower_coordinates").alias("tower", "m")).select("tower", "m.*")
+
 
+def read_region_info(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """One row per region (every document of a region repeats it)."""
+    return _documents(spark, path, multi_line).where("region_info is not null").select("region_info.*").distinct()
 
-def write_station_metadata(stations: DataFrame, path: str, by: str = "region") -> None:
-    """Nested metadata documents, one per ``by`` group (no single document
-    gathers every station)."""
+
+def write_station_metadata(stations: DataFrame, path: str, by: str = "region", regions: DataFrame | None = None,
+                           per_document: int = 1000) -> None:
+    """Nested metadata documents of at most ``per_document`` stations of one ``by`` group each: a group's
+    stations are dealt to documents by a hash of their name and numbered in each share, so a group of
+    any size is many small documents and no task holds a whole one. ``regions`` (with REGION_FIELDS,
+    ``name`` being the group) goes into every document of its group."""
     cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in STATION_FIELDS.fields if f.name in stations.columns]
-    docs = stations.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("tower", F.struct(*cols))))
-                                    .alias("tower_coordinates"))
-    docs.select("tower_coordinates").write.mode("overwrite").json(path)
+    sizes = stations.groupBy(F.col(by).alias("_by")).agg(F.ceil(F.count(F.lit(1)) / per_document).alias("_shares"))
+    d = stations.join(sizes, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_share", F.pmod(F.xxhash64("tower"), F.col("_shares")))
+    place = F.row_number().over(Window.partitionBy("_by", "_share").orderBy("tower")) - 1
+    docs = d.withColumn("_part", F.floor(place / per_document)).groupBy("_by", "_share", "_part").agg(
+        F.map_from_entries(F.collect_list(F.struct("tower", F.struct(*cols)))).alias("tower_coordinates"))
+    if regions is not None:
+        info = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in REGION_FIELDS.fields if f.name in regions.columns])
+        docs = docs.join(regions.select(F.col("name").alias("_name"), info.alias("region_info")), F.col("_by").eqNullSafe(F.col("_name")), "left")
+        docs = docs.select("tower_coordinates", "region_info")
+    else:
+        docs = docs.select("tower_coordinates")
+    docs.write.mode("overwrite").json(path)
 
 
 def read_partitioned_by_name(spark: SparkSession, path: str, pattern: str, names: Sequence[str],
@@ -122,6 +148,14 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
     w.save(path)
 
 
+def read_run_config(spark: SparkSession, path: str) -> DataFrame:
+    """The settings of written run configurations, one row (file, setting, value) for each; lists
+    and nested values as JSON text."""
+    docs = spark.read.option("singleVariantColumn", "doc").json(path).select(F.col("_metadata.file_path").alias("file"), "doc")
+    rows = docs.lateralJoin(spark.tvf.variant_explode(F.col("doc").outer()))
+    return rows.select("file", F.col("key").alias("setting"), F.try_variant_get("value", "$", "string").alias("value"))
+
+
 def write_run_config(spark: SparkSession, config: dict, path: str) -> None:
     """Run settings as one JSON document."""
     spark.createDataFrame([(json.dumps(config, sort_keys=True),)], "config string") \

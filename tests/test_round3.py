@@ -219,3 +219,47 @@ def test_spearman_of_pairs(spark):
     assert got["a", "x", "x"] == (4, pytest.approx(1.0))
     assert got["a", "x", "z"] == (4, pytest.approx(8 / 9))
     assert got["b", "x", "z"] == (1, None)
+
+
+def test_station_documents_of_bounded_size(spark, tmp_path):
+    """Many stations of one region are many documents of bounded size; every field comes back."""
+    rows = [(f"T{i}", "big" if i < 2000 else "small" if i < 2300 else None, 35.0 + i / 1000, float(i), f"Site {i}") for i in range(2400)]
+    d = spark.createDataFrame(rows, "tower string, region string, lat double, elevation_msl_m double, name string")
+    regions = spark.createDataFrame([("big", "TN", 14.5), ("small", None, 1.0)], "name string, state string, avg_annual_temp_c double")
+    sio.write_station_metadata(d, str(tmp_path / "m"), regions=regions, per_document=100)
+    docs = [json.loads(line) for f in (tmp_path / "m").glob("*.json") for line in f.read_text().splitlines()]
+    assert max(len(x["tower_coordinates"]) for x in docs) <= 100
+    assert len(docs) >= 24
+    back = sio.read_station_metadata(spark, str(tmp_path / "m")).select("tower", "region", "lat", "elevation_msl_m", "name")
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    got = {(r["name"], r["state"], r["avg_annual_temp_c"]) for r in sio.read_region_info(spark, str(tmp_path / "m")).collect()}
+    assert got == {("big", "TN", 14.5), ("small", None, 1.0)}
+
+
+def test_run_config_round_trip(spark, tmp_path):
+    sio.write_run_config(spark, {"lags": [1, 2], "device": "cpu", "nested": {"a": 1.5}, "n": 7, "off": None}, str(tmp_path / "c"))
+    got = {r["setting"]: r["value"] for r in sio.read_run_config(spark, str(tmp_path / "c")).collect()}
+    assert got == {"lags": "[1,2]", "device": "cpu", "nested": '{"a":1.5}', "n": "7", "off": None}
+
+
+def test_trials_use_their_own_features():
+    names = ["a_b_lag1", "a_b_lag12", "a_b_roll2_mean", "a_b_roll12_std", "a_b_diff1", "lag1_x", "hour_sin"]
+    trees = Q.ml.TreeSettings()
+    assert [names[i] for i in pooled.trial_places(names, pooled.Trial((1,), (), trees))] == ["a_b_lag1", "a_b_diff1", "lag1_x", "hour_sin"]
+    assert [names[i] for i in pooled.trial_places(names, pooled.Trial((12,), (2, 12), trees))] == names[1:]
+
+
+def test_search_stops_poor_trials_and_needs_rows(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(900):
+        x = r.random()
+        rows.append((i * 3600, float(x > 0.6), [x, r.random(), 1.0]))
+    d = spark.createDataFrame(rows, "s long, label double, features array<double>").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    names = ["v_lag1", "v_lag2", "hour_sin"]
+    trials = [pooled.Trial((1,), (), Q.ml.TreeSettings(max_iter=2, max_depth=2)), pooled.Trial((2,), (), Q.ml.TreeSettings(max_iter=2, max_depth=2))]
+    got = {x["trial"]: x for x in pooled.search(d, names, "ts", trials, folds=2).collect()}
+    assert (got[0]["status"], got[0]["n_folds"], got[1]["status"], got[1]["n_folds"]) == ("best", 2, "stopped early", 1)
+    assert got[0]["mean_mcc"] > 0.9 and got[0]["test_mcc"] > 0.9 and got[1]["mean_mcc"] < 0.3
+    few = pooled.search(d.limit(499), names, "ts", trials, folds=2).collect()
+    assert [(x["mean_mcc"], x["status"]) for x in few] == [(-1.0, "insufficient data")] * 2
