@@ -28,7 +28,7 @@ from squall.llm.words import U64, mix, slices, utf8, words
 THRESHOLD, LONGEST = 30, 4
 #: Counters a partition's summary is planned for, hashes a task packs at once, bits of the table at
 #: most, phrases a task holds before it adds up equal ones.
-CAPACITY, PACK, MOST_BITS, MOST_COUNTED = 1 << 18, 1 << 22, 1 << 28, 1_500_000
+CAPACITY, PACK, MOST_BITS, MOST_COUNTED = 1 << 18, 1 << 22, 1 << 28, 1_200_000
 
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
@@ -107,9 +107,15 @@ class Grams:
 
 
 def _gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The bytes ``begin:begin + size`` of ``data``, one run after the other."""
-    ends = np.cumsum(size)
-    return data[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size - begin, size)]
+    """The bytes ``begin:begin + size`` of ``data``, one run after the other; some runs at a time, as
+    their places take eight bytes a byte."""
+    out, at = np.empty(int(size.sum()), np.uint8), 0
+    for i in range(0, len(size), 1 << 15):
+        some = size[i:i + (1 << 15)]
+        ends = np.cumsum(some)
+        out[at:at + ends[-1]] = data[np.arange(ends[-1]) + np.repeat(begin[i:i + (1 << 15)] - (ends - some), some)]
+        at += int(ends[-1])
+    return out
 
 
 def has(table: np.ndarray, value: np.ndarray) -> np.ndarray:
