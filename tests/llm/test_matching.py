@@ -131,6 +131,48 @@ def test_longest_rise_and_patience():
     assert len(licenses.patience(list(range(50)), list(range(50)))) == 50
 
 
+def common(a, b):
+    """Length of a longest common subsequence, by the table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_patience_against_the_longest_common_subsequence():
+    """Where no word repeats the alignment is a longest one; else it is a common one and never longer."""
+    r = random.Random(11)
+    for n in range(60):
+        a, b = r.sample(range(40), r.randint(0, 30)), r.sample(range(40), r.randint(0, 30))
+        assert len(licenses.patience(a, b)) == common(a, b)
+        a, b = [r.randrange(9) for _ in range(n % 25)], [r.randrange(9) for _ in range(20)]
+        pairs = licenses.patience(a, b)
+        assert all(a[i] == b[j] for i, j in pairs)
+        assert all(p < q and s < t for (p, s), (q, t) in zip(pairs, pairs[1:], strict=False))
+        assert len(pairs) <= common(a, b)
+
+
+def test_one_license_a_text(spark):
+    """A BSD-3 header or text is one BSD-3 license, a BSD-2 text one BSD-2; "All rights reserved" counts
+    only where nothing else does; SPDX lines are read exactly."""
+    top = "Copyright (c) 2020, Somebody. All rights reserved. "
+    lc = licenses
+    texts = [f"{top}{lc._CONDITIONS} {lc._NAMES}", f"{top}{lc._CONDITIONS} {lc._NAMES} {lc._NO_WARRANTY}",
+             f"{top}{lc._CONDITIONS} {lc._NO_WARRANTY}", f"{top}{lc._CONDITIONS}", f"MIT License {top}{lc._MIT} {lc._MIT_WARRANTY}",
+             f"{lc._ISC} {lc._ISC_WARRANTY}", top, "// SPDX-License-Identifier: GPL-2.0-only\nint main;",
+             "x SPDX-License-Identifier: (MIT OR Apache-2.0) WITH LLVM-exception y", "/* SPDX-License-Identifier: BSD-3-Clause */" + top,
+             "SPDX-License-Identifier:", "spdx license identifier mit"]
+    got = {}
+    for x in lc.scan_licenses(documents(spark, texts)).collect():
+        got.setdefault(x["doc_id"], []).append(x["license"])
+        assert 0.8 <= x["coverage"] <= 1 and x["n_words"] >= x["matched"] > 0
+    assert got == {0: ["BSD-3-Clause"], 1: ["BSD-3-Clause"], 2: ["BSD-2-Clause"], 3: ["BSD-2-Clause"], 4: ["MIT"], 5: ["ISC"],
+                   6: ["Proprietary"], 7: ["GPL-2.0-only"], 8: ["Apache-2.0", "MIT"], 9: ["BSD-3-Clause"]}
+
+
 def test_licenses_in_prose(spark):
     r = random.Random(7)
     whole = {name: text for name, text in licenses.TEMPLATES[::-1] if len(text) > 150}
