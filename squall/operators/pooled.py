@@ -202,9 +202,10 @@ def tagged(rows: DataFrame, keys: Sequence[str], ts: str, folds: int, train_shar
 
 
 def fit_plan(rows: DataFrame, keys: Sequence[str], folds: int, least_rows: int = 100, least_positives: int = 10,
-             power: float = 0.75) -> DataFrame:
+             power: float | None = 0.75) -> DataFrame:
     """One row for every (group, fold) to fit: training rows and positives, test rows and positives, the
-    positives' weight, and why a group or fold is skipped (null where it is not). One aggregation."""
+    weights of both classes (M2 with ``power``, M1's balanced ones without), and why a group or fold is
+    skipped (null where it is not). One aggregation."""
     keys = list(keys)
     size = F.floor(F.col("n_train") / (folds + 1))
     end = F.when(F.col("part") == 0, F.col("n_train")).otherwise(F.col("n_train") - (folds + 1 - F.col("part")) * size)
@@ -218,9 +219,12 @@ def fit_plan(rows: DataFrame, keys: Sequence[str], folds: int, least_rows: int =
         .when(F.col("positives") < least_positives, F.lit("too few positive events")) \
         .when((F.col("train_positives") == 0) | (F.col("train_positives") == F.col("train_rows")), F.lit("one class in training")) \
         .when(F.col("test_rows") == 0, F.lit("no test rows"))
-    weight = evl.class_weight_power(F.col("train_rows"), F.col("train_positives"), power)
+    if power is None:
+        pos, neg = evl.class_weight_balanced(F.col("train_rows"), F.col("train_positives"))
+    else:
+        pos, neg = evl.class_weight_power(F.col("train_rows"), F.col("train_positives"), power), F.lit(1.0)
     return found.join(whole, keys).select(*keys, "fold", "n_rows", "train_rows", "train_positives", "test_rows", "test_positives",
-                                          "train_end", weight.alias("pos_weight"), why.alias("skipped"))
+                                          "train_end", pos.alias("pos_weight"), neg.alias("neg_weight"), why.alias("skipped"))
 
 
 def score_grid(rows: DataFrame, keys: Sequence[str], ts: str, folds: int, settings: ml.TreeSettings,
@@ -240,8 +244,8 @@ def score_grid(rows: DataFrame, keys: Sequence[str], ts: str, folds: int, settin
             own = own.where(F.col(k).eqNullSafe(F.lit(part[k])))
         train = own.where(F.col(POS) < part["train_end"])
         tail = part["train_end"] - part["train_end"] // 10          # the last tenth says when to stop
-        train = train.withColumn("weight", F.when(F.col("label") > 0, F.lit(float(part["pos_weight"]))).otherwise(F.lit(1.0))) \
-            .withColumn("is_val", F.col(POS) >= tail)
+        train = train.withColumn("weight", F.when(F.col("label") > 0, F.lit(float(part["pos_weight"])))
+                                 .otherwise(F.lit(float(part["neg_weight"])))).withColumn("is_val", F.col(POS) >= tail)
         model = ml.gbt(settings, "features", "is_val").fit(train)
         scored = ml.score(model, own.where(F.col("fold") == part["fold"]))
         return cut_lineage(scored.select(*keys, "fold", ts, "label", "prob"))

@@ -136,8 +136,8 @@ def overfit_gap(ht: DataFrame) -> DataFrame:
     aggs = []
     for m in ("auc", "f1", "mcc"):
         aggs += [F.avg(f"{m}_gap").alias(f"{m}_gap_mean"), F.stddev_samp(f"{m}_gap").alias(f"{m}_gap_std")]
-    g = d.groupingSets([["horizon"], ["model"]], "horizon", "model").agg(*aggs)
-    return g.select(F.when(F.col("horizon").isNotNull(), F.lit("horizon")).otherwise(F.lit("model")).alias("level"),
+    g = d.groupingSets([["horizon"], ["model"]], "horizon", "model").agg(F.grouping("horizon").alias("_other"), *aggs)
+    return g.select(F.when(F.col("_other") == 0, F.lit("horizon")).otherwise(F.lit("model")).alias("level"),
                     "horizon", "model", *[c for c in g.columns if c.endswith(("_mean", "_std"))])
 
 
@@ -145,10 +145,11 @@ def error_profile(ht: DataFrame) -> DataFrame:
     """FPR/FNR mean and std and their ratio by horizon; FPR, FNR,
     precision, recall means by event."""
     g = ht.groupingSets([["horizon"], ["event"]], "horizon", "event").agg(
+        F.grouping("horizon").alias("_other"),
         F.avg("fpr").alias("fpr_mean"), F.stddev_samp("fpr").alias("fpr_std"),
         F.avg("fnr").alias("fnr_mean"), F.stddev_samp("fnr").alias("fnr_std"),
         F.avg("precision").alias("precision_mean"), F.avg("recall").alias("recall_mean"))
-    by_h = F.col("horizon").isNotNull()
+    by_h = F.col("_other") == 0
     return g.select(F.when(by_h, F.lit("horizon")).otherwise(F.lit("event")).alias("level"), "horizon", "event",
                     "fpr_mean", F.when(by_h, F.col("fpr_std")).alias("fpr_std"), "fnr_mean",
                     F.when(by_h, F.col("fnr_std")).alias("fnr_std"),

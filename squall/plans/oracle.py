@@ -1170,3 +1170,25 @@ FROM l GROUP BY model, q1, median, q3"""
 SQL["feature_columns"] = with_(V_LABELS) + """
 SELECT * FROM (SELECT count(temp) AS temp, count(peak) AS peak, count(n) AS n FROM labels)
 UNPIVOT (n_values FOR "column" IN (temp, peak, n))"""
+
+# ---------------------------------------------------------------- one model per series and event
+SQL["series_training_grid"] = with_(V_LABELS, """
+placed AS (SELECT series, ts, event_hot, event_calm, event_gusty, temp, peak, row_number() OVER (PARTITION BY series ORDER BY ts) AS i,
+  count(*) OVER (PARTITION BY series) AS c FROM labels)""", "targets AS (" + " UNION ALL ".join(
+      f"SELECT series, ts, i, c, '{e}' AS event, lead(event_{e}::INT, 4) OVER (PARTITION BY series ORDER BY ts) AS y FROM placed"
+      for e in ("hot", "calm", "gusty")) + ")",
+    """kept AS (SELECT series, event, y, row_number() OVER (PARTITION BY series, event ORDER BY ts) - 1 AS p,
+  count(*) OVER (PARTITION BY series, event) AS n FROM targets WHERE y IS NOT NULL AND i >= 12)""",
+    "sized AS (SELECT *, floor(n * 0.8)::BIGINT AS m, (floor(n * 0.8)::BIGINT // 4) AS size FROM kept)",
+    """spans AS (SELECT *, CASE WHEN fold = 0 THEN m ELSE m - (4 - fold) * size END AS cut,
+  CASE WHEN fold = 0 THEN n ELSE m - (3 - fold) * size END AS stop FROM sized, range(4) AS folds(fold))""",
+    """counts AS (SELECT series, event, fold, n AS n_rows, count(*) FILTER (p < cut) AS train_rows,
+  count(*) FILTER (p < cut AND y = 1) AS train_positives, count(*) FILTER (p >= cut AND p < stop) AS test_rows,
+  count(*) FILTER (p >= cut AND p < stop AND y = 1) AS test_positives, count(*) FILTER (y = 1) AS positives
+  FROM spans GROUP BY ALL)""") + """
+SELECT series, event, fold::INT AS fold, n_rows, train_rows, train_positives, test_rows, test_positives,
+  CASE WHEN train_positives > 0 THEN round(train_rows / (2.0 * train_positives), 6) ELSE 1.0 END::DOUBLE AS pos_weight,
+  CASE WHEN train_rows > train_positives THEN round(train_rows / (2.0 * (train_rows - train_positives)), 6) ELSE 1.0 END::DOUBLE AS neg_weight,
+  CASE WHEN n_rows < 100 THEN 'insufficient data' WHEN positives < 10 THEN 'too few positive events'
+       WHEN train_positives = 0 OR train_positives = train_rows THEN 'one class in training'
+       WHEN test_rows = 0 THEN 'no test rows' END AS skipped FROM counts"""

@@ -1440,3 +1440,39 @@ def q_feature_columns(spark, sf):
     d = _labels(spark, sf)
     names = cl.unique_names(cl.select_features(d, target="event_hot") + cl.select_features(d))
     return d.agg(*[F.count(c).alias(c) for c in names]).unpivot([], names, "column", "n_values")
+
+
+# ---------------------------------------------------------------- one model per series and event (entry B)
+
+SERIES_LAGS, SERIES_WINDOWS, SERIES_STEPS = [1, 2, 4, 8], [4, 12], 4
+
+
+def _series_groups(spark, sf):
+    """Feature vectors of every labelled reading, one row for each (series, event) with the event's flag
+    some readings later: lags, rolling mean and deviation of both variables in one window pass."""
+    names = [r.name for r in GRID_RULES]
+    d = _labels(spark, sf).select("series", "ts", "temp", "peak", *[F.col(f"event_{n}").cast("int").alias(f"event_{n}") for n in names])
+    d = fe.temporal_features(d, ["series"], "ts", ["temp", "peak"], lags=SERIES_LAGS, windows=SERIES_WINDOWS, stats=["mean", "std"],
+                             leads={f"target_{n}": (f"event_{n}", SERIES_STEPS) for n in names})
+    cols = [f"{c}_{x}" for c in ("temp", "peak") for x in [*[f"lag{k}" for k in SERIES_LAGS],
+                                                          *[f"roll{w}_{s}" for w in SERIES_WINDOWS for s in ("mean", "std")]]]
+    d = d.na.drop(subset=cols)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("event"), F.col(f"target_{n}").cast("double").alias("label")) for n in names]))
+    d = d.select("series", "ts", F.array("temp", "peak", *cols).alias("features"), each.alias("_e")).select("series", "ts", "features", "_e.*")
+    return cut_lineage(d.where("label is not null"))
+
+
+@query("series_training_grid")
+def q_series_training_grid(spark, sf):
+    """Entry B: M1 + A4 + W20 + W21 for every (series, event): rows, positives and balanced weights of every
+    fold and of the final fit, and why it is skipped."""
+    rows = pooled.tagged(_series_groups(spark, sf), ["series", "event"], "ts", POOLED_FOLDS)
+    return _r6all(pooled.fit_plan(rows, ["series", "event"], POOLED_FOLDS, power=None).drop("train_end"))
+
+
+@query("series_grid_metrics")
+def q_series_grid_metrics(spark, sf):
+    """Entry B: M3 + M4 + M7-M10, one model for each (series, event), fold and final fit; metrics from the
+    scored rows."""
+    scored, _ = pooled.score_grid(_series_groups(spark, sf), ["series", "event"], "ts", 2, ml.TreeSettings(max_iter=3, max_depth=3), power=None)
+    return _r6all(pooled.grid_metrics(scored, ["series", "event"]))

@@ -263,3 +263,25 @@ def test_search_stops_poor_trials_and_needs_rows(spark):
     assert got[0]["mean_mcc"] > 0.9 and got[0]["test_mcc"] > 0.9 and got[1]["mean_mcc"] < 0.3
     few = pooled.search(d.limit(499), names, "ts", trials, folds=2).collect()
     assert [(x["mean_mcc"], x["status"]) for x in few] == [(-1.0, "insufficient data")] * 2
+
+
+def test_boosted_trees_find_the_feature(spark):
+    """M3 + M11 + M12: the one informative feature has nearly all gain and the whole drop in AUC."""
+    r = random.Random(9)
+    rows = [(i, float(a > 0.5), [a, r.random(), 1.0], a) for i, a in enumerate(r.random() for _ in range(600))]
+    d = spark.createDataFrame(rows, "_pos long, label double, f array<double>, a double").withColumn("b", F.col("f")[1]).withColumn("c", F.col("f")[2])
+    d = Q.ml.assemble(d, ["a", "b", "c"]).withColumn("weight", F.lit(1.0))
+    model = Q.ml.gbt(Q.ml.TreeSettings(max_iter=3, max_depth=2)).fit(d.where("_pos < 400"))
+    gain = dict(Q.ml.tree_importance(model, ["a", "b", "c"]))
+    assert math.isclose(sum(gain.values()), 1.0) and gain["a"] > 0.9 and gain["c"] == 0.0
+    got = {x["feature"]: x for x in Q.ml.permutation_importance(model, d.where("_pos >= 400"), ["a", "b", "c"]).collect()}
+    assert got["a"]["base_auc"] > 0.95 and got["a"]["auc_drop"] > 0.3
+    assert abs(got["b"]["auc_drop"]) < 0.1 and got["c"]["auc_drop"] == 0.0
+
+
+def test_a_null_horizon_is_a_horizon(spark):
+    """Levels of a grouping-sets report are told apart by the grouping, not by nulls."""
+    from squall.operators import report
+    d = spark.createDataFrame([(None, "m", *[float(i)] * 6) for i in range(3)],
+                              "horizon string, model string, cv_auc double, test_auc double, cv_f1 double, test_f1 double, cv_mcc double, test_mcc double")
+    assert sorted((x["level"], x["model"]) for x in report.overfit_gap(d).collect()) == [("horizon", None), ("model", "m")]
