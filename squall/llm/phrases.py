@@ -74,7 +74,7 @@ class Grams:
         self.words = w = words(texts, _LOWER, _GAP)
         for name in set(langs) - seeds.keys():
             seeds[name] = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
-        seed = np.array([seeds[name] for name in langs], dtype=U64)
+        self.seed = seed = np.array([seeds[name] for name in langs], dtype=U64)
         self.doc, size = w.doc(), len(w.hashes)
         breaks = np.concatenate([[0], np.cumsum(_BREAK[w.data], dtype=np.int64)])
         joined = (breaks[w.end[:-1]] == breaks[w.start[1:]]) & (self.doc[:-1] == self.doc[1:])
@@ -219,14 +219,21 @@ def _summed(batches, capacity: int, threshold: int):
         yield out()
 
 
+def _borders(partitions: int) -> np.ndarray:
+    return np.array([(i << 64) // partitions for i in range(1, partitions)], dtype=U64)
+
+
+def _dealt(packed: DataFrame, partitions: int) -> DataFrame:
+    tasks = max(1, min(partitions, int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return packed.repartition(tasks, "partition").sortWithinPartitions("partition")
+
+
 def survivors(rows: DataFrame, chosen, partitions: int, capacity: int, threshold: int, pack: int) -> DataFrame:
     """Hashes of all n-grams taken by ``chosen`` that occur ``threshold`` times, and few others."""
-    borders = np.array([(i << 64) // partitions for i in range(1, partitions)], dtype=U64)
+    borders = _borders(partitions)
     sent = map_arrow(rows, lambda batches: _sent(batches, chosen, borders, pack),
                      "partition int, once binary, more binary, count binary")
-    tasks = max(1, min(partitions, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = sent.repartition(tasks, "partition").sortWithinPartitions("partition")
-    return map_arrow(dealt, lambda batches: _summed(batches, capacity, threshold), "hash long")
+    return map_arrow(_dealt(sent, partitions), lambda batches: _summed(batches, capacity, threshold), "hash long")
 
 
 def bit_table(hashes: DataFrame, most_bits: int) -> np.ndarray:
@@ -260,66 +267,124 @@ def bit_table(hashes: DataFrame, most_bits: int) -> np.ndarray:
     return table
 
 
+#: What a task knows of its phrases, as packed arrays: hash, count, language, words, bytes.
+_PACKED = (("value", np.uint64), ("count", np.int64), ("lang", np.int32), ("n", np.int8), ("size", np.int32),
+           ("text", np.uint8))
+_WORDS = U64(0x5851F42D4C957F2D)                  # sets the number of a language's words apart from its phrases
+_PACKED_SCHEMA = "partition int, names array<string>, " + ", ".join(f"{c} binary" for c, _ in _PACKED)
+
+
 class Counted:
-    """Phrases of a task with their counts, as arrays: equal ones are added up once ``most`` have come."""
+    """Phrases with their counts, as arrays: equal ones are added up once ``most`` have come. Languages
+    are numbered as they appear."""
 
     def __init__(self, most: int):
-        self.most, self.held, self._parts = most, 0, []
+        self.most, self.held, self.grown, self.numbers, self._parts = most, 0, 0, {}, []
 
-    def add(self, g: Grams, langs: np.ndarray, table: np.ndarray) -> None:
+    def number(self, langs: list) -> np.ndarray:
+        return np.array([self.numbers.setdefault(x, len(self.numbers)) for x in langs], dtype=np.int32)
+
+    def add(self, g: Grams, langs: list, table: np.ndarray) -> None:
+        """Phrases of a part that the table has, and with no words the number of all words."""
+        lang = self.number(langs)
         for n in range(1, LONGEST + 1):
             at = np.flatnonzero(g.whole[n])
             at = at[has(table, g.value[n][at])]
-            if len(at) == 0:
-                continue
-            value, first, count = np.unique(g.value[n][at], return_index=True, return_counts=True)
-            at = at[first]
-            text, size = g.phrases(at, n)
-            self._parts.append((value, g.words.hashes[at + n - 1], count, langs[g.doc[at]], np.full(len(at), n, np.int8), size, text))
-            self.held += len(at)
+            if len(at):
+                value, first, count = np.unique(g.value[n][at], return_index=True, return_counts=True)
+                at = at[first]
+                text, size = g.phrases(at, n)
+                self._hold(value, count, lang[g.doc[at]], np.full(len(at), n, np.int8), size, text)
+        own, first = np.unique(lang, return_index=True)
+        if len(own):
+            words_in = np.bincount(lang, weights=g.words.count())[own].astype(np.int64)
+            self._hold(mix(g.seed[first] ^ _WORDS), words_in, own, np.zeros(len(own), np.int8), np.zeros(len(own), np.int32),
+                       np.zeros(0, np.uint8))
+
+    def add_packed(self, names: list, arrays: list) -> None:
+        """What another task has packed."""
+        own = [np.frombuffer(x, kind) for x, (_, kind) in zip(arrays, _PACKED, strict=True)]
+        own[2] = self.number(names)[own[2]]
+        self._hold(*own)
+
+    def _hold(self, *part: np.ndarray) -> None:
+        self._parts.append(tuple(x.astype(kind, copy=False) for x, (_, kind) in zip(part, _PACKED, strict=True)))
+        self.held += len(part[0])
 
     def merge(self) -> None:
-        """Add up equal phrases: those of one hash, told apart by their last word should two share it."""
-        value, last, count, lang, n, size, text = (np.concatenate(x) for x in zip(*self._parts, strict=True))
+        """Add up equal phrases. They have one hash; that phrases of one hash are equal is looked up in
+        their language and bytes, and should they not be, these decide. Afterwards all are in the order
+        of the hash."""
+        value, count, lang, n, size, text = (np.concatenate(x) for x in zip(*self._parts, strict=True))
+        begin, long = np.cumsum(size, dtype=np.int64) - size, size.astype(np.int64)
         order = np.argsort(value, kind="stable")
-        if np.any((value[order][1:] == value[order][:-1]) & (last[order][1:] != last[order][:-1])):
-            order = np.lexsort((last, value))
-        value, last = value[order], last[order]
-        first = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (last[1:] != last[:-1])]))
+        new = np.concatenate([[True], value[order][1:] != value[order][:-1]])
+        head = order[new][np.cumsum(new) - 1]                 # the first of each one's hash
+        if np.any(size[order] != size[head]) or np.any(lang[order] != lang[head]) or not np.array_equal(
+                _gathered(text, begin[order], long[order]), _gathered(text, begin[head], long[head])):
+            names = [(int(v), int(x), text[a:a + k].tobytes()) for v, x, a, k in zip(value, lang, begin, size, strict=True)]
+            order = np.array(sorted(range(len(names)), key=names.__getitem__))
+            new = np.array([True, *(names[i] != names[j] for i, j in zip(order[1:], order[:-1], strict=True))])
+        first = np.flatnonzero(new)
         one = order[first]
-        begin = np.cumsum(size) - size
-        self._parts = [(value[first], last[first], np.add.reduceat(count[order], first), lang[one], n[one], size[one],
-                        _gathered(text, begin[one], size[one]))]
+        self._parts = [(value[one], np.add.reduceat(count[order], first), lang[one], n[one], size[one],
+                        _gathered(text, begin[one], long[one]))]
         self.held = len(first)
 
-    def take(self, names: list) -> pa.RecordBatch:
-        _, _, count, lang, n, size, text = self._parts[0]
-        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-        phrase = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(ends), pa.py_buffer(text.tobytes())).cast(pa.string())
+    def packed(self, borders: np.ndarray) -> pa.RecordBatch:
+        """One row for each partition of the hash, and nothing left."""
+        *arrays, text = self._parts[0]
+        cuts = np.concatenate([[0], np.searchsorted(arrays[0], borders), [len(arrays[0])]])
+        ends = np.concatenate([[0], np.cumsum(arrays[4], dtype=np.int64)])
+        rows = [(i, list(self.numbers), *[x[a:b].tobytes() for x in arrays], text[ends[a]:ends[b]].tobytes())
+                for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
         self._parts, self.held = [], 0
-        return pa.record_batch([pa.array(names, pa.string()).take(pa.array(lang)), pa.array(n.astype(np.int32)), phrase,
-                                pa.array(count.astype(np.int64))], ["lang", "n", "phrase", "count"])
+        kinds = [pa.int32(), pa.list_(pa.string()), *[pa.binary()] * len(_PACKED)]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                               ["partition", "names", *[c for c, _ in _PACKED]])
 
+    def result(self, threshold: int) -> pa.RecordBatch:
+        """(lang, n, phrase, count) of what reaches the threshold, and of all numbers of words."""
+        self.merge()
+        _, count, lang, n, size, text = self._parts[0]
+        kept = np.flatnonzero((count >= threshold) | (n == 0))
+        begin, size = (np.cumsum(size, dtype=np.int64) - size)[kept], size[kept].astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        phrase = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(ends), pa.py_buffer(_gathered(text, begin, size).tobytes()))
+        return pa.record_batch([pa.array(list(self.numbers), pa.string()).take(pa.array(lang[kept])), pa.array(n[kept].astype(np.int32)),
+                                phrase.cast(pa.string()), pa.array(count[kept])], ["lang", "n", "phrase", "count"])
 
-def _counted(batches, table: np.ndarray, most: int):
-    """(lang, n, phrase, count) of the n-grams in the table, partly added up; n = 0 counts all words."""
-    counted, totals, numbers, seeds = Counted(most), {}, {}, {}
+
+def _counted(batches, table: np.ndarray, borders: np.ndarray, most: int):
+    """Packed counts of the n-grams in the table and of each language's words, partly added up and dealt
+    by ranges of the hash."""
+    counted, seeds = Counted(most), {}
     for langs, texts in _texts(batches):
-        g = Grams(langs, texts, seeds)
-        for lang, n in zip(langs, g.words.count().tolist(), strict=True):
-            totals[lang] = totals.get(lang, 0) + n
-        counted.add(g, np.array([numbers.setdefault(x, len(numbers)) for x in langs], dtype=np.int32), table)
+        counted.add(Grams(langs, texts, seeds), langs, table)
         if counted.held > most:
             counted.merge()
             if counted.held > most // 2:
-                yield counted.take(list(numbers))
+                yield counted.packed(borders)
     if counted.held:
         counted.merge()
-        yield counted.take(list(numbers))
-    if totals:
-        yield pa.record_batch([pa.array(list(totals), pa.string()), pa.array([0] * len(totals), pa.int32()),
-                               pa.array([None] * len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())],
-                              ["lang", "n", "phrase", "count"])
+        yield counted.packed(borders)
+
+
+def _added(batches, most: int, threshold: int):
+    """Exact counts of every partition; rows come sorted by partition."""
+    now, counted = None, None
+    for batch in batches:
+        for i, names, *arrays in zip(*(batch.column(c) for c in range(2 + len(_PACKED))), strict=True):
+            if i.as_py() != now:
+                if counted is not None:
+                    yield counted.result(threshold)
+                now, counted = i.as_py(), Counted(most)
+            counted.add_packed(names.as_py(), [x.as_py() for x in arrays])
+            if counted.held > 2 * max(most, counted.grown):
+                counted.merge()
+                counted.grown = counted.held
+    if counted is not None:
+        yield counted.result(threshold)
 
 
 def frequent(docs: DataFrame, scratch: Scratch, text: str = "text", lang: str = "lang", threshold: int = THRESHOLD,
@@ -347,10 +412,10 @@ def frequent(docs: DataFrame, scratch: Scratch, text: str = "text", lang: str =
 
     more = scratch.pin(survivors(rows, long, partitions, capacity, threshold, pack), "phrase-longer")
     table = spark.sparkContext.broadcast(bit_table(found.union(more), most_bits))
-    counts = map_arrow(rows, lambda batches: _counted(batches, table.value, most_counted),
-                       "lang string, n int, phrase string, count long")
-    counts = scratch.pin(counts.groupBy("lang", "n", "phrase").agg(F.sum("count").alias("count"))
-                         .where((F.col("n") == 0) | (F.col("count") >= threshold)), "phrase-counts")
+    borders = _borders(partitions)
+    sent = map_arrow(rows, lambda batches: _counted(batches, table.value, borders, most_counted), _PACKED_SCHEMA)
+    counts = scratch.pin(map_arrow(_dealt(sent, partitions), lambda batches: _added(batches, most_counted, threshold),
+                                   "lang string, n int, phrase string, count long"), "phrase-counts")
     pairs.unpersist()
     table.unpersist()
     return counts

@@ -102,3 +102,16 @@ def test_long_texts_are_cut_where_no_phrase_is(monkeypatch):
         g = ph.Grams(["en"], pa.array([text]), seeds)
         assert cut == collections.Counter(v for n in range(1, 5) for v in g.value[n][g.whole[n]].tolist())
     assert ph._cut("a" * 500) == ["a" * 500]
+
+
+def test_equal_hashes_are_told_apart_by_text():
+    """Two phrases of one hash stay two, in one task and over tasks; the same phrase of two tasks is one."""
+    def part(texts, langs=(0, 0)):
+        size = np.array([len(t) for t in texts])
+        return (np.array([7, 7], np.uint64), np.array([2, 3]), np.array(langs), np.array([1, 1]), size, np.frombuffer("".join(texts).encode(), np.uint8))
+    c = ph.Counted(100)
+    c.number(["en", "de"])
+    for texts, langs in ((("ab", "cd"), (0, 0)), (("cd", "abc"), (0, 0)), (("ab", "ab"), (1, 0))):
+        c._hold(*part(texts, langs))
+    got = sorted((x["lang"], x["phrase"], x["count"]) for x in c.result(0).to_pylist())
+    assert got == [("de", "ab", 2), ("en", "ab", 5), ("en", "abc", 3), ("en", "cd", 5)]
