@@ -159,22 +159,25 @@ def _information(poor, good):
 
 
 def _best(rows: list, names: list[str], p0: int, n0: int) -> tuple[float, Condition | None]:
-    """The condition with the largest gain, from rows (statistic, cell, poor, good)."""
-    best, chosen = 0.0, None
+    """The condition with the largest gain, from rows (statistic, cell, poor, good); of equal ones that
+    with the widest gap between the values it parts. Its limit lies in the middle of the gap."""
+    best, chosen = (1e-9, 0), None
     for i, name in enumerate(names):
         own = sorted((r[1], r[2], r[3]) for r in rows if r[0] == i)
         if len(own) < 2:
             continue
-        cells = [r[0] for r in own]
+        cells = np.array([r[0] for r in own])
+        gap = np.diff(cells)
         poor, good = (np.cumsum([0, *(r[k] for r in own)]) for k in (1, 2))
         for above in (False, True):
             p = (poor[-1] - poor if above else poor)[1:-1]
             n = (good[-1] - good if above else good)[1:-1]
-            gain = p * (_information(p, n) - _information(p0, n0))
-            k = int(np.argmax(gain))
-            if gain[k] > best + 1e-9:
-                best, chosen = float(gain[k]), Condition(name, above, _limit(cells[k + 1]))
-    return best, chosen
+            gain = np.round(p * (_information(p, n) - _information(p0, n0)), 6)
+            k = int(np.lexsort((gap, gain))[-1])
+            if (gain[k], gap[k]) > best:
+                best = (float(gain[k]), int(gap[k]))
+                chosen = Condition(name, above, _limit((int(cells[k]) + 1 + int(cells[k + 1])) // 2))
+    return best[0], chosen
 
 
 def learn(train: DataFrame, names: list[str], poor: str = "poor", grow: str = "grow", most_rules: int = 24,
