@@ -13,7 +13,7 @@ from squall.llm.common import Scratch, pinned, table
 
 #: Rows that go to a Python worker at once. Workers live through all stages, so each is to hold less
 #: than Spark's default of 10,000 whole texts.
-ROWS_AT_ONCE = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+ROWS_AT_ONCE = ("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
 
 
 def _small_batches(spark: SparkSession) -> None:
