@@ -28,7 +28,7 @@ from squall.llm.words import U64, mix, slices, utf8, words
 THRESHOLD, LONGEST = 30, 4
 #: Counters a partition's summary is planned for, hashes a task packs at once, bits of the table at
 #: most, phrases a task holds before it adds up equal ones.
-CAPACITY, PACK, MOST_BITS, MOST_COUNTED = 1 << 18, 1 << 22, 1 << 28, 1_200_000
+CAPACITY, PACK, MOST_BITS, MOST_COUNTED = 1 << 18, 1 << 21, 1 << 28, 800_000
 
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
