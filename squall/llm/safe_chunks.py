@@ -5,11 +5,18 @@ begins a new piece and nothing left of it looks past it, so the pieces of a
 text are the pieces of its chunks one after the other; a single line break
 between two visible characters is always one piece. Chunks repeat far more
 often than texts, so their ids are kept in a bounded memory.
+
+``cuts`` does the same on the UTF-8 of a whole batch, and cuts between
+letters, digits and marks as well: no piece holds two of these kinds but one
+that begins with an apostrophe, which counts as none of them.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+
+import numpy as np
 
 _EDGE = re.compile(r"(?<=\S)(?= \S)")
 _TOUCHING = re.compile(r"\s\s")
@@ -24,6 +31,49 @@ def split(text: str) -> list[str]:
     return [parts[0], *(p[1:] for p in parts[1:])]
 
 
+#: What a byte is part of. Only characters whose kind no version of Unicode has changed are letters,
+#: digits or marks; ``_OTHER`` may be any visible character.
+_OTHER, _LETTER, _DIGIT, _MARK, _SPACE, _BREAK, _BLANK = range(7)
+
+
+def _kind(code: int) -> int:
+    c = chr(code)
+    if c.isspace():
+        return {" ": _SPACE, "\n": _BREAK}.get(c, _BLANK)
+    if c == "'" or not (code < 0x180 or 0x2010 <= code < 0x2028 or 0x2030 <= code < 0x205f):
+        return _OTHER
+    if "0" <= c <= "9":
+        return _DIGIT
+    return {"L": _LETTER, "P": _MARK, "S": _MARK}.get(unicodedata.category(c)[0], _OTHER)
+
+
+_ONE_BYTE = np.array([*map(_kind, range(128)), *[_OTHER] * 128], np.uint8)
+_TWO_BYTES = np.array([*map(_kind, range(0x180))], np.uint8)
+_THREE_BYTES = np.array([*map(_kind, range(0x4000))], np.uint8)
+_VISIBLE = (_OTHER, _LETTER, _DIGIT, _MARK)
+#: By 8 * kind before + kind after: a space or line break behind a visible character, or two kinds of them.
+_CUT = np.array([after in (_SPACE, _BREAK) and before in _VISIBLE
+                 or before != after and {before, after} <= {_LETTER, _DIGIT, _MARK}
+                 for before in range(8) for after in range(8)])
+
+
+def cuts(raw: np.ndarray) -> np.ndarray:
+    """Whether a text with these bytes (UTF-8) may be cut before each of them. For the bytes of
+    several texts, one after the other, this holds within each of them."""
+    kind = _ONE_BYTE[raw]
+    at = np.flatnonzero((raw >= 0xc2) & (raw <= 0xc5))
+    kind[at] = kind[at + 1] = _TWO_BYTES[(raw[at] & 0x1f).astype(np.int64) << 6 | raw[at + 1] & 0x3f]
+    at = np.flatnonzero((raw >= 0xe1) & (raw <= 0xe3))
+    code = (raw[at] & 0x0f).astype(np.int64) << 12 | (raw[at + 1] & 0x3f).astype(np.int64) << 6 | raw[at + 2] & 0x3f
+    kind[at] = kind[at + 1] = kind[at + 2] = _THREE_BYTES[code]
+    cut = np.zeros(len(raw), bool)
+    cut[1:] = _CUT[kind[:-1] << 3 | kind[1:]]
+    alone = np.flatnonzero(kind == _BREAK) + 1       # behind a line break between two visible characters
+    alone = alone[(alone > 1) & (alone < len(raw))]
+    cut[alone[(kind[alone - 2] <= _MARK) & (kind[alone] <= _MARK)]] = True
+    return cut
+
+
 class Memory(dict):
     """chunk -> bytes; ``make`` fills it in on a miss. When it holds over ``most`` chunks, ``trim``
     lays them aside in place of those laid aside before; a chunk used again comes back from

@@ -11,11 +11,13 @@ from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from squall.llm.common import column, map_arrow
-from squall.llm.safe_chunks import ChunkEncoder
+from squall.llm.safe_chunks import cuts
+from squall.llm.words import slices, utf8
 
 #: Of the files: row groups and pages are small enough to read a few documents alone; the page
 #: index (always written) finds them by doc_id; ids are dictionary-coded, offsets delta-coded.
@@ -24,8 +26,10 @@ FILE_OPTIONS = {
     "parquet.page.size": str(1 << 20), "parquet.page.row.count.limit": "20000",
     "parquet.dictionary.page.size": str(2 << 20), "parquet.enable.dictionary": "true",
 }
-#: One run of Latin letters, maybe behind a space and before a mark: one piece and one for the mark.
-_WORD = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([.,]?)")
+#: One piece for sure: a run of Latin letters, of digits or of marks, maybe behind a space.
+_PIECE = re.compile(r" ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+#: Bytes of text encoded at once, and characters of the longest chunk that is kept.
+BLOCK, LONGEST = 4 << 20, 200
 
 
 _ID = attrgetter("id")
@@ -39,12 +43,40 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Known(dict):
+    """chunk -> ids as bytes; ``make`` gives them on a miss. Long chunks are not kept, and when there
+    are over ``most``, all but those just asked for go. Only speed depends on it."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self._make, self._most = make, most
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self._make(chunk)
+        if len(chunk) <= LONGEST:
+            self[chunk] = ids
+        return ids
+
+    def of(self, chunks: pa.LargeStringArray) -> pa.LargeListArray:
+        """The ids of each chunk; each distinct one is asked for once."""
+        chunks = chunks.dictionary_encode()
+        distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = [*map(self.__getitem__, distinct)]
+        if len(self) > self._most:
+            last = {c: self[c] for c in distinct if len(c) <= LONGEST}
+            self.clear()
+            self.update(last)
+        ends = pa.array(np.cumsum([0, *map(len, ids)]) // 4)
+        lists = pa.LargeListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        return lists.take(chunks.indices)
+
+
 class LibraryEncoder:
-    """Ids as the tokenizers library gives them, with its byte-level BPE model called once for
-    each distinct word of Latin letters; every other chunk, and texts that hold an added token,
-    go through the library's whole path."""
+    """Ids as the tokenizers library gives them. Each distinct chunk is encoded once as long as it
+    is known: a single piece by the library's byte-level BPE model, any other chunk on the
+    library's whole path. Texts that hold an added token are one chunk."""
 
-    def __init__(self, path: str, most: int = 450_000):
+    def __init__(self, path: str, most: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -52,32 +84,38 @@ class LibraryEncoder:
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._tokenize = self._tokenizer.model.tokenize
         self._letters = _byte_letters()
-        self._marks = {mark: self._library(mark) for mark in ".,"}
-        self._chunks = ChunkEncoder(self._chunk, most)
+        self._known = Known(self._chunk, most)
 
     def _library(self, text: str) -> bytes:
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        word = _WORD.fullmatch(chunk)
-        if word is None:
+        if _PIECE.fullmatch(chunk) is None or any(a in chunk for a in self._added):
             return self._library(chunk)
-        piece, mark = word.groups()
-        if mark:
-            return self._chunks.get(piece) + self._marks[mark]
-        if not piece.isascii():
-            piece = piece.encode().decode("latin-1").translate(self._letters)
-        elif piece[0] == " ":
-            piece = self._letters[32] + piece[1:]
-        return array("I", map(_ID, self._tokenize(piece))).tobytes()
+        if not chunk.isascii():
+            chunk = chunk.encode().decode("latin-1").translate(self._letters)
+        elif chunk[0] == " ":
+            chunk = self._letters[32] + chunk[1:]
+        return array("I", map(_ID, self._tokenize(chunk))).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if any(a in text for a in self._added):
-            return self._library(text)
-        return self._chunks.encode(text)
-
-    def trim(self) -> None:
-        self._chunks.trim()
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        return self.encode_all(pa.array([text]))[0].tobytes()
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin (and the end)."""
+        raw, at = utf8(texts)
+        if not len(raw):
+            return np.zeros(0, "<u4"), np.zeros(len(at), np.int64)
+        cut = cuts(raw)
+        for added in self._added:
+            for i in np.flatnonzero(pc.fill_null(pc.match_substring(texts, added), False)):
+                cut[at[i]:at[i + 1]] = False
+        cut[at[:-1][at[1:] > at[:-1]]] = True
+        begin = np.flatnonzero(cut)
+        chunks = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(np.append(begin, len(raw))), pa.py_buffer(raw))
+        lists = self._known.of(chunks)
+        return np.asarray(lists.values), np.asarray(lists.offsets)[np.searchsorted(begin, at)]
 
 
 @lru_cache(maxsize=2)
@@ -104,18 +142,15 @@ def write_token_files(df: DataFrame, path: str, vocabulary: str, end_id: int = 2
         from pyspark import TaskContext
 
         shard, begin = TaskContext.get().partitionId(), 0
-        coder, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        coder = encoder(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = [coder.encode(t) + end for t in column(part, "text").to_pylist()]
-                coder.trim()
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(sizes)])
-                flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
+            for part in slices(batch, "text", BLOCK):
+                flat, at = coder.encode_all(column(part, "text"))
+                flat = pa.array(np.insert(flat, at[1:], end_id).astype(np.int32))
+                offsets = at + np.arange(len(at))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), shard, np.int32)), column(part, "key"), pa.array(begin + offsets[:-1]),
-                     pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat)],
+                    [pa.array(np.full(part.num_rows, shard, np.int32)), column(part, "key"), pa.array(begin + offsets[:-1]),
+                     pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat)],
                     names=["shard", "key", "begin", "n_tokens", "ids"])
                 begin += int(offsets[-1])
 

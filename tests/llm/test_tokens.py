@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -60,6 +61,52 @@ def test_chunks_of_texts_of_any_blanks_give_the_librarys_ids():
         assert np.frombuffer(bpe.encode(t), "<u4").tolist() == other.encode_ordinary(t), t
 
 
+#: Kinds of characters beside each other, among them letters and blanks of two and three bytes.
+KINDS = ["a", "be", "Z", "1", "9", "\u0663", "\u00b2", "\u00bd", "'s", "'", "'re", ".", "$", "<", "|", "_", "-", "\u00bf", "\u00ab",
+         "\u2014", "\u2019", "\u2026", "\u2044", "\u3001", "\u00e9", "\u00d7", "\u00f7", "\u00aa", "\u00b5", "\u017f", "\u0149", "\u03b1",
+         "\u0301", "\u65e5", "\U0001f600", "\u200b", "\u00ad", "\x00", "\x7f", "\x1c", "\x1f", "\t", "\r", "\x0b", "\x85", "\u00a0",
+         "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "<|endoftext|>", *" " * 8, *"\n" * 4]
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_whole_batches_give_the_librarys_ids(kind):
+    library = Tokenizer.from_file(VOCABULARY)
+    coder = token_files.LibraryEncoder(VOCABULARY, most=50)
+    r = random.Random(12)
+    for _ in range(10):
+        rows = [r.choice([None, ""]) if r.random() < 0.05 else "".join(r.choice(KINDS) for _ in range(r.randint(1, 14))) for _ in range(1000)]
+        rows += EDGES + BLANKS
+        flat, at = coder.encode_all(pa.array(["before", *rows, "after"], kind).slice(1, len(rows)))
+        assert len(at) == len(rows) + 1 and at[0] == 0 and at[-1] == len(flat)
+        for i, t in enumerate(rows):
+            assert flat[at[i]:at[i + 1]].tolist() == library.encode(t or "", add_special_tokens=False).ids, t
+    for rows in ([], [None], ["", None, ""]):
+        flat, at = coder.encode_all(pa.array(rows, kind))
+        assert len(flat) == 0 and at.tolist() == [0] * (len(rows) + 1)
+
+
+def test_a_word_is_encoded_once_whatever_stands_beside_it():
+    coder, made = token_files.LibraryEncoder(VOCABULARY), []
+    for name in ("_tokenize", "_library"):
+        def counted(piece, call=getattr(coder, name)):
+            made.append(piece)
+            return call(piece)
+        setattr(coder, name, counted)
+    rows = [f"{a}bakelo{b}nu." for a in ("", "\n", "no\n", "(", "1") for b in ("\n", ",\n", "$$$", ".", "...", "-", "/", "7", ") ")]
+    library = Tokenizer.from_file(VOCABULARY)
+    assert [np.frombuffer(coder.encode(t), "<u4").tolist() for t in rows] == [library.encode(t).ids for t in rows]
+    assert sum("bakelo" in piece for piece in made) <= 2       # alone and behind a line break that begins a text
+
+
+def test_known_chunks_are_bounded_and_long_ones_are_not_kept():
+    asked = []
+    known = token_files.Known(lambda chunk: asked.append(chunk) or np.array([len(chunk)], "<u4").tobytes(), 3)
+    for rows in (["a", "bb", "a"], ["x" * 1000, "bb"], ["ccc", "dddd", "bb"], ["dddd", "a"]):
+        got = known.of(pa.array(rows, pa.large_string()))
+        assert got.to_pylist() == [[len(x)] for x in rows] and len(known) <= 4
+    assert asked == ["a", "bb", "x" * 1000, "ccc", "dddd", "a"]
+
+
 def test_token_files_hold_the_librarys_ids_in_key_order(spark):
     keys = [*range(100, 100 + len(texts()) - 2), None, 7]
     docs = documents(spark, texts(), keys).repartition(5)
